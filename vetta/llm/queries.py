@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetta.llm import bpe, packing
+from vetta.llm import bpe, media, packing, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +19,28 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op7_packing)}
-ORACLE: dict[str, str] = {}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents")).drop("pair_time", "pair_code")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.round_trip(table(spark, sf_dir, "pages")))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op6_simhash, op7_packing, op9_media, op10_warc)}
+
+#: DuckDB has no XXH64, tokenizer or wave reader; tests hold the others against brute force.
+ORACLE: dict[str, str] = {
+    "op10_warc": """
+        with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages),
+        g as (select page_id, n, sha1(html) as d, max(page_id) over (partition by html) as last from p)
+        select page_id, n as payload_bytes, d as payload_digest,
+            case when n >= 1000 and page_id < last then 'revisit' else 'response' end as record_type,
+            case when n >= 1000 and page_id < last then last end as refers_to
+        from g
+    """,
+}
