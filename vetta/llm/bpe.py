@@ -26,8 +26,8 @@ import pyarrow as pa
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 WORD_BPE = "word_bpe_49k.json"
-# Words that a worker keeps; about 200 bytes each.
-CACHE_WORDS = 700_000
+# Words that a worker keeps, about 250 bytes each: a worker stays far below the memory of an executor.
+CACHE_WORDS = 250_000
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
