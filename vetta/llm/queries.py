@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetta.llm import bpe, lzprint, media, packing, simhash, warc
+from vetta.llm import bpe, language, lzprint, media, packing, quality, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op3_lzprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.edited(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -35,7 +43,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.round_trip(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_lzprint, op6_simhash, op7_packing, op9_media, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_lzprint, op4_language, op5_quality, op6_simhash, op7_packing, op9_media, op10_warc)}
 
 #: DuckDB has no XXH64, tokenizer or wave reader; tests hold the others against brute force.
 ORACLE: dict[str, str] = {
