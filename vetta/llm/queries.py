@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetta.llm import bpe, language, lzprint, media, packing, quality, simhash, warc
+from vetta.llm import bpe, language, lzprint, media, packing, quality, simhash, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), kept=False)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.round_trip(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_lzprint, op4_language, op5_quality, op6_simhash, op7_packing, op9_media, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffixes, op2_bpe, op3_lzprint, op4_language, op5_quality, op6_simhash, op7_packing, op9_media, op10_warc)}
 
 #: DuckDB has no XXH64, tokenizer or wave reader; tests hold the others against brute force.
 ORACLE: dict[str, str] = {
