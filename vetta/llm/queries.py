@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetta.llm import bpe, language, lzprint, media, packing, quality, simhash, suffixes, warc
+from vetta.llm import bpe, language, lzprint, media, packing, pii, quality, simhash, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op8_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents")).drop("pair_time", "pair_code")
 
@@ -47,7 +51,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.round_trip(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffixes, op2_bpe, op3_lzprint, op4_language, op5_quality, op6_simhash, op7_packing, op9_media, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffixes, op2_bpe, op3_lzprint, op4_language, op5_quality, op6_simhash, op7_packing, op8_personal, op9_media, op10_warc)}
 
 #: DuckDB has no XXH64, tokenizer or wave reader; tests hold the others against brute force.
 ORACLE: dict[str, str] = {
