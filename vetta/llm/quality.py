@@ -124,28 +124,46 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarra
     return (out / max(1, total)).astype(np.float64)
 
 
+def scores(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """Scores of texts, slab by slab."""
+    out = np.zeros(len(texts))
+    first, held = 0, 0
+    for k in range(len(texts) + 1):
+        if k == len(texts) or held + len(texts[k]) > BYTES and k > first:
+            if k > first:
+                f, n = features(texts[first:k])
+                sums = np.concatenate(([0.0], np.cumsum(weights[f])))
+                ends = np.cumsum(n)
+                out[first:k] = (sums[ends] - sums[ends - n]) * SCALE / np.maximum(n, 1)
+            first, held = k, 0
+        if k < len(texts):
+            held += len(texts[k])
+    return 1 / (1 + np.exp(-np.clip(out + weights[-1], -35, 35)))
+
+
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id and score of every row, from the text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
-            out = np.zeros(len(texts))
-            first, held = 0, 0
-            for k in range(len(texts) + 1):
-                if k == len(texts) or held + len(texts[k]) > BYTES and k > first:
-                    f, n = features(texts[first:k])
-                    sums = np.concatenate(([0.0], np.cumsum(weights[f])))
-                    ends = np.cumsum(n)
-                    out[first:k] = (sums[ends] - sums[ends - n]) * SCALE / np.maximum(n, 1)
-                    first, held = k, 0
-                if k < len(texts):
-                    held += len(texts[k])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(out + weights[-1], -35, 35))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(texts, weights))], ["doc_id", "score"])
 
     return docs.select("doc_id", F.encode("text", "utf-8")).mapInArrow(run, "doc_id long, score double")
 
 
+def good(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """The documents, with all columns, that score 0.5 or more."""
+
+    @F.pandas_udf("double")
+    def of(texts):
+        import pandas as pd
+
+        return pd.Series(scores([(t or "").encode() for t in texts], weights))
+
+    return docs.where(of("text") >= 0.5)
+
+
 def held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from labels of two folds of three, score all rows."""
     weights = fit(docs, labels.where(crc_fold(F.col("doc_id")) != 1))

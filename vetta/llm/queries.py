@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), kept=False)
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), kept="")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

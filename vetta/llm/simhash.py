@@ -31,6 +31,10 @@ from vetta.llm.common import materialize
 from vetta.llm.components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
+NEAR = 2048  # in larger buckets, nodes are linked by the forest and to the bucket's middle only
+# Near copies by shingles of five words: fingerprints of the set of words under PRINTS seeds find them, the shingles confirm them.
+PRINTS, WITHIN, COPY_SHINGLE, ALIKE = 3, 12, 5, 0.8
+SKETCH, LIKELY = 64, 0.6
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -97,49 +101,67 @@ def forest(bucket: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (u, v) that connect the column fp's distinct values as all pairs within radius do."""
-    kept = F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks(radius)])
-    rows = distinct.select("fp", F.posexplode(kept).alias("table", "key"))
-    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.rdd.getNumPartitions())
+def links(nodes: DataFrame, radius: int = RADIUS, within: int = RADIUS, nearest: bool = False) -> DataFrame:
+    """Links (u, v) between nodes (node, prints: array of fingerprints) that meet in a table of the same fingerprint and differ in at most `within` bits.
+
+    Links form a spanning forest in each bucket. Where they are yet to be
+    confirmed, nearest adds each node's nearest neighbour and the one that all
+    of a bucket's fingerprints are nearest to.
+    """
+    keep = F.array(*[F.lit(m).cast("long") for m in masks(radius)])
+    rows = nodes.select("node", F.posexplode("prints").alias("k", "fp")).select("node", "k", "fp", F.posexplode(keep).alias("t", "mask"))
+    rows = rows.select((F.col("k") * len(masks(radius)) + F.col("t")).cast("long").alias("table"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "node")
+    n = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.rdd.getNumPartitions())
+
+    def bucket(fp: np.ndarray) -> list[tuple[int, int]]:
+        out = forest(fp, within)
+        if nearest and len(fp) > 2:
+            votes = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+            middle = np.packbits(votes * 2 > len(fp)).view(fp.dtype)
+            centre = int(distance(fp, middle).argmin())
+            out += [(centre, int(j)) for j in np.flatnonzero(distance(fp, fp[centre]) <= within) if j != centre]
+            if len(fp) <= NEAR:
+                away = np.bitwise_count((fp[:, None] ^ fp[None, :]).view(np.uint64)).astype(np.int64)
+                np.fill_diagonal(away, 99)
+                to = away.argmin(axis=1)
+                out += [(i, int(j)) for i, j in enumerate(to) if away[i, j] <= within]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = [np.empty(0, np.int64)] * 3
+        carry = [np.empty(0, np.int64)] * 4
         for batch in batches_and_end(batches):
-            cols = carry if batch is None else [np.concatenate([c, batch.column(k).to_numpy()]) for k, c in enumerate(carry)]
-            table, key, fp = cols
+            carry = carry if batch is None else [np.concatenate([c, batch.column(k).to_numpy()]) for k, c in enumerate(carry)]
+            table, key, fp, node = carry
             if not len(fp):
                 continue
             new = np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1])) + 1
             # The last bucket may go on in the next batch.
             end = len(fp) if batch is None else int(new[-1]) if len(new) else 0
-            carry = [c[end:] for c in cols]
+            carry = [c[end:] for c in carry]
             starts = np.concatenate(([0], new[new < end])) if end else new[:0]
             sizes = np.diff(np.append(starts, end))
-            u, v = [], []
             pairs = starts[sizes == 2]
-            near = distance(fp[pairs], fp[pairs + 1]) <= radius
-            u.append(fp[pairs[near]])
-            v.append(fp[pairs[near] + 1])
+            pairs = pairs[distance(fp[pairs], fp[pairs + 1]) <= within]
+            u, v = [node[pairs]], [node[pairs + 1]]
             for a, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                if found := forest(fp[a : a + n], radius):
+                if found := bucket(fp[a : a + n]):
                     i, j = np.array(found).T
-                    u.append(fp[a + i])
-                    v.append(fp[a + j])
+                    u.append(node[a + i])
+                    v.append(node[a + j])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
     def batches_and_end(batches):
         yield from batches
         yield None
 
-    return rows.repartition(parts, "table", "key").sortWithinPartitions("table", "key").select(F.col("table").cast("long"), "key", "fp").mapInArrow(run, "u long, v long")
+    return rows.repartition(n, "table", "key").sortWithinPartitions("table", "key").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id that links of at most radius bits reach."""
     prints = materialize(fingerprints(docs, words), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(nodes.select("fp"), radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    roots = components(links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("prints")), radius, radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(named.join(firsts, "root").select("fp", "component_id"), "fp")
@@ -147,3 +169,97 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE)
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def bits_over_half(h: np.ndarray) -> int:
+    counts = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
+def mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(32))
+
+
+def hashes(parts: list[bytes]) -> np.ndarray:
+    """Distinct hashes, sorted."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts)))
+
+
+def word_prints(data: bytes) -> list[int]:
+    """Fingerprints of the set of words, one a seed; zeros where there are none."""
+    h = hashes(list(set(data.translate(LOWER).split())))
+    return [bits_over_half(mixed(h, k + 1)) for k in range(PRINTS)] if len(h) else [0] * PRINTS
+
+
+def least_hashes(h: np.ndarray) -> bytes:
+    """A sketch of a set of hashes: the least in each of SKETCH slots, in 16 bits; 0 where a slot is empty."""
+    out = np.full(SKETCH, np.iinfo(np.uint64).max)
+    np.minimum.at(out, (h >> np.uint64(58)).astype(np.int64), h << np.uint64(6))
+    return (mixed(out, 9) >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, md5 of the text, fingerprints of its words and a sketch of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(2)]
+            prints = pa.array([word_prints(t) for t in texts], pa.list_(pa.int64()))
+            slots = pa.array([least_hashes(mixed(hashes(shingles(t, COPY_SHINGLE)), 5)) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, slots], ["doc_id", "md5", "prints", "sketch"])
+
+    data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    return docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).mapInArrow(run, "doc_id long, md5 string, prints array<long>, sketch binary")
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles are alike: first by the nodes' sketches, then by the texts themselves."""
+    side = nodes.select("node", "sketch")
+
+    @F.pandas_udf("double")
+    def share(a, b):
+        import pandas as pd
+
+        return pd.Series([float((np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).mean()) for x, y in zip(a, b)], dtype=float)
+
+    likely = pairs.join(side.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(side.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v").where(share("a", "b") >= LIKELY).select("u", "v")
+    likely = materialize(likely, "likely")
+    wanted = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
+    keys = nodes.join(wanted, "node").select(F.col("node").alias("doc_id"), "md5")
+    data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    texts = docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).join(keys, ["doc_id", "md5"]).select(F.col("doc_id").alias("node"), "data")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = (hashes(shingles(t.as_buffer().to_pybytes(), COPY_SHINGLE)) for t in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= ALIKE * (len(x) + len(y) - both) if len(x) + len(y) else True)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
+
+    two = likely.join(texts.withColumnsRenamed({"node": "u", "data": "a"}), "u").join(texts.withColumnsRenamed({"node": "v", "data": "b"}), "v")
+    return two.select("u", "v", "a", "b").mapInArrow(alike, "u long, v long").distinct()
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents less all but the first (least doc_id) of each group of exact copies and of near copies by word shingles.
+
+    Rows that repeat both doc_id and text are one document. A null doc_id is
+    never a near copy; of exact copies without any doc_id one stays.
+    """
+    prints = materialize(sketches(docs), "sketches")
+    nodes = prints.groupBy("md5").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints"), F.first("sketch").alias("sketch"))
+    nodes = materialize(nodes, "nodes")
+    # A doc_id with several texts can't name a node of the links.
+    single = nodes.where("node is not null").join(nodes.groupBy("node").count().where("count = 1").select("node"), "node")
+    found = materialize(links(single.select("node", "prints"), RADIUS, WITHIN, nearest=True).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    gone = components(confirmed(found, single, docs)).select(F.col("u").alias("node"))
+    stay = nodes.join(gone, "node", "left_anti").select(F.col("node").alias("_node"), F.col("md5").alias("_md5"))
+    md5 = F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_node")) & (md5 == F.col("_md5")), "left_semi")
+    again = prints.groupBy("doc_id", "md5").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if again else kept

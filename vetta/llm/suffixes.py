@@ -430,15 +430,18 @@ def cut_out(schema: pa.Schema):
         rows = left.take(pa.array(block.order))
         made = {
             "n_bytes": block.sizes, "n_removed": bytes_gone[b] - bytes_gone[a], "n_spans": spans[b] - spans[a],
-            "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept], "kept": kept,
+            "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept], "kept": kept, "kept_text": [x.decode("utf-8", "ignore") for x in kept] if "kept_text" in schema.names else None,
         }
         return pa.Table.from_arrays([pa.array(made[f.name], f.type) if f.name in made else rows.column(f.name).combine_chunks() for f in schema], schema=schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, carry: list[str] | None = None, kept: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the kept bytes, and the columns to carry along."""
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, kept: str = "kept binary") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, what is kept, and the columns to carry along.
+
+    kept: "kept binary" for the bytes, "kept_text string" for whole characters of them, or empty for neither.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     carry = carry or []
@@ -449,7 +452,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, kept: bool =
     wanted = whole.applyInArrow(ask(n), ddl(KEYS)).groupBy("g").applyInArrow(choose, ddl(WANTED))
     pieces = whole.cogroup(wanted.groupBy("block")).applyInArrow(send(n), ddl(PIECES))
     answers = pieces.groupBy("g").applyInArrow(answer, ddl(ANSWERS))
-    fields = docs.sparkSession.createDataFrame([], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept).schema
+    fields = docs.sparkSession.createDataFrame([], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (kept and f", {kept}")).schema
     for c in carry:
         fields = fields.add(docs.schema[c])
     return whole.cogroup(answers.groupBy("block")).applyInArrow(cut_out(to_arrow_schema(fields)), fields)
