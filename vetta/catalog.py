@@ -27,4 +27,4 @@ def query(sql: str | None = None, *views: str):
 
 
 # Modules that register their queries.
-from vetta.plans import findings_queries, text_queries  # noqa: E402, F401
+from vetta.plans import code_queries, findings_queries, io_queries, text_queries  # noqa: E402, F401

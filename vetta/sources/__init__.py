@@ -1,0 +1 @@
+"""Readers and writers: finding YAML, SARIF, run exports, CSV, reports."""
