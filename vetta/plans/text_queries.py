@@ -261,3 +261,11 @@ def txt14_truncate(spark, d):
     return rows.select("doc_id", (F.col("t").endswith("!") & (F.octet_length("t") <= 501) & (F.octet_length("t") > 497) & F.col("text").startswith(F.expr("left(t, length(t) - 1)")) & (F.octet_length("text") > 500)).alias("cut"))
 
 
+
+
+# Prose has no braces, so a chunk ends with the line after its first.
+@query(f"""with {LINES}, s as (select path, line_no, regexp_extract(text, '^(\\w+) \\w+ing', 1) as name from fx_lines where regexp_matches(text, '^\\w+ \\w+ing')), l as (select path, max(line_no) as last from fx_lines group by 1)
+    select s.path as file, s.name, s.line_no as start_line, least(s.line_no + 1, last) as end_line, md5((select string_agg(text, chr(10) order by f.line_no) from fx_lines as f where f.path = s.path and f.line_no between s.line_no and s.line_no + 1)) as content from s join l using (path)""")
+def txt6_code_chunks(spark, d):
+    found = op.code_chunks(docs(spark, d), "prose", {"prose": (("function", r"^(\w+) \w+ing"),)})
+    return found.select("file", "name", "start_line", "end_line", F.md5("content").alias("content"))
