@@ -190,9 +190,10 @@ def discovered(found: DataFrame) -> DataFrame:
     return best.groupBy("doc_id", "text_md5").agg(F.sort_array(F.collect_set(F.struct("start", number.alias("kind"), "end"))).alias("more"))
 
 
-def joined(left: DataFrame, more: DataFrame) -> DataFrame:
-    right = more.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "more")
-    return left.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_md5") == F.col("_md5")), "left").drop("_id", "_md5")
+def joined(left: DataFrame, more: DataFrame, md5: str = "text_md5", out: str = "more") -> DataFrame:
+    """left with the array of discovered(), by doc_id and the column md5."""
+    right = more.select(F.col("doc_id").alias("_vetta_id"), F.col("text_md5").alias("_vetta_of"), F.col("more").alias(out))
+    return left.join(right, F.col("doc_id").eqNullSafe(F.col("_vetta_id")) & (F.col(md5) == F.col("_vetta_of")), "left").drop("_vetta_id", "_vetta_of")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -226,7 +227,7 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with all spans of the text replaced by their kind in angle brackets; all columns stay. Null texts stay null."""
     found = materialize(scan(docs.select("doc_id", F.col(text).alias("text"))), "personal")
     more = discovered(found)
-    rows = joined(docs.withColumn("text_md5", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))), more)
+    rows = joined(docs.withColumn("_vetta_md5", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))), more, "_vetta_md5", "_vetta_more")
 
     @F.pandas_udf("string")
     def hide(texts, more):
@@ -240,4 +241,4 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return pd.Series(out, dtype=object)
 
-    return rows.withColumn(text, hide(text, "more")).drop("text_md5", "more").select(*docs.columns)
+    return rows.withColumn(text, hide(text, "_vetta_more")).select(*docs.columns)
