@@ -54,7 +54,7 @@ def check_created_by(df: DataFrame, agents: DataFrame, dispatcher: str = "", run
     kind = F.regexp_extract(plain, r"^(human|bot):", 1)
     suffix = F.trim(F.regexp_replace(plain, r"^(?:human|bot):", ""))
     known = agents.select(F.col("agent").alias("_agent")).distinct()
-    out = df.withColumn("_name", plain).join(F.broadcast(known) if dispatcher is None else known, F.col("_name") == F.col("_agent"), "left")
+    out = df.withColumn("_name", plain).join(known, F.col("_name") == F.col("_agent"), "left")
     valid = F.when(kind != "", (suffix != "") & ~F.lower(suffix).isin(*runtimes)).otherwise(F.col("_agent").isNotNull() & (F.col("_name") != ""))
     creator = F.when(valid, F.col("_name")).when(F.lit(dispatcher or "") != "", F.lit(dispatcher))
     return out.withColumn("creator_ok", creator.isNotNull()).withColumn("creator", creator).drop("_name", "_agent")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vetta import schemas
 from vetta.functions.columns import blank, severity_rank
+from vetta.functions.sizes import small
 
 # --- rules ------------------------------------------------------------------
 
@@ -77,7 +78,9 @@ def suggest_agents(projects: DataFrame, agents: DataFrame, overrides: DataFrame
     """(project, agent) where the agent always applies or shares a type or a trait with the project. overrides: agents that replace those of the same name."""
     if overrides is not None:
         agents = agents.join(overrides, "agent", "left_anti").unionByName(overrides)
-    return projects.join(F.broadcast(agents), F.col("always") | F.arrays_overlap("types", "for_types") | F.arrays_overlap("traits", "for_traits")).select("project", "agent")
+    # Types and traits are equi joins; only agents that always apply meet every project, as each such pair is a row of the result.
+    shared = [projects.select("project", F.explode(a).alias("k")).join(agents.select("agent", F.explode(b).alias("k")), "k").select("project", "agent") for a, b in (("types", "for_types"), ("traits", "for_traits"))]
+    return projects.select("project").crossJoin(small(agents.where("always").select("agent"))).union(shared[0]).union(shared[1]).distinct()
 
 
 def priority_cap(suggested: DataFrame, group: str, priority: list[str] = schemas.FAST_PRIORITY, n: int = 5, last: str = "validation-agent") -> DataFrame:
@@ -150,7 +153,7 @@ def hypotheses(tech: str, memories: DataFrame, hints: DataFrame, n: int = 10) ->
     """CWEs by how much the tech text (2 a word) and the notes (1 a note) hint at them. hints: cwe, word."""
     words = hints.groupBy("cwe").agg(F.collect_set("word").alias("words"))
     rated = words.withColumn("t", 2 * F.size(F.filter("words", lambda w: F.contains(F.lit(tech.lower()), w))))
-    hits = memories.select("name", "type", F.lower("content").alias("content")).join(F.broadcast(words), F.exists("words", lambda w: F.contains(F.col("content"), w))).groupBy("cwe").agg(F.count(F.lit(1)).alias("m"))
+    hits = memories.select("name", "type", F.lower("content").alias("content")).join(small(words), F.exists("words", lambda w: F.contains(F.col("content"), w))).groupBy("cwe").agg(F.count(F.lit(1)).alias("m"))
     out = rated.join(hits, "cwe", "left").select("cwe", (F.col("t") + F.coalesce("m", F.lit(0))).alias("score")).where("score > 0")
     return out.orderBy(F.desc("score"), "cwe").limit(n)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vetta import schemas
 from vetta.functions.columns import any_of, base_name, extension, glob
+from vetta.functions.sizes import small
 
 
 def lines(files: DataFrame, keep_last: bool = True) -> DataFrame:
@@ -271,7 +272,7 @@ def search_notes(memories: DataFrame, query: str, k: int = 50) -> DataFrame:
 
 def detect_stack(files: DataFrame, keywords: DataFrame) -> DataFrame:
     """(project, kind, name) of the stack words (kind, name, word) that a project's files have."""
-    return files.join(F.broadcast(keywords), F.col("content").contains(F.col("word"))).select("project", "kind", "name").distinct()
+    return files.join(small(keywords), F.col("content").contains(F.col("word"))).select("project", "kind", "name").distinct()
 
 
 def classify_projects(stack: DataFrame, rules: DataFrame) -> DataFrame:
