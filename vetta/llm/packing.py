@@ -97,18 +97,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[in
 
 
 def places(sequences: list[tuple[dict[int, int], int]]) -> np.ndarray:
-    """The plan as rows (length, first rank, pieces of that length in a sequence, first sequence, offset), sorted."""
+    """The plan as rows (length, first rank, sequences, pieces of that length in each, first sequence, offset)."""
     rows, rank, sequence = [], {}, 0
     for used, times in sequences:
         offset = 0
         for size in sorted(used, reverse=True):
             n = used[size]
             first = rank.get(size, 0)
-            rows.append((size, first, n, sequence, offset))
+            rows.append((size, first, times, n, sequence, offset))
             rank[size] = first + n * times
             offset += n * size
         sequence += times
-    return np.array(sorted(rows), np.int64).reshape(-1, 5)
+    return np.array(rows, np.int64).reshape(-1, 6)
 
 
 def ranked(cut: DataFrame, salts: int) -> DataFrame:
@@ -124,21 +124,13 @@ def ranked(cut: DataFrame, salts: int) -> DataFrame:
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut (a written table with a column length, doc_id, piece, ids_crc32) with sequence_id and offset."""
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
-    table = places(plan(histogram, capacity))
-    starts = (table[:, 0] << 44) + table[:, 1]
-
-    @F.pandas_udf("struct<sequence_id: long, offset: long>")
-    def place(length, rank):
-        import pandas as pd
-
-        size, r = length.to_numpy(), rank.to_numpy()
-        row = table[np.searchsorted(starts, (size << 44) + r, side="right") - 1]
-        turn, slot = np.divmod(r - row[:, 1], row[:, 2])
-        return pd.DataFrame({"sequence_id": row[:, 3] + turn, "offset": row[:, 4] + slot * size})
-
+    # As many rows as the plan has lengths in its sequences: a few thousand for any table.
+    rows = [(*map(int, r),) for r in places(plan(histogram, capacity))]
+    table = cut.sparkSession.createDataFrame(rows, "length long, first long, times long, n long, sequence long, at long")
     salts = max(64, cut.rdd.getNumPartitions())
-    out = ranked(cut, salts).withColumn("at", place("length", "rank"))
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
+    found = ranked(cut, salts).join(F.broadcast(table), "length").where("rank >= first and rank < first + n * times")
+    nth = F.col("rank") - F.col("first")
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.expr("(rank - first) div n")).alias("sequence_id"), (F.col("at") + nth % F.col("n") * F.col("length")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
