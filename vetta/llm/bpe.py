@@ -26,8 +26,8 @@ import pyarrow as pa
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 WORD_BPE = "word_bpe_49k.json"
-# Words that a worker keeps, about 250 bytes each: a worker stays far below the memory of an executor.
-CACHE_WORDS = 250_000
+# Words that a worker keeps, twice at most, about 250 bytes each: a worker stays far below the memory of an executor.
+CACHE_WORDS = 300_000
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
@@ -82,7 +82,7 @@ class WordBpe:
                     self.halves[whole] = (left, right)
                     rank_of[whole] = rank
         self.rank = rank_of
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         # Entries that merging their own symbols doesn't give can't appear in an encoding.
         usable = {s: i for s, i in spelled.items() if len(s) == 1 or self.pair_fits(*self.halves[i], whole=i)}
         self.spelled = usable
@@ -101,7 +101,7 @@ class WordBpe:
         each step, a merge across it that ranks before the one undone last
         would have come first. whole: the pair's own merge is allowed.
         """
-        if whole < 0 and (got := self.known.get((left, right))) is not None:
+        if whole < 0 and (got := self.known.get(left << 20 | right)) is not None:
             return got
         a, b, rank, halves, limit = left, right, self.rank, self.halves, len(self.rank) + 1
         fits = True
@@ -123,7 +123,7 @@ class WordBpe:
         if whole < 0:
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
-            self.known[left, right] = fits
+            self.known[left << 20 | right] = fits
         return fits
 
     def encode_symbols(self, word: str) -> list[int]:
@@ -131,30 +131,33 @@ class WordBpe:
         whole = self.spelled.get(word)
         if whole is not None:
             return [whole]
-        known, fits = self.known, self.pair_fits
-        # The longest entries one after another, if all their neighbours fit, are what the walk below would end with.
-        ids = [i for _, i in self.automaton.iter_long(word)]
-        last = ids[0]
-        for i in ids[1:]:
-            fit = known.get((last, i))
-            if not (fits(last, i) if fit is None else fit):
-                break
+        known, fits, length = self.known, self.pair_fits, self.length
+        # As long as the longest entries one after another fit, the walk takes them.
+        ids: list[int] = []
+        at, last = 0, -1
+        for _, i in self.automaton.iter_long(word):
+            if last >= 0:
+                fit = known.get(last << 20 | i)
+                if not (fits(last, i) if fit is None else fit):
+                    break
+            ids.append(i)
+            at += length[i]
             last = i
         else:
             return ids
-        n, length, shorter = len(word), self.length, self.shorter
-        longest = [-1] * (n + 1)
-        for end, i in self.automaton.iter(word):
-            longest[end + 1 - length[i]] = i  # ends come in order: the last is the longest
+        n, shorter, longest = len(word), self.shorter, self.automaton.iter_long
         open_ = bytearray(b"\1") * (n + 1)
-        ids = []
-        at, i = 0, longest[0]
         while at < n:
             to = at + length[i]
-            if open_[to] and (not ids or fits(ids[-1], i)):
-                ids.append(i)
-                at, i = to, longest[to]
-            elif shorter[i] >= 0:
+            if open_[to]:
+                fit = known.get(ids[-1] << 20 | i) if ids else True
+                if fits(ids[-1], i) if fit is None else fit:
+                    ids.append(i)
+                    at = to
+                    if at < n:
+                        i = next(longest(word, at))[1]
+                    continue
+            if shorter[i] >= 0:
                 i = shorter[i]
             else:
                 open_[at] = 0
@@ -163,7 +166,7 @@ class WordBpe:
         return ids
 
     def encode_word(self, word: str) -> list[int]:
-        b = word.encode("utf-8").decode("latin-1")
+        b = word if word.isascii() else word.encode("utf-8").decode("latin-1")
         return self.encode_symbols(b[:-1] + chr(ord(b[-1]) + 256))
 
     def offset_table(self) -> tuple[array, str]:
@@ -190,15 +193,18 @@ SPLIT = pre_tokenizers.Split(Regex(PATTERN), "removed", invert=True)
 
 
 class Kept(dict):
-    """make(key) of each key asked for, kept until there are CACHE_WORDS of them."""
+    """make(key) of each key asked for. When CACHE_WORDS are kept they become the old ones, of which those asked for again stay."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
         if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-        got = self.make(key)
         if len(key) < 100:
             self[key] = got
         return got
@@ -207,21 +213,22 @@ class Kept(dict):
 class Encoder:
     """Encodes texts chunk by chunk, a chunk being what stands between spaces, and keeps what it has seen.
 
-    make(ids) gives what is kept for a chunk.
+    make(ids) gives what is kept for a chunk, merge(parts) the same of what is kept for its words.
     """
 
-    def __init__(self, path: str, make):
-        self.bpe, self.make = word_bpe(path), make
+    def __init__(self, path: str, make, merge):
+        self.bpe, self.make, self.merge = word_bpe(path), make, merge
         self.chunk = Kept(self.of_chunk).__getitem__
         self.word = Kept(lambda w: make(self.bpe.encode_word(w))).__getitem__
         self.special = re.compile("(" + "|".join(map(re.escape, self.bpe.specials)) + ")")
 
     def of_chunk(self, chunk: str):
-        encode = self.bpe.encode_word
         if chunk.isalpha():
-            return self.make(encode(chunk))
+            return self.make(self.bpe.encode_word(chunk))
         words = LATIN_WORD.findall(chunk)
-        return self.make(encode(words[0]) if len(words) == 1 else [i for w in words for i in encode(w)])
+        if len(words) < 2:
+            return self.make([i for w in words for i in self.bpe.encode_word(w)])
+        return self.merge([self.chunk(w) for w in words])
 
     def chunks(self, text: str) -> list:
         """make(ids) of each chunk of a text, in order."""
@@ -251,14 +258,19 @@ def word_bpe(path: str) -> WordBpe:
 @functools.lru_cache(4)
 def bytes_encoder(path: str) -> Encoder:
     """Chunks as their ids in little-endian 32-bit."""
-    return Encoder(path, lambda ids: array("I", ids).tobytes())
+    return Encoder(path, lambda ids: array("I", ids).tobytes(), b"".join)
 
 
 @functools.lru_cache(4)
 def text_encoder(path: str) -> Encoder:
     """Chunks as (number of ids, decimal ids, decoded text)."""
     bpe = word_bpe(path)
-    return Encoder(path, lambda ids: (len(ids), " ".join(map(str, ids)), bpe.decode(ids)))
+
+    def merge(parts):
+        n, ids, text = zip(*parts)
+        return sum(n), " ".join(ids), " ".join(text)
+
+    return Encoder(path, lambda ids: (len(ids), " ".join(map(str, ids)), bpe.decode(ids)), merge)
 
 
 def encode_column(df, text: str = "text", path: str | None = None, out: str = "ids"):
