@@ -31,7 +31,7 @@ from vetta.llm.common import materialize
 from vetta.llm.components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-NEAR = 2048  # in larger buckets, nodes are linked by the forest and to the bucket's middle only
+NEAR = 64
 # Near copies by shingles of five words: fingerprints of the set of words under PRINTS seeds find them, the shingles confirm them.
 PRINTS, WITHIN, COPY_SHINGLE, ALIKE = 3, 12, 5, 0.8
 SKETCH, LIKELY = 64, 0.6
@@ -105,8 +105,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, within: int = RADIUS, nearest:
     """Links (u, v) between nodes (node, prints: array of fingerprints) that meet in a table of the same fingerprint and differ in at most `within` bits.
 
     Links form a spanning forest in each bucket. Where they are yet to be
-    confirmed, nearest adds each node's nearest neighbour and the one that all
-    of a bucket's fingerprints are nearest to.
+    confirmed, nearest adds each node's nearest neighbour in buckets of at most
+    NEAR nodes; the forest of larger ones grows from their least node.
     """
     keep = F.array(*[F.lit(m).cast("long") for m in masks(radius)])
     rows = nodes.select("node", F.posexplode("prints").alias("k", "fp")).select("node", "k", "fp", F.posexplode(keep).alias("t", "mask"))
@@ -114,17 +114,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, within: int = RADIUS, nearest:
     n = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.rdd.getNumPartitions())
 
     def bucket(fp: np.ndarray) -> list[tuple[int, int]]:
+        # In order of nodes, so that tables that bring the same nodes together give the same links.
         out = forest(fp, within)
-        if nearest and len(fp) > 2:
-            votes = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
-            middle = np.packbits(votes * 2 > len(fp)).view(fp.dtype)
-            centre = int(distance(fp, middle).argmin())
-            out += [(centre, int(j)) for j in np.flatnonzero(distance(fp, fp[centre]) <= within) if j != centre]
-            if len(fp) <= NEAR:
-                away = np.bitwise_count((fp[:, None] ^ fp[None, :]).view(np.uint64)).astype(np.int64)
-                np.fill_diagonal(away, 99)
-                to = away.argmin(axis=1)
-                out += [(i, int(j)) for i, j in enumerate(to) if away[i, j] <= within]
+        if nearest and 2 < len(fp) <= NEAR:
+            away = np.bitwise_count((fp[:, None] ^ fp[None, :]).view(np.uint64)).astype(np.int64)
+            np.fill_diagonal(away, 99)
+            to = away.argmin(axis=1)
+            out += [(i, int(j)) for i, j in enumerate(to) if away[i, j] <= within]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +150,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, within: int = RADIUS, nearest:
         yield from batches
         yield None
 
-    return rows.repartition(n, "table", "key").sortWithinPartitions("table", "key").mapInArrow(run, "u long, v long")
+    return rows.repartition(n, "table", "key").sortWithinPartitions("table", "key", "node").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
