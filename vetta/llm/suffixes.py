@@ -44,12 +44,13 @@ from pyspark.sql import functions as F
 from vetta.llm.common import parts
 
 WINDOW = 50
-GRAM = 24
+GRAM = 20
 SPAN = WINDOW - GRAM + 1  # strings of GRAM bytes in a window
 RUN = SPAN
 SLAB = 1 << 20
-COLLECTION = 1 << 14  # pieces built together, unless one key has more
+COLLECTION = 1 << 13  # pieces built together, unless one key has more
 END = 255  # no byte of UTF-8
+KEY = 6  # bytes of a key
 LAST = np.iinfo(np.int64).max
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -98,14 +99,14 @@ def build(strings: list[bytes], folder: str) -> tuple[np.ndarray, np.ndarray]:
         at = place[at]
         out[at] = column[k][active]
         # A new suffix and the one after it: one more than the least prefix between the rows they come from.
-        touched = np.union1d(new, new[new + 1 < len(order)] + 1)
-        first = touched[touched > 0]
-        prefix[m + touched[touched == 0]] = 0
+        touched = is_new[m:].copy()
+        touched[1:] |= is_new[m:-1]
+        first = np.flatnonzero(touched)
+        prefix[m + first] = 0
+        first = first[first > 0]
         low, high = order[first - 1], order[first]
         same = bwt[low] == bwt[high]
-        value = np.zeros(len(first), np.uint8)
-        value[same] = np.minimum(range_min(lcp, low[same] + 1, high[same]) + 1, WINDOW)
-        prefix[m + first] = value
+        prefix[m + first[same]] = np.minimum(range_min(lcp, low[same] + 1, high[same]) + 1, WINDOW)
         out.tofile(bwt_out)
         prefix.tofile(lcp_out)
     return tuple(np.fromfile(f, np.uint8) for f in files[longest % 2])
@@ -165,15 +166,17 @@ def keys(data: np.ndarray) -> np.ndarray:
     """The key of the window from each position: the least hash of its strings of GRAM bytes."""
     with np.errstate(over="ignore"):
         w = words_at(data)
-        h = w[: len(w) - 16] * MIX[0]
+        n = len(w) - (GRAM - 8)
+        h = w[:n] * MIX[0]
         h ^= h >> np.uint64(29)
-        h += w[8 : len(w) - 8]
+        h += w[8 : n + 8]
         h *= MIX[1]
         h ^= h >> np.uint64(31)
-        h += w[16:]
+        h += w[GRAM - 8 :]
         h *= MIX[2]
         h ^= h >> np.uint64(30)
         h *= MIX[0]
+        h >>= np.uint64(64 - 8 * KEY)
     span = 1
     while 2 * span <= SPAN:
         h = np.minimum(h[:-span], h[span:])
@@ -248,6 +251,22 @@ def packed(x: np.ndarray, kind) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
 
 
+def packed_keys(x: np.ndarray) -> bytes:
+    """Keys in KEY bytes each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]).tobytes()
+
+
+def keys_in(data) -> np.ndarray:
+    found = np.frombuffer(data, np.uint8).reshape(-1, KEY)
+    out = np.zeros((len(found), 8), np.uint8)
+    out[:, :KEY] = found
+    return out.view("<u8").ravel()
+
+
+def keys_of(table: pa.Table) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(keys_in(x.as_buffer()) for x in table.column("keys"))])
+
+
 def batch(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
@@ -288,7 +307,7 @@ def ask(n: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block = Block(table)
         found, shared = block.distinct_keys()
-        return batch([(g, key[0].as_py(), packed(found[p], np.uint64), packed(shared[p], np.uint8)) for g, p in groups_of(found, n)], KEYS)
+        return batch([(g, key[0].as_py(), packed_keys(found[p]), np.packbits(shared[p]).tobytes()) for g, p in groups_of(found, n)], KEYS)
 
     return run
 
@@ -296,17 +315,17 @@ def ask(n: int):
 def choose(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Between the passes 1 and 2: the keys that more than one document has."""
     blocks = table.column("block").to_numpy()
-    found = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
+    found = [keys_in(x.as_buffer()) for x in table.column("keys")]
     every = np.concatenate(found)
-    of = np.repeat(np.arange(len(found)), [len(x) for x in found])
     order = np.argsort(every, kind="stable")
     sorted_ = every[order]
     again = np.zeros(len(every), bool)
     same = sorted_[1:] == sorted_[:-1]
     again[order[1:][same]] = True
     again[order[:-1][same]] = True
-    again |= np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("shared")]).astype(bool)
-    return batch([(int(blocks[k]), packed(every[(of == k) & again] if len(found) < 2 else x[again[a : a + len(x)]], np.uint64)) for k, (a, x) in enumerate(zip(np.cumsum([0] + [len(x) for x in found]).tolist(), found)) if again[a : a + len(x)].any()], WANTED)
+    again |= np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(k)) for x, k in zip(table.column("shared"), found)]).astype(bool)
+    ends = np.cumsum([0] + [len(x) for x in found]).tolist()
+    return batch([(int(blocks[k]), packed_keys(x[again[a:b]])) for k, (a, b, x) in enumerate(zip(ends, ends[1:], found)) if again[a:b].any()], WANTED)
 
 
 def concatenated(table: pa.Table, column: str, kind) -> np.ndarray:
@@ -320,7 +339,7 @@ def send(n: int):
         if not left.num_rows or not right.num_rows:
             return batch([], PIECES)
         block = Block(left)
-        here, strings = block.pieces(np.sort(concatenated(right, "keys", np.uint64)))
+        here, strings = block.pieces(np.sort(keys_of(right)))
         least: dict[tuple[int, bytes], int] = {}
         # Documents are in order, so the first to have a piece has the least id.
         for k, s, d in zip(block.key[here].tolist(), strings, block.ids[block.doc[here]].tolist()):
@@ -330,7 +349,7 @@ def send(n: int):
         ids, out = np.array([least[r] for r in rows], np.int64), []
         sizes = np.array([len(s) for _, s in rows], np.uint8)
         for g, p in groups_of(which, n):
-            out.append((g, key[0].as_py(), packed(which[p], np.uint64), packed(sizes[p], np.uint8), packed(ids[p], np.int64), b"".join([rows[k][1] for k in p.tolist()])))
+            out.append((g, key[0].as_py(), packed_keys(which[p]), packed(sizes[p], np.uint8), packed(ids[p], np.int64), b"".join([rows[k][1] for k in p.tolist()])))
         return batch(out, PIECES)
 
     return run
@@ -338,9 +357,9 @@ def send(n: int):
 
 def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Between the passes 2 and 3: collections are built, and each block learns of the smaller ids."""
-    which, ids = concatenated(table, "keys", np.uint64), concatenated(table, "ids", np.int64)
+    which, ids = keys_of(table), concatenated(table, "ids", np.int64)
     sizes = concatenated(table, "sizes", np.uint8).astype(np.int64)
-    counts = [x.as_py() and len(x.as_buffer()) // 8 for x in table.column("keys")]
+    counts = [len(x.as_buffer()) // KEY for x in table.column("keys")]
     of = np.repeat(np.arange(len(counts)), counts)
     data = b"".join(x.as_py() for x in table.column("data"))
     ends = np.cumsum(sizes)
@@ -386,7 +405,7 @@ def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     r = row[first]
     blocks = table.column("block").to_numpy()
     cut = np.flatnonzero(np.diff(of[r])) + 1
-    return batch([(int(blocks[of[r[p[0]]]]), packed(which[r[p]], np.uint64), packed(nth[r[p]], np.uint32), packed(off[first[p]], np.uint8), packed(length[p], np.uint8), packed(value[first[p]], np.int64)) for p in np.split(np.arange(len(r)), cut) if len(p)], ANSWERS)
+    return batch([(int(blocks[of[r[p[0]]]]), packed_keys(which[r[p]]), packed(nth[r[p]], np.uint32), packed(off[first[p]], np.uint8), packed(length[p], np.uint8), packed(value[first[p]], np.int64)) for p in np.split(np.arange(len(r)), cut) if len(p)], ANSWERS)
 
 
 def cut_out(schema: pa.Schema):
@@ -396,7 +415,7 @@ def cut_out(schema: pa.Schema):
         if not left.num_rows:
             return schema.empty_table()
         block = Block(left)
-        told, nth = concatenated(right, "keys", np.uint64), concatenated(right, "nth", np.uint32)
+        told, nth = keys_of(right), concatenated(right, "nth", np.uint32)
         found, shared = block.distinct_keys()
         here, strings = block.pieces(np.union1d(told, found[shared]))
         pieces = list(zip(block.key[here].tolist(), strings))
