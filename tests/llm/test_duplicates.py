@@ -120,6 +120,30 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def plain_alike(a, b):
+    x, y = (set(zip(*(t.split()[k:] for k in range(5)))) for t in (a, b))
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def test_edited_copies_whose_original_comes_last(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "keys_of_nodes", lambda nodes: nodes.selectExpr("0L as key", "node"))
+    # Two edited copies are rarely alike; the original is alike with most of them and has the largest doc_id.
+    rand = random.Random(11)
+    base = [f"w{rand.randrange(3000)}" for _ in range(300)]
+    rows = []
+    for k in range(300):
+        copy = list(base)
+        for at in rand.sample(range(300), 6):
+            copy[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    rows += [(1000, " ".join(base))] + [(400 + k, " ".join(f"w{rand.randrange(3000)}" for _ in range(50))) for k in range(40)]
+    links = [(a, b) for i, (a, s) in enumerate(rows) for b, t in rows[i + 1 :] if plain_alike(s, t)]
+    gone = plain_components(links)
+    assert sum(b == 1000 for _, b in links) > 250
+    kept = simhash.one_of_each(spark.createDataFrame(rows, DOC)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(k for k, _ in rows if k not in gone)
+
+
 def plain_removal(rows):
     first = {}
     for doc, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):

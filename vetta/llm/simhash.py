@@ -31,10 +31,9 @@ from vetta.llm.common import materialize
 from vetta.llm.components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-NEAR = 64
 # Near copies by shingles of five words: fingerprints of the set of words under PRINTS seeds find them, the shingles confirm them.
-PRINTS, WITHIN, COPY_SHINGLE, ALIKE = 3, 12, 5, 0.8
-SKETCH, LIKELY = 64, 0.6
+PRINTS, COPY_SHINGLE, ALIKE = 3, 5, 0.8
+SKETCH, SLOT, LIKELY = 64, "<u2", 0.6
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -101,28 +100,16 @@ def forest(bucket: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, within: int = RADIUS, nearest: bool = False) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, within: int = RADIUS) -> DataFrame:
     """Links (u, v) between nodes (node, prints: array of fingerprints) that meet in a table of the same fingerprint and differ in at most `within` bits.
 
-    Links form a spanning forest in each bucket. Where they are yet to be
-    confirmed, nearest adds each node's nearest neighbour in buckets of at most
-    NEAR nodes; the forest of larger ones grows from their least node.
+    Links form a spanning forest in each bucket, so they must not be dropped afterwards.
     """
     keep = F.array(*[F.lit(m).cast("long") for m in masks(radius)])
     rows = nodes.select("node", F.posexplode("prints").alias("k", "fp")).select("node", "k", "fp", F.posexplode(keep).alias("t", "mask"))
     rows = rows.select((F.col("k") * len(masks(radius)) + F.col("t")).cast("long").alias("table"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "node")
     n = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.rdd.getNumPartitions())
 
-    def bucket(fp: np.ndarray) -> list[tuple[int, int]]:
-        # In order of nodes, so that tables that bring the same nodes together give the same links.
-        out = forest(fp, within)
-        if nearest and 2 < len(fp) <= NEAR:
-            away = np.bitwise_count((fp[:, None] ^ fp[None, :]).view(np.uint64)).astype(np.int64)
-            np.fill_diagonal(away, 99)
-            to = away.argmin(axis=1)
-            out += [(i, int(j)) for i, j in enumerate(to) if away[i, j] <= within]
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = [np.empty(0, np.int64)] * 4
         for batch in batches_and_end(batches):
@@ -140,7 +127,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, within: int = RADIUS, nearest:
             pairs = pairs[distance(fp[pairs], fp[pairs + 1]) <= within]
             u, v = [node[pairs]], [node[pairs + 1]]
             for a, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                if found := bucket(fp[a : a + n]):
+                if found := forest(fp[a : a + n], within):
                     i, j = np.array(found).T
                     u.append(node[a + i])
                     v.append(node[a + j])
@@ -211,34 +198,155 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).mapInArrow(run, "doc_id long, md5 string, prints array<long>, sketch binary")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets of shingles are alike: first by the nodes' sketches, then by the texts themselves."""
-    side = nodes.select("node", "sketch")
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows in order of their first column, cut where it changes: a table of whole runs, where each begins and where it ends."""
 
-    @F.pandas_udf("double")
-    def share(a, b):
-        import pandas as pd
+    def runs(table: pa.Table, end: int, new: np.ndarray):
+        starts = np.concatenate(([0], new[new < end]))
+        return table.slice(0, end), starts, np.append(starts[1:], end)
 
-        return pd.Series([float((np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).mean()) for x, y in zip(a, b)], dtype=float)
+    carry = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        carry = table if carry is None else pa.concat_tables([carry, table])
+        key = carry.column(0).to_numpy()
+        new = np.flatnonzero(key[1:] != key[:-1]) + 1
+        if len(new):
+            yield runs(carry, int(new[-1]), new)
+            carry = carry.slice(int(new[-1]))
+    if carry is not None and carry.num_rows:
+        yield runs(carry, carry.num_rows, np.zeros(0, np.int64))
 
-    likely = pairs.join(side.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(side.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v").where(share("a", "b") >= LIKELY).select("u", "v")
-    likely = materialize(likely, "likely")
-    wanted = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
-    keys = nodes.join(wanted, "node").select(F.col("node").alias("doc_id"), "md5")
-    data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    texts = docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).join(keys, ["doc_id", "md5"]).select(F.col("doc_id").alias("node"), "data")
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def in_runs(rows: DataFrame, key: str) -> DataFrame:
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    return rows.repartition(n, key).sortWithinPartitions(key, "node")
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """rows (key, node): the sets of two or more nodes with a key, as (bucket, node); equal sets once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, ends in whole_runs(batches):
+            node = table.column(1).to_numpy()
+            many = ends - starts > 1
+            found = [node[a:b] for a, b in zip(starts[many].tolist(), ends[many].tolist())]
+            sets = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64)
+            bucket = np.repeat(sets, [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.concatenate([node[:0], *found]))], ["bucket", "node"])
+
+    return in_runs(rows.select("key", "node"), "key").mapInArrow(run, "bucket long, node long").distinct()
+
+
+def likely_forest(slots: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the likely links among a bucket's sketches (a row each), as pairs of positions."""
+    out, left, queue = [], np.arange(1, len(slots)), [0]
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        at = queue.pop()
+        near = (slots[left] == slots[at]).mean(axis=1) >= LIKELY
+        got = left[near].tolist()
+        out += [(at, j) for j in got]
+        queue += got
+        left = left[~near]
+    return out
+
+
+def untested(node: np.ndarray, root: np.ndarray, slots: np.ndarray, failed: list, most: int) -> list[tuple[int, int]]:
+    """For each node, up to `most` of its likeliest links to other components of a bucket that have not been tested, as pairs of positions."""
+    names, of = np.unique(root, return_inverse=True)
+    if len(names) == 1:
+        return []
+    out = []
+    # Each link to test has an end outside the largest component.
+    for i in np.flatnonzero(of != np.bincount(of).argmax()).tolist():
+        share = (slots == slots[i]).mean(axis=1)
+        share[of == of[i]] = 0
+        if failed[i] is not None:
+            share[np.isin(node, failed[i])] = 0
+        best = np.argsort(-share, kind="stable")[:most]
+        out += [(i, j) for j in best[share[best] >= LIKELY].tolist()]
+    return out
+
+
+def to_test(members: DataFrame, sketch: DataFrame, roots: DataFrame | None, failed: DataFrame | None, most: int) -> DataFrame:
+    """Links (u, v) that a round tests: at first a forest of the likely ones in each bucket, then likely ones between components."""
+    rows = members.join(sketch, "node")
+    if roots is not None:
+        both = failed.union(failed.select("v", "u")).groupBy("u").agg(F.collect_list("v").alias("failed"))
+        rows = rows.join(roots.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").join(both.withColumnRenamed("u", "node"), "node", "left")
+        rows = rows.select("bucket", "node", "sketch", F.coalesce("root", "node").alias("root"), "failed")
+    else:
+        rows = rows.select("bucket", "node", "sketch")
+    kind = np.dtype(SLOT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, ends in whole_runs(batches):
+            u, v = [], []
+            node = table.column(1).to_numpy()
+            slots = np.frombuffer(b"".join(table.column(2).to_pylist()), kind).reshape(len(node), -1)
+            root = table.column(3).to_numpy() if table.num_columns > 3 else None
+            gone = table.column(4).to_pylist() if table.num_columns > 3 else None
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                found = likely_forest(slots[a:b]) if root is None else untested(node[a:b], root[a:b], slots[a:b], gone[a:b], most)
+                if found:
+                    i, j = np.array(found).T
+                    u.append(node[a + i])
+                    v.append(node[a + j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[:0], *x])) for x in (u, v)], ["u", "v"])
+
+    found = in_runs(rows, "bucket").mapInArrow(run, "u long, v long")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v, alike): whether the texts' sets of shingles have ALIKE of their union in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            alike = []
             for a, b in zip(batch.column(2), batch.column(3)):
                 x, y = (hashes(shingles(t.as_buffer().to_pybytes(), COPY_SHINGLE)) for t in (a, b))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= ALIKE * (len(x) + len(y) - both) if len(x) + len(y) else True)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
+                alike.append(both >= ALIKE * (len(x) + len(y) - both) if len(x) + len(y) else True)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(alike, pa.bool_())], ["u", "v", "alike"])
+
+    two = pairs.join(texts.withColumnsRenamed({"node": "u", "data": "a"}), "u").join(texts.withColumnsRenamed({"node": "v", "data": "b"}), "v")
+    return two.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, alike boolean")
+
 
-    two = likely.join(texts.withColumnsRenamed({"node": "u", "data": "a"}), "u").join(texts.withColumnsRenamed({"node": "v", "data": "b"}), "v")
-    return two.select("u", "v", "a", "b").mapInArrow(alike, "u long, v long").distinct()
+def near_copies(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v): each node that a chain of alike texts links to a smaller one, and the least of its component.
+
+    Only links that the whole texts confirm join nodes. Nodes of a bucket whose
+    links fail go on to their next likeliest ones, four times as many a round,
+    until no bucket has an untested likely link between two components.
+    """
+    members = materialize(meetings(keys_of_nodes(nodes)), "meetings")
+    wanted = members.select("node").distinct()
+    sketch = materialize(nodes.join(wanted, "node").select("node", "sketch"), "sketch")
+    data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    named = nodes.join(wanted, "node").select(F.col("node").alias("doc_id"), "md5")
+    texts = docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).join(named, ["doc_id", "md5"]).dropDuplicates(["doc_id"])
+    texts = materialize(texts.select(F.col("doc_id").alias("node"), "data"), "texts")
+    known, roots, failed, most = None, None, None, 1
+    while True:
+        pairs = materialize(to_test(members, sketch, roots, failed, most), "pairs")
+        if pairs.isEmpty():
+            return roots if roots is not None else pairs
+        now = materialize(tested(pairs, texts), "tested")
+        known = now if known is None else known.union(now)
+        roots = components(known.where("alike").select("u", "v"))
+        failed = known.where("not alike").select("u", "v")
+        most *= 4
+
+
+def keys_of_nodes(nodes: DataFrame) -> DataFrame:
+    """(key, node): nodes with a key meet. A key is a table of the covering and the bits that it keeps of a fingerprint."""
+    keep = F.array(*[F.lit(m).cast("long") for m in masks(RADIUS)])
+    rows = nodes.select("node", F.posexplode("prints").alias("k", "fp")).select("node", "k", "fp", F.posexplode(keep).alias("t", "mask"))
+    return rows.select(F.xxhash64("k", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "node")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -252,8 +360,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     nodes = materialize(nodes, "nodes")
     # A doc_id with several texts can't name a node of the links.
     single = nodes.where("node is not null").join(nodes.groupBy("node").count().where("count = 1").select("node"), "node")
-    found = materialize(links(single.select("node", "prints"), RADIUS, WITHIN, nearest=True).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    gone = components(confirmed(found, single, docs)).select(F.col("u").alias("node"))
+    gone = near_copies(single, docs).select(F.col("u").alias("node"))
     stay = nodes.join(gone, "node", "left_anti").select(F.col("node").alias("_node"), F.col("md5").alias("_md5"))
     md5 = F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
     kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_node")) & (md5 == F.col("_md5")), "left_semi")
