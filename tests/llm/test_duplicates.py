@@ -144,6 +144,30 @@ def test_edited_copies_whose_original_comes_last(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept) == sorted(k for k, _ in rows if k not in gone)
 
 
+def changed(rand, words, kind, fresh):
+    n, word = len(words), lambda: f"new{rand.randrange(10**9)}" if fresh else f"w{rand.randrange(2000)}"
+    at = rand.randrange(n)
+    if kind == "added":
+        return words[:at] + [word() for _ in range(n // 5 - 8)] + words[at:]
+    if kind == "removed":
+        return words[: at * 4 // 5] + words[at * 4 // 5 + n // 5 - 8 :]
+    return [word() if rand.random() < 0.015 else w for w in words]
+
+
+def test_copies_with_added_removed_and_scattered_words(spark):
+    rand = random.Random(12)
+    rows = []
+    for n in (300, 1500):
+        for kind in ("added", "removed", "scattered"):
+            for k in range(16):
+                base = [f"w{rand.randrange(2000)}" for _ in range(n)]
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(changed(rand, base, kind, k % 2)))]
+    gone = {b for (_, s), (b, t) in zip(rows[::2], rows[1::2]) if plain_alike(s, t)}
+    assert len(gone) > 80
+    kept = simhash.one_of_each(spark.createDataFrame(rows, DOC)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [k for k, _ in rows if k not in gone]
+
+
 def plain_removal(rows):
     first = {}
     for doc, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):

@@ -31,9 +31,11 @@ from vetta.llm.common import materialize
 from vetta.llm.components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-# Near copies by shingles of five words: fingerprints of the set of words under PRINTS seeds find them, the shingles confirm them.
-PRINTS, COPY_SHINGLE, ALIKE = 3, 5, 0.8
-SKETCH, SLOT, LIKELY = 64, "<u2", 0.6
+# Near copies by shingles of five words: texts that agree in all ROWS least hashes of one of BANDS bands meet.
+# At a likeness of 0.8 a pair misses all bands with probability (1 - 0.8 ** 5) ** 32, 3 in a million.
+COPY_SHINGLE, ALIKE, BANDS, ROWS = 5, 0.8, 32, 5
+# A byte of each least hash is the sketch; of pairs of likeness 0.8 some 2 in a million agree in less than LIKELY of it.
+SLOT, LIKELY = "u1", 0.65
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -154,11 +156,6 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def bits_over_half(h: np.ndarray) -> int:
-    counts = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.int64)[0])
-
-
 def mixed(h: np.ndarray, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (h ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -171,31 +168,35 @@ def hashes(parts: list[bytes]) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts)))
 
 
-def word_prints(data: bytes) -> list[int]:
-    """Fingerprints of the set of words, one a seed; zeros where there are none."""
-    h = hashes(list(set(data.translate(LOWER).split())))
-    return [bits_over_half(mixed(h, k + 1)) for k in range(PRINTS)] if len(h) else [0] * PRINTS
+ORDERS = [np.array([xxhash.xxh64_intdigest(b"%d" % k, seed) | seed for k in range(BANDS * ROWS)], np.uint64)[:, None] for seed in (0, 1)]
 
 
-def least_hashes(h: np.ndarray) -> bytes:
-    """A sketch of a set of hashes: the least in each of SKETCH slots, in 16 bits; 0 where a slot is empty."""
-    out = np.full(SKETCH, np.iinfo(np.uint64).max)
-    np.minimum.at(out, (h >> np.uint64(58)).astype(np.int64), h << np.uint64(6))
-    return (mixed(out, 9) >> np.uint64(48)).astype(np.uint16).tobytes()
+def least_hashes(h: np.ndarray) -> np.ndarray:
+    """The least of a set of hashes in each of BANDS * ROWS orders; the largest number where the set is empty."""
+    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(h), 1024):
+            np.minimum(out, ((h[k : k + 1024] ^ ORDERS[0]) * ORDERS[1]).min(axis=1), out=out)
+    return out
+
+
+def bands_and_sketch(data: bytes) -> tuple[list[int], bytes]:
+    low = least_hashes(mixed(hashes(shingles(data, COPY_SHINGLE)), 5))
+    bands = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))]
+    return np.array(bands, np.uint64).view(np.int64).tolist(), (mixed(low, 9) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, md5 of the text, fingerprints of its words and a sketch of its shingles."""
+    """doc_id, md5 of the text, the keys of its bands and a sketch of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(2)]
-            prints = pa.array([word_prints(t) for t in texts], pa.list_(pa.int64()))
-            slots = pa.array([least_hashes(mixed(hashes(shingles(t, COPY_SHINGLE)), 5)) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, slots], ["doc_id", "md5", "prints", "sketch"])
+            found = [bands_and_sketch(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column(2)]
+            bands = pa.array([x for x, _ in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands, pa.array([x for _, x in found], pa.binary())], ["doc_id", "md5", "bands", "sketch"])
 
     data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    return docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).mapInArrow(run, "doc_id long, md5 string, prints array<long>, sketch binary")
+    return docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).mapInArrow(run, "doc_id long, md5 string, bands array<long>, sketch binary")
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -343,10 +344,8 @@ def near_copies(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def keys_of_nodes(nodes: DataFrame) -> DataFrame:
-    """(key, node): nodes with a key meet. A key is a table of the covering and the bits that it keeps of a fingerprint."""
-    keep = F.array(*[F.lit(m).cast("long") for m in masks(RADIUS)])
-    rows = nodes.select("node", F.posexplode("prints").alias("k", "fp")).select("node", "k", "fp", F.posexplode(keep).alias("t", "mask"))
-    return rows.select(F.xxhash64("k", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "node")
+    """(key, node): nodes with a key, the hash of a band, meet."""
+    return nodes.select(F.explode("bands").alias("key"), "node")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -356,7 +355,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     never a near copy; of exact copies without any doc_id one stays.
     """
     prints = materialize(sketches(docs), "sketches")
-    nodes = prints.groupBy("md5").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints"), F.first("sketch").alias("sketch"))
+    nodes = prints.groupBy("md5").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "nodes")
     # A doc_id with several texts can't name a node of the links.
     single = nodes.where("node is not null").join(nodes.groupBy("node").count().where("count = 1").select("node"), "node")
