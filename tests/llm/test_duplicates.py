@@ -221,6 +221,32 @@ def test_slabs_and_large_keys(spark, monkeypatch):
     assert sorted((False, *r.values()) for r in found) == plain_removal(list(enumerate(texts)))
 
 
+def test_a_key_with_many_pieces_is_dealt_to_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "COLLECTION", 40)
+    rand = random.Random(10)
+    line = "".join(rand.choice("abcdefgh ") for _ in range(45))
+    texts = ["".join(rand.choice("ij") for _ in range(3 if k % 4 else 40)) + line + "".join(rand.choice("kl") for _ in range(3 if k % 3 else 40)) for k in range(300)]
+    import pyarrow as pa
+
+    table = pa.table({"doc_id": pa.array(range(300), pa.int64()), "data": pa.array([t.encode() for t in texts], pa.binary())})
+    halves = [(pa.scalar(b), table.filter(pa.array([k % 2 == b for k in range(300)]))) for b in (0, 1)]
+    n = 16
+
+    def dealt(tables, column):
+        whole = pa.concat_tables(tables)
+        return [(x, whole.filter(pa.array([y == x for y in whole.column(column).to_pylist()]))) for x in sorted(set(whole.column(column).to_pylist()))]
+
+    asked = dealt([suffixes.ask(n)((b,), t) for b, t in halves], "g")
+    wanted = dict(dealt([suffixes.choose((pa.scalar(g),), t) for g, t in asked], "block"))
+    pieces = dealt([suffixes.send(n)((b,), t, wanted[b.as_py()]) for b, t in halves], "g")
+    most = [sum(len(x) // suffixes.KEY for x in t.column("keys").to_pylist()) for _, t in pieces]
+    assert len(most) == n and max(most) < sum(most) / 4
+    answers = dict(dealt([suffixes.answer((pa.scalar(g),), t) for g, t in pieces], "block"))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    found = [r for b, t in halves for r in suffixes.cut_out(schema)((b,), t, answers[b.as_py()]).to_pylist()]
+    assert sorted((False, *r.values()) for r in found) == plain_removal(list(enumerate(texts)))
+
+
 def test_transform_of_a_collection():
     rand = random.Random(3)
     for _ in range(15):

@@ -19,6 +19,10 @@ documents do the rest:
    doc_id where that is smaller than the block's own;
 3. blocks mark their bytes and cut them out.
 
+A key with more than about COLLECTION distinct pieces, such as the edges of a
+line that many documents have, is dealt once more: its windows go one by one by
+a hash of their whole WINDOW bytes, to any group, so no task gets all of them.
+
 A block sends each key or piece once, however many of its documents have it, so
 a passage in a third of all documents is as many rows as there are blocks. Key
 collisions cost time, never a wrong answer: classes compare the bytes.
@@ -48,7 +52,8 @@ GRAM = 20
 SPAN = WINDOW - GRAM + 1  # strings of GRAM bytes in a window
 RUN = SPAN
 SLAB = 1 << 20
-COLLECTION = 1 << 13  # pieces built together, unless one key has more
+COLLECTION = 1 << 13  # pieces built together; a key with more is dealt window by window
+COUNTED = 8  # pieces of a key in a block from which they are counted; fewer count as one
 END = 255  # no byte of UTF-8
 KEY = 6  # bytes of a key
 LAST = np.iinfo(np.int64).max
@@ -176,7 +181,7 @@ def keys(data: np.ndarray) -> np.ndarray:
         h *= MIX[2]
         h ^= h >> np.uint64(30)
         h *= MIX[0]
-        h >>= np.uint64(64 - 8 * KEY)
+        h >>= np.uint64(64 - 8 * KEY + 1)  # the first bit is for keys of single windows
     span = 1
     while 2 * span <= SPAN:
         h = np.minimum(h[:-span], h[span:])
@@ -185,6 +190,19 @@ def keys(data: np.ndarray) -> np.ndarray:
     return np.minimum(h[:-rest], h[rest:]) if rest else h
 
 
+def window_keys(windows: np.ndarray) -> np.ndarray:
+    """Keys of single windows (rows of WINDOW bytes): a hash of all their bytes, and the first bit set."""
+    w = np.zeros((len(windows), -(-WINDOW // 8) * 8), np.uint8)
+    w[:, :WINDOW] = windows
+    h = np.zeros(len(w), np.uint64)
+    with np.errstate(over="ignore"):
+        for k, column in enumerate(w.view("<u8").T):
+            h = (h ^ column) * MIX[k % 3]
+            h ^= h >> np.uint64(29)
+        h *= MIX[0]
+    return h >> np.uint64(64 - 8 * KEY) | np.uint64(1 << 8 * KEY - 1)
+
+
 class Block:
     """The documents of one block, in order of doc_id and text, and their pieces."""
 
@@ -238,6 +256,29 @@ class Block:
         last = np.append(first[1:], len(key)) - 1
         return (key[first], doc[first] != doc[last]) if len(key) else (key, np.zeros(0, bool))
 
+    def many_pieces(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys found (sorted) have COUNTED distinct pieces or more, and how many."""
+        at = np.searchsorted(found, self.key)
+        often = np.flatnonzero(np.bincount(at, minlength=len(found)) >= COUNTED)
+        here, strings = self.pieces(found[often])
+        distinct = set(zip(at[here].tolist(), strings))
+        n = np.bincount(np.array([k for k, _ in distinct], np.int64), minlength=len(found))
+        which = np.flatnonzero(n >= COUNTED)
+        return which, n[which]
+
+    def split(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """The windows of the pieces of hot keys (sorted): first byte, key and bytes of each."""
+        at = np.searchsorted(hot, self.key)
+        at[at == len(hot)] = 0
+        here = np.flatnonzero(hot[at] == self.key) if len(hot) else np.zeros(0, np.int64)
+        n = self.windows[here]
+        first = np.repeat(self.first[here], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        key = [np.zeros(0, np.uint64)]
+        for k in range(0, len(first), SLAB):
+            key.append(window_keys(self.data[first[k : k + SLAB, None] + np.arange(WINDOW)]))
+        data = self.data.tobytes() if len(first) else b""
+        return first, np.concatenate(key), [data[a : a + WINDOW] for a in first.tolist()]
+
     def pieces(self, wanted: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
         """Positions of the pieces whose key is wanted (sorted), and their bytes."""
         at = np.searchsorted(wanted, self.key)
@@ -263,18 +304,18 @@ def keys_in(data) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def keys_of(table: pa.Table) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *(keys_in(x.as_buffer()) for x in table.column("keys"))])
+def keys_of(table: pa.Table, column: str = "keys") -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(keys_in(x.as_buffer()) for x in table.column(column))])
 
 
 def batch(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
 
-KEYS = pa.schema([("g", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("shared", pa.binary())])
-WANTED = pa.schema([("block", pa.int64()), ("keys", pa.binary())])
-PIECES = pa.schema([("g", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("data", pa.binary())])
-ANSWERS = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("nth", pa.binary()), ("first", pa.binary()), ("windows", pa.binary()), ("ids", pa.binary())])
+KEYS = pa.schema([("g", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("shared", pa.binary()), ("which", pa.binary()), ("many", pa.binary())])
+WANTED = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("hot", pa.binary())])
+PIECES = pa.schema([("g", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("data", pa.binary()), ("hot", pa.binary())])
+ANSWERS = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("nth", pa.binary()), ("first", pa.binary()), ("windows", pa.binary()), ("ids", pa.binary()), ("hot", pa.binary())])
 DDL = {"int64": "long", "binary": "binary"}
 
 
@@ -307,13 +348,20 @@ def ask(n: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block = Block(table)
         found, shared = block.distinct_keys()
-        return batch([(g, key[0].as_py(), packed_keys(found[p]), np.packbits(shared[p]).tobytes()) for g, p in groups_of(found, n)], KEYS)
+        which, many = block.many_pieces(found)
+        count = np.zeros(len(found), np.int64)
+        count[which] = many
+        out = []
+        for g, p in groups_of(found, n):
+            own = np.flatnonzero(count[p])
+            out.append((g, key[0].as_py(), packed_keys(found[p]), np.packbits(shared[p]).tobytes(), packed(own, np.uint32), packed(count[p][own], np.uint32)))
+        return batch(out, KEYS)
 
     return run
 
 
 def choose(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Between the passes 1 and 2: the keys that more than one document has."""
+    """Between the passes 1 and 2: the keys that more than one document has, and which of them have too many pieces for one collection."""
     blocks = table.column("block").to_numpy()
     found = [keys_in(x.as_buffer()) for x in table.column("keys")]
     every = np.concatenate(found)
@@ -325,7 +373,16 @@ def choose(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     again[order[:-1][same]] = True
     again |= np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(k)) for x, k in zip(table.column("shared"), found)]).astype(bool)
     ends = np.cumsum([0] + [len(x) for x in found]).tolist()
-    return batch([(int(blocks[k]), packed_keys(x[again[a:b]])) for k, (a, b, x) in enumerate(zip(ends, ends[1:], found)) if again[a:b].any()], WANTED)
+    count = np.ones(len(every), np.int64)
+    for a, which, many in zip(ends, table.column("which"), table.column("many")):
+        count[a + np.frombuffer(which.as_buffer(), np.uint32).astype(np.int64)] = np.frombuffer(many.as_buffer(), np.uint32)
+    first = np.flatnonzero(np.append(True, ~same)) if len(every) else order
+    sums = np.add.reduceat(count[order], first) if len(every) else count
+    hot = np.zeros(len(every), bool)
+    hot[order] = np.repeat(sums > COLLECTION, np.diff(np.append(first, len(every))))
+    hot &= again
+    again &= ~hot
+    return batch([(int(blocks[k]), packed_keys(x[again[a:b]]), packed_keys(x[hot[a:b]])) for k, (a, b, x) in enumerate(zip(ends, ends[1:], found)) if again[a:b].any() or hot[a:b].any()], WANTED)
 
 
 def concatenated(table: pa.Table, column: str, kind) -> np.ndarray:
@@ -344,19 +401,29 @@ def send(n: int):
         # Documents are in order, so the first to have a piece has the least id.
         for k, s, d in zip(block.key[here].tolist(), strings, block.ids[block.doc[here]].tolist()):
             least.setdefault((k, s), d)
+        hot = np.sort(keys_of(right, "hot"))
+        first, which, strings = block.split(hot)
+        doc = np.searchsorted(block.starts, first, side="right") - 1
+        # Pieces of a block are in order of their place, so of their document.
+        for k, s, d in zip(which.tolist(), strings, block.ids[doc].tolist()):
+            least.setdefault((k, s), d)
         rows = sorted(least)
         which = np.array([k for k, _ in rows], np.uint64)
         ids, out = np.array([least[r] for r in rows], np.int64), []
         sizes = np.array([len(s) for _, s in rows], np.uint8)
         for g, p in groups_of(which, n):
-            out.append((g, key[0].as_py(), packed_keys(which[p]), packed(sizes[p], np.uint8), packed(ids[p], np.int64), b"".join([rows[k][1] for k in p.tolist()])))
+            out.append((g, key[0].as_py(), packed_keys(which[p]), packed(sizes[p], np.uint8), packed(ids[p], np.int64), b"".join([rows[k][1] for k in p.tolist()]), b""))
+        if len(hot):
+            # Pass 3 gets a block's hot keys from its own group.
+            out.append((key[0].as_py() % n, key[0].as_py(), b"", b"", b"", b"", packed_keys(hot)))
         return batch(out, PIECES)
 
     return run
 
 
 def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Between the passes 2 and 3: collections are built, and each block learns of the smaller ids."""
+    """Between the passes 2 and 3: collections are built, and each block learns of the smaller ids and of its hot keys."""
+    hot = [(b, b"", b"", b"", b"", b"", h) for b, h in zip(table.column("block").to_pylist(), table.column("hot").to_pylist()) if h]
     which, ids = keys_of(table), concatenated(table, "ids", np.int64)
     sizes = concatenated(table, "sizes", np.uint8).astype(np.int64)
     counts = [len(x.as_buffer()) // KEY for x in table.column("keys")]
@@ -375,8 +442,8 @@ def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     np.minimum.at(own, piece, ids)
     distinct = list(number)
     order = sorted(range(len(distinct)), key=lambda k: distinct[k][0])
-    least, start = np.empty(0, np.int64), np.zeros(len(distinct), np.int64)
-    parts_ = []
+    start = np.zeros(len(distinct), np.int64)
+    parts_ = [np.empty(0, np.int64)]
     total = a = 0
     while a < len(order):
         b = min(a + COLLECTION, len(order))
@@ -405,7 +472,7 @@ def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     r = row[first]
     blocks = table.column("block").to_numpy()
     cut = np.flatnonzero(np.diff(of[r])) + 1
-    return batch([(int(blocks[of[r[p[0]]]]), packed_keys(which[r[p]]), packed(nth[r[p]], np.uint32), packed(off[first[p]], np.uint8), packed(length[p], np.uint8), packed(value[first[p]], np.int64)) for p in np.split(np.arange(len(r)), cut) if len(p)], ANSWERS)
+    return batch([(int(blocks[of[r[p[0]]]]), packed_keys(which[r[p]]), packed(nth[r[p]], np.uint32), packed(off[first[p]], np.uint8), packed(length[p], np.uint8), packed(value[first[p]], np.int64), b"") for p in np.split(np.arange(len(r)), cut) if len(p)] + hot, ANSWERS)
 
 
 def cut_out(schema: pa.Schema):
@@ -417,8 +484,12 @@ def cut_out(schema: pa.Schema):
         block = Block(left)
         told, nth = keys_of(right), concatenated(right, "nth", np.uint32)
         found, shared = block.distinct_keys()
-        here, strings = block.pieces(np.union1d(told, found[shared]))
-        pieces = list(zip(block.key[here].tolist(), strings))
+        hot = np.sort(keys_of(right, "hot"))
+        here, strings = block.pieces(np.setdiff1d(np.union1d(told, found[shared]), hot))
+        begin, which, single = block.split(hot)
+        begin, many_windows = np.concatenate((block.first[here], begin)), np.concatenate((block.windows[here], np.ones(len(single), np.int64)))
+        owner = block.ids[np.searchsorted(block.starts, begin, side="right") - 1]
+        pieces = list(zip(np.concatenate((block.key[here], which)).tolist(), strings + single))
         rank = nth_in_key(pieces)
         answers: dict[tuple[int, int], list] = {}
         for k, n, a, w, d in zip(told.tolist(), nth.tolist(), *(concatenated(right, c, t).tolist() for c, t in (("first", np.uint8), ("windows", np.uint8), ("ids", np.int64)))):
@@ -426,7 +497,7 @@ def cut_out(schema: pa.Schema):
         # Where runs of repeated windows begin, and how many windows each has.
         at, many = [], []
         least: dict[tuple[int, bytes], int] = {}
-        for p, first, windows, d in zip(pieces, block.first[here].tolist(), block.windows[here].tolist(), block.ids[block.doc[here]].tolist()):
+        for p, first, windows, d in zip(pieces, begin.tolist(), many_windows.tolist(), owner.tolist()):
             if least.setdefault(p, d) < d:
                 at.append(first)
                 many.append(windows)
