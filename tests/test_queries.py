@@ -37,3 +37,13 @@ def test_query(spark, tables, name):
         wanted = tables.execute(catalog.ORACLE[name]).df()
         assert sorted(found.columns) == sorted(wanted.columns)
         assert rows(found) == rows(wanted)
+
+
+def test_logs_and_descriptions_are_whole_texts(spark):
+    from vetta.plans.fixtures import view
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id is not null").selectExpr("doc_id", "text")
+    assert docs.where("length(text) > 2000").count()
+    for name, column in (("findings", "description"), ("logs", "log")):
+        both = view(spark, FOLDER, name).select("doc_id", column).join(docs, "doc_id")
+        assert both.where(f"not endswith({column}, text)").count() == 0

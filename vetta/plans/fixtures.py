@@ -32,7 +32,7 @@ SQL = {
             lang || ';' || source || case when doc_id % 2 = 0 then ';Sast' else '' end as tags,
             case when doc_id % 6 = 5 then '' else 'agent-' || cast(doc_id % 6 as string) end as created_by,
             1704067200 + doc_id * 60 as created_at,
-            substr(text, 1, 400) as description
+            text as description
         from {{documents}} where doc_id is not null""",
     "findings_dup": """
         select * from {findings} union all
@@ -74,7 +74,7 @@ SQL = {
         from (select p, event_type, event_id, {us} as epoch_us from {event_paths}) as e where p % 17 <> 0 group by p""",
     "logs": f"""
         select doc_id, cast(doc_id % 4 as int) as exit_code,
-            {pick("doc_id % 6", "", "Error 429 Too Many Requests ", "failed to parse the plan ", "", "rate limit reached ", "Unexpected EOF in tool ")} || substr(text, 1, 2000) as log
+            {pick("doc_id % 6", "", "Error 429 Too Many Requests ", "failed to parse the plan ", "", "rate limit reached ", "Unexpected EOF in tool ")} || text as log
         from {{documents}} where doc_id is not null""",
     "manifests": "select 'p' || cast(page_id % 20 as string) as project, url as path, lower(html) as content from {pages} where html is not null",
     "vectors": "select vec_id as chunk_id, embedding, 'f' || cast(vec_id % 50 as string) as file, label % 5 as type, label % 3 as language from {embeddings}",
