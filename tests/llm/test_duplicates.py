@@ -5,6 +5,7 @@ import random
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -204,47 +205,88 @@ def test_repeats(spark, seed):
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_slabs_and_large_keys(spark, monkeypatch):
+def in_tables(tables, n, last=1 << 40):
+    """The three passes over (block, rows) given, with Spark's dealing done here: rows of plain_removal, and the pieces that each group gets."""
+
+    def dealt(found, column):
+        whole = pa.concat_tables(found)
+        return [(x, whole.filter(pa.array([y == x for y in whole.column(column).to_pylist()]))) for x in sorted(set(whole.column(column).to_pylist()))]
+
+    blocks = [(pa.scalar(b), pa.table({"_id": pa.array([d for d, _ in rows], pa.int64()), "_data": pa.array([(t or "").encode() for _, t in rows], pa.binary()), "_block": pa.array([b] * len(rows), pa.int64())})) for b, rows in tables]
+    asked = dealt([suffixes.ask(n)((b,), t) for b, t in blocks], "g")
+    chosen = dealt([suffixes.choose(last)((pa.scalar(g),), t) for g, t in asked], "block")
+    wanted = dict(chosen)
+    pieces = dealt([suffixes.send(n)((b,), t, wanted.get(b.as_py(), suffixes.batch([], suffixes.WANTED))) for b, t in blocks], "g")
+    told = [suffixes.answer((pa.scalar(g),), t) for g, t in pieces]
+    empty = {f.name: pa.nulls(1, f.type) for f in suffixes.TOLD}
+    told += [pa.table(empty | {"block": w.column("block"), "gone": w.column("gone"), "hot": w.column("hot")}, schema=suffixes.TOLD) for _, t in chosen for w in (t.slice(k, 1) for k in range(t.num_rows))]
+    answers = dict(dealt(told, "block")) if told else {}
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    found = [r for b, t in blocks for r in suffixes.cut_out(schema)((b,), t, answers.get(b.as_py(), suffixes.batch([], suffixes.TOLD))).to_pylist()]
+    return sorted((r["doc_id"] is None, r["doc_id"] or 0, *list(r.values())[1:]) for r in found), [sum(len(x) // suffixes.KEY for x in t.column("keys").to_pylist()) for _, t in pieces]
+
+
+def test_slabs_and_large_keys(monkeypatch):
     monkeypatch.setattr(suffixes, "SLAB", 100)
     monkeypatch.setattr(suffixes, "COLLECTION", 3)
     rand = random.Random(9)
     line = "".join(rand.choice("abcdefgh ") for _ in range(70))
     texts = [("".join(rand.choice("ij") for _ in range(9)) + line + "".join(rand.choice("kl") for _ in range(9))) * 3 for _ in range(12)]
-    import pyarrow as pa
-
-    table = pa.table({"doc_id": pa.array(range(12), pa.int64()), "data": pa.array([t.encode() for t in texts], pa.binary())})
-    key = (pa.scalar(0),)
-    asked = suffixes.ask(1)(key, table)
-    pieces = suffixes.send(1)(key, table, suffixes.choose(key, asked))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    found = suffixes.cut_out(schema)(key, table, suffixes.answer(key, pieces)).to_pylist()
-    assert sorted((False, *r.values()) for r in found) == plain_removal(list(enumerate(texts)))
+    assert in_tables([(0, list(enumerate(texts)))], 1)[0] == plain_removal(list(enumerate(texts)))
 
 
-def test_a_key_with_many_pieces_is_dealt_to_many_groups(spark, monkeypatch):
+def test_a_key_with_many_pieces_is_dealt_to_many_groups(monkeypatch):
     monkeypatch.setattr(suffixes, "COLLECTION", 40)
     rand = random.Random(10)
     line = "".join(rand.choice("abcdefgh ") for _ in range(45))
-    texts = ["".join(rand.choice("ij") for _ in range(3 if k % 4 else 40)) + line + "".join(rand.choice("kl") for _ in range(3 if k % 3 else 40)) for k in range(300)]
-    import pyarrow as pa
-
-    table = pa.table({"doc_id": pa.array(range(300), pa.int64()), "data": pa.array([t.encode() for t in texts], pa.binary())})
-    halves = [(pa.scalar(b), table.filter(pa.array([k % 2 == b for k in range(300)]))) for b in (0, 1)]
-    n = 16
+    rows = [(k, "".join(rand.choice("ij") for _ in range(3 if k % 4 else 40)) + line + "".join(rand.choice("kl") for _ in range(3 if k % 3 else 40))) for k in range(300)]
+    found, most = in_tables([(b, rows[100 * b : 100 * b + 100]) for b in range(3)], 16)
+    assert len(most) == 16 and max(most) < sum(most) / 4
+    assert found == plain_removal(rows)
 
-    def dealt(tables, column):
-        whole = pa.concat_tables(tables)
-        return [(x, whole.filter(pa.array([y == x for y in whole.column(column).to_pylist()]))) for x in sorted(set(whole.column(column).to_pylist()))]
 
-    asked = dealt([suffixes.ask(n)((b,), t) for b, t in halves], "g")
-    wanted = dict(dealt([suffixes.choose((pa.scalar(g),), t) for g, t in asked], "block"))
-    pieces = dealt([suffixes.send(n)((b,), t, wanted[b.as_py()]) for b, t in halves], "g")
-    most = [sum(len(x) // suffixes.KEY for x in t.column("keys").to_pylist()) for _, t in pieces]
-    assert len(most) == n and max(most) < sum(most) / 4
-    answers = dict(dealt([suffixes.answer((pa.scalar(g),), t) for g, t in pieces], "block"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    found = [r for b, t in halves for r in suffixes.cut_out(schema)((b,), t, answers[b.as_py()]).to_pylist()]
-    assert sorted((False, *r.values()) for r in found) == plain_removal(list(enumerate(texts)))
+@pytest.mark.parametrize("seed", range(6))
+def test_blocks_in_order_of_doc_id(monkeypatch, seed):
+    monkeypatch.setattr(suffixes, "COLLECTION", [5, 1000][seed % 2])
+    rand = random.Random(seed)
+    passages = ["".join(rand.choice("abcdefgh") for _ in range(rand.randint(45, 200))) for _ in range(5)]
+    ids = sorted(rand.randrange(60) for _ in range(60))
+    rows = [(k, "".join(rand.choice(passages) if rand.random() < 0.5 else "".join(rand.choice("klm") for _ in range(rand.randint(0, 60))) for _ in range(rand.randint(0, 5)))) for k in ids]
+    # Rows without doc_id are in blocks of their own, all equally late.
+    late = [(None, rand.choice(rows)[1] + rand.choice(passages)) for _ in range(9)]
+    tables = [(b, [r for r in rows if r[0] // 20 == b]) for b in range(3)] + [(3, late[:4]), (4, late[4:])]
+    assert in_tables(tables, 3, last=3)[0] == plain_removal(rows + late)
+
+
+def test_blocks_are_ranges(spark):
+    rand = random.Random(5)
+    ids = sorted({rand.choice([rand.randrange(100), rand.randrange(10**15), -rand.randrange(10**6)]) for _ in range(400)})
+    df = spark.createDataFrame([(k, "x" * rand.randrange(2000)) for k in ids] + [(None, "a"), (None, None)], DOC)
+    for ranges in (20_000, 1, 3):
+        dealt, last, blocks, total = suffixes.blocks_by_id(df, ranges=ranges)
+        found = [(r["doc_id"], r["_block"]) for r in dealt(df).collect()]
+        assert total == df.selectExpr("sum(octet_length(text))").first()[0]
+        assert all(last <= b < blocks for k, b in found if k is None)
+        known = sorted((k, b) for k, b in found if k is not None)
+        assert all(0 <= a <= b < last for (_, a), (_, b) in zip(known, known[1:])) and len({b for _, b in known}) > 1
+    assert suffixes.blocks_by_id(df.where("doc_id is null"))[0](df.where("doc_id is null")).count() == 2
+
+
+def test_carried_columns(spark):
+    passage = "".join(random.Random(1).choice("abcdefgh") for _ in range(80))
+    df = spark.createDataFrame([(1, "é" + passage), (2, "ü" + passage + "z"), (3, None)], DOC).selectExpr("*", "7 as n_bytes", "'b' as _block", "cast(null as string) as kept")
+    found = suffixes.remove_repeats(df, ["n_bytes", "_block", "kept", "text"], "kept_text string")
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "carried_n_bytes", "_block", "kept", "text"]
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert rows[2]["kept_text"] == "üz" and rows[1]["kept_text"] == "é" + passage and rows[3]["kept_text"] == ""
+    assert all(r["carried_n_bytes"] == 7 and r["_block"] == "b" for r in rows.values()) and rows[3]["text"] is None
+
+
+def test_characters_cut_in_the_middle_go(spark):
+    # The repeated bytes begin in the middle of a character: its other bytes can't stand alone.
+    tail = "".join(random.Random(2).choice("abcdefgh") for _ in range(60))
+    rows = {r["doc_id"]: r for r in suffixes.remove_repeats(spark.createDataFrame([(1, "é" + tail), (2, "x\u00a9" + tail)], DOC), [], "kept_text string").collect()}
+    assert rows[2]["n_removed"] == 61 and rows[2]["kept_text"] == "x"
 
 
 def test_transform_of_a_collection():
@@ -252,7 +294,7 @@ def test_transform_of_a_collection():
     for _ in range(15):
         strings = [bytes(rand.choice(b"ab") for _ in range(rand.randint(50, 70))) for _ in range(rand.randint(1, 20))]
         with tempfile.TemporaryDirectory() as folder:
-            bwt, lcp = suffixes.build(strings, folder)
+            bwt, lcp = suffixes.build(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]), folder)
         ranked = sorted((s[k:], i, k) for i, s in enumerate(strings) for k in range(len(s) + 1))
         order = {(i, k): n for n, (_, i, k) in enumerate(ranked)}
         assert bwt.tolist() == [255 if k == 0 else strings[i][k - 1] for _, i, k in ranked]

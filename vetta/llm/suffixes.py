@@ -10,34 +10,40 @@ doc_id decides which of its windows repeat an earlier document.
 So that collections can be built side by side, windows are dealt by content.
 The least hash of the GRAM-byte strings in a window is the same wherever the
 window stands, so equal windows meet under equal keys. A run of windows with
-one key is a piece, of at most RUN windows. Three passes over blocks of whole
-documents do the rest:
+one key is a piece, of at most RUN windows; its mark is a hash of all its bytes.
+Blocks are ranges of doc_id, in order, so of two blocks it is known which is
+earlier. Three passes over blocks of whole documents do the rest:
 
-1. blocks tell which keys they have; keys that only one document has end here;
+1. blocks tell which keys they have, and a key's mark if it has but one piece
+   there. Keys that only one document has end here. A key that has the same
+   piece everywhere needs no transform: every block but the earliest loses it;
 2. blocks send the pieces of the other keys, equal ones once, with their least
    doc_id; collections of pieces are built and answer with their classes' least
    doc_id where that is smaller than the block's own;
 3. blocks mark their bytes and cut them out.
 
-A key with more than about COLLECTION distinct pieces, such as the edges of a
-line that many documents have, is dealt once more: its windows go one by one by
-a hash of their whole WINDOW bytes, to any group, so no task gets all of them.
+A key with more than COLLECTION distinct pieces, such as the edges of a line
+that many documents have, is dealt once more: its windows go one by one by a
+hash of their whole WINDOW bytes, to any group, so no task gets all of them.
 
 A block sends each key or piece once, however many of its documents have it, so
-a passage in a third of all documents is as many rows as there are blocks. Key
-collisions cost time, never a wrong answer: classes compare the bytes.
+a passage in a third of all documents is as many rows as there are blocks. Two
+pieces are taken for one if their keys (47 bits) and marks (48 bits or more) are
+equal; keys that collide otherwise cost time, never a wrong answer.
 
 Texts: null counts as empty; texts under WINDOW bytes stay as they are. Any
-length: documents are read in slabs. A null doc_id is larger than all others.
-Rows with equal doc_id never repeat each other. Repeats within a document are
-left. An empty table gives no rows. Columns asked for are carried along.
+length: documents are read in slabs. A null doc_id is larger than all others;
+such rows are dealt by their text. Rows with equal doc_id never repeat each
+other. Repeats within a document are left. An empty table gives no rows. Columns
+asked for are carried along; one that is named like a result is returned as
+carried_<name>.
 """
 
 from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -45,47 +51,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetta.llm.common import parts
-
 WINDOW = 50
 GRAM = 20
 SPAN = WINDOW - GRAM + 1  # strings of GRAM bytes in a window
 RUN = SPAN
-SLAB = 1 << 20
+SLAB = 1 << 16  # bytes hashed at once
+BLOCK_MB, GROUP_MB = 8, 16  # of text: a block, and what a group of keys or pieces comes from
+RANGES = 20_000  # quantiles of doc_id at most; more blocks than that are parts of equal width between two of them
 COLLECTION = 1 << 13  # pieces built together; a key with more is dealt window by window
-COUNTED = 8  # pieces of a key in a block from which they are counted; fewer count as one
+COUNTED = 8  # pieces of a key in a block from which they are counted; fewer count as two
 END = 255  # no byte of UTF-8
-KEY = 6  # bytes of a key
+KEY = 6  # bytes of a key, and of a mark in pass 1
 LAST = np.iinfo(np.int64).max
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+BASE = 0x9E3779B97F4A7C15
 
 
 # --- the collection's transform ---------------------------------------------
 
 
-def build(strings: list[bytes], folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """Burrows-Wheeler transform and common prefixes (up to WINDOW) of a collection, by one symbol a round.
+class Columns:
+    """A transform and its common prefixes in a file, read and written from start to end in place."""
+
+    def __init__(self, path: Path):
+        self.file, self.rows = open(path, "w+b", buffering=0), 0
+
+    def write(self, *columns: np.ndarray) -> None:
+        self.file.seek(0)
+        self.rows = len(columns[0])
+        for x in columns:
+            self.file.write(x)
+
+    def read(self) -> tuple[np.ndarray, np.ndarray]:
+        self.file.seek(0)
+        out = np.empty(self.rows, np.uint8), np.empty(self.rows, np.uint8)
+        for x in out:
+            self.file.readinto(x)
+        return out
+
+
+def build(flat: np.ndarray, size: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """Burrows-Wheeler transform and common prefixes (up to WINDOW) of a collection of strings, one after another in flat, by one symbol a round.
 
     Row r of the transform is the symbol before the r-th smallest suffix; the
     rows of the empty suffixes come first, in the strings' order, and END stands
     before a whole string. Symbols may be in any order, as long as it is one.
     """
-    m, longest = len(strings), max(map(len, strings))
-    size = np.array([len(s) for s in strings])
+    m, longest = len(size), int(size.max())
     # The symbols from the end, a column for each round, and END before the first.
     column = np.full((longest + 1, m), END, np.uint8)
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    row = np.repeat(np.arange(m), size)
-    column[np.repeat(np.cumsum(size), size) - 1 - np.arange(len(flat)), row] = flat
-    files = [(Path(folder) / f"bwt{k}", Path(folder) / f"lcp{k}") for k in (0, 1)]
-    column[0].tofile(files[0][0])
-    np.zeros(m, np.uint8).tofile(files[0][1])
+    column[np.repeat(np.cumsum(size), size) - 1 - np.arange(len(flat)), np.repeat(np.arange(m), size)] = flat
+    old, new_file = (Columns(Path(folder) / f"columns{k}") for k in (0, 1))
+    old.write(column[0], np.zeros(m, np.uint8))
     at, active = np.arange(m), np.arange(m)
     for k in range(1, longest + 1):
-        (bwt_in, lcp_in), (bwt_out, lcp_out) = files[(k - 1) % 2], files[k % 2]
-        bwt, lcp = np.fromfile(bwt_in, np.uint8), np.fromfile(lcp_in, np.uint8)
-        still = size[active] >= k
-        active, at = active[still], at[still]
+        bwt, lcp = old.read()
+        if k > 1:
+            still = size[active] >= k
+            active, at = active[still], at[still]
         # Rows by their symbol, in order, are the suffixes that start with it: those there are and the new ones.
         order = np.argsort(bwt, kind="stable")
         order = order[: len(bwt) - np.count_nonzero(bwt == END)]
@@ -93,28 +116,28 @@ def build(strings: list[bytes], folder: str) -> tuple[np.ndarray, np.ndarray]:
         fresh[at] = True
         new = np.flatnonzero(fresh[order])
         total = m + len(order)
-        place = np.empty(len(bwt), np.int64)
+        place = np.empty(len(bwt), np.int32)
         place[order[new]] = m + new
-        is_new = np.zeros(total, bool)
-        is_new[m + new] = True
-        out = np.empty(total, np.uint8)
-        out[~is_new] = bwt
-        prefix = np.empty(total, np.uint8)
-        prefix[~is_new] = lcp
+        stay = np.ones(total, bool)
+        stay[m + new] = False
+        out, prefix = np.empty(total, np.uint8), np.empty(total, np.uint8)
+        out[stay], prefix[stay] = bwt, lcp
         at = place[at]
         out[at] = column[k][active]
         # A new suffix and the one after it: one more than the least prefix between the rows they come from.
-        touched = is_new[m:].copy()
-        touched[1:] |= is_new[m:-1]
-        first = np.flatnonzero(touched)
+        after = new[:-1] + 1
+        first = np.sort(np.concatenate((new, after[after != new[1:]], new[-1:] + 1 if len(new) and new[-1] + 1 < len(order) else new[:0])))
         prefix[m + first] = 0
         first = first[first > 0]
         low, high = order[first - 1], order[first]
         same = bwt[low] == bwt[high]
         prefix[m + first[same]] = np.minimum(range_min(lcp, low[same] + 1, high[same]) + 1, WINDOW)
-        out.tofile(bwt_out)
-        prefix.tofile(lcp_out)
-    return tuple(np.fromfile(f, np.uint8) for f in files[longest % 2])
+        new_file.write(out, prefix)
+        old, new_file = new_file, old
+    out = old.read()
+    old.file.close()
+    new_file.file.close()
+    return out
 
 
 def range_min(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -133,18 +156,17 @@ def range_min(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_ids(strings: list[bytes], ids: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
+def least_ids(flat: np.ndarray, size: np.ndarray, ids: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """For each window of each string, string by string: the least id of the strings that have it; and where each string's begin."""
-    bwt, lcp = build(strings, folder)
-    size = np.array([len(s) for s in strings])
+    bwt, lcp = build(flat, size, folder)
     rows = np.flatnonzero(bwt != END)
     follow = np.empty(len(bwt), np.int64)
-    follow[rows[np.argsort(bwt[rows], kind="stable")]] = len(strings) + np.arange(len(rows))
+    follow[rows[np.argsort(bwt[rows], kind="stable")]] = len(size) + np.arange(len(rows))
     number = np.cumsum(lcp < WINDOW) - 1
     windows = size - WINDOW + 1
     starts = np.concatenate(([0], np.cumsum(windows)))
     of = np.empty(starts[-1], np.int64)
-    at, active = np.arange(len(strings)), np.arange(len(strings))
+    at, active = np.arange(len(size)), np.arange(len(size))
     for k in range(1, int(size.max()) + 1):
         still = size[active] >= k
         active, at = active[still], follow[at[still]]
@@ -190,102 +212,120 @@ def keys(data: np.ndarray) -> np.ndarray:
     return np.minimum(h[:-rest], h[rest:]) if rest else h
 
 
-def window_keys(windows: np.ndarray) -> np.ndarray:
-    """Keys of single windows (rows of WINDOW bytes): a hash of all their bytes, and the first bit set."""
+def powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+UP, DOWN = powers(SLAB + WINDOW, BASE), powers(SLAB + WINDOW, pow(BASE, -1, 1 << 64))
+
+
+def marks(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the strings data[begin:end], of a slab at most."""
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * UP[: len(data)], out=sums[1:])
+        h = (sums[end] - sums[begin]) * DOWN[begin]
+        h ^= h >> np.uint64(32)
+        h *= MIX[1]
+        return h ^ (h >> np.uint64(29))
+
+
+def window_hashes(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of single windows (rows of WINDOW bytes), with the first bit set, and their marks."""
     w = np.zeros((len(windows), -(-WINDOW // 8) * 8), np.uint8)
     w[:, :WINDOW] = windows
-    h = np.zeros(len(w), np.uint64)
+    key, mark = np.zeros(len(w), np.uint64), np.full(len(w), MIX[2])
     with np.errstate(over="ignore"):
         for k, column in enumerate(w.view("<u8").T):
-            h = (h ^ column) * MIX[k % 3]
-            h ^= h >> np.uint64(29)
-        h *= MIX[0]
-    return h >> np.uint64(64 - 8 * KEY) | np.uint64(1 << 8 * KEY - 1)
+            key = (key ^ column) * MIX[k % 3]
+            key ^= key >> np.uint64(29)
+            mark = (mark + column) * MIX[(k + 1) % 3]
+            mark ^= mark >> np.uint64(31)
+        key *= MIX[0]
+        mark *= MIX[1]
+    return key >> np.uint64(64 - 8 * KEY) | np.uint64(1 << 8 * KEY - 1), mark ^ (mark >> np.uint64(32))
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Positions where any of the columns has another value than before; the first one is such."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for x in columns:
+            new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def found_in(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted array."""
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0] .. first[0] + n[0] - 1, first[1] .. and so on."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 class Block:
-    """The documents of one block, in order of doc_id and text, and their pieces."""
+    """The documents of one block, in order of doc_id and text, and their pieces, in order of place."""
 
     def __init__(self, table: pa.Table):
-        ids, texts = table.column("doc_id").to_pylist(), [x.as_buffer() if x.is_valid else pa.py_buffer(b"") for x in table.column("data")]
+        ids, texts = table.column("_id").to_pylist(), [x.as_buffer() if x.is_valid else pa.py_buffer(b"") for x in table.column("_data")]
         ids = [LAST if x is None else x for x in ids]
         order = sorted(range(len(ids)), key=ids.__getitem__)
-        for a, b in zip(order, order[1:]):
-            if ids[a] == ids[b]:
-                order.sort(key=lambda k: (ids[k], texts[k].to_pybytes()))
-                break
-        self.order, self.ids, self.texts = order, np.array([ids[k] for k in order], np.int64), [texts[k] for k in order]
-        self.sizes = np.array([t.size for t in self.texts], np.int64)
+        if any(ids[a] == ids[b] for a, b in zip(order, order[1:])):
+            order.sort(key=lambda k: (ids[k], texts[k].to_pybytes()))
+        self.order, self.ids = order, np.array([ids[k] for k in order], np.int64)
+        self.sizes = np.array([texts[k].size for k in order], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.data = np.concatenate([*(np.frombuffer(t, np.uint8) for t in self.texts), np.zeros(0, np.uint8)])
+        self.data = np.concatenate([*(np.frombuffer(texts[k], np.uint8) for k in order), np.zeros(0, np.uint8)])
         self.runs()
 
     def runs(self) -> None:
-        """Pieces: key, first byte in the block, windows, document."""
-        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        """Of each piece: key, mark, first byte in the block, windows, document."""
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         begin = 0
         while len(self.data) - begin >= WINDOW:
             part = self.data[begin : begin + SLAB + WINDOW - 1]
             key = keys(part)
-            at = begin + np.arange(len(key))
-            doc = np.searchsorted(self.starts, at, side="right") - 1
-            real = at + WINDOW <= self.starts[doc + 1]
             new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            new[1:] = key[1:] != key[:-1]
+            a, b = np.searchsorted(self.starts, (begin, begin + len(key)))
+            new[self.starts[a:b] - begin] = True
             first = np.flatnonzero(new)
             n = np.diff(np.append(first, len(key)))
             # Windows over a document's end are none; they are the last of its runs.
-            n = np.minimum(n, np.maximum(self.starts[doc[first] + 1] - WINDOW + 1 - at[first], 0))
+            doc = np.searchsorted(self.starts, begin + first, side="right") - 1
+            n = np.minimum(n, np.maximum(self.starts[doc + 1] - WINDOW + 1 - begin - first, 0))
             first, n = first[n > 0], n[n > 0]
             cuts = -(-n // RUN)
             head = np.repeat(first, cuts)
             nth = np.arange(len(head)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-            found.append((key[head], begin + head + nth * RUN, np.minimum(np.repeat(n, cuts) - nth * RUN, RUN)))
-            del real
+            at, windows = head + nth * RUN, np.minimum(np.repeat(n, cuts) - nth * RUN, RUN)
+            found.append((key[head], marks(part, at, at + windows + WINDOW - 1), begin + at, windows))
             begin += len(key)
-        self.key, self.first, self.windows = (np.concatenate(x) for x in zip(*found))
+        self.key, self.mark, self.first, self.windows = (np.concatenate(x) for x in zip(*found))
         self.doc = np.searchsorted(self.starts, self.first, side="right") - 1
 
-    def distinct_keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys, and whether rows of different ids have them."""
-        order = np.lexsort((self.ids[self.doc], self.key))
-        key, doc = self.key[order], self.ids[self.doc][order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(key)) - 1
-        return (key[first], doc[first] != doc[last]) if len(key) else (key, np.zeros(0, bool))
-
-    def many_pieces(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the keys found (sorted) have COUNTED distinct pieces or more, and how many."""
-        at = np.searchsorted(found, self.key)
-        often = np.flatnonzero(np.bincount(at, minlength=len(found)) >= COUNTED)
-        here, strings = self.pieces(found[often])
-        distinct = set(zip(at[here].tolist(), strings))
-        n = np.bincount(np.array([k for k, _ in distinct], np.int64), minlength=len(found))
-        which = np.flatnonzero(n >= COUNTED)
-        return which, n[which]
-
-    def split(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """The windows of the pieces of hot keys (sorted): first byte, key and bytes of each."""
-        at = np.searchsorted(hot, self.key)
-        at[at == len(hot)] = 0
-        here = np.flatnonzero(hot[at] == self.key) if len(hot) else np.zeros(0, np.int64)
-        n = self.windows[here]
-        first = np.repeat(self.first[here], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        key = [np.zeros(0, np.uint64)]
-        for k in range(0, len(first), SLAB):
-            key.append(window_keys(self.data[first[k : k + SLAB, None] + np.arange(WINDOW)]))
-        data = self.data.tobytes() if len(first) else b""
-        return first, np.concatenate(key), [data[a : a + WINDOW] for a in first.tolist()]
-
-    def pieces(self, wanted: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-        """Positions of the pieces whose key is wanted (sorted), and their bytes."""
-        at = np.searchsorted(wanted, self.key)
-        at[at == len(wanted)] = 0
-        here = np.flatnonzero(wanted[at] == self.key) if len(wanted) else np.zeros(0, np.int64)
-        data = self.data.tobytes()
-        return here, [data[a : a + n] for a, n in zip(self.first[here].tolist(), (self.windows[here] + WINDOW - 1).tolist())]
+    def distinct(self, here: np.ndarray, key: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Of the pieces or windows at `here` (in order of place), the first with each key and mark, in order of these."""
+        order = np.lexsort((mark, key))
+        return order[changes(key[order], mark[order])]
+
+    def split(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of the pieces of hot keys (sorted): first byte, key and mark of each."""
+        here = np.flatnonzero(found_in(hot, self.key))
+        first = spread(self.first[here], self.windows[here])
+        out = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        out += [window_hashes(self.data[first[k : k + SLAB, None] + np.arange(WINDOW)]) for k in range(0, len(first), SLAB)]
+        return first, *(np.concatenate(x) for x in zip(*out))
+
+    def doc_of(self, first: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, first, side="right") - 1
 
 
 def packed(x: np.ndarray, kind) -> bytes:
@@ -293,7 +333,7 @@ def packed(x: np.ndarray, kind) -> bytes:
 
 
 def packed_keys(x: np.ndarray) -> bytes:
-    """Keys in KEY bytes each."""
+    """Numbers in KEY bytes each."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]).tobytes()
 
 
@@ -305,17 +345,25 @@ def keys_in(data) -> np.ndarray:
 
 
 def keys_of(table: pa.Table, column: str = "keys") -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *(keys_in(x.as_buffer()) for x in table.column(column))])
+    return np.concatenate([np.zeros(0, np.uint64), *(keys_in(x.as_buffer()) for x in table.column(column) if x.is_valid)])
+
+
+def concatenated(table: pa.Table, column: str, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in table.column(column) if x.is_valid)])
 
 
 def batch(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
 
-KEYS = pa.schema([("g", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("shared", pa.binary()), ("which", pa.binary()), ("many", pa.binary())])
-WANTED = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("hot", pa.binary())])
-PIECES = pa.schema([("g", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("data", pa.binary()), ("hot", pa.binary())])
-ANSWERS = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("nth", pa.binary()), ("first", pa.binary()), ("windows", pa.binary()), ("ids", pa.binary()), ("hot", pa.binary())])
+def schema_of(longs: str, binaries: str) -> pa.Schema:
+    return pa.schema([*((x, pa.int64()) for x in longs.split()), *((x, pa.binary()) for x in binaries.split())])
+
+
+KEYS = schema_of("g block", "keys marks shared which many")
+WANTED = schema_of("block", "gone wanted hot")
+PIECES = schema_of("g block", "keys marks sizes ids data")
+TOLD = schema_of("block", "gone hot keys marks first windows ids")
 DDL = {"int64": "long", "binary": "binary"}
 
 
@@ -332,147 +380,177 @@ def groups_of(key: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(g[part[0]]), part
 
 
-def nth_in_key(pieces: list[tuple[int, bytes]]) -> dict[tuple[int, bytes], int]:
-    """The place of each distinct piece among those of its key, in order of their bytes: the same in every pass."""
-    out, last, n = {}, None, 0
-    for p in sorted(set(pieces)):
-        n = n + 1 if p[0] == last else 0
-        last = p[0]
-        out[p] = n
-    return out
-
-
 def ask(n: int):
-    """Pass 1."""
+    """Pass 1: a block's keys, each with the mark of its piece, or 0 if it has several, and whether rows of different ids have it."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block = Block(table)
-        found, shared = block.distinct_keys()
-        which, many = block.many_pieces(found)
-        count = np.zeros(len(found), np.int64)
-        count[which] = many
-        out = []
+        order = np.argsort(block.key, kind="stable")
+        which, mark, ids = block.key[order], block.mark[order], block.ids[block.doc[order]]
+        first = changes(which)
+        last = np.append(first[1:], len(which)) - 1
+        if not len(first):
+            return batch([], KEYS)
+        one = np.minimum.reduceat(mark, first) == np.maximum.reduceat(mark, first)
+        short = np.where(one, mark[first] >> np.uint64(64 - 8 * KEY) | np.uint64(1), np.uint64(0))
+        # How many distinct pieces the other keys have, where these are many.
+        here = np.repeat(~one, last - first + 1)
+        several, number = order[here], np.repeat(np.arange(len(first)), last - first + 1)[here]
+        by = np.lexsort((block.mark[several], number))
+        heads = changes(number[by], block.mark[several][by])
+        count = np.bincount(number[by][heads], minlength=len(first))
+        found, shared, out = which[first], ids[first] != ids[last], []
         for g, p in groups_of(found, n):
-            own = np.flatnonzero(count[p])
-            out.append((g, key[0].as_py(), packed_keys(found[p]), np.packbits(shared[p]).tobytes(), packed(own, np.uint32), packed(count[p][own], np.uint32)))
+            own = np.flatnonzero(count[p] >= COUNTED)
+            out.append((g, key[0].as_py(), packed_keys(found[p]), packed_keys(short[p]), np.packbits(shared[p]).tobytes(), packed(own, np.uint32), packed(count[p][own], np.uint32)))
         return batch(out, KEYS)
 
     return run
 
 
-def choose(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Between the passes 1 and 2: the keys that more than one document has, and which of them have too many pieces for one collection."""
-    blocks = table.column("block").to_numpy()
-    found = [keys_in(x.as_buffer()) for x in table.column("keys")]
-    every = np.concatenate(found)
-    order = np.argsort(every, kind="stable")
-    sorted_ = every[order]
-    again = np.zeros(len(every), bool)
-    same = sorted_[1:] == sorted_[:-1]
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    again |= np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(k)) for x, k in zip(table.column("shared"), found)]).astype(bool)
-    ends = np.cumsum([0] + [len(x) for x in found]).tolist()
-    count = np.ones(len(every), np.int64)
-    for a, which, many in zip(ends, table.column("which"), table.column("many")):
-        count[a + np.frombuffer(which.as_buffer(), np.uint32).astype(np.int64)] = np.frombuffer(many.as_buffer(), np.uint32)
-    first = np.flatnonzero(np.append(True, ~same)) if len(every) else order
-    sums = np.add.reduceat(count[order], first) if len(every) else count
-    hot = np.zeros(len(every), bool)
-    hot[order] = np.repeat(sums > COLLECTION, np.diff(np.append(first, len(every))))
-    hot &= again
-    again &= ~hot
-    return batch([(int(blocks[k]), packed_keys(x[again[a:b]]), packed_keys(x[hot[a:b]])) for k, (a, b, x) in enumerate(zip(ends, ends[1:], found)) if again[a:b].any() or hot[a:b].any()], WANTED)
+def choose(last: int):
+    """Between the passes 1 and 2: a block's keys that an earlier one has with the same single piece, those whose pieces are wanted, and those of too many pieces.
 
+    last: blocks from this number on have rows without doc_id and are equally late.
+    """
 
-def concatenated(table: pa.Table, column: str, kind) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in table.column(column))])
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        blocks = table.column("block").to_numpy()
+        counts = [len(x.as_buffer()) // KEY for x in table.column("keys")]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        every, short = keys_of(table), keys_of(table, "marks")
+        late = np.repeat(np.minimum(blocks, last), counts)
+        shared = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n) for x, n in zip(table.column("shared"), counts)]).astype(bool)
+        pieces = np.where(short == 0, 2, 0)
+        for a, which, many in zip(ends.tolist(), table.column("which"), table.column("many")):
+            pieces[a + np.frombuffer(which.as_buffer(), np.uint32).astype(np.int64)] = np.frombuffer(many.as_buffer(), np.uint32)
+        # By key, then by mark: a row for each mark of a key counts a piece.
+        order = np.lexsort((late, short, every))
+        k, s = every[order], short[order]
+        pieces[order[changes(k, s)]] = np.maximum(pieces[order[changes(k, s)]], 1)
+        first = changes(k)
+        n = np.diff(np.append(first, len(k)))
+        of = np.minimum.reduceat(late[order], first)
+        again = (of != np.maximum.reduceat(late[order], first)) | np.logical_or.reduceat(shared[order], first)
+        one = (s[first] == s[first + n - 1]) & (s[first] > 0)
+        many = np.add.reduceat(pieces[order], first) > COLLECTION
+        kind = np.empty(len(every), np.uint8)
+        kind[order] = np.repeat(np.where(again, np.where(one, 1, np.where(many, 3, 2)), 0), n)
+        least = np.empty(len(every), np.int64)
+        least[order] = np.repeat(of, n)
+        kind[(kind == 1) & (late == least)] = 0
+        out = []
+        for b, lo, hi in zip(blocks.tolist(), ends.tolist(), ends[1:].tolist()):
+            parts = [packed_keys(every[lo:hi][kind[lo:hi] == x]) for x in (1, 2, 3)]
+            if any(parts):
+                out.append((b, *parts))
+        return batch(out, WANTED)
+
+    return run
 
 
 def send(n: int):
-    """Pass 2."""
+    """Pass 2: the pieces of wanted keys and the windows of hot ones."""
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return batch([], PIECES)
+        wanted, hot = np.sort(keys_of(right, "wanted")), np.sort(keys_of(right, "hot"))
+        if not len(wanted) and not len(hot):
+            return batch([], PIECES)
         block = Block(left)
-        here, strings = block.pieces(np.sort(keys_of(right)))
-        least: dict[tuple[int, bytes], int] = {}
-        # Documents are in order, so the first to have a piece has the least id.
-        for k, s, d in zip(block.key[here].tolist(), strings, block.ids[block.doc[here]].tolist()):
-            least.setdefault((k, s), d)
-        hot = np.sort(keys_of(right, "hot"))
-        first, which, strings = block.split(hot)
-        doc = np.searchsorted(block.starts, first, side="right") - 1
-        # Pieces of a block are in order of their place, so of their document.
-        for k, s, d in zip(which.tolist(), strings, block.ids[doc].tolist()):
-            least.setdefault((k, s), d)
-        rows = sorted(least)
-        which = np.array([k for k, _ in rows], np.uint64)
-        ids, out = np.array([least[r] for r in rows], np.int64), []
-        sizes = np.array([len(s) for _, s in rows], np.uint8)
-        for g, p in groups_of(which, n):
-            out.append((g, key[0].as_py(), packed_keys(which[p]), packed(sizes[p], np.uint8), packed(ids[p], np.int64), b"".join([rows[k][1] for k in p.tolist()]), b""))
-        if len(hot):
-            # Pass 3 gets a block's hot keys from its own group.
-            out.append((key[0].as_py() % n, key[0].as_py(), b"", b"", b"", b"", packed_keys(hot)))
+        here = np.flatnonzero(found_in(wanted, block.key))
+        begin, single, mark = block.split(hot)
+        out = []
+        pieces = block.first[here], block.key[here], block.mark[here], block.windows[here] + WINDOW - 1
+        for first, which, mark, sizes in (pieces, (begin, single, mark, np.full(len(begin), WINDOW))):
+            # Pieces are in order of place, so of their document: the first to have one has the least id.
+            one = block.distinct(first, which, mark)
+            first, which, mark, sizes = first[one], which[one], mark[one], sizes[one]
+            ids = block.ids[block.doc_of(first)]
+            for g, p in groups_of(which, n):
+                data = block.data[spread(first[p], sizes[p])].tobytes()
+                out.append((g, key[0].as_py(), packed_keys(which[p]), packed(mark[p], np.uint64), packed(sizes[p], np.uint8), packed(ids[p], np.int64), data))
         return batch(out, PIECES)
 
     return run
 
 
 def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Between the passes 2 and 3: collections are built, and each block learns of the smaller ids and of its hot keys."""
-    hot = [(b, b"", b"", b"", b"", b"", h) for b, h in zip(table.column("block").to_pylist(), table.column("hot").to_pylist()) if h]
-    which, ids = keys_of(table), concatenated(table, "ids", np.int64)
-    sizes = concatenated(table, "sizes", np.uint8).astype(np.int64)
+    """Between the passes 2 and 3: collections are built, and each block learns of the smaller ids."""
+    which, mark, ids = keys_of(table), concatenated(table, "marks", np.uint64), concatenated(table, "ids", np.int64)
+    sizes, data = concatenated(table, "sizes", np.uint8).astype(np.int64), concatenated(table, "data", np.uint8)
     counts = [len(x.as_buffer()) // KEY for x in table.column("keys")]
     of = np.repeat(np.arange(len(counts)), counts)
-    data = b"".join(x.as_py() for x in table.column("data"))
-    ends = np.cumsum(sizes)
-    strings = [data[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist())]
-    # A block's pieces come in order of key and bytes, so their place in the key counts up.
-    nth = np.arange(len(which))
-    new = np.ones(len(which), bool)
-    new[1:] = (which[1:] != which[:-1]) | (of[1:] != of[:-1])
-    nth = nth - np.maximum.accumulate(np.where(new, nth, 0))
-    number: dict[tuple[int, bytes], int] = {}
-    piece = np.array([number.setdefault(p, len(number)) for p in zip(which.tolist(), strings)], np.int64)
-    own = np.full(len(number), LAST)
-    np.minimum.at(own, piece, ids)
-    distinct = list(number)
-    order = sorted(range(len(distinct)), key=lambda k: distinct[k][0])
-    start = np.zeros(len(distinct), np.int64)
-    parts_ = [np.empty(0, np.int64)]
-    total = a = 0
-    while a < len(order):
-        b = min(a + COLLECTION, len(order))
-        # Pieces of one key stay together.
-        while b < len(order) and distinct[order[b]][0] == distinct[order[b - 1]][0]:
-            b += 1
-        part = order[a:b]
+    begin = np.cumsum(sizes) - sizes
+    order = np.lexsort((mark, which))
+    first = changes(which[order], mark[order])
+    piece = np.empty(len(which), np.int64)
+    piece[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(which))))
+    own = np.minimum.reduceat(ids[order], first)
+    at, length, of_key = begin[order[first]], sizes[order[first]], which[order[first]]
+    # Where a key's pieces begin; they stay together, and are COLLECTION at most or little more.
+    heads = np.append(changes(of_key), len(of_key))
+    start, parts, total, a = np.zeros(len(first), np.int64), [np.empty(0, np.int64)], 0, 0
+    while a < len(first):
+        b = int(heads[np.searchsorted(heads, min(a + COLLECTION, len(first)))])
         with tempfile.TemporaryDirectory() as folder:
-            got, starts = least_ids([distinct[k][1] for k in part], own[part], folder)
-        start[part] = total + starts[:-1]
-        parts_.append(got)
+            got, starts = least_ids(data[spread(at[a:b], length[a:b])], length[a:b], own[a:b], folder)
+        start[a:b] = total + starts[:-1]
+        parts.append(got)
         total += len(got)
         a = b
-    least = np.concatenate(parts_)
+    least = np.concatenate(parts)
     windows = sizes - WINDOW + 1
     # Windows of each row, and where their answer changes.
     row = np.repeat(np.arange(len(which)), windows)
     off = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
     value = least[start[piece][row] + off]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-    first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(row)))
+    first = changes(row, value)
+    run = np.diff(np.append(first, len(row)))
     keep = value[first] < ids[row[first]]
-    first, length = first[keep], length[keep]
+    first, run = first[keep], run[keep]
     r = row[first]
     blocks = table.column("block").to_numpy()
     cut = np.flatnonzero(np.diff(of[r])) + 1
-    return batch([(int(blocks[of[r[p[0]]]]), packed_keys(which[r[p]]), packed(nth[r[p]], np.uint32), packed(off[first[p]], np.uint8), packed(length[p], np.uint8), packed(value[first[p]], np.int64), b"") for p in np.split(np.arange(len(r)), cut) if len(p)] + hot, ANSWERS)
+    return batch(
+        [(int(blocks[of[r[p[0]]]]), b"", b"", packed_keys(which[r[p]]), packed(mark[r[p]], np.uint64), packed(off[first[p]], np.uint8), packed(run[p], np.uint8), packed(value[first[p]], np.int64)) for p in np.split(np.arange(len(r)), cut) if len(p)],
+        TOLD,
+    )
+
+
+def repeated(block: Block, told: pa.Table) -> np.ndarray:
+    """Which bytes of a block are covered by a window that an earlier document has."""
+    step = np.zeros(len(block.data) + 1, np.int32)
+
+    def mark(first: np.ndarray, windows: np.ndarray) -> None:
+        np.add.at(step, first, 1)
+        np.add.at(step, first + windows + WINDOW - 1, -1)
+
+    gone, hot = np.sort(keys_of(told, "gone")), np.sort(keys_of(told, "hot"))
+    lost = found_in(gone, block.key)
+    mark(block.first[lost], block.windows[lost])
+    begin, single, marks_ = block.split(hot)
+    # Pieces, and windows of hot keys, beside those that a row of the block with a smaller id has.
+    rest = np.flatnonzero(~lost & ~found_in(hot, block.key))
+    which, by = np.concatenate((block.key[rest], single)), np.concatenate((block.mark[rest], marks_))
+    first, windows = np.concatenate((block.first[rest], begin)), np.concatenate((block.windows[rest], np.ones(len(begin), np.int64)))
+    ids = block.ids[block.doc_of(first)]
+    order = np.lexsort((first, which, by))
+    heads = changes(which[order], by[order])
+    least = np.repeat(ids[order[heads]], np.diff(np.append(heads, len(order))))
+    late = order[ids[order] > least]
+    mark(first[late], windows[late])
+    # What other blocks' pieces tell of parts of a piece.
+    key, code = keys_of(told), concatenated(told, "marks", np.uint64)
+    by = by[order]
+    a, b = np.searchsorted(by, code, side="left"), np.searchsorted(by, code, side="right")
+    at, tells = order[spread(a, b - a)], np.repeat(np.arange(len(code)), b - a)
+    real = (which[at] == key[tells]) & (concatenated(told, "ids", np.int64)[tells] < ids[at])
+    at, tells = at[real], tells[real]
+    mark(first[at] + concatenated(told, "first", np.uint8)[tells], concatenated(told, "windows", np.uint8)[tells].astype(np.int64))
+    return np.cumsum(step[:-1]) > 0
 
 
 def cut_out(schema: pa.Schema):
@@ -482,51 +560,65 @@ def cut_out(schema: pa.Schema):
         if not left.num_rows:
             return schema.empty_table()
         block = Block(left)
-        told, nth = keys_of(right), concatenated(right, "nth", np.uint32)
-        found, shared = block.distinct_keys()
-        hot = np.sort(keys_of(right, "hot"))
-        here, strings = block.pieces(np.setdiff1d(np.union1d(told, found[shared]), hot))
-        begin, which, single = block.split(hot)
-        begin, many_windows = np.concatenate((block.first[here], begin)), np.concatenate((block.windows[here], np.ones(len(single), np.int64)))
-        owner = block.ids[np.searchsorted(block.starts, begin, side="right") - 1]
-        pieces = list(zip(np.concatenate((block.key[here], which)).tolist(), strings + single))
-        rank = nth_in_key(pieces)
-        answers: dict[tuple[int, int], list] = {}
-        for k, n, a, w, d in zip(told.tolist(), nth.tolist(), *(concatenated(right, c, t).tolist() for c, t in (("first", np.uint8), ("windows", np.uint8), ("ids", np.int64)))):
-            answers.setdefault((k, n), []).append((a, w, d))
-        # Where runs of repeated windows begin, and how many windows each has.
-        at, many = [], []
-        least: dict[tuple[int, bytes], int] = {}
-        for p, first, windows, d in zip(pieces, begin.tolist(), many_windows.tolist(), owner.tolist()):
-            if least.setdefault(p, d) < d:
-                at.append(first)
-                many.append(windows)
-            else:
-                for a, w, other in answers.get((p[0], rank[p]), ()):
-                    if other < d:
-                        at.append(first + a)
-                        many.append(w)
-        step = np.zeros(len(block.data) + 1, np.int32)
-        np.add.at(step, np.array(at, np.int64), 1)
-        np.add.at(step, np.array(at, np.int64) + np.array(many, np.int64) + WINDOW - 1, -1)
-        gone = np.cumsum(step[:-1]) > 0
+        gone = repeated(block, right)
         edge = np.ones(len(gone), bool)
         edge[1:] = gone[1:] != gone[:-1]
         edge[block.starts[:-1][block.sizes > 0]] = True
         spans = np.concatenate(([0], np.cumsum(gone & edge)))
         bytes_gone = np.concatenate(([0], np.cumsum(gone)))
-        kept = [block.data[a:b][~gone[a:b]].tobytes() for a, b in zip(block.starts[:-1].tolist(), block.starts[1:].tolist())]
         a, b = block.starts[:-1], block.starts[1:]
+        removed = bytes_gone[b] - bytes_gone[a]
+        kept = [(block.data[x:y][~gone[x:y]] if n else block.data[x:y]).tobytes() for x, y, n in zip(a.tolist(), b.tolist(), removed.tolist())]
         rows = left.take(pa.array(block.order))
         made = {
-            "n_bytes": block.sizes, "n_removed": bytes_gone[b] - bytes_gone[a], "n_spans": spans[b] - spans[a],
+            "doc_id": rows.column("_id").combine_chunks(), "n_bytes": block.sizes, "n_removed": removed, "n_spans": spans[b] - spans[a],
             "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept], "kept": kept, "kept_text": [x.decode("utf-8", "ignore") for x in kept] if "kept_text" in schema.names else None,
         }
-        return pa.Table.from_arrays([pa.array(made[f.name], f.type) if f.name in made else rows.column(f.name).combine_chunks() for f in schema], schema=schema)
+        carried = iter(rows.columns[3:])
+        return pa.Table.from_arrays([pa.array(made[f.name], f.type) if f.name in made else next(carried).combine_chunks() for f in schema], schema=schema)
 
     return run
 
 
+def blocks_by_id(docs: DataFrame, mb: int = BLOCK_MB, ranges: int = RANGES) -> tuple[Callable[[DataFrame], DataFrame], int, int, int]:
+    """A function that adds each row's block, the first block of rows without doc_id, how many blocks there are, and the bytes of all texts.
+
+    Blocks are ranges of doc_id with about mb MB of text each. Their ends are
+    quantiles, at most `ranges` of them; between two of these, blocks are of equal width.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    total, none = docs.agg(F.sum(size), F.sum(F.when(F.col("doc_id").isNull(), size))).first()
+    total, none = total or 0, none or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (mb << 20)))
+    cuts = min(n, ranges)
+    # A long text counts as several, so that blocks have equal shares of bytes rather than of rows.
+    weighed = docs.where("doc_id is not null").select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(size / 4096).cast("int"))))
+    found = weighed.agg(F.percentile_approx("doc_id", [k / cuts for k in range(1, cuts)] or [1.0], 20 * cuts), F.min("doc_id"), F.max("doc_id")).first()
+    ends = sorted({*(found[0] or [0]), found[2] or 0})
+    parts = -(-n // cuts)
+    # Range k has the ids over ends[k - 1] and up to ends[k]; k is found by halving.
+    bits = len(ends).bit_length()
+    padded = [*ends, *[LAST] * ((1 << bits) - len(ends))]
+    table = f"cast(split('{','.join(map(str, padded))}', ',') as array<bigint>)"
+    half = " ".join(f"when k = {k} then {1 << bits - 1 - k}" for k in range(bits))
+    place = F.expr(f"if(doc_id is null, null, aggregate(sequence(0, {bits - 1}), 0, (at, k) -> at + case when element_at({table}, cast(at + case {half} end as int)) < doc_id then case {half} end else 0 end))")
+    low = (found[1] or 0) - 1
+    if parts > 1:
+        lows = f"cast(split('{','.join(map(str, [low, *padded[:-1]]))}', ',') as array<bigint>)"
+        here, below = F.expr(f"element_at({table}, cast(_place + 1 as int))"), F.expr(f"element_at({lows}, cast(_place + 1 as int))")
+        within = F.least(F.floor((F.col("doc_id") - below - 1) / (here - below) * parts), F.lit(parts - 1))
+    last = len(ends) * parts
+    nulls = max(1, -(-none // (mb << 20)))
+    loose = F.pmod(F.xxhash64("text"), F.lit(nulls)) + last
+
+    def block(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_place", place)
+        at = F.col("_place") * parts + within if parts > 1 else F.col("_place")
+        return rows.withColumn("_block", F.coalesce(at, loose).cast("long")).drop("_place")
+
+    return block, last, last + nulls, total
+
+
 def remove_repeats(docs: DataFrame, carry: list[str] | None = None, kept: str = "kept binary") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, what is kept, and the columns to carry along.
 
@@ -535,14 +627,15 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, kept: str =
     from pyspark.sql.pandas.types import to_arrow_schema
 
     carry = carry or []
-    blocks = parts(docs, "text", 8)
-    n = parts(docs, "text", 16)
-    dealt = docs.select("doc_id", F.encode("text", "utf-8").alias("data"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long").alias("block"), *carry).repartition(blocks, "block")
-    whole = dealt.groupBy("block")
-    wanted = whole.applyInArrow(ask(n), ddl(KEYS)).groupBy("g").applyInArrow(choose, ddl(WANTED))
+    dealt_to, last, blocks, total = blocks_by_id(docs)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (GROUP_MB << 20)))
+    rows = dealt_to(docs.select("doc_id", "text", *(F.col(c).alias(f"_c{k}") for k, c in enumerate(carry))))
+    dealt = rows.select(F.col("doc_id").alias("_id"), F.encode("text", "utf-8").alias("_data"), "_block", *(f"_c{k}" for k in range(len(carry)))).repartition(blocks, "_block")
+    whole = dealt.groupBy("_block")
+    wanted = whole.applyInArrow(ask(n), ddl(KEYS)).groupBy("g").applyInArrow(choose(last), ddl(WANTED))
     pieces = whole.cogroup(wanted.groupBy("block")).applyInArrow(send(n), ddl(PIECES))
-    answers = pieces.groupBy("g").applyInArrow(answer, ddl(ANSWERS))
+    told = pieces.groupBy("g").applyInArrow(answer, ddl(TOLD)).unionByName(wanted.where("length(gone) + length(hot) > 0").select("block", "gone", "hot"), allowMissingColumns=True)
     fields = docs.sparkSession.createDataFrame([], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (kept and f", {kept}")).schema
     for c in carry:
-        fields = fields.add(docs.schema[c])
-    return whole.cogroup(answers.groupBy("block")).applyInArrow(cut_out(to_arrow_schema(fields)), fields)
+        fields = fields.add(f"carried_{c}" if c in fields.names else c, docs.schema[c].dataType)
+    return whole.cogroup(told.groupBy("block")).applyInArrow(cut_out(to_arrow_schema(fields)), fields)
