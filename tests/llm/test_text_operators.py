@@ -50,7 +50,7 @@ def test_encoding_of_random_texts(library):
     for alphabet in ("ab", "aeinrst'!", "abcdé ß'<|>%.12\n", "".join(map(chr, range(32, 1000)))):
         for _ in range(300):
             t = "".join(rand.choice(alphabet) for _ in range(rand.randint(0, 80)))
-            assert np.frombuffer(b"".join(enc.chunks(t)), np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids, t
+            assert np.frombuffer(b"".join(enc.words(t)), np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
 def test_columns_round_trip(spark, library):
@@ -198,6 +198,109 @@ def plain_spans(t):
     return sorted(out)
 
 
+def plain_bundle(text):
+    """One n-gram after another, each letter's vector shifted by its place from the n-gram's end."""
+    letters = "".join(c if c.isalpha() else "\0" for c in text.lower())
+    while "\0\0" in letters:
+        letters = letters.replace("\0\0", "\0")
+    out = np.zeros(language.SIZE)
+    for k in range(len(letters) - 2):
+        v = np.ones(language.SIZE)
+        for place, c in enumerate(reversed(letters[k : k + 3])):
+            v *= np.roll(language.letter_vector(ord(c)), place)
+        out += v
+    return out
+
+
+@pytest.mark.parametrize("limits", [(1 << 19, 2048), (7, 3)])
+def test_bundles_and_prototypes_by_hand(spark, monkeypatch, limits):
+    monkeypatch.setattr(language, "CHARS", limits[0])
+    monkeypatch.setattr(language, "GRAMS", limits[1])
+    texts = ["", "ab", "abc", " a--b  c ", "Straße über 12 Wege", "\u4e2d\u6587\u5b57\u7b26 a", "x" * 40, "-- --", "one\0two"]
+    assert np.abs(language.bundles(texts) - np.array([plain_bundle(t) for t in texts])).max() < 1e-3
+    rows = [(k, t, "pq"[k % 2]) for k, t in enumerate(texts)] + [(50, "abcd", None), (51, None, "p")]
+    names, vectors = language.prototypes(spark.createDataFrame(rows, DOC + ", lang string"))
+    assert names == ["p", "q"]
+    for name, v in zip(names, vectors):
+        made = sum(x / (np.linalg.norm(x) or 1) for _, t, lang in rows if lang == name and t is not None for x in [plain_bundle(t)])
+        assert np.abs(v - made / np.linalg.norm(made)).max() < 1e-3
+    found = {r["doc_id"]: r for r in language.predict(spark.createDataFrame(rows, DOC + ", lang string"), names, vectors).collect()}
+    for k, t, _ in rows:
+        if t and any(map(str.isalpha, t)) and len(t) > 2:
+            x = plain_bundle(t)
+            cosine = vectors @ x / (np.linalg.norm(x) or 1)
+            assert found[k]["lang_pred"] == names[int(cosine.argmax())] and abs(found[k]["score"] - max(0, cosine.max())) < 1e-3
+        elif not t or not any(map(str.isalpha, t)):
+            assert found[k]["lang_pred"] == "und" and found[k]["score"] == 0
+
+
+def plain_features(text):
+    """Hashes of words and of neighbouring pairs, byte by byte."""
+    m = (1 << 64) - 1
+    words, last = [], 0
+    for c in text:
+        kind = int(quality.KIND[c])
+        if kind and kind == last:
+            words[-1].append(c)
+        elif kind:
+            words.append([c])
+        last = kind
+    base, mix = int(quality.BASE), int(quality.MIX)
+    h = []
+    for w in words:
+        x = sum((c + 1) * pow(base, k, 1 << 64) for k, c in enumerate(w)) & m
+        h.append((x ^ x >> 32) * mix & m)
+    pairs = [mix if a == b else ((a * base & m) ^ b >> 7) * mix & m for a, b in zip(h, h[1:])]
+    return [x >> 64 - quality.BITS for x in h + pairs]
+
+
+def test_training_and_scores_by_hand():
+    rand = random.Random(3)
+    texts = [" ".join(rand.choice(["good", "fine,", "bad", "spam!!", "a1", "é"]) for _ in range(rand.randint(0, 12))).encode() for _ in range(60)]
+    labels = [int(b"good" in t) for t in texts]
+    for t in texts:
+        assert sorted(quality.features([t])[0].tolist()) == sorted(plain_features(t))
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0)) <= quality.L1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * quality.L1) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    def values(t):
+        f = plain_features(t)
+        return {i: f.count(i) * quality.SCALE / max(1, len(f)) for i in f} | {1 << quality.BITS: 1.0}
+
+    for _ in range(quality.EPOCHS):
+        for t, y in zip(texts, labels):
+            x = values(t)
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                step = ((n.get(i, 0) + g * g) ** 0.5 - n.get(i, 0) ** 0.5) / quality.ALPHA
+                z[i] = z.get(i, 0) + g - step * w[i]
+                n[i] = n.get(i, 0) + g * g
+    made = quality.train([quality.sparse(t) for t in texts], labels)
+    assert max(abs(made[i] - weight(i)) for i in z) < 1e-3 and np.count_nonzero(made) <= len(z)
+    plain = [1 / (1 + np.exp(-sum(made[i] * v for i, v in values(t).items()))) for t in texts]
+    assert np.abs(quality.scores(texts, made) - plain).max() < 1e-6
+
+
+def test_good_keeps_all_columns(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    rows = [(k, ("clear prose here " if k % 2 else "junk !! ## ") * 5) for k in range(200)] + [(None, None), (900, ""), (901, "clear prose here " * 20_000)]
+    docs = spark.createDataFrame(rows, DOC).selectExpr("doc_id", "'x' as score", "text", "map('a', 1) as m", "1.5 as doc_score")
+    weights = quality.fit(docs, labels)
+    kept = quality.good(docs, weights)
+    assert kept.columns == docs.columns
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, weights).collect()}
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert {901, *range(1, 200, 2)} <= set(ids) and not set(range(0, 200, 2)) & set(ids)
+    assert set(ids) == {k for k, s in scores.items() if s >= 0.5}
+    assert quality.good(docs.limit(0), weights).count() == 0
+
+
 def test_base_spans():
     rand = random.Random(5)
     for alphabet in ("ab1.9@+-%() \n_4", "0123456789 -", "0123456789.+", "a@."):

@@ -25,9 +25,11 @@ import ahocorasick
 import pyarrow as pa
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from vetta.llm.common import give_back
+
 WORD_BPE = "word_bpe_49k.json"
-# Words that a worker keeps, twice at most, about 250 bytes each: a worker stays far below the memory of an executor.
-CACHE_WORDS = 300_000
+# Words that a task keeps, twice at most, about 250 bytes each, and forgets at its end: a worker stays far below the memory of an executor.
+CACHE_WORDS = 150_000
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
@@ -82,7 +84,7 @@ class WordBpe:
                     self.halves[whole] = (left, right)
                     rank_of[whole] = rank
         self.rank = rank_of
-        self.known: dict[int, bool] = {}
+        self.known: dict[int, int] = {}
         # Entries that merging their own symbols doesn't give can't appear in an encoding.
         usable = {s: i for s, i in spelled.items() if len(s) == 1 or self.pair_fits(*self.halves[i], whole=i)}
         self.spelled = usable
@@ -101,68 +103,63 @@ class WordBpe:
         each step, a merge across it that ranks before the one undone last
         would have come first. whole: the pair's own merge is allowed.
         """
-        if whole < 0 and (got := self.known.get(left << 20 | right)) is not None:
-            return got
         a, b, rank, halves, limit = left, right, self.rank, self.halves, len(self.rank) + 1
-        fits = True
         while True:
             both = self.pairs.get((a, b))
             if both is not None and both != whole and rank[both] < limit:
-                fits = False
-                break
+                return False
             # A merge on the left side is done before one of the same rank on the right side.
-            if rank[a] > rank[b] or (rank[a] == rank[b] and a == b and rank[a]):
-                if rank[a] > rank[b]:
-                    limit, a = rank[a], halves[a][1]
-                else:
-                    limit, b = rank[b] + 1, halves[b][0]
+            if rank[a] > rank[b]:
+                limit, a = rank[a], halves[a][1]
             elif rank[b]:
                 limit, b = rank[b] + 1, halves[b][0]
             else:
-                break
-        if whole < 0:
+                return True
+
+    def fitting(self, left: int, i: int) -> int:
+        """The longest of entry i and its shorter prefixes that can stand after left (-1: nothing does), or -1; kept in the table of pairs."""
+        if i < 0 or left < 0:
+            return i
+        got = self.known.get(left << 20 | i)
+        if got is None:
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
-            self.known[left << 20 | right] = fits
-        return fits
+            got = self.known[left << 20 | i] = i if self.pair_fits(left, i) else self.fitting(left, self.shorter[i])
+        return got
 
     def encode_symbols(self, word: str) -> list[int]:
         """Ids of one pre-token, given as symbols."""
-        whole = self.spelled.get(word)
-        if whole is not None:
-            return [whole]
-        known, fits, length = self.known, self.pair_fits, self.length
-        # As long as the longest entries one after another fit, the walk takes them.
+        known, length, longest = self.known, self.length, self.automaton.iter_long
         ids: list[int] = []
-        at, last = 0, -1
-        for _, i in self.automaton.iter_long(word):
-            if last >= 0:
-                fit = known.get(last << 20 | i)
-                if not (fits(last, i) if fit is None else fit):
-                    break
-            ids.append(i)
-            at += length[i]
-            last = i
-        else:
-            return ids
-        n, shorter, longest = len(word), self.shorter, self.automaton.iter_long
-        open_ = bytearray(b"\1") * (n + 1)
+        at, last, n = 0, -1, len(word)
+        closed: set[int] = set()  # positions from which no way leads on
         while at < n:
-            to = at + length[i]
-            if open_[to]:
-                fit = known.get(ids[-1] << 20 | i) if ids else True
-                if fits(ids[-1], i) if fit is None else fit:
-                    ids.append(i)
-                    at = to
-                    if at < n:
-                        i = next(longest(word, at))[1]
-                    continue
-            if shorter[i] >= 0:
-                i = shorter[i]
+            # As long as the longest entries one after another fit, the walk takes them.
+            for _, i in longest(word, at):
+                if last < 0:
+                    j = i
+                elif (j := known.get(last << 20 | i)) is None:
+                    j = self.fitting(last, i)
+                if j != i or closed and at + length[i] in closed:
+                    break
+                ids.append(i)
+                at += length[i]
+                last = i
             else:
-                open_[at] = 0
-                i = ids.pop()
-                at -= length[i]
+                return ids
+            while True:
+                while j >= 0 and at + length[j] in closed:
+                    j = self.fitting(last, self.shorter[j])
+                if j >= 0:
+                    break
+                closed.add(at)
+                last = ids.pop()
+                at -= length[last]
+                j, last = self.shorter[last], ids[-1] if ids else -1
+                j = self.fitting(last, j)
+            ids.append(j)
+            at += length[j]
+            last = j
         return ids
 
     def encode_word(self, word: str) -> list[int]:
@@ -211,27 +208,16 @@ class Kept(dict):
 
 
 class Encoder:
-    """Encodes texts chunk by chunk, a chunk being what stands between spaces, and keeps what it has seen.
+    """Encodes texts word by word and keeps what it has seen. make(ids) gives what is kept for a word."""
 
-    make(ids) gives what is kept for a chunk, merge(parts) the same of what is kept for its words.
-    """
-
-    def __init__(self, path: str, make, merge):
-        self.bpe, self.make, self.merge = word_bpe(path), make, merge
-        self.chunk = Kept(self.of_chunk).__getitem__
-        self.word = Kept(lambda w: make(self.bpe.encode_word(w))).__getitem__
+    def __init__(self, path: str, make):
+        self.bpe, self.make = word_bpe(path), make
+        self.kept = Kept(lambda w: make(self.bpe.encode_word(w)))
+        self.word = self.kept.__getitem__
         self.special = re.compile("(" + "|".join(map(re.escape, self.bpe.specials)) + ")")
 
-    def of_chunk(self, chunk: str):
-        if chunk.isalpha():
-            return self.make(self.bpe.encode_word(chunk))
-        words = LATIN_WORD.findall(chunk)
-        if len(words) < 2:
-            return self.make([i for w in words for i in self.bpe.encode_word(w)])
-        return self.merge([self.chunk(w) for w in words])
-
-    def chunks(self, text: str) -> list:
-        """make(ids) of each chunk of a text, in order."""
+    def words(self, text: str) -> list:
+        """make(ids) of each word of a text, in order."""
         if "<|" in text:
             out = []
             for k, piece in enumerate(self.special.split(text)):
@@ -240,15 +226,22 @@ class Encoder:
         return self.plain(text)
 
     def plain(self, text: str) -> list:
-        try:
-            text.encode("latin-1")
-            plain = not ODD.search(text)
-        except UnicodeEncodeError:
-            plain = False
-        if plain:
-            return list(map(self.chunk, text.lower().split()))
+        if (text.isascii() or latin(text)) and not ODD.search(text):
+            return list(map(self.word, LATIN_WORD.findall(text.lower())))
         return [self.word(w) for w, _ in SPLIT.pre_tokenize_str(NORMAL.normalize_str(text))]
 
+    def forget(self) -> None:
+        self.kept.clear()
+        self.kept.old = {}
+
+
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
 
 @functools.lru_cache(4)
 def word_bpe(path: str) -> WordBpe:
@@ -257,20 +250,15 @@ def word_bpe(path: str) -> WordBpe:
 
 @functools.lru_cache(4)
 def bytes_encoder(path: str) -> Encoder:
-    """Chunks as their ids in little-endian 32-bit."""
-    return Encoder(path, lambda ids: array("I", ids).tobytes(), b"".join)
+    """Words as their ids in little-endian 32-bit."""
+    return Encoder(path, lambda ids: array("I", ids).tobytes())
 
 
 @functools.lru_cache(4)
 def text_encoder(path: str) -> Encoder:
-    """Chunks as (number of ids, decimal ids, decoded text)."""
+    """Words as (number of ids, decimal ids, decoded text)."""
     bpe = word_bpe(path)
-
-    def merge(parts):
-        n, ids, text = zip(*parts)
-        return sum(n), " ".join(ids), " ".join(text)
-
-    return Encoder(path, lambda ids: (len(ids), " ".join(map(str, ids)), bpe.decode(ids)), merge)
+    return Encoder(path, lambda ids: (len(ids), " ".join(map(str, ids)), bpe.decode(ids)))
 
 
 def encode_column(df, text: str = "text", path: str | None = None, out: str = "ids"):
@@ -284,7 +272,9 @@ def encode_column(df, text: str = "text", path: str | None = None, out: str = "i
         import numpy as np
 
         enc = bytes_encoder(path)
-        return texts.map(lambda t: np.frombuffer(b"".join(enc.chunks(t or "")), np.uint32).astype(np.int32))
+        out = texts.map(lambda t: np.frombuffer(b"".join(enc.words(t or "")), np.uint32).astype(np.int32))
+        enc.forget()
+        return out
 
     return df.withColumn(out, ids(F.col(text)))
 
@@ -314,10 +304,12 @@ def digests(df, path: str | None = None):
         for batch in batches:
             n, ids, text = [], [], []
             for t in batch.column(1):
-                got = [x for x in enc.chunks(t.as_py() or "") if x[0]]
+                got = [x for x in enc.words(t.as_py() or "") if x[0]]
                 n.append(sum([x[0] for x in got]))
                 ids.append(hashlib.sha256(" ".join([x[1] for x in got]).encode()).hexdigest())
                 text.append(hashlib.sha256(" ".join([x[2] for x in got]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.forget()
+        give_back()
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,7 +8,8 @@ prototype has the largest cosine with it; ties go to the first in alphabetical
 order.
 
 Texts: null counts as empty; a text without letters is `und` with score 0. Any
-length: memory follows the longest document. Null languages are not learned
+length: n-grams are counted CHARS at a time and bundled GRAMS different ones at
+a time, so beside the text's own code points memory is bounded. Null languages are not learned
 from. A null doc_id counts as the empty string in the fold. An empty table, or
 one without a learnable row, teaches nothing: every answer is `und`. Rows that
 repeat count each by itself; other columns are not read.
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetta.llm.common import crc_fold
+from vetta.llm.common import crc_fold, give_back
 
 SIZE = 1024
 GRAM = 3
-CHARS = 1 << 20  # characters handled at once
+CHARS, TEXTS, GRAMS = 1 << 19, 512, 2048  # characters, texts and different n-grams handled at once
 
 
 @functools.lru_cache(1)
@@ -36,41 +37,61 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-@functools.lru_cache(4096)
+@functools.lru_cache(8192)
 def letter_vector(code: int) -> np.ndarray:
     bits = np.random.Generator(np.random.Philox(key=code)).bytes(SIZE // 8)
     return (np.unpackbits(np.frombuffer(bits, np.uint8)).astype(np.int8) << 1) - 1
 
 
-def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of n-grams of letters, a row for each text, and the n-grams' vectors. What isn't a letter is a space; runs of it are one."""
-    code = np.frombuffer("\0".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum([len(t.lower()) + 1 for t in texts]) if len(texts) > 1 else np.array([len(code) + 1])
-    code = np.where(letters()[code], code, 0)
-    row = np.repeat(np.arange(len(texts)), np.diff(np.concatenate(([0], ends))))[: len(code)]
+def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts, one after another, and where each text's end. What isn't a letter is 0; runs of it are one."""
+    lower = [t.lower() for t in texts]
+    code = np.frombuffer("\0".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t) + 1 for t in lower])
+    code = np.where(letters()[code], code, np.uint32(0))
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != 0) | (code[:-1] != 0)
-    code, row = code[keep], row[keep]
-    if len(code) < GRAM:
-        return np.zeros((len(texts), 0), np.float32), np.zeros((0, SIZE), np.float32)
-    seen = np.unique(code)
-    at = np.zeros(int(seen[-1]) + 1, np.int64)
-    at[seen] = np.arange(len(seen))
-    code = at[code]
-    gram = code[: len(code) - GRAM + 1].copy()
-    for k in range(1, GRAM):
-        gram = gram * len(seen) + code[k : len(code) - GRAM + 1 + k]
-    row, last = row[: len(gram)], row[GRAM - 1 :]
-    gram, row = gram[row == last], row[row == last]
-    found, which = np.unique(gram, return_inverse=True) if len(seen) > 200 else dense_unique(gram, len(seen) ** GRAM)
-    counts = np.bincount(row * len(found) + which, minlength=len(texts) * len(found)).reshape(len(texts), -1).astype(np.float32)
-    base = np.stack([letter_vector(int(c)) for c in seen])
-    vectors = np.ones((len(found), SIZE), np.int8)
-    rest = found
+    # A text's closing 0 stays, so that none runs into the next.
+    keep[ends - 1] = True
+    return code[keep], np.cumsum(keep)[ends - 1] if len(texts) else ends
+
+
+def gram_vectors(grams: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The vectors of n-grams, given as numbers of the letters in `seen`."""
+    out = np.ones((len(grams), SIZE), np.int8)
     for k in range(GRAM):
-        vectors *= np.roll(base, k, axis=1)[rest % len(seen)]
-        rest = rest // len(seen)
-    return counts, vectors.astype(np.float32)
+        own, which = np.unique(grams % len(seen), return_inverse=True)
+        out *= np.roll(np.stack([letter_vector(int(c)) for c in seen[own]]), k, axis=1)[which]
+        grams = grams // len(seen)
+    return out.astype(np.float32)
+
+
+def bundles(texts: list[str]) -> np.ndarray:
+    """The bundled n-gram vectors of TEXTS texts at most, a row for each."""
+    out = np.zeros((len(texts), SIZE), np.float32)
+    code, ends = codes(texts)
+    for begin in range(0, len(code) - GRAM + 1, CHARS):
+        part = code[begin : begin + CHARS + GRAM - 1]
+        seen = np.unique(part)
+        at = np.zeros(int(seen[-1]) + 1, np.int64)
+        at[seen] = np.arange(len(seen))
+        part = at[part]
+        gram = part[: len(part) - GRAM + 1].copy()
+        for k in range(1, GRAM):
+            gram = gram * len(seen) + part[k : len(part) - GRAM + 1 + k]
+        row = np.searchsorted(ends, begin + np.arange(len(gram)), side="right")
+        # An n-gram ends at its text's last code point but one, the closing 0, at most; it has none of the next text.
+        same = begin + np.arange(len(gram)) + GRAM <= ends[np.minimum(row, len(ends) - 1)] - 1
+        gram, row = gram[same], row[same]
+        found, which = np.unique(gram, return_inverse=True) if len(seen) > 200 else dense_unique(gram, len(seen) ** GRAM)
+        order = np.argsort(which, kind="stable")
+        cuts = np.searchsorted(which[order], np.arange(0, len(found) + GRAMS, GRAMS))
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            some = order[a:b]
+            own = found[k * GRAMS : (k + 1) * GRAMS]
+            counts = np.bincount(row[some] * len(own) + which[some] - k * GRAMS, minlength=len(texts) * len(own))
+            out += counts.reshape(len(texts), -1).astype(np.float32) @ gram_vectors(own, seen)
+    return out
 
 
 def dense_unique(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +102,10 @@ def dense_unique(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slabs(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about CHARS characters, each with its first position."""
+    """Runs of TEXTS texts at most, of about CHARS characters, each with its first position."""
     first, held = 0, 0
     for k, t in enumerate(texts):
-        if held + len(t) > CHARS and k > first:
+        if (held + len(t) > CHARS or k - first == TEXTS) and k > first:
             yield first, texts[first:k]
             first, held = k, 0
         held += len(t)
@@ -96,19 +117,18 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in alphabetical order and their vectors, of length 1, from all rows of docs (lang, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundles: dict[str, np.ndarray] = {}
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             lang, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, some in slabs(text):
-                counts, vectors = gram_counts(some)
-                norm = np.sqrt((counts**2).sum(axis=1, keepdims=True))
-                counts /= np.maximum(norm, 1)
+                x = bundles(some)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
                 own = lang[first : first + len(some)]
-                for x in set(own):
-                    bundle = counts[[y == x for y in own]].sum(axis=0) @ vectors
-                    bundles[x] = bundles.get(x, 0) + bundle.astype(np.float64)
-        if bundles:
-            yield pa.RecordBatch.from_arrays([pa.array(list(bundles)), pa.array([x.tolist() for x in bundles.values()], pa.list_(pa.float64()))], ["lang", "vector"])
+                for y in set(own):
+                    sums[y] = sums.get(y, 0) + x[[z == y for z in own]].sum(axis=0, dtype=np.float64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], ["lang", "vector"])
+        give_back()
 
     known = docs.where("lang is not null and text is not null").select("lang", "text")
     sums = known.mapInArrow(run, "lang string, vector array<double>").select("lang", F.posexplode("vector").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
@@ -130,8 +150,7 @@ def predict(docs: DataFrame, names: list[str], vectors: np.ndarray) -> DataFrame
             texts = [t or "" for t in batch.column(1).to_pylist()]
             best, score = np.zeros(len(texts), np.int64), np.full(len(texts), -1.0)
             for first, some in slabs(texts):
-                counts, grams = gram_counts(some)
-                x = counts @ grams
+                x = bundles(some)
                 cosine = (x @ vectors.T) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
                 there = np.array([any(map(str.isalpha, t)) for t in some])
                 if len(names):
@@ -139,6 +158,7 @@ def predict(docs: DataFrame, names: list[str], vectors: np.ndarray) -> DataFrame
                     score[first : first + len(some)] = np.where(there, np.clip(cosine.max(axis=1), 0, 1), -1)
             pred = [names[b] if s >= 0 else "und" for b, s in zip(best, score)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(np.maximum(score, 0.0))], ["doc_id", "lang_pred", "score"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vetta.llm.bpe import bytes_encoder, tokenizer_path
-from vetta.llm.common import materialize
+from vetta.llm.common import give_back, materialize
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
@@ -43,13 +43,15 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = b"".join(enc.chunks(text.as_py() or "")) + END
+                ids = b"".join(enc.words(text.as_py() or "")) + END
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*rows)) if rows else [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.forget()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -4,8 +4,9 @@ A word is a run of letters and digits, or a run of other signs; spaces part
 words. Its hash is a polynomial of its bytes; words and pairs of neighbouring
 words (one feature for all pairs of equal words) are hashed to 2^BITS features, whose values are their shares of the
 document's n-grams. Training takes at most SAMPLE labelled rows, those whose
-doc_id hashes lowest, dealt to SHARDS tasks whose weights are averaged; the
-weights are the same however the table is partitioned.
+doc_id hashes lowest, dealt to SHARDS tasks, or more of them where their texts
+are over SHARD_BYTES each, whose weights are averaged; the weights are the same
+however the table is partitioned. A task keeps its texts as sparse counts.
 
 Texts: null counts as empty; an empty text has the bias alone as its score. Any
 length: memory follows the longest document. Labels that repeat a doc_id count
@@ -23,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetta.llm.common import crc_fold
+from vetta.llm.common import crc_fold, give_back
 
 BITS = 18
 SAMPLE = 24_000  # labelled rows at most
-SHARDS = 4
+SHARDS, SHARD_BYTES = 4, 64 << 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-6
 SCALE = 20.0
-BYTES = 1 << 20  # bytes handled at once
+BYTES = 1 << 18  # bytes handled at once
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -73,13 +74,15 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (every[order] >> np.uint64(64 - BITS)).astype(np.int64), np.bincount(of, minlength=len(texts))
 
 
-def train(texts: list[bytes], labels: list[int]) -> np.ndarray:
-    """Weights of the features, the bias last, by follow the regularised leader, coordinate by coordinate."""
-    found = []
-    for t in texts:
-        f, _ = features([t])
-        at, n = np.unique(f, return_counts=True)
-        found.append((np.append(at, 1 << BITS), np.append(n * (SCALE / max(1, len(f))), 1.0)))
+def sparse(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A text's features and their values, the bias last."""
+    f, _ = features([text])
+    at, n = np.unique(f, return_counts=True)
+    return np.append(at, 1 << BITS).astype(np.int32), np.append(n * (SCALE / max(1, len(f))), 1.0).astype(np.float32)
+
+
+def train(found: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> np.ndarray:
+    """Weights of the features, the bias last, by follow the regularised leader, coordinate by coordinate; found: sparse() of each text."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(at):
@@ -103,17 +106,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarra
     # At most SAMPLE rows of three numbers.
     picked = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    dealt = rows.repartition(SHARDS, F.pmod(F.col("h"), F.lit(SHARDS))).sortWithinPartitions("h", "doc_id", "text").select(F.encode(F.coalesce("text", F.lit("")), "utf-8"), "y")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(SHARDS, -(-size // SHARD_BYTES))
+    dealt = rows.repartition(shards, F.pmod(F.col("h"), F.lit(shards))).sortWithinPartitions("h", "doc_id", "text").select(F.encode(F.coalesce("text", F.lit("")), "utf-8"), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, ys = [], []
+        found, ys = [], []
         for batch in batches:
-            texts += [x.as_py() for x in batch.column(0)]
+            found += [sparse(x.as_buffer().to_pybytes()) for x in batch.column(0)]
             ys += batch.column(1).to_pylist()
-        if texts:
-            w = train(texts, ys)
+        if found:
+            w = train(found, ys)
             at = np.flatnonzero(w)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at]), pa.array(np.full(len(at), len(texts), np.int64))], ["at", "w", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at]), pa.array(np.full(len(at), len(found), np.int64))], ["at", "w", "n"])
+        del found
+        give_back()
 
     out, total = np.zeros((1 << BITS) + 1), 0
     # At most 2^BITS rows a shard; a shard weighs as many rows as it had.
@@ -141,13 +148,17 @@ def scores(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out + weights[-1], -35, 35)))
 
 
+def bytes_of(texts: pa.Array) -> list[bytes]:
+    return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts]
+
+
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id and score of every row, from the text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(texts, weights))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(bytes_of(batch.column(1)), weights))], ["doc_id", "score"])
+        give_back()
 
     return docs.select("doc_id", F.encode("text", "utf-8")).mapInArrow(run, "doc_id long, score double")
 
@@ -155,13 +166,14 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 def good(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """The documents, with all columns, that score 0.5 or more."""
 
-    @F.pandas_udf("double")
-    def of(texts):
-        import pandas as pd
+    at = docs.columns.index("text")
 
-        return pd.Series(scores([(t or "").encode() for t in texts], weights))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(bytes_of(batch.column(at)), weights) >= 0.5))
+        give_back()
 
-    return docs.where(of("text") >= 0.5)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:

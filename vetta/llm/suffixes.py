@@ -51,6 +51,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vetta.llm.common import give_back
+
 WINDOW = 50
 GRAM = 20
 SPAN = WINDOW - GRAM + 1  # strings of GRAM bytes in a window
@@ -514,6 +516,7 @@ def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     r = row[first]
     blocks = table.column("block").to_numpy()
     cut = np.flatnonzero(np.diff(of[r])) + 1
+    give_back()
     return batch(
         [(int(blocks[of[r[p[0]]]]), b"", b"", packed_keys(which[r[p]]), packed(mark[r[p]], np.uint64), packed(off[first[p]], np.uint8), packed(run[p], np.uint8), packed(value[first[p]], np.int64)) for p in np.split(np.arange(len(r)), cut) if len(p)],
         TOLD,
@@ -575,7 +578,10 @@ def cut_out(schema: pa.Schema):
             "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept], "kept": kept, "kept_text": [x.decode("utf-8", "ignore") for x in kept] if "kept_text" in schema.names else None,
         }
         carried = iter(rows.columns[3:])
-        return pa.Table.from_arrays([pa.array(made[f.name], f.type) if f.name in made else next(carried).combine_chunks() for f in schema], schema=schema)
+        out = pa.Table.from_arrays([pa.array(made[f.name], f.type) if f.name in made else next(carried).combine_chunks() for f in schema], schema=schema)
+        del block, gone, kept, made
+        give_back()
+        return out
 
     return run
 
