@@ -51,18 +51,18 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     code = np.where(letters()[code], code, np.uint32(0))
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != 0) | (code[:-1] != 0)
-    # A text's closing 0 stays, so that none runs into the next.
+    # A text's closing 0 and its first letter or space stay, so that its neighbours don't matter.
     keep[ends - 1] = True
-    return code[keep], np.cumsum(keep)[ends - 1] if len(texts) else ends
+    keep[ends[:-1]] = True
+    return code[keep], np.cumsum(keep)[ends - 1]
 
 
-def gram_vectors(grams: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """The vectors of n-grams, given as numbers of the letters in `seen`."""
+def gram_vectors(grams: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """The vectors of n-grams, given as numbers of the letters whose vectors are in base."""
     out = np.ones((len(grams), SIZE), np.int8)
     for k in range(GRAM):
-        own, which = np.unique(grams % len(seen), return_inverse=True)
-        out *= np.roll(np.stack([letter_vector(int(c)) for c in seen[own]]), k, axis=1)[which]
-        grams = grams // len(seen)
+        out *= np.roll(base[grams % len(base)], k, axis=1)
+        grams = grams // len(base)
     return out.astype(np.float32)
 
 
@@ -84,13 +84,14 @@ def bundles(texts: list[str]) -> np.ndarray:
         same = begin + np.arange(len(gram)) + GRAM <= ends[np.minimum(row, len(ends) - 1)] - 1
         gram, row = gram[same], row[same]
         found, which = np.unique(gram, return_inverse=True) if len(seen) > 200 else dense_unique(gram, len(seen) ** GRAM)
+        base = np.stack([letter_vector(int(c)) for c in seen])  # a row for each different letter
         order = np.argsort(which, kind="stable")
         cuts = np.searchsorted(which[order], np.arange(0, len(found) + GRAMS, GRAMS))
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             some = order[a:b]
             own = found[k * GRAMS : (k + 1) * GRAMS]
             counts = np.bincount(row[some] * len(own) + which[some] - k * GRAMS, minlength=len(texts) * len(own))
-            out += counts.reshape(len(texts), -1).astype(np.float32) @ gram_vectors(own, seen)
+            out += counts.reshape(len(texts), -1).astype(np.float32) @ gram_vectors(own, base)
     return out
 
 
