@@ -43,14 +43,42 @@ def fingerprint(cwe: Column, file: Column, function: Column, title: Column) -> C
     return F.sha2(F.concat_ws(":", F.upper(F.trim(F.coalesce(cwe, none))), F.trim(F.coalesce(file, none)), symbol, normal_title(F.coalesce(title, none))), 256)
 
 
-def glob(pattern: str) -> str:
-    """A glob as a regular expression: * and ? stop at a slash."""
-    return "^" + "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in pattern) + "$"
+TOKEN = re.compile(r"\\(?P<quoted>.)|\[(?P<no>\^?)(?P<set>(?:\\.|[^\]\\])+)\]|(?P<many>\*)|(?P<one>\?)|(?P<plain>[^\[\\])", re.DOTALL)
+
+
+def quoted(c: str) -> str:
+    """A character of a class for Java's engine."""
+    return c if c.isalnum() else "\\" + c
+
+
+def glob(pattern: str) -> str | None:
+    """A glob as a regular expression: * and ? stop at a slash, [a-z] and [^a-z] are one character, a backslash quotes. None if it is malformed."""
+    out, at = "^", 0
+    while at < len(pattern):
+        m = TOKEN.match(pattern, at)
+        if not m:
+            return None
+        if m["set"]:
+            pairs = re.findall(r"(\\.|[^\\])(?:-(\\.|[^\\]))?", m["set"], re.DOTALL)
+            if any("-" in pair for pair in pairs):
+                return None
+            ranges = [(a[-1], (b or a)[-1]) for a, b in pairs]
+            body = "".join(f"{quoted(a)}-{quoted(b)}" for a, b in ranges if a <= b)
+            out += f"[{m['no']}{body}]" if body else r"[\s\S]" if m["no"] else "(?!)"
+        else:
+            out += "[^/]*" if m["many"] else "[^/]" if m["one"] else re.escape(m["quoted"] or m["plain"])
+        at = m.end()
+    return out + "$"
 
 
 def glob_column(pattern: Column) -> Column:
-    escaped = F.regexp_replace(pattern, r"([\\.\[\]{}()+^$|])", r"\\$1")
-    return F.concat(F.lit("^"), F.replace(F.replace(escaped, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]")), F.lit("$"))
+    """glob() of a column, for the few rows of a table of globs; null where it is malformed, so that nothing matches."""
+
+    @F.pandas_udf("string")
+    def regex(patterns):
+        return patterns.map(lambda p: None if p is None else glob(p))
+
+    return regex(pattern)
 
 
 def base_name(path: Column) -> Column:

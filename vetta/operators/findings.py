@@ -17,13 +17,17 @@ from vetta.functions.columns import blank, filled, fingerprint, percentage, seve
 EXACT = "severity status confidence exploitability fix_priority cwe file created_by".split()
 
 
-def filter_findings(df: DataFrame, tag: str | None = None, **values) -> DataFrame:
-    """Rows with all given values; a tag is compared without case."""
+def filter_findings(df: DataFrame, tag: str | None = None, limit: int | None = None, offset: int = 0, **values) -> DataFrame:
+    """Rows with all given values; a tag is compared without case. limit, offset: a page of them in order of id."""
     if unknown := set(values) - set(EXACT):
         raise ValueError(f"no such filter: {sorted(unknown)}")
     for name, value in values.items():
         df = df.where(F.col(name) == value)
-    return df if tag is None else df.where(F.exists("tags", lambda t: F.lower(t) == tag.lower()))
+    df = df if tag is None else df.where(F.exists("tags", lambda t: F.lower(t) == tag.lower()))
+    if limit is None and not offset:
+        return df
+    page = df.orderBy("id").offset(offset)
+    return page if limit is None else page.limit(limit)
 
 
 def first_error(*rules: tuple[Column, str]) -> Column:
@@ -131,18 +135,24 @@ def same_file_hint(df: DataFrame, n: int = 5) -> DataFrame:
 CHANGES = {"status": "status", "severity_override": "severity", "confidence_override": "confidence", "fix_priority": "fix_priority", "exploitability": "exploitability", "duplicate_of": "duplicate_of"}
 
 
+ALLOWED = {"status": schemas.STATUS, "severity_override": tuple(schemas.SEVERITY), "confidence_override": schemas.CONFIDENCE, "fix_priority": schemas.FIX_PRIORITY, "exploitability": schemas.EXPLOITABILITY}
+
+
 def judged_decisions(decisions: DataFrame, findings: DataFrame) -> DataFrame:
-    """Decisions with their outcome: error (no id or a bad status), skipped (no such finding) or applied."""
+    """Decisions with their outcome: error (no id, a bad status, or a field that no finding may have), skipped (no such finding) or applied."""
     known = findings.select(F.col("id").alias("finding_id"), F.lit(True).alias("_known"))
-    bad = ~blank(F.col("status")) & ~F.col("status").isin(*schemas.STATUS)
+    wrong = lambda c, allowed: ~blank(F.col(c)) & ~F.col(c).isin(*allowed) if c in decisions.columns else F.lit(False)
+    bad = reduce(lambda a, b: a | b, [F.coalesce(wrong(c, allowed), F.lit(False)) for c, allowed in ALLOWED.items()])
     out = F.when(blank(F.col("finding_id")), "error").when(F.col("_known").isNull(), "skipped").when(bad, "error").otherwise("applied")
     return decisions.join(known, "finding_id", "left").withColumn("outcome", out).drop("_known")
 
 
 def apply_triage(findings: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Findings with the accepted decisions' fields; of several decisions the last that names a field counts. order: the column pos, if there is one."""
+    """Findings with the accepted decisions' fields; of several decisions the last (by pos, their place in the plan) that names a field counts."""
+    if "pos" not in decisions.columns:
+        raise ValueError("decisions need pos, their place in the plan: the last one counts")
     fields = [c for c in CHANGES if c in decisions.columns]
-    order = F.col("pos") if "pos" in decisions.columns else F.col("finding_id")
+    order = F.col("pos")
     last = [F.max_by(c, F.when(~blank(F.col(c)), order)).alias(f"_{c}") for c in fields]
     notes = F.sort_array(F.collect_list(F.when(~blank(F.col("reason")), F.struct(order.alias("at"), F.concat_ws(": ", "author", "reason").alias("note")))))
     merged = judged_decisions(decisions, findings).where("outcome = 'applied'").groupBy(F.col("finding_id").alias("id")).agg(*last, F.transform(notes, lambda x: x["note"]).alias("notes"))
@@ -153,7 +163,7 @@ def apply_triage(findings: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def patch_findings(findings: DataFrame, patch: DataFrame, author: str = "user") -> DataFrame:
     """One decision a finding, from its non-blank fields."""
-    return apply_triage(findings, patch.withColumn("author", F.lit(author)))
+    return apply_triage(findings, patch.withColumn("author", F.lit(author)).withColumn("pos", F.lit(0)))
 
 
 def update_findings(stored: DataFrame, changes: DataFrame, as_of: int) -> DataFrame:

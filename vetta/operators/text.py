@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vetta import schemas
-from vetta.functions.columns import any_of, base_name, extension, glob
+from vetta.functions.columns import any_of, base_name, blank, extension, glob, truncate_bytes
 from vetta.functions.sizes import small
 
+MOST_BYTES = 1 << 20  # of a file that is searched
+
 
 def lines(files: DataFrame, keep_last: bool = True) -> DataFrame:
     """(path, line_no, text): lines from 1. keep_last: an ending newline makes an empty last line, and \\r stays; else neither."""
@@ -25,7 +27,12 @@ def read_lines(rows: DataFrame, path: str, first: int, last: int) -> DataFrame:
 
 
 def grep(rows: DataFrame, pattern: str, regex: bool = False, ignore_case: bool = False, file_glob: str | None = None, context: int = 0, limit: int | None = None) -> DataFrame:
-    """Lines that match: path, line_no, column (from 1), trimmed text, and the lines around with `> ` before the hit."""
+    """Lines that match: path, line_no, column (from 1), trimmed text, and the lines around with `> ` before the hit.
+
+    Binary files (by extension) are left out, and files over MOST_BYTES where rows have the column size.
+    """
+    rows = rows.where(~extension(F.col("path")).isin(*schemas.BINARY))
+    rows = rows.where(F.coalesce("size", F.lit(0)) <= MOST_BYTES) if "size" in rows.columns else rows
     flags = "(?i)" if ignore_case else ""
     if regex:
         hit, at = F.col("text").rlike(flags + pattern), F.regexp_instr("text", F.lit(flags + pattern))
@@ -47,8 +54,13 @@ def symbol_refs(rows: DataFrame, name: str, limit: int = 100) -> DataFrame:
     return grep(rows, name, limit=limit)
 
 
-def find_paths(files: DataFrame, pattern: str, ignore_case: bool = False, depth: int | None = None) -> DataFrame:
-    """Paths whose last part matches a glob, or contains the pattern if it has no * or ?."""
+def find_paths(files: DataFrame, pattern: str, ignore_case: bool = False, depth: int | None = None, kind: str | None = None) -> DataFrame:
+    """Paths whose last part matches a glob, or contains the pattern if it has no * or ?. kind: file or dir, by the column is_dir (files where there is none)."""
+    if kind not in (None, "file", "dir"):
+        raise ValueError(f"kind must be file or dir: {kind}")
+    if kind:
+        is_dir = F.coalesce("is_dir", F.lit(False)) if "is_dir" in files.columns else F.lit(False)
+        files = files.where(is_dir if kind == "dir" else ~is_dir)
     name = base_name(F.col("path"))
     if ignore_case:
         name, pattern = F.lower(name), pattern.lower()
@@ -59,7 +71,7 @@ def find_paths(files: DataFrame, pattern: str, ignore_case: bool = False, depth:
 def list_dir(files: DataFrame, directory: str, depth: int = 1) -> DataFrame:
     """What stands in a directory, as (path, is_dir), directories first; hidden and ignored ones are left out."""
     start = directory.rstrip("/") + "/" if directory else ""
-    parts = F.split(F.substring(F.col("path"), len(start) + 1, 1 << 20), "/")
+    parts = F.split(F.substr(F.col("path"), F.lit(len(start) + 1)), "/")
     rows = files.where(F.col("path").startswith(start)).select(parts.alias("parts"))
     seen = rows.select(F.explode(F.sequence(F.lit(1), F.least(F.size("parts"), F.lit(depth)))).alias("n"), "parts")
     entries = seen.select(F.concat(F.lit(start), F.array_join(F.slice("parts", 1, F.col("n")), "/")).alias("path"), (F.col("n") < F.size("parts")).alias("is_dir"), F.slice("parts", 1, F.col("n")).alias("own"))
@@ -141,10 +153,11 @@ def split_units(units: DataFrame, max_lines: int = 100, overlap: int = 5) -> Dat
     )
 
 
-def embedding_text(chunks: DataFrame, max_chars: int = 2000) -> DataFrame:
-    """What is embedded of a chunk: type and name, its parent, and the head of its content."""
-    body = F.when(F.length("content") > max_chars, F.concat(F.left("content", F.lit(max_chars)), F.lit("..."))).otherwise(F.col("content"))
-    return chunks.withColumn("embedding_text", F.concat_ws("\n", F.concat_ws(" ", "type", "name"), F.when(F.col("parent_name").isNotNull(), F.concat(F.lit("in "), "parent_name")), body))
+def embedding_text(chunks: DataFrame, max_bytes: int = 2000) -> DataFrame:
+    """What is embedded of a chunk: type and name, its signature where that tells more, its parent, and the head of its content in bytes of UTF-8."""
+    signature = F.when(~blank(F.col("signature")) & (F.col("signature") != F.col("name")), F.col("signature")) if "signature" in chunks.columns else F.lit(None).cast("string")
+    parent = F.when(F.col("parent_name").isNotNull(), F.concat(F.lit("in "), "parent_name"))
+    return chunks.withColumn("embedding_text", F.concat_ws("\n", F.concat_ws(" ", "type", "name"), signature, parent, truncate_bytes(F.col("content"), max_bytes, "...")))
 
 
 def cap_per_file(chunks: DataFrame, n: int = 500) -> DataFrame:

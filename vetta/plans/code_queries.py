@@ -9,7 +9,7 @@ from vetta.catalog import query
 from vetta.operators import flow, records, scoring, text, vectors
 from vetta.plans.fixtures import AS_OF, CWES, view
 from vetta.plans.text_queries import LINES, docs
-from vetta.schemas import CWE_HINTS, CWE_PAIRS, FAST_PRIORITY, RECALL_WEIGHT
+from vetta.schemas import CWE_HINTS, CWE_PAIRS, FAST_PRIORITY, RECALL_WEIGHT, REQUEST_SOURCE
 
 # Prose has no code, so words of it stand for sources, sinks, guards and assignments.
 SOURCE, SINK = "ering", "thnt"
@@ -59,24 +59,33 @@ def agg15_summary(spark, d):
     return flow.chain_summary(judged(spark, d))
 
 
-CALLS = "case doc_id % 5 when 0 then 'cursor.execute(\"select\", (x,))' when 1 then 'os.system(\"ls \" + x)' when 2 then 'cursor.execute(f\"select {x}\")' when 3 then 'eval(x)' else 'subprocess.run(x' end"
+# Each line of the documents, its letters and spaces only, in a call; every class and every shape of arguments by turns.
+WORDS = "regexp_replace(text, '[^A-Za-z ]', ''{g})"
+SHAPES = """case line_no % 5 when 0 then 'cursor.execute("' || {w} || '", (x,))' when 1 then 'os.system("' || {w} || '" + x)' when 2 then 'cursor.execute(f"' || {w} || ' {{x}}")' when 3 then 'eval(' || {w} || 'x)' else 'subprocess.run("' || {w} || '"' end"""
+CLASSES = """case line_no % 13 when 0 then 'db.session.execute(q)' when 1 then 'pty.spawn(x)' when 2 then '__import__ (x)' when 3 then 'jsonpickle.decode(x)' when 4 then 'xml.dom.pulldom.parseString(x)' when 5 then 'tree.xpath(x)'
+    when 6 then 'conn.modify_dn(x)' when 7 then 'HttpResponseRedirect(x)' when 8 then 'Environment().from_string(x)' when 9 then 'x|safe' when 10 then '"a \\\\" {{b}} c".format(x)' when 11 then 'pathlib.Path(x)' else 'x' end || ' # ' || {w}"""
 
 
-@query("select doc_id, case doc_id % 5 when 0 then 'guarded' when 1 then 'unguarded' when 2 then 'unguarded' else '' end as args from documents")
+def called(spark, d, shape):
+    return text.lines(docs(spark, d)).withColumn("text", F.expr(shape.format(w=WORDS.format(g=""))))
+
+
+@query(f"with {LINES} select path, line_no, case line_no % 5 when 0 then 'guarded' when 1 then 'unguarded' when 2 then 'unguarded' else '' end as args from fx_lines")
 def flow3_arguments(spark, d):
-    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr(CALLS).alias("text"))
-    return flow.classify_sink_args(rows, flow.sink_pattern()[0]).select("doc_id", "args")
+    return flow.classify_sink_args(called(spark, d, SHAPES), flow.sink_pattern()[0]).select("path", "line_no", "args")
 
 
-@query("select doc_id, case doc_id % 5 when 0 then 'sqli' when 1 then 'cmdi' when 2 then 'sqli' when 3 then 'codeexec' else 'cmdi' end as class from documents")
+@query(f"with {LINES} select path, line_no, case line_no % 13 when 0 then 'sqli' when 1 then 'cmdi' when 2 then 'codeexec' when 3 then 'deserialization' when 4 then 'xxe' when 5 then 'xpath' when 6 then 'ldap' when 7 then 'redirect' when 8 then 'template' when 9 then 'xss' when 10 then 'xss' when 11 then 'pathtrav' end as class from fx_lines")
 def flow5_sinks(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", flow.sink_class(F.expr(CALLS)).alias("class"))
+    return called(spark, d, CLASSES).select("path", "line_no", flow.sink_class(F.col("text")).alias("class"))
 
 
-LABELS = "case doc_id % 3 when 0 then 'SOURCE: request.args SINK: cur.execute' when 1 then 'none' else description end"
+LABELS = """case doc_id % 4 when 0 then 'x' || chr(10) || '  SOURCE: line 3 request.args("q")' || chr(10) || 'SINK: cur.execute(x)' when 1 then 'SOURCE: input( ) by wrapped.get_form_parameter("a")' when 2 then 'uses a Wrapper' else description end"""
+CWE_CLASS = "case upper(cwe) when 'CWE-89' then 'sqli' when 'CWE-78' then 'cmdi' when 'CWE-94' then 'codeexec' when 'CWE-502' then 'deserialization' when 'CWE-611' then 'xxe' when 'CWE-601' then 'redirect' when 'CWE-79' then 'xss' when 'CWE-22' then 'pathtrav' else 'sqli,cmdi,codeexec,deserialization,xxe,xpath,ldap,redirect,template,xss' end"
 
 
-@query("select id, case doc_id % 3 when 0 then 'request\\.args' else '' end as source_pattern, case doc_id % 3 when 0 then 'cur\\.execute' else '' end as sink_pattern, case when doc_id % 3 = 0 then '' else case upper(cwe) when 'CWE-89' then 'sqli' when 'CWE-78' then 'cmdi' when 'CWE-94' then 'codeexec' when 'CWE-502' then 'deserialization' when 'CWE-611' then 'xxe' when 'CWE-601' then 'redirect' when 'CWE-79' then 'xss' when 'CWE-22' then 'path_traversal' else '' end end as sink_classes from fx_findings", "findings")
+@query(f"""select id, case doc_id % 4 when 0 then 'request.args|' when 1 then 'wrapped.get_form_parameter|wrapped\\.get_form_parameter|' when 2 then '\\w+\\.get_(form|query|cookie|header)_parameter|' else '' end || '{REQUEST_SOURCE}' as source_pattern,
+    case doc_id % 4 when 0 then 'cur.execute' else '' end as sink_pattern, case when doc_id % 4 = 0 then '' else {CWE_CLASS} end as sink_classes from fx_findings""", "findings")
 def flow6_infer(spark, d):
     rows = view(spark, d, "findings").withColumn("description", F.expr(LABELS))
     return flow.infer_patterns(rows).select("id", "source_pattern", "sink_pattern", "sink_classes")

@@ -8,8 +8,8 @@ from vetta.catalog import query
 from vetta.functions.columns import severity_rank
 from vetta.operators import findings as op
 from vetta.operators import suppress as sup
-from vetta.plans.fixtures import AS_OF, view
-from vetta.schemas import STATUS, TITLE_STOPWORDS
+from vetta.plans.fixtures import AS_OF, pick, view
+from vetta.schemas import EXPLOITABILITY, FIX_PRIORITY, STATUS, TITLE_STOPWORDS
 
 WORDS = ", ".join(f"'{w}'" for w in TITLE_STOPWORDS)
 RANK = "case lower(severity) when 'critical' then 5 when 'high' then 4 when 'medium' then 3 when 'low' then 2 when 'info' then 1 else 0 end"
@@ -74,17 +74,29 @@ def spoiled(spark, d):
     """Findings with faults planted by doc_id."""
     spoil = lambda c, n, v: F.when(F.col("doc_id") % n == 1, F.lit(v)).otherwise(F.col(c))
     rows = view(spark, d, "findings")
-    return rows.withColumn("title", spoil("title", 19, " ")).withColumn("file", spoil("file", 23, "")).withColumn("severity", F.when(F.col("doc_id") % 29 == 1, "urgent").when(F.col("doc_id") % 31 == 1, "").otherwise(F.upper("severity"))).withColumn("confidence", spoil("confidence", 7, "")).withColumn("line_start", F.when(F.col("doc_id") % 37 == 1, 0).otherwise(F.col("line_start")))
+    return rows.withColumn("title", spoil("title", 19, " ")).withColumn("file", spoil("file", 23, "")).withColumn("severity", F.when(F.col("doc_id") % 29 == 1, "urgent").when(F.col("doc_id") % 31 == 1, "").otherwise(F.upper("severity"))).withColumn("confidence", spoil("confidence", 7, "")).withColumn("line_start", F.when(F.col("doc_id") % 37 == 1, 0).otherwise(F.col("line_start"))).withColumns({c: F.expr(TURNS[c]) for c in TURNS})
 
 
-SPOILED = """s as (select doc_id, id, case when doc_id % 19 = 1 then ' ' else title end as title, case when doc_id % 23 = 1 then '' else file end as file,
+def turns(n: str, values) -> str:
+    """Each value by turns, then the empty string and a wrong one."""
+    return pick(n, *values, "", "wrong")
+
+
+TURNS = {"status": turns(f"doc_id % {len(STATUS) + 2}", STATUS), "exploitability": turns(f"doc_id % {len(EXPLOITABILITY) + 2}", EXPLOITABILITY), "fix_priority": turns(f"doc_id div 7 % {len(FIX_PRIORITY) + 2}", FIX_PRIORITY)}
+# Literals, so that the values are told twice.
+STATUS_SQL = "case doc_id % 7 when 0 then 'open' when 1 then 'confirmed' when 2 then 'false_positive' when 3 then 'fixed' when 4 then 'duplicate' when 5 then '' else 'wrong' end"
+EXPLOIT_SQL = "case doc_id % 7 when 0 then 'proven' when 1 then 'likely' when 2 then 'possible' when 3 then 'unlikely' when 4 then 'unknown' when 5 then '' else 'wrong' end"
+FIX_SQL = "case doc_id // 7 % 7 when 0 then 'immediate' when 1 then 'high' when 2 then 'medium' when 3 then 'low' when 4 then 'defer' when 5 then '' else 'wrong' end"
+
+
+SPOILED = f"""s as (select doc_id, id, {STATUS_SQL} as status, {EXPLOIT_SQL} as exploitability, {FIX_SQL} as fix_priority, case when doc_id % 19 = 1 then ' ' else title end as title, case when doc_id % 23 = 1 then '' else file end as file,
     case when doc_id % 29 = 1 then 'urgent' when doc_id % 31 = 1 then '' else severity end as severity, case when doc_id % 7 = 1 then 'medium' else confidence end as confidence,
     case when doc_id % 37 = 1 then 0 else line_start end as line_start, created_by, created_at, source_of from (select *, split_part(file, '/', 2) as source_of from fx_findings) as f)"""
 
 
-@query(f"with {SPOILED} select id, severity, confidence, case when trim(title) = '' then 'title is required' when trim(file) = '' then 'file is required' when severity not in ('', 'critical', 'high', 'medium', 'low', 'info') then 'invalid severity' when line_start < 1 then 'line_start must be at least 1' end as error from s", "findings")
+@query(f"with {SPOILED} select id, severity, confidence, status, exploitability, fix_priority, case when trim(title) = '' then 'title is required' when trim(file) = '' then 'file is required' when severity not in ('', 'critical', 'high', 'medium', 'low', 'info') then 'invalid severity' when status not in ('', 'open', 'confirmed', 'false_positive', 'fixed', 'duplicate') then 'invalid status' when exploitability not in ('', 'proven', 'likely', 'possible', 'unlikely', 'unknown') then 'invalid exploitability' when fix_priority not in ('', 'immediate', 'high', 'medium', 'low', 'defer') then 'invalid fix_priority' when line_start < 1 then 'line_start must be at least 1' end as error from s", "findings")
 def fil2_validate(spark, d):
-    return op.validate_findings(spoiled(spark, d)).select("id", "severity", "confidence", "error")
+    return op.validate_findings(spoiled(spark, d)).select("id", "severity", "confidence", "status", "exploitability", "fix_priority", "error")
 
 
 NAMES = "case doc_id % 9 when 0 then 'human:' when 1 then 'human:ann' when 2 then 'bot:claude' when 3 then 'agent:agent:' || created_by when 4 then 'nobody' when 5 then '' else created_by end"
@@ -133,8 +145,8 @@ def rec6_same_file(spark, d):
     return op.same_file_hint(view(spark, d, "findings")).select("id", "others", "more", "first_others")
 
 
-STATUSES = ", ".join(f"'{s}'" for s in STATUS)
-JUDGED = f"""j as (select d.*, case when trim(finding_id) = '' then 'error' when f.id is null then 'skipped' when d.status not in ({STATUSES}) then 'error' else 'applied' end as outcome
+STATUSES = "'open', 'confirmed', 'false_positive', 'fixed', 'duplicate'"
+JUDGED = f"""j as (select d.*, case when trim(finding_id) = '' then 'error' when f.id is null then 'skipped' when d.status not in ({STATUSES}) then 'error' when severity_override not in ('', 'critical', 'high', 'medium', 'low', 'info') then 'error' else 'applied' end as outcome
     from fx_decisions as d left join (select id from fx_findings) as f on f.id = d.finding_id)"""
 
 

@@ -44,7 +44,7 @@ SQL = {
             {AS_OF} + case when doc_id % 100 = 3 then 864000 else -864000 end as expires, 'lead' as approved_by, 1000 + doc_id as pos
         from (select doc_id, id as of_id from {{findings}} where doc_id % 50 = 3) as f
         union all select 'EXC-G1', '', 'src/src3/*.py', 'CWE-22', 'legacy', {AS_OF} + 864000, 'lead', 1
-        union all select 'EXC-G2', '', 'm1?.py', 'cwe-89', 'tests', {AS_OF} + 86400, 'lead', 2
+        union all select 'EXC-G2', '', 'm[1-2]?.py', 'cwe-89', 'tests', {AS_OF} + 86400, 'lead', 2
         union all select 'EXC-G3', '', 'm2*.py', 'CWE-79', 'old', {AS_OF} - 86400, 'lead', 3
         union all select 'EXC-G4', '', 'src/src3/*.py', 'CWE-22', 'later', {AS_OF} + 1728000, '', 4""",
     "changed": "select distinct file from {findings} where doc_id % 37 % 3 = 0",
@@ -52,7 +52,7 @@ SQL = {
         select case when doc_id % 45 = 0 then '' when doc_id % 45 = 9 then 'FIND-none' || cast(doc_id as string) else id end as finding_id,
             case when doc_id % 27 = 18 then 'bogus' else {pick("doc_id % 3", "confirmed", "false_positive", "fixed")} end as status,
             case when doc_id % 2 = 0 then 'seen in review' else '' end as reason,
-            case when doc_id % 7 = 0 then 'high' else '' end as severity_override, 'triager' as author
+            case when doc_id % 63 = 0 then 'urgent' when doc_id % 7 = 0 then 'high' else '' end as severity_override, 'triager' as author, doc_id as pos
         from {{findings}} where doc_id % 9 = 0""",
     "memories": """
         select cast(conv_id as string) || '-' || cast(turn as string) as name,

@@ -58,10 +58,16 @@ def level_severity(level: Column) -> Column:
 
 def relativize(uri: Column, root: str) -> Column:
     """A path relative to root, without file:// and ./; paths outside root stay as they are."""
-    plain = F.regexp_replace(F.regexp_replace(uri, "^file://", ""), r"^(?:\./)+", "")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"/\./", "/"), "//+", "/")
+    raw = F.regexp_replace(uri, "^file://", "")
+    rooted = raw.startswith("/")
+    none = F.array().cast("array<string>")
+    # a/../b is b; .. at the root is the root, and at the start of a relative path it stays.
+    up = lambda a: (F.size(a) > 0) & (F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("")) != "..")
+    step = lambda a, x: F.when((x == "") | (x == "."), a).when((x == "..") & up(a), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when((x == "..") & rooted, a).otherwise(F.concat(a, F.array(x)))
+    parts = F.array_join(F.aggregate(F.split(raw, "/"), none, step), "/")
+    plain = F.when(rooted, F.concat(F.lit("/"), parts)).otherwise(parts)
     inside = root.rstrip("/") + "/"
-    return F.when(plain.startswith(inside), F.substring(plain, len(inside) + 1, 1 << 20)).otherwise(plain)
+    return F.when(plain.startswith(inside), F.substr(plain, F.lit(len(inside) + 1))).otherwise(plain)
 
 
 def sarif_to_findings(docs: DataFrame, root: str = "/") -> DataFrame:
