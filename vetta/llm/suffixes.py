@@ -61,6 +61,7 @@ SLAB = 1 << 16  # bytes hashed at once
 BLOCK_MB, GROUP_MB = 8, 16  # of text: a block, and what a group of keys or pieces comes from
 RANGES = 20_000  # quantiles of doc_id at most; more blocks than that are parts of equal width between two of them
 COLLECTION = 1 << 13  # pieces built together; a key with more is dealt window by window
+ROWS = 1 << 15  # pieces of blocks that are answered at once
 COUNTED = 8  # pieces of a key in a block from which they are counted; fewer count as two
 END = 255  # no byte of UTF-8
 KEY = 6  # bytes of a key, and of a mark in pass 1
@@ -505,22 +506,26 @@ def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         a = b
     least = np.concatenate(parts)
     windows = sizes - WINDOW + 1
-    # Windows of each row, and where their answer changes.
-    row = np.repeat(np.arange(len(which)), windows)
-    off = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    value = least[start[piece][row] + off]
-    first = changes(row, value)
-    run = np.diff(np.append(first, len(row)))
-    keep = value[first] < ids[row[first]]
-    first, run = first[keep], run[keep]
-    r = row[first]
     blocks = table.column("block").to_numpy()
-    cut = np.flatnonzero(np.diff(of[r])) + 1
+    rows = []
+    # A row's windows stand side by side; a change of the answer begins a new run. So many rows at a time.
+    for a in range(0, len(which), ROWS):
+        b = min(a + ROWS, len(which))
+        row = np.repeat(np.arange(a, b), windows[a:b])
+        off = np.arange(len(row)) - np.repeat(np.cumsum(windows[a:b]) - windows[a:b], windows[a:b])
+        value = least[start[piece[row]] + off]
+        first = changes(row, value)
+        run = np.diff(np.append(first, len(row)))
+        keep = value[first] < ids[row[first]]
+        first, run = first[keep], run[keep]
+        r = row[first]
+        for p in np.split(np.arange(len(r)), np.flatnonzero(np.diff(of[r])) + 1):
+            if len(p):
+                rows.append((int(blocks[of[r[p[0]]]]), b"", b"", packed_keys(which[r[p]]), packed(mark[r[p]], np.uint64), packed(off[first[p]], np.uint8), packed(run[p], np.uint8), packed(value[first[p]], np.int64)))
+    out = batch(rows, TOLD)
+    del least, data, rows
     give_back()
-    return batch(
-        [(int(blocks[of[r[p[0]]]]), b"", b"", packed_keys(which[r[p]]), packed(mark[r[p]], np.uint64), packed(off[first[p]], np.uint8), packed(run[p], np.uint8), packed(value[first[p]], np.int64)) for p in np.split(np.arange(len(r)), cut) if len(p)],
-        TOLD,
-    )
+    return out
 
 
 def repeated(block: Block, told: pa.Table) -> np.ndarray:
@@ -553,7 +558,7 @@ def repeated(block: Block, told: pa.Table) -> np.ndarray:
     real = (which[at] == key[tells]) & (concatenated(told, "ids", np.int64)[tells] < ids[at])
     at, tells = at[real], tells[real]
     mark(first[at] + concatenated(told, "first", np.uint8)[tells], concatenated(told, "windows", np.uint8)[tells].astype(np.int64))
-    return np.cumsum(step[:-1]) > 0
+    return np.cumsum(step[:-1], dtype=np.int32, out=step[:-1]) > 0
 
 
 def cut_out(schema: pa.Schema):
@@ -567,14 +572,13 @@ def cut_out(schema: pa.Schema):
         edge = np.ones(len(gone), bool)
         edge[1:] = gone[1:] != gone[:-1]
         edge[block.starts[:-1][block.sizes > 0]] = True
-        spans = np.concatenate(([0], np.cumsum(gone & edge)))
-        bytes_gone = np.concatenate(([0], np.cumsum(gone)))
+        edge &= gone
         a, b = block.starts[:-1], block.starts[1:]
-        removed = bytes_gone[b] - bytes_gone[a]
+        removed, spans = (np.array([np.count_nonzero(x[i:j]) for i, j in zip(a.tolist(), b.tolist())], np.int64) for x in (gone, edge))
         kept = [(block.data[x:y][~gone[x:y]] if n else block.data[x:y]).tobytes() for x, y, n in zip(a.tolist(), b.tolist(), removed.tolist())]
         rows = left.take(pa.array(block.order))
         made = {
-            "doc_id": rows.column("_id").combine_chunks(), "n_bytes": block.sizes, "n_removed": removed, "n_spans": spans[b] - spans[a],
+            "doc_id": rows.column("_id").combine_chunks(), "n_bytes": block.sizes, "n_removed": removed, "n_spans": spans,
             "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept], "kept": kept, "kept_text": [x.decode("utf-8", "ignore") for x in kept] if "kept_text" in schema.names else None,
         }
         carried = iter(rows.columns[3:])
