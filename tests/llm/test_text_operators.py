@@ -376,3 +376,98 @@ def test_broken_archives_are_told():
         list(warc.inflate(warc.deflate(b"abc" * 1000)[:-9]))
     with pytest.raises(ValueError):
         list(warc.records(iter([warc.record(1, "u", b"x", None)[:-3]])))
+
+
+def plain_learn(rows, support, confidence):
+    """Rounds of scoring over sets, until a round names nothing."""
+    edges = {(p, i) for i, _, p in rows}
+    known = {(i, k): 1.0 for i, k, _ in rows if k}
+    while True:
+        found = {}
+        for p in {p for p, _ in edges}:
+            own = {i for q, i in edges if q == p}
+            named = sum((i, k) in known for i in own for k in pii.KINDS)
+            for k in pii.KINDS:
+                score, n = sum(known.get((i, k), 0) for i in own), sum((i, k) in known for i in own)
+                share = score / (named + 0.5 * max(len(own) - named, 0)) if named else 0
+                if n >= support and share >= confidence:
+                    found[p, k] = share
+        more = {}
+        for i in {i for _, i in edges}:
+            for k in pii.KINDS:
+                if not ("@" in i if k == "email" else sum(map(str.isdigit, i)) >= 6):
+                    continue
+                doubt = np.prod([1 - min(found[p, k], 0.999) for p, j in edges if j == i and (p, k) in found])
+                if 1 - doubt >= confidence and (i, k) not in known:
+                    more[i, k] = 1 - doubt
+        if not more:
+            return found
+        known |= more
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_learning_by_hand(spark, seed):
+    rand = random.Random(seed)
+    rows = []
+    for k in range(160):
+        kind = rand.choice(["phone", "email", None, None])
+        name = f"u{k}@x" if kind == "email" else f"{rand.randrange(10**7, 10**8)}"
+        liked = {"phone": ["left tel", "left call"], "email": ["in mail:"], None: ["left tel", "left call", "left the", "gap a"]}[kind]
+        rows += [(name, kind, rand.choice([*liked, "gap " + rand.choice("abc")])) for _ in range(rand.randint(1, 3))]
+    # A chain: what one pattern names makes the next one sure.
+    rows += [(f"5550{k:05d}", "phone" if k < 40 else None, f"left chain{k // 30}") for k in range(90)] + [(f"5550{k:05d}", None, f"left chain{k // 30 + 1}") for k in range(60)]
+    found = {(r["pattern"], r["kind"]): r["confidence"] for r in pii.learn(spark.createDataFrame(rows, "instance string, kind string, pattern string"), support=5, confidence=0.6).collect()}
+    wanted = plain_learn(rows, 5, 0.6)
+    assert set(found) == set(wanted) and all(abs(found[x] - wanted[x]) < 1e-9 for x in wanted) and len(wanted) > 2
+
+
+def test_masking_an_empty_table_and_odd_rows(spark):
+    df = spark.createDataFrame([(1, None), (1, ""), (None, "write to a.b@c.org or 10.0.0.1"), (2, "x" * 300_000 + " +1 (234) 567-8901")], DOC).selectExpr("'z' as more", "doc_id", "text", "1 as start")
+    hidden = pii.mask(df)
+    assert hidden.columns == df.columns
+    assert sorted((r["text"] or "")[-20:] for r in hidden.collect()) == ["", "", "e to <email> or <ip>", "x" * 12 + " <phone>"]
+    assert pii.mask(df.limit(0)).count() == 0 and pii.mask(df.limit(0)).columns == df.columns
+
+
+def test_signatures_from_plain_sets_of_phrases():
+    rand = random.Random(4)
+    for _ in range(30):
+        data = bytes(rand.choice(b"abc") for _ in range(rand.randint(1, 900)))
+        phrases, now = set(), b""
+        for c in data:
+            now += bytes([c])
+            if now not in phrases:
+                phrases.add(now)
+                now = b""
+        m = (1 << 64) - 1
+        hashed = []
+        for p in phrases:
+            h = sum((c + 1) * pow(lzprint.BASE, len(p) - 1 - k, 1 << 64) for k, c in enumerate(p)) & m
+            h = (h ^ h >> 31) * lzprint.STEP & m
+            h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & m
+            hashed.append(h ^ h >> 32)
+        least = {}
+        for h in hashed:
+            least[h >> 58] = min(least.get(h >> 58, m), h & (1 << 58) - 1)
+        made = []
+        for k in range(lzprint.SLOTS):
+            away = next(d for d in range(lzprint.SLOTS) if (k + d) % lzprint.SLOTS in least)
+            made.append(((least[(k + away) % lzprint.SLOTS] + away * lzprint.STEP) * lzprint.STEP & m) >> 48)
+        assert lzprint.fingerprint(data.decode()).tolist() == made
+
+
+def test_peak_pairs_by_hand():
+    rand = np.random.default_rng(5)
+    for n in (64, 700, 5000):
+        samples = rand.integers(0, 256, n, dtype=np.uint8)
+        x = samples.astype(float) - 128
+        x = np.pad(x, (0, max(0, 256 - len(x))))
+        loud = np.array([np.abs(np.fft.rfft(x[a : a + 256] * np.hanning(256))) for a in range(0, len(x) - 255, 128)])
+        peaks = []
+        for a in range(0, len(loud), 4):
+            top = loud[a : a + 4].max(axis=0)
+            peaks.append([lo + int(top[lo:hi].argmax()) for lo, hi in zip(media.BANDS, media.BANDS[1:])])
+        pairs = [(t, band << 20 | p[band] << 8 | p[band + 1]) for t, p in enumerate(peaks) for band in range(2)]
+        pairs += [(t, band << 20 | ahead << 16 | peaks[t][band] << 8 | peaks[t + ahead][band]) for t in range(len(peaks)) for ahead in (1, 2) if t + ahead < len(peaks) for band in range(3)]
+        times, codes = media.peak_pairs(samples)
+        assert sorted(pairs) == list(zip(times.tolist(), codes.tolist()))

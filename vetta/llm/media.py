@@ -9,7 +9,8 @@ bins, their bands and the distance in blocks). Equal samples give equal arrays.
 
 Texts: null counts as empty and empty texts become 64 zero bytes. Each row is
 read by itself, so order, ties, repeated rows and other columns don't matter. A
-null media value has null results.
+null media value has null results. A band without sound has its lowest bin as
+peak, so silence has pairs too, the same for every silence of its length.
 """
 
 from __future__ import annotations

@@ -1,12 +1,13 @@
 """Personal data: base patterns, and identifiers in the contexts that these turn up in.
 
 Base spans are found by the four expressions below. The found entities are seeds:
-the words to their left and right, and what stands before the `=` or `:` inside
-a token, are lexical patterns. Patterns and instances (tokens with a digit or an
+the words to their left and right, the word one further to the left, the word to
+the left with the entity's own shape, and what stands before the `=` or `:`
+inside a token, are lexical patterns. Patterns and instances (tokens with a digit or an
 @) form a graph. Each round scores a pattern by the share of its distinct
 instances that belong to a kind (those of none count half), and an instance by the patterns it has
 (noisy or); patterns with at least SUPPORT seeds and CONFIDENCE name new
-instances, which support patterns in the next round. Occurrences of instances
+instances, which support patterns in the next round, until a round names none. Occurrences of instances
 named by such a pattern are spans of that kind, unless they touch a base span.
 
 Texts: null counts as empty. Any length: every scan is linear, and memory
@@ -29,12 +30,11 @@ from pyspark.sql import functions as F
 from vetta.llm.common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 SUPPORT = 5  # distinct seeds of a pattern
 CONFIDENCE = 0.8
 UNKNOWN = 0.5  # what an instance of no kind weighs in a pattern's share
 DIGITS = 6  # an unseen identifier has as many digits, an unseen address an @
-TOKEN = 64  # longer tokens are no identifiers
+TOKEN = 64  # characters of a token or a neighbouring word at most: longer tokens count as no identifiers, as an address or number has fewer
 
 # The base expressions. What may come before an @ is matched backwards from it, so that no text takes quadratic time.
 LOCAL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -84,9 +84,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def word_before(text: str, at: int) -> str:
-    near = text[max(0, at - TOKEN) : at].split()
-    return near[-1].strip(EDGE).lower() if near else ""
+def words_before(text: str, at: int) -> tuple[str, str]:
+    """The word before a place, and the one before that."""
+    near = ["", "", *text[max(0, at - 2 * TOKEN) : at].split()]
+    return near[-1][-TOKEN:].strip(EDGE).lower(), near[-2][-TOKEN:].strip(EDGE).lower()
+
+
+def shape(token: str) -> str:
+    """Runs of digits as 9, runs of letters as a, other signs as they are."""
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", token))
 
 
 def word_after(text: str, at: int) -> str:
@@ -122,10 +128,14 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     out = []
     for a, b, kind in found:
         name = re.search(r"([A-Za-z_]{2,24}[=:])\Z", text[max(0, a - 26) : a])
-        left, right = word_before(text, a), word_after(text, b)
+        (left, further), right = words_before(text, a), word_after(text, b)
         patterns = ["in " + name[1].lower()] if name else ["left " + left] if left else []
         if right and left:
             patterns.append(f"both {left} {right}")
+        if left:
+            patterns.append(f"shape {left} {shape(text[a:b])}")
+        if further:
+            patterns.append(f"gap {further}")
         out.append({"start": a, "end": b, "instance": text[a:b].lower(), "kind": kind, "patterns": patterns})
     return out
 
@@ -160,24 +170,30 @@ def plausible(instance: str, kind: str):
     return F.when(F.col(kind) == "email", F.col(instance).contains("@")).otherwise(F.regexp_count(instance, F.lit("[0-9]")) >= DIGITS)
 
 
-def learn(occurrences: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(pattern, kind, confidence) of the patterns that rounds of scoring leave. occurrences: instance, kind or null, pattern."""
+def learn(occurrences: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """(pattern, kind, confidence) of the patterns that rounds of scoring leave. occurrences: instance, kind or null, pattern.
+
+    Instances that a round names stay named, so rounds end: each but the last names one more at least.
+    """
     edges = materialize(occurrences.select("pattern", "instance").distinct(), "edges")
     totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
     seeds = materialize(occurrences.where("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0)), "seeds")
-    known, patterns = seeds, None
-    for _ in range(rounds):
-        sums = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    # Tables that grow with the documents are never broadcast; the confident patterns are, where they are small.
+    totals, known, patterns = totals.hint("merge"), seeds, None
+    while True:
+        sums = edges.join(known.hint("merge"), "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
         named = sums.groupBy("pattern").agg(F.sum("n").alias("named"))
         share = F.col("score") / (F.col("named") + UNKNOWN * F.greatest(F.col("total") - F.col("named"), F.lit(0)))
-        scored = sums.where(F.col("n") >= support).join(totals, "pattern").join(named, "pattern").withColumn("confidence", share)
+        scored = sums.where(F.col("n") >= support).join(totals, "pattern").join(named.hint("merge"), "pattern").withColumn("confidence", share)
         patterns = materialize(scored.where(F.col("confidence") >= confidence).select("pattern", "kind", "confidence"), "patterns")
         # Noisy or: an instance fails a kind only if all of its patterns do.
         doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.least("confidence", F.lit(0.999)))))
         likely = edges.join(patterns, "pattern").where(plausible("instance", "kind"))
         new = likely.groupBy("instance", "kind").agg((1 - doubt).alias("score"))
-        known = seeds.union(new.where(F.col("score") >= confidence)).groupBy("instance", "kind").agg(F.max("score").alias("score"))
-    return patterns
+        more = materialize(new.where(F.col("score") >= confidence).join(known.select("instance", "kind").hint("merge"), ["instance", "kind"], "left_anti"), "named")
+        if more.isEmpty():
+            return patterns
+        known = known.union(more)
 
 
 def discovered(found: DataFrame) -> DataFrame:
@@ -210,7 +226,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
         .otherwise(F.array_position(kinds, F.split(a, ":")[0]).cast("int") - F.array_position(kinds, F.split(b, ":")[0]).cast("int")),
     )
     joined_ = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_join(every, ","))
-    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), joined_.alias("spans"))
+    n = sum((F.col(f"n_{k}") for k in KINDS), F.when(F.col("more").isNull(), 0).otherwise(F.size("more")).cast("long"))
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), joined_.alias("spans"), n.alias("n_spans"))
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -44,7 +44,7 @@ def op8_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(table(spark, sf_dir, "documents")).drop("pair_time", "pair_code")
+    return media.media_features(table(spark, sf_dir, "documents"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
