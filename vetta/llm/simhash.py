@@ -36,6 +36,8 @@ RADIUS, SHINGLE, SEED = 4, 4, 42
 COPY_SHINGLE, ALIKE, BANDS, ROWS = 5, 0.8, 32, 5
 # A byte of each least hash is the sketch; of pairs of likeness 0.8 some 2 in a million agree in less than LIKELY of it.
 SLOT, LIKELY = "u1", 0.65
+# Texts with so many different shingles or fewer are compared by all of them (32 bits each), so that next to no link fails its test.
+FINE, NEARLY = 2048, 0.79
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -254,15 +256,40 @@ def likely_forest(slots: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def untested(node: np.ndarray, root: np.ndarray, slots: np.ndarray, failed: list, most: int) -> list[tuple[int, int]]:
+def overlaps(fine: list[bytes | None]):
+    """A function that gives the likeness of one set of shingles to all others of a bucket; -1 where a set isn't there."""
+    sets = [None if x is None else np.frombuffer(x, np.uint32) for x in fine]
+    size = np.array([-1 if x is None else len(x) for x in sets], np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint32), *(x for x in sets if x is not None)])
+    of = np.repeat(np.arange(len(sets)), np.maximum(size, 0))
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+
+    def likeness(i: int) -> np.ndarray:
+        out = np.full(len(sets), -1.0)
+        if size[i] < 0:
+            return out
+        a, b = np.searchsorted(flat, sets[i], side="left"), np.searchsorted(flat, sets[i], side="right")
+        n = b - a
+        both = np.bincount(of[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(sets))
+        there = size >= 0
+        out[there] = both[there] / np.maximum(size[i] + size[there] - both[there], 1)
+        return out
+
+    return likeness
+
+
+def untested(node: np.ndarray, root: np.ndarray, slots: np.ndarray, failed: list, most: int, fine: list[bytes | None]) -> list[tuple[int, int]]:
     """For each node, up to `most` of its likeliest links to other components of a bucket that have not been tested, as pairs of positions."""
     names, of = np.unique(root, return_inverse=True)
     if len(names) == 1:
         return []
-    out = []
+    out, likeness = [], overlaps(fine)
     # Each link to test has an end outside the largest component.
     for i in np.flatnonzero(of != np.bincount(of).argmax()).tolist():
         share = (slots == slots[i]).mean(axis=1)
+        exact = likeness(i)
+        share = np.where(exact < 0, share, np.where(exact >= NEARLY, exact, 0))
         share[of == of[i]] = 0
         if failed[i] is not None:
             share[np.isin(node, failed[i])] = 0
@@ -271,15 +298,33 @@ def untested(node: np.ndarray, root: np.ndarray, slots: np.ndarray, failed: list
     return out
 
 
-def to_test(members: DataFrame, sketch: DataFrame, roots: DataFrame | None, failed: DataFrame | None, most: int) -> DataFrame:
+def fine_sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, fine): the nodes' shingles as sorted 32-bit hashes; null for texts with more than FINE."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for t in batch.column(1):
+                h = np.unique((hashes(shingles(t.as_buffer().to_pybytes(), COPY_SHINGLE)) >> np.uint64(32)).astype(np.uint32))
+                found.append(h.tobytes() if len(h) <= FINE else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "fine"])
+
+    return texts.join(nodes, "node", "left_semi").mapInArrow(run, "node long, fine binary")
+
+
+def to_test(members: DataFrame, sketch: DataFrame, texts: DataFrame, roots: DataFrame | None, failed: DataFrame | None, most: int) -> DataFrame:
     """Links (u, v) that a round tests: at first a forest of the likely ones in each bucket, then likely ones between components."""
-    rows = members.join(sketch, "node")
     if roots is not None:
         both = failed.union(failed.select("v", "u")).groupBy("u").agg(F.collect_list("v").alias("failed"))
-        rows = rows.join(roots.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").join(both.withColumnRenamed("u", "node"), "node", "left")
-        rows = rows.select("bucket", "node", "sketch", F.coalesce("root", "node").alias("root"), "failed")
+        rows = members.join(roots.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # Only buckets that hold several components are looked at again.
+        several = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
+        rows = materialize(rows.join(several, "bucket", "left_semi"), "several")
+        fine = fine_sets(rows.select("node").distinct(), texts)
+        rows = rows.join(sketch, "node").join(both.withColumnRenamed("u", "node"), "node", "left").join(fine, "node", "left")
+        rows = rows.select("bucket", "node", "sketch", "root", "failed", "fine")
     else:
-        rows = rows.select("bucket", "node", "sketch")
+        rows = members.join(sketch, "node").select("bucket", "node", "sketch")
     kind = np.dtype(SLOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,9 +333,12 @@ def to_test(members: DataFrame, sketch: DataFrame, roots: DataFrame | None, fail
             node = table.column(1).to_numpy()
             slots = np.frombuffer(b"".join(table.column(2).to_pylist()), kind).reshape(len(node), -1)
             root = table.column(3).to_numpy() if table.num_columns > 3 else None
-            gone = table.column(4).to_pylist() if table.num_columns > 3 else None
             for a, b in zip(starts.tolist(), ends.tolist()):
-                found = likely_forest(slots[a:b]) if root is None else untested(node[a:b], root[a:b], slots[a:b], gone[a:b], most)
+                if root is None:
+                    found = likely_forest(slots[a:b])
+                else:
+                    part = table.slice(a, b - a)
+                    found = untested(node[a:b], root[a:b], slots[a:b], part.column(4).to_pylist(), most, part.column(5).to_pylist())
                 if found:
                     i, j = np.array(found).T
                     u.append(node[a + i])
@@ -322,7 +370,9 @@ def near_copies(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     Only links that the whole texts confirm join nodes. Nodes of a bucket whose
     links fail go on to their next likeliest ones, four times as many a round,
-    until no bucket has an untested likely link between two components.
+    until no bucket has an untested likely link between two components. From the
+    second round on, texts of FINE shingles or fewer are compared in the bucket by
+    all of them, so a large group of texts that are nearly alike lists no pairs.
     """
     members = materialize(meetings(keys_of_nodes(nodes)), "meetings")
     wanted = members.select("node").distinct()
@@ -333,7 +383,7 @@ def near_copies(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = materialize(texts.select(F.col("doc_id").alias("node"), "data"), "texts")
     known, roots, failed, most = None, None, None, 1
     while True:
-        pairs = materialize(to_test(members, sketch, roots, failed, most), "pairs")
+        pairs = materialize(to_test(members, sketch, texts, roots, failed, most), "pairs")
         if pairs.isEmpty():
             return roots if roots is not None else pairs
         now = materialize(tested(pairs, texts), "tested")
