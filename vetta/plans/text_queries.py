@@ -143,7 +143,7 @@ def txt2_split(spark, d):
     return chunks(spark, d).select("file", "start_line", "end_line", F.md5("content").alias("content"), "type", "parent_name")
 
 
-@query(f"with {CHUNKS} select file, start_line, md5(concat_ws(chr(10), type || ' main', 'in ' || parent_name, case when length(content) > 200 then substr(content, 1, 200) || '...' else content end)) as t from fx_chunks")
+@query(f"with {CHUNKS} select file, start_line, md5(concat_ws(chr(10), type || ' main', 'in ' || parent_name, case when octet_length(encode(content)) > 200 then substr(content, 1, list_max(list_filter(range(0, 201), lambda n: octet_length(encode(substr(content, 1, n))) <= 200))) || '...' else content end)) as t from fx_chunks")
 def txt3_embedding_text(spark, d):
     return op.embedding_text(chunks(spark, d), 200).select("file", "start_line", F.md5("embedding_text").alias("t"))
 
