@@ -84,14 +84,33 @@ def src10_runs(spark, d):
     return parsed.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("f.location.file").alias("files"))
 
 
-@query("select split_part(file, '/', 2) as project, '{\"total\":' || count(*) || ',\"by_severity\":{\"critical\":' || count(*) filter (severity = 'critical') || ',\"high\":' || count(*) filter (severity = 'high') || ',\"medium\":' || count(*) filter (severity = 'medium') || ',\"low\":' || count(*) filter (severity = 'low') || ',\"info\":' || count(*) filter (severity = 'info') || '}}' as report from fx_findings group by 1", "findings")
+COUNTS = ",".join(f"\"{x}\":' || count(*) filter (severity = '{x}') || '" for x in ("critical", "high", "medium", "low", "info"))
+BY_STATUS = ",".join(f"\"{x}\":' || count(*) filter (status = '{x}') || '" for x in ("open", "confirmed", "false_positive", "fixed", "duplicate"))
+
+
+@query(f"""select split_part(file, '/', 2) as project, '{{"metadata":{{"tool":"vetta","version":"1","project_name":"' || split_part(file, '/', 2) || '"}},"summary":{{"total":' || count(*) || ',"by_severity":{{{COUNTS}}},"by_status":{{{BY_STATUS}}}}}}}' as report from fx_findings group by 1""", "findings")
 def snk2_json(spark, d):
     return writers.to_json_report(with_project(spark, d), "project")
 
 
-@query("select id, cast(line_start as varchar) as line, replace(tags, ';', '; ') as tags, strftime(to_timestamp(created_at) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as created_at from fx_findings", "findings")
+@query("select split_part(file, '/', 2) as project, id, severity, status, title, line_start from fx_findings", "findings")
+def snk2_json_findings(spark, d):
+    """The findings of the reports, read back from their JSON."""
+    rows = writers.json_findings(with_project(spark, d), "project")
+    told = F.from_json("finding", "severity string, status string, title string, line_start int")
+    return rows.select("project", "id", told["severity"].alias("severity"), told["status"].alias("status"), told["title"].alias("title"), told["line_start"].alias("line_start"))
+
+
+@query("""select id, title, severity, confidence, status, cwe, case when doc_id % 3 = 0 then format('{:.1f}', doc_id % 100 / 10.0) else '' end as cvss_score, case when doc_id % 3 = 0 then 'AV:N/' || lang_of else '' end as cvss_vector, file,
+    cast(line_start as varchar) as line_start, case when doc_id % 2 = 0 then cast(line_start + 3 as varchar) else '' end as line_end, function, md5(description) as description, 'of ' || severity as impact, case when doc_id % 5 = 0 then '' else 'mend' end as remediation,
+    replace(tags, ';', '; ') as tags, case when doc_id % 7 = 0 then '' else 'https://a/' || doc_id || '; b' end as references, strftime(to_timestamp(created_at) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as created_at, created_by
+    from (select *, split_part(tags, ';', 1) as lang_of from fx_findings) as f""", "findings")
 def snk3_csv(spark, d):
-    return writers.to_csv_rows(view(spark, d, "findings")).select("id", "line", "tags", "created_at")
+    rows = view(spark, d, "findings").withColumns({
+        "cvss": F.expr("case when doc_id % 3 = 0 then named_struct('score', cast(doc_id % 100 / 10.0 as double), 'vector', 'AV:N/' || tags[0]) end"), "line_end": F.expr("case when doc_id % 2 = 0 then line_start + 3 else 0 end"),
+        "impact": F.expr("'of ' || severity"), "remediation": F.expr("case when doc_id % 5 = 0 then null else 'mend' end"), "references": F.expr("case when doc_id % 7 = 0 then null else array('https://a/' || doc_id, 'b') end"),
+    })
+    return writers.to_csv_rows(rows).withColumn("description", F.md5("description"))
 
 
 @query("select id, md5('### ' || id || ': ' || title || chr(10) || '- **Severity:** ' || severity || chr(10) || case when cwe <> '' then '- **CWE:** ' || cwe || chr(10) else '' end || '- **File:** `' || file || ':' || line_start || '`' || case when trim(description) <> '' then chr(10) || chr(10) || description else '' end) as block from fx_findings", "findings")

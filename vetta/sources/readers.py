@@ -11,7 +11,9 @@ from vetta.operators.findings import with_fingerprint
 
 FINDING = """id string, fingerprint string, title string, severity string, confidence string, exploitability string, fix_priority string, status string, cwe string,
     location struct<file: string, line_start: int, line_end: int, function: string, snippet: string>, description string, impact string, remediation string,
-    references array<string>, tags array<string>, created_by string, created_at string, updated_at string, duplicate_of string"""
+    references array<string>, tags array<string>, reviewed_by array<string>, cvss struct<score: double, vector: string>,
+    evidence array<struct<type: string, description: string, trace: array<string>>>, flow_trace struct<source: string, sink: string, path: array<string>, guards: array<string>, unguarded: boolean>,
+    notes array<struct<timestamp: string, author: string, text: string>>, created_by string, created_at string, updated_at string, duplicate_of string"""
 
 
 def parse_yaml(column: Column) -> Column:
@@ -42,6 +44,11 @@ def findings_from_text(files: DataFrame) -> DataFrame:
     return made.withColumn("fingerprint", F.when(blank(F.col("_stored")), F.col("fingerprint")).otherwise(F.col("_stored"))).drop("_stored")
 
 
+def rejected_files(files: DataFrame) -> DataFrame:
+    """The files (path, content) that hold no finding."""
+    return files.where(parse_yaml(F.col("content")).isNull())
+
+
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.y*ml")
     return findings_from_text(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
