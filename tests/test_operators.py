@@ -182,7 +182,18 @@ def test_vectors(spark):
     assert [(r["chunk_id"], round(r["score"], 4)) for r in found] == [(1, 1.0), (4, 0.7071), (2, 0.0), (5, 0.0), (3, -1.0)]
     many = rows.where("size(embedding) = 2").select(F.col("chunk_id").alias("query_id"), "embedding")
     key = lambda df: sorted(map(tuple, df.select("query_id", "chunk_id", "place").collect()))
-    assert key(vectors.topk(many, rows, 2, block=2)) == key(vectors.topk(many, rows, 2))
+    assert key(vectors.topk(many, rows, 2, block=2, part=1)) == key(vectors.topk(many, rows, 2))
+
+
+def test_searches_by_group(spark):
+    rows = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.1]), (3, "b", [1.0, 0.2]), (4, "b", [0.0, 1.0]), (5, "c", [-1.0, 0.0]), (6, "c", None)], "chunk_id long, file string, embedding array<float>")
+    near = vectors.related_to_files(rows.where("file = 'a'"), rows, 2).orderBy("place").collect()
+    assert [(r["file"], r["chunk_id"]) for r in near] == [("a", 3), ("a", 4)]
+    asked = rows.where("chunk_id in (1, 5)").select(F.col("chunk_id").alias("query_id"), "embedding")
+    assert [tuple(r) for r in vectors.related(asked, rows, 1).select("query_id", "chunk_id").orderBy("query_id").collect()] == [(1, 2), (5, 4)]
+    best = vectors.multi_hop(asked, rows, 2).orderBy("query_id", "place").collect()
+    assert [(r["query_id"], r["chunk_id"], r["hop"]) for r in best] == [(1, 1, 0), (1, 2, 0), (5, 5, 0), (5, 4, 0)]
+    assert vectors.topk(asked.limit(0), rows, 2).count() == 0 == vectors.topk(asked, rows.limit(0), 2).count()
 
 
 def test_index_actions_cover_all_paths(spark):

@@ -9,6 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+TILE = 2048
+
+
+def best(rows: DataFrame, k: int) -> DataFrame:
+    """The k best rows (query_id, chunk_id, score) of each query, with their place."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return rows.withColumn("place", place).where(F.col("place") <= k)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -19,58 +28,66 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norm)))
 
 
-def topk(queries: DataFrame, vectors: DataFrame, k: int, min_score: float = -1.0, block: int = 4096) -> DataFrame:
+def matrix(column, width: int):
+    """The first `width` numbers of each vector of an Arrow column, zeros after its end, and the vectors' lengths."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    column = column.combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out = np.zeros((len(lengths), width))
+    fits = at < width
+    out[np.repeat(np.arange(len(lengths)), lengths)[fits], at[fits]] = column.flatten().to_numpy(zero_copy_only=False)[fits]
+    return out, lengths
+
+
+def topk(queries: DataFrame, vectors: DataFrame, k: int, min_score: float = -1.0, block: int = 4096, part: int = 65536, apart: str | None = None) -> DataFrame:
     """The k nearest chunks of each query (query_id, embedding): query_id, chunk_id, score, place; ties by chunk_id.
 
-    Queries are gathered into blocks that are joined to every partition of
-    vectors; within a partition a matrix product scores a block, and only its
-    own k best rows of each query leave it.
+    apart: a column of both tables in which a chunk must differ from its query.
+    Queries are dealt to blocks and vectors to parts. Each block meets each part in a task
+    of its own, where matrix products of TILE vectors at a time score them, and only the
+    part's own k best rows of each query leave the task. The driver sees two counts.
     """
     import numpy as np
     import pyarrow as pa
 
     spark = queries.sparkSession
-    asked = queries.select("query_id", "embedding")
-    size = asked.count()
-    if size > block:
-        # Every block of queries makes one pass over vectors, so that no task holds more than a block.
-        parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-size // block))) == n) for n in range(-(-size // block))]
-        out = topk(parts[0], vectors, k, min_score, size)
-        for part in parts[1:]:
-            out = out.unionByName(topk(part, vectors, k, min_score, size))
-        return out
-    rows = asked.collect()  # at most `block` queries
-    ids = [r["query_id"] for r in rows]
-    width = max((len(r["embedding"]) for r in rows), default=0)
-    q = np.array([[*r["embedding"], *[0.0] * (width - len(r["embedding"]))] for r in rows], np.float64).reshape(len(rows), width)
-    sizes = np.array([len(r["embedding"]) for r in rows])
-    norm = np.linalg.norm(q, axis=1)
-
-    def run(batches):
-        best_s, best_i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-        for batch in batches:
-            found = batch.column(1)
-            lengths = np.array([0 if not x.is_valid else len(x) for x in found])
-            fits = np.flatnonzero((lengths <= width) & (lengths > 0))
-            v = np.zeros((len(lengths), width))
-            for j in fits:
-                v[j, : lengths[j]] = found[int(j)].values.to_numpy(zero_copy_only=False)
+    more = [F.col(apart).alias("_apart")] if apart else []  # names of their own: both tables may come from one
+    blocks = max(1, -(-queries.count() // block))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // part))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", F.col("embedding").alias("_asked"), *more, F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block"), every(parts).alias("_part"))
+    right = vectors.select(F.col("chunk_id").alias("_chunk"), F.col("embedding").alias("_vector"), *more, F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("_part"), every(blocks).alias("_block"))
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_chunk")
+        width = max((len(x) for x in asked.column("_asked") if x.is_valid), default=0)
+        q, sizes = matrix(asked.column("_asked"), width)
+        norm = np.linalg.norm(q, axis=1)
+        best_s, best_i = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+        for start in range(0, len(rows) if len(q) else 0, TILE):
+            tile = rows.slice(start, TILE)
+            v, lengths = matrix(tile.column("_vector"), width)
             both = norm[:, None] * np.linalg.norm(v, axis=1)[None, :]
             s = np.divide(q @ v.T, both, out=np.zeros_like(both), where=both > 0)
             s[sizes[:, None] != lengths[None, :]] = 0
             s = np.clip(s, -1, 1)
+            if apart:
+                s[np.array(asked.column("_apart").to_pylist(), object)[:, None] == np.array(tile.column("_apart").to_pylist(), object)[None, :]] = -np.inf
             all_s = np.concatenate([best_s, s], axis=1)
-            all_i = np.concatenate([best_i, np.broadcast_to(batch.column(0).to_numpy(), s.shape)], axis=1)
-            order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
+            all_i = np.concatenate([best_i, np.broadcast_to(np.arange(start, start + len(tile)), s.shape)], axis=1)
+            # Tiles come in order of chunk_id, so a stable sort breaks ties by it.
+            order = np.argsort(-all_s, axis=1, kind="stable")[:, :k]
             best_s, best_i = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
-        n = best_s.shape[1]
-        keep = best_s.ravel() >= min_score
-        which = np.repeat(np.arange(len(ids)), n)[keep]
-        yield pa.RecordBatch.from_arrays([pa.array([ids[w] for w in which], pa.int64()), pa.array(best_i.ravel()[keep], pa.int64()), pa.array(best_s.ravel()[keep], pa.float64())], ["query_id", "chunk_id", "score"])
+        keep = best_s.ravel() >= max(min_score, -1.0)
+        which = np.repeat(np.arange(len(q)), best_s.shape[1])[keep]
+        return pa.table({"query_id": asked.column("query_id").take(pa.array(which)), "chunk_id": rows.column("_chunk").take(pa.array(best_i.ravel()[keep])), "score": pa.array(best_s.ravel()[keep])})
 
-    found = vectors.select("chunk_id", "embedding").mapInArrow(run, "query_id long, chunk_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return found.withColumn("place", place).where(F.col("place") <= k) if ids else spark.createDataFrame([], "query_id long, chunk_id long, score double, place int")
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
+    found = left.groupBy("_block", "_part").cogroup(right.groupBy("_block", "_part")).applyInArrow(run, kinds)
+    return best(found, k)
 
 
 def nearest(query: Column, vectors: DataFrame, k: int, min_score: float = -1.0) -> DataFrame:
@@ -83,15 +100,13 @@ def filtered(queries: DataFrame, vectors: DataFrame, k: int, where: Column, cand
     if candidate_factor is None:
         return topk(queries, vectors.where(where), k)
     found = topk(queries, vectors, candidate_factor * k).drop("place").join(vectors.where(where).select("chunk_id"), "chunk_id")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return found.withColumn("place", place).where(F.col("place") <= k).select("query_id", "chunk_id", "score", "place")
+    return best(found, k).select("query_id", "chunk_id", "score", "place")
 
 
-def related(vectors: DataFrame, chunk_ids: list[int], k: int) -> DataFrame:
-    """The k chunks nearest to each given one, without itself."""
-    asked = vectors.where(F.col("chunk_id").isin(chunk_ids)).select(F.col("chunk_id").alias("query_id"), "embedding")
-    found = topk(asked, vectors, k + 1).where("chunk_id <> query_id").drop("place")
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("place") <= k)
+def related(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k chunks nearest to each given one (query_id: its chunk_id, embedding), without itself."""
+    found = topk(queries, vectors, k + 1).where("chunk_id <> query_id").drop("place")
+    return best(found, k)
 
 
 def mean_pool(rows: DataFrame, group: str, column: str = "embedding") -> DataFrame:
@@ -100,26 +115,33 @@ def mean_pool(rows: DataFrame, group: str, column: str = "embedding") -> DataFra
     return each.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias(column))
 
 
-def related_to_file(vectors: DataFrame, file: str, k: int) -> DataFrame:
-    """The k chunks of other files nearest to the mean of a file's chunks."""
-    centre = mean_pool(vectors.where(F.col("file") == file), "file").select(F.lit(0).cast("long").alias("query_id"), "embedding")
-    return topk(centre, vectors.where(F.col("file") != file), k)
+def related_to_files(files: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(file, chunk_id, score, place): the k chunks of other files nearest to the mean of each given file's chunks."""
+    centres = mean_pool(vectors.join(files.select("file").distinct(), "file", "left_semi"), "file").withColumn("query_id", F.col("file"))
+    return topk(centres, vectors, k, apart="file").withColumnRenamed("query_id", "file")
 
 
-def multi_hop(query: DataFrame, vectors: DataFrame, k: int, converge: float = 0.15) -> DataFrame:
-    """The best k of a query (query_id, embedding) after one expansion: chunk_id, score, hop.
+def multi_hop(queries: DataFrame, vectors: DataFrame, k: int, converge: float = 0.15) -> DataFrame:
+    """The best k of each query (query_id, embedding) after one expansion: query_id, chunk_id, score, hop, place.
 
-    Candidates are the 3k (20 at least) nearest. Unless 2k of them score over
-    converge, their first k are seeds: chunks of the seeds' files and the
-    seeds' own nearest join in, ranked against the query.
+    Candidates are the 3k (20 at least) nearest. A query with 2k of them or more
+    whose best scores less than converge stops there. Otherwise the first k are seeds: chunks
+    of the seeds' files and the seeds' own nearest join in, ranked against the query.
+    Seeds that several queries share are searched for once. The candidates come from an exact
+    search, so what joins in ranks behind them and shows only where k exceeds their number.
     """
-    first = topk(query, vectors, max(3 * k, 20)).select("chunk_id", "score", F.col("place").alias("rank"))
-    seeds = first.where(F.col("rank") <= k).join(vectors.select("chunk_id", "file", "embedding"), "chunk_id")
-    near = topk(seeds.select(F.col("chunk_id").alias("query_id"), "embedding"), vectors, k).select("chunk_id")
-    same = vectors.join(seeds.select("file").distinct(), "file", "left_semi").select("chunk_id")
-    more = near.union(same).distinct().join(first.select("chunk_id"), "chunk_id", "left_anti")
-    ranked = vectors.join(more, "chunk_id").crossJoin(F.broadcast(query.select(F.col("embedding").alias("_q")))).select("chunk_id", cosine(F.col("embedding"), F.col("_q")).alias("score"), F.lit(1).alias("hop"))
-    return first.select("chunk_id", "score", F.lit(0).alias("hop")).union(ranked).orderBy(F.desc("score"), "chunk_id").limit(k)
+    first = topk(queries, vectors, max(3 * k, 20))
+    stopped = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best")).where((F.col("n") >= 2 * k) & (F.col("best") < converge))
+    seeds = first.where(F.col("place") <= k).join(stopped, "query_id", "left_anti").select("query_id", F.col("chunk_id").alias("seed"))
+    known = vectors.select(F.col("chunk_id").alias("seed"), "file", "embedding")
+    near = topk(known.join(seeds, "seed", "left_semi").select(F.col("seed").alias("query_id"), "embedding"), vectors, k).select(F.col("query_id").alias("seed"), "chunk_id")
+    files = seeds.join(known.select("seed", "file"), "seed").select("query_id", "file").distinct()
+    more = seeds.join(near, "seed").select("query_id", "chunk_id").union(files.join(vectors.select("file", "chunk_id"), "file").select("query_id", "chunk_id"))
+    more = more.distinct().join(first.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    both = more.join(vectors.select("chunk_id", "embedding"), "chunk_id").join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
+    ranked = both.select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("_q")).alias("score"), F.lit(1).alias("hop"))
+    out = first.select("query_id", "chunk_id", "score", F.lit(0).alias("hop")).union(ranked)
+    return best(out, k)
 
 
 def check_dimension(vectors: DataFrame, d: int) -> DataFrame:

@@ -134,26 +134,29 @@ def top5_candidates(spark, d):
     return vectors.filtered(asked(spark, d), view(spark, d, "vectors"), 5, F.col("type") == 1, 3).select("query_id", "chunk_id", "place")
 
 
-@query(f"with {SCORED} select query_id, chunk_id, place from (select *, row_number() over (partition by query_id order by raw desc, chunk_id) as place from s where query_id in (20, 40) and chunk_id <> query_id) as x where place <= 5", "vectors")
+@query(f"with {SCORED} select query_id, chunk_id, place from (select *, row_number() over (partition by query_id order by raw desc, chunk_id) as place from s where chunk_id <> query_id) as x where place <= 5", "vectors")
 def top6_related(spark, d):
-    return vectors.related(view(spark, d, "vectors"), [20, 40], 5).select("query_id", "chunk_id", "place")
+    return vectors.related(asked(spark, d), view(spark, d, "vectors"), 5).select("query_id", "chunk_id", "place")
 
 
-MEAN = "(select list(m order by i) as e from (select i, avg(cast(embedding[i] as double)) as m from fx_vectors, range(1, 65) as r(i) where {} group by 1) as x)"
+MEANS = "q as (select file, list(m order by i) as e from (select file, i, avg(cast(embedding[i] as double)) as m from fx_vectors, range(1, 65) as r(i) group by 1, 2) as x group by 1)"
 
 
-@query(f"with q as {MEAN.format("file = 'f3'")} select chunk_id, row_number() over (order by list_cosine_similarity(cast(embedding as double[]), e) desc, chunk_id) as place from fx_vectors, q where file <> 'f3' qualify place <= 5", "vectors")
+@query(f"with {MEANS} select q.file, chunk_id, row_number() over (partition by q.file order by list_cosine_similarity(cast(embedding as double[]), e) desc, chunk_id) as place from fx_vectors as v join q on q.file <> v.file qualify place <= 5", "vectors")
 def top6_related_file(spark, d):
-    return vectors.related_to_file(view(spark, d, "vectors"), "f3", 5).select("chunk_id", "place")
+    rows = view(spark, d, "vectors")
+    return vectors.related_to_files(rows, rows, 5).select("file", "chunk_id", "place")
 
 
-@query("""with q as (select embedding as e from fx_vectors where chunk_id = 11), s as (select chunk_id, file, embedding, list_cosine_similarity(cast(embedding as double[]), cast(e as double[])) as raw from fx_vectors, q), f as (select *, row_number() over (order by raw desc, chunk_id) as k from s),
-    seeds as (select * from f where k <= 5), n as (select chunk_id from (select v.chunk_id, row_number() over (partition by d.chunk_id order by list_cosine_similarity(cast(v.embedding as double[]), cast(d.embedding as double[])) desc, v.chunk_id) as k from seeds as d, fx_vectors as v) as x where k <= 5),
-    more as (select chunk_id from n union select chunk_id from fx_vectors where file in (select file from seeds))
-    select chunk_id, round(raw, 6) as score, case when k <= 20 then 0 else 1 end as hop from f where k <= 20 or chunk_id in (select chunk_id from more) order by raw desc, chunk_id limit 5""", "vectors")
+# Every second query is turned round, so that its best score is low and it stops before it expands.
+@query(f"""with {SCORED}, t as (select query_id, chunk_id, file, case when query_id % 40 = 0 then -raw else raw end as raw from s), f as (select *, row_number() over (partition by query_id order by raw desc, chunk_id) as k from t),
+    seeds as (select query_id, chunk_id, file from f where k <= 5 and query_id in (select query_id from f where k <= 20 group by 1 having count(*) < 10 or max(raw) >= 0.5)),
+    n as (select seed, chunk_id from (select d.chunk_id as seed, v.chunk_id, row_number() over (partition by d.chunk_id order by list_cosine_similarity(cast(v.embedding as double[]), cast(d.embedding as double[])) desc, v.chunk_id) as k from fx_vectors as d, fx_vectors as v where d.chunk_id in (select chunk_id from seeds)) as x where k <= 5),
+    more as (select query_id, n.chunk_id from seeds join n on n.seed = seeds.chunk_id union select query_id, v.chunk_id from seeds join fx_vectors as v using (file))
+    select query_id, chunk_id, round(raw, 6) as score, case when k <= 20 then 0 else 1 end as hop, row_number() over (partition by query_id order by raw desc, chunk_id) as place from f where k <= 20 or (query_id, chunk_id) in (select (query_id, chunk_id) from more) qualify place <= 5""", "vectors")
 def top7_multi_hop(spark, d):
-    rows = view(spark, d, "vectors")
-    return vectors.multi_hop(rows.where("chunk_id = 11").select(F.lit(0).cast("long").alias("query_id"), "embedding"), rows, 5).withColumn("score", F.round("score", 6))
+    turned = F.when(F.col("query_id") % 40 == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    return vectors.multi_hop(asked(spark, d).withColumn("embedding", turned), view(spark, d, "vectors"), 5, 0.5).withColumn("score", F.round("score", 6))
 
 
 @query("select g, i, round(avg(cast(embedding[i] as double)), 6) as x from (select chunk_id // 5 as g, embedding from fx_vectors) as v, range(1, 65) as r(i) group by 1, 2", "vectors")
