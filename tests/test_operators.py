@@ -1,7 +1,9 @@
 """Behaviour that the derived tables don't show: goldens and properties on small inputs."""
 
 import json
+import math
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,3 +227,32 @@ def test_empty_tables(spark):
     assert findings.finding_stats(none).count() == 0
     assert findings.severity_share(none).count() == 0
     assert findings.same_file_hint(none).count() == 0
+
+
+def test_numbers_of_a_large_group_go_on_from_range_to_range(spark):
+    rows = [("a" if k % 10 else None if k % 20 else "b", (k * 37) % 500 // 3, k) for k in range(500)]
+    found = {r["k"]: r["_n"] for r in findings.numbered(spark.createDataFrame(rows, "g string, at int, k int"), "g", ["at", "k"]).collect()}
+    wanted = {}
+    for g in ("a", "b", None):
+        wanted |= {k: n for n, (_, _, k) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:]), 1)}
+    assert found == wanted
+    assert findings.numbered(spark.createDataFrame([], "g string, at int, k int"), "g", ["at", "k"]).count() == 0
+
+
+def test_default_embedding_counts_hashed_words(spark):
+    texts = ["one two two", "", None, "Two"]
+    got = [r["embedding"] for r in vectors.embed(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string"), "t").orderBy("k").collect()]
+    for t, v in zip(texts, got):
+        counts = [0.0] * 64
+        for w in (t or "").lower().split():
+            counts[zlib.crc32(w.encode()) % 64] += 1
+        length = math.sqrt(sum(x * x for x in counts)) or 1
+        assert v == pytest.approx([x / length for x in counts], abs=1e-6)
+
+
+def test_recall_by_severity(spark):
+    gt = spark.createDataFrame([("v1", "High"), ("v2", "high"), ("v3", "low")], "vuln_id string, severity string")
+    runs = spark.createDataFrame([(0, "a"), (1, "b")], "run_id int, id string")
+    hits = spark.createDataFrame([(0, "v1", "a"), (0, "v3", "c")], "run_id int, vuln_id string, id string")
+    got = sorted(tuple(r) for r in scoring.severity_recall(hits, gt, runs).collect())
+    assert got == [(0, "high", 2, 1, 0.5), (0, "low", 1, 1, 1.0), (1, "high", 2, 0, 0.0), (1, "low", 1, 0, 0.0)]

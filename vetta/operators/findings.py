@@ -113,13 +113,33 @@ def order_findings(df: DataFrame) -> DataFrame:
     return df.orderBy(severity_rank(F.col("severity")).desc(), F.col("created_at").desc(), "id")
 
 
+def numbered(df: DataFrame, group: str, order: list) -> DataFrame:
+    """df with _n, a row's number in its group by order.
+
+    Rows are dealt by ranges of group and order, so a large group is spread over many
+    tasks; each range numbers its own rows and starts after those of the ranges before.
+    """
+    from vetta.plans.tables import written
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written, so that a range's number is the same wherever it is read.
+    ranged = written(df.repartitionByRange(n, group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_at")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_group", "_at", before.alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range", group).orderBy(*order))
+    out = ranged.withColumn("_own", own).join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
+    return out.withColumn("_n", F.col("_start") + F.col("_own")).select(*df.columns, "_n")
+
+
 def assign_ids(df: DataFrame, project: str, prefix: str, order: list, existing: DataFrame | None = None) -> DataFrame:
     """new_id: the prefix and the next number of the row's project. existing: (project, last)."""
-    number = F.row_number().over(Window.partitionBy(project).orderBy(*order))
+    df = numbered(df, project, order)
+    number = F.col("_n")
     if existing is not None:
         df = df.join(existing.select(F.col(project), F.col("last").alias("_last")), project, "left")
         number = number + F.coalesce("_last", F.lit(0))
-    return df.withColumn("new_id", F.concat(F.lit(f"{prefix}-"), F.when(number > 999, number.cast("string")).otherwise(F.lpad(number.cast("string"), 3, "0")))).drop("_last")
+    return df.withColumn("new_id", F.concat(F.lit(f"{prefix}-"), F.when(number > 999, number.cast("string")).otherwise(F.lpad(number.cast("string"), 3, "0")))).drop("_last", "_n")
 
 
 def same_file_hint(df: DataFrame, n: int = 5) -> DataFrame:

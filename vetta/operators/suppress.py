@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vetta.functions.columns import base_name, blank, glob_column, severity_rank
+from vetta.functions.sizes import small
 from vetta.operators.findings import at_least, first_error, scope_to_changed
 
 DAY = 86400
@@ -44,13 +45,14 @@ def suppressions(findings: DataFrame, exceptions: DataFrame, as_of: int) -> Data
     """(id, exception): the first active exception, in file order, that covers a finding.
 
     By equal fingerprint; without one, by equal CWE and a glob over the path or
-    its last part. Both are equi joins; the glob is a condition within a CWE.
+    its last part. Both are equi joins; the glob is a condition within a CWE. A few CWEs
+    hold most findings, so globs up to a checked number are broadcast.
     """
     live = active_exceptions(exceptions, as_of).where("active").select("fingerprint", "path_glob", F.upper(F.trim("cwe")).alias("_cwe"), "pos", F.struct("pos", F.col("id").alias("exception_id"), "reason", "expires", "approved_by").alias("exception"))
     by_print = findings.select("id", "fingerprint").join(live.where(~blank(F.col("fingerprint"))).select("fingerprint", "exception"), "fingerprint").select("id", "exception")
     globs = live.where(blank(F.col("fingerprint")) & ~blank(F.col("path_glob"))).withColumn("_re", glob_column(F.col("path_glob"))).select("_cwe", "_re", "exception")
     keyed = findings.where(~blank(F.col("cwe"))).select("id", "file", F.upper(F.trim("cwe")).alias("_cwe"))
-    by_glob = keyed.join(globs, "_cwe").where(F.regexp_like("file", "_re") | F.regexp_like(base_name(F.col("file")), F.col("_re"))).select("id", "exception")
+    by_glob = keyed.join(small(globs), "_cwe").where(F.regexp_like("file", "_re") | F.regexp_like(base_name(F.col("file")), F.col("_re"))).select("id", "exception")
     return by_print.union(by_glob).groupBy("id").agg(F.min("exception").alias("exception"))
 
 
