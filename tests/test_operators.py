@@ -256,3 +256,22 @@ def test_recall_by_severity(spark):
     hits = spark.createDataFrame([(0, "v1", "a"), (0, "v3", "c")], "run_id int, vuln_id string, id string")
     got = sorted(tuple(r) for r in scoring.severity_recall(hits, gt, runs).collect())
     assert got == [(0, "high", 2, 1, 0.5), (0, "low", 1, 1, 1.0), (1, "high", 2, 0, 0.0), (1, "low", 1, 0, 0.0)]
+
+
+def test_block_ends_equal_the_plain_search(spark):
+    rand = random.Random(3)
+    source = {p: [" " * rand.randint(0, 4) + rand.choice(["{", "}", "{ {", "} {", "x", "", "# c"]) for _ in range(60)] for p in ("a", "b")}
+    rows = spark.createDataFrame([(p, n, t) for p, ts in source.items() for n, t in enumerate(ts, 1)], "path string, line_no int, text string").cache()
+    starts = rows.where("line_no % 3 = 1").select("path", "line_no")
+    braces, indents = set(), set()
+    for p, ts in source.items():
+        depth = [0]
+        for t in ts:
+            depth.append(depth[-1] + t.count("{") - t.count("}"))
+        deep = [len(t) - len(t.lstrip(" ")) for t in ts]
+        for n in range(1, 61, 3):
+            braces.add((p, n, next((m for m in range(n + 1, 61) if depth[m] <= depth[n - 1]), 60)))
+            indents.add((p, n, next((m - 1 for m in range(n + 1, 61) if ts[m - 1].strip() not in ("", "# c") and deep[m - 1] <= deep[n - 1]), 60)))
+    assert {tuple(r) for r in text.brace_block_end(rows, starts.union(starts)).collect()} == braces
+    assert {tuple(r) for r in text.indent_block_end(rows, starts).collect()} == indents
+    assert text.brace_block_end(rows.limit(0), starts).count() == 0

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,15 +204,41 @@ def enclosing_symbol(rows: DataFrame, start: str, stop: str) -> DataFrame:
     return rows.withColumn("enclosing", F.last(mark, ignorenulls=True).over(upto)).withColumn("enclosing", F.nullif("enclosing", F.lit("")))
 
 
-def first_after(rows: DataFrame, starts: DataFrame, value: Column, most: Column) -> DataFrame:
-    """For each start line the first later line of its file whose value is at most `most` (over the start's own columns), else the last line.
+def first_after(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """(path, line_no, _end, _last): for each start line the first later line of its file whose `_v` is at most the start line's `_most`; where there is none, the file's last line as _last.
 
-    rows has the column value's name `v`; a file's starts and lines meet in an equi join on path.
+    Each file is read once in order; the open starts wait in a heap, highest `_most` first.
     """
-    last = rows.groupBy("path").agg(F.max("line_no").alias("last"))
-    pairs = starts.join(rows.select("path", F.col("line_no").alias("_at"), value.alias("_v")), "path").where((F.col("_at") > F.col("line_no")) & (F.col("_v") <= most))
-    ends = pairs.groupBy("path", "line_no").agg(F.min("_at").alias("_end"))
-    return starts.join(ends, ["path", "line_no"], "left").join(last, "path").withColumn("end_line", F.coalesce("_end", "last")).drop("_end", "last")
+    both = rows.where("path is not null").select("path", "line_no", F.col("_v").cast("long"), F.col("_most").cast("long"), F.lit(False).alias("_start"))
+    both = both.union(starts.select("path", "line_no", F.lit(None), F.lit(None), F.lit(True)).where("path is not null").distinct())
+    number = both.schema["line_no"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, last, own, waiting = None, None, None, []
+        kinds = [None] * 4
+
+        def table(out):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(4)], ["path", "line_no", "_end", "_last"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(0).type, *[batch.schema.field(1).type] * 3]
+            out = []
+            for p, n, v, most, start in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != path:
+                    out += [(path, m, None, last) for _, m in waiting]
+                    path, last, own, waiting = p, None, None, []
+                if start:
+                    if last == n and own is not None:
+                        heapq.heappush(waiting, (-own, n))
+                    continue
+                last, own = n, most
+                while v is not None and waiting and -waiting[0][0] >= v:
+                    out.append((p, heapq.heappop(waiting)[1], n, None))
+            yield table(out)
+        if waiting:
+            yield table([(path, m, None, last) for _, m in waiting])
+
+    return both.repartition("path").sortWithinPartitions("path", "line_no", "_start").mapInArrow(run, f"path string, line_no {number}, _end {number}, _last {number}")
 
 
 def depth_before(rows: DataFrame, opening: Column, closing: Column) -> DataFrame:
@@ -228,18 +258,16 @@ def keyword_block_end(rows: DataFrame, starts: DataFrame, words: str = r"^\s*(?:
 
 def block_end(rows: DataFrame, starts: DataFrame, opening: str, closing: str) -> DataFrame:
     deep = depth_before(rows, F.regexp_count("text", F.lit(opening)), F.regexp_count("text", F.lit(closing)))
-    at = starts.select("path", "line_no").join(deep.select("path", "line_no", "before"), ["path", "line_no"])
-    return first_after(deep, at, F.col("depth"), F.col("before")).select("path", "line_no", "end_line")
+    found = first_after(deep.withColumns({"_v": F.col("depth"), "_most": F.col("before")}), starts)
+    return found.select("path", "line_no", F.coalesce("_end", "_last").alias("end_line"))
 
 
 def indent_block_end(rows: DataFrame, starts: DataFrame) -> DataFrame:
     """starts with end_line: the line before the next one, not blank and no comment, that isn't indented deeper."""
     indent = F.length("text") - F.length(F.ltrim("text"))
-    real = rows.withColumn("indent", F.when((F.trim("text") != "") & ~F.ltrim("text").startswith("#"), indent).otherwise(1 << 30))
-    at = starts.select("path", "line_no").join(rows.select("path", "line_no", indent.alias("own")), ["path", "line_no"])
-    last = rows.groupBy("path").agg(F.max("line_no").alias("last"))
-    ends = at.join(real.select("path", F.col("line_no").alias("_at"), "indent"), "path").where((F.col("_at") > F.col("line_no")) & (F.col("indent") <= F.col("own"))).groupBy("path", "line_no").agg((F.min("_at") - 1).alias("_end"))
-    return at.join(ends, ["path", "line_no"], "left").join(last, "path").select("path", "line_no", F.coalesce("_end", "last").alias("end_line"))
+    real = F.when((F.trim("text") != "") & ~F.ltrim("text").startswith("#"), indent)
+    found = first_after(rows.withColumns({"_v": real, "_most": indent}), starts)
+    return found.select("path", "line_no", F.coalesce(F.col("_end") - 1, "_last").alias("end_line"))
 
 
 def code_chunks(files: DataFrame, language: str, patterns: dict = SYMBOLS) -> DataFrame:
