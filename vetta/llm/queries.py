@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vetta.llm import bpe, language, lzprint, media, packing, pii, quality, simhash, suffixes, warc
+from vetta.llm import bpe, language, lines, lzprint, media, packing, pii, quality, simhash, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +52,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.round_trip(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffixes, op2_bpe, op3_lzprint, op4_language, op5_quality, op6_simhash, op7_packing, op8_personal, op9_media, op10_warc)}
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_shared_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffixes, op2_bpe, op3_lzprint, op4_language, op5_quality, op6_simhash, op7_packing, op8_personal, op9_media, op10_warc, op12_lines)}
 
 #: DuckDB has no XXH64, tokenizer or wave reader; tests hold the others against brute force.
 ORACLE: dict[str, str] = {
@@ -63,4 +69,13 @@ ORACLE: dict[str, str] = {
             case when n >= 1000 and page_id < last then last end as refers_to
         from g
     """,
+    "op12_lines": """
+        with d as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as at from documents),
+        l as (select doc_id, line, at, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from d),
+        k as (select key, max(doc_id) as last from l where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+        j as (select l.doc_id, line, at, k.key is not null and l.doc_id < k.last as gone from l left join k on l.key = k.key)
+        select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) order by at) filter (not gone), '')) as kept_sha256
+        from j group by doc_id
+    """,
 }
