@@ -91,6 +91,24 @@ def test_greedy_rounds_equal_the_serial_choice(spark):
     assert {(r["run_id"], r["vuln_id"], r["id"]) for r in scoring.greedy_match(pairs, gt).collect()} == wanted
 
 
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_blocks_of_truths_equal_the_serial_choice(spark, block):
+    """Chains of truths that all want the same findings, over one and over many blocks; a run without matches gives no row."""
+    rand = random.Random(block)
+    some = lambda *x: rand.choice(x)
+    gt = [(f"v{k:02}", k // 2, some("sql injection login", "reflected xss", ""), some("CWE-89", "CWE-564", "cwe-79", ""), some("a.py", "b/c.py"), some(0, 5, 30), ["web"]) for k in range(14)]
+    runs = [(k % 3, f"f{k:02}", some("sql injection login", "sql", "other"), some("open", "open", "duplicate"), some("CWE-89", "CWE-79", "", "CWE-1"), some("x/a.py", "b/c.py", "z"), some(0, 5, 30), some(["WEB"], [], None)) for k in range(40)] + [(9, "f99", "other", "open", "", "z", 0, [])]
+    gt = spark.createDataFrame(gt, "vuln_id string, pos int, title string, cwe string, file string, line_start int, tags array<string>")
+    runs = spark.createDataFrame(runs, "run_id int, id string, title string, status string, cwe string, file string, line_start int, tags array<string>")
+    pairs = scoring.score_pairs(gt, runs)
+    edges = {}
+    for r in pairs.collect():
+        edges.setdefault(r["run_id"], {}).setdefault(r["vuln_id"], {})[r["id"]] = r["score"]
+    wanted = {(run, v, f) for run, e in edges.items() for v, f in serial({k: e.get(k, {}) for k in sorted(e)}, sorted(e)).items()}
+    for found in (scoring.match_runs(gt, runs, block=block), scoring.greedy_match(pairs, gt, block=block)):
+        assert {(r["run_id"], r["vuln_id"], r["id"]) for r in found.collect()} == wanted
+
+
 def test_scores(spark):
     gt = spark.createDataFrame([("V1", "SQL injection login", "critical", "CWE-89", "app.py", 62, ["sql"])], "vuln_id string, title string, severity string, cwe string, file string, line_start int, tags array<string>")
     run = "run_id int, id string, title string, severity string, status string, cwe string, file string, line_start int, tags array<string>"

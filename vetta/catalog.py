@@ -20,6 +20,8 @@ def query(sql: str | None = None, *views: str):
         if sql:
             body = sql.strip()
             head = duckdb_ctes(views)
+            if body.startswith("with recursive "):
+                body, head = f"with {body[15:]}", f"recursive {head}"
             ORACLE[f.__name__] = f"with {head}, {body[5:]}" if body.startswith("with ") and head else f"with {head} {body}" if head else body
         return f
 

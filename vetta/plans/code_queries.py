@@ -223,33 +223,51 @@ def jn7_confirmed_fp(spark, d):
 
 
 def matched(spark, d):
-    return scoring.greedy_match(pairs(spark, d), view(spark, d, "gt"), "doc_id")
+    return scoring.match_runs(view(spark, d, "gt"), view(spark, d, "runs"), "doc_id")
 
 
-@query(None)
+# Truth after truth, each run with the list of what it has taken.
+GREEDY = f"""{PAIRS}, v as materialized (select vuln_id, row_number() over (order by doc_id) as n from fx_gt),
+    e as materialized (select p.run_id, v.n, p.vuln_id, p.id, p.score, p.method from fx_pairs as p join v using (vuln_id) where score >= 0.3),
+    g as (
+        select run_id, 0::bigint as n, []::varchar[] as taken, null::struct(vuln_id varchar, id varchar, score double, method varchar) as m from (select distinct run_id from fx_runs)
+        union all
+        select run_id, n, case when m is null then taken else list_append(taken, m.id) end, m from (
+            select g.run_id, g.n + 1 as n, any_value(g.taken) as taken, arg_min({{'vuln_id': e.vuln_id, 'id': e.id, 'score': e.score, 'method': e.method}}, {{'s': -e.score, 'id': e.id}}) filter (e.id is not null) as m
+            from g left join e on e.run_id = g.run_id and e.n = g.n + 1 and not list_contains(g.taken, e.id) where g.n < (select count(*) from v) group by g.run_id, g.n)
+    ),
+    fx_matches as (select run_id, m.vuln_id as vuln_id, m.id as id, m.score as score, m.method as method from g where m is not null)"""
+
+
+@query(f"with recursive {GREEDY} select run_id, vuln_id, id, score, method from fx_matches", "gt", "runs")
 def agg7_greedy(spark, d):
     return matched(spark, d)
 
 
+# A match that SQL can also make: a finding is its own truth's.
+OWN = "o as (select run_id, vuln_id, id from fx_runs join fx_gt using (doc_id) where status not in ('false_positive', 'duplicate'))"
+WEIGHTS = " ".join(f"when '{k}' then {v}::double" for k, v in RECALL_WEIGHT.items())
+WEIGHT = f"case lower(severity) {WEIGHTS} else 0 end"
+METRICS = f"""{OWN}, t as (select count(*) as vulns, sum({WEIGHT}) as weights from fx_gt), n as (select run_id, count(*) as findings from fx_runs where status not in ('false_positive', 'duplicate') group by 1),
+    h as (select o.run_id, count(*) as tp, sum(case lower(g.severity) {WEIGHTS} else 0 end) as got, count(*) filter (lower(g.severity) = lower(r.severity)) as same from o join fx_gt as g using (vuln_id) join fx_runs as r on r.run_id = o.run_id and r.id = o.id group by 1),
+    fx_scores as (select run_id, findings, coalesce(tp, 0) as tp, findings - coalesce(tp, 0) as fp, vulns - coalesce(tp, 0) as fn, vulns, coalesce(tp, 0)::double / findings as precision, coalesce(tp, 0)::double / vulns as recall, coalesce(same, 0)::double / vulns as severity_accuracy,
+        coalesce(got, 0) / weights as weighted_recall, case when tp > 0 then 2 * (tp::double / findings) * (tp::double / vulns) / (tp::double / findings + tp::double / vulns) else 0 end as f1 from n left join h using (run_id), t)"""
+
+
 def scores(spark, d):
     return scoring.run_scores(matched(spark, d), view(spark, d, "gt"), view(spark, d, "runs"), view(spark, d, "gt_fp"))
 
 
-@query(None)
+KNOWN = "x as (select run_id, count(*) as confirmed_fp from fx_runs as r where status not in ('false_positive', 'duplicate') and not exists (select 1 from o where o.run_id = r.run_id and o.id = r.id) and exists (select 1 from fx_gt_fp as g where ends_with(r.file, g.file)) group by 1)"
+RATES = ("precision", "recall", "f1", "severity_accuracy", "weighted_recall")
+
+
+@query(f"with recursive {GREEDY}, {METRICS.replace(OWN, 'o as (select run_id, vuln_id, id from fx_matches)')}, {KNOWN} select run_id, findings, tp, fp, fn, vulns, coalesce(confirmed_fp, 0) as confirmed_fp, {', '.join(f'round({c}, 6) as {c}' for c in RATES)} from fx_scores left join x using (run_id)", "gt", "runs", "gt_fp")
 def agg8_run_scores(spark, d):
     out = scores(spark, d)
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes])
 
 
-# A match that SQL can also make: a finding is its own truth's.
-OWN = "o as (select run_id, vuln_id, id from fx_runs join fx_gt using (doc_id) where status not in ('false_positive', 'duplicate'))"
-WEIGHT = "case lower(severity) " + " ".join(f"when '{k}' then {v}::double" for k, v in RECALL_WEIGHT.items()) + " else 0 end"
-METRICS = f"""{OWN}, t as (select count(*) as vulns, sum({WEIGHT}) as weights from fx_gt), n as (select run_id, count(*) as findings from fx_runs where status not in ('false_positive', 'duplicate') group by 1),
-    h as (select run_id, count(*) as tp, sum({WEIGHT}) as got from o join fx_gt using (vuln_id) group by 1),
-    fx_scores as (select run_id, findings, coalesce(tp, 0) as tp, findings - coalesce(tp, 0) as fp, vulns - coalesce(tp, 0) as fn, coalesce(tp, 0)::double / findings as precision, coalesce(tp, 0)::double / vulns as recall,
-        coalesce(got, 0) / weights as weighted_recall, case when tp > 0 then 2 * (tp::double / findings) * (tp::double / vulns) / (tp::double / findings + tp::double / vulns) else 0 end as f1 from n left join h using (run_id), t)"""
-
-
 def own_scores(spark, d):
     runs, gt = view(spark, d, "runs"), view(spark, d, "gt")
     own = runs.where(~F.col("status").isin(*scoring.DROPPED)).join(gt.select("doc_id", "vuln_id"), "doc_id").select("run_id", "vuln_id", "id")

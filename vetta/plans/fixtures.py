@@ -14,12 +14,13 @@ def pick(n: str, *values: str) -> str:
 
 CWES = [f"CWE-{n}" for n in (89, 79, 78, 22, 330, 94, 200, 352, 611, 502, 798, 601)]
 AS_OF = 1704067200 + 14 * 86400  # 2024-01-15
-FIRST_LINE = "split_part(text, chr(10), 1)"
+# A column of an inner select, so that engines split a text once and not for each word.
+FIRST_LINE = "split_part(text, chr(10), 1) as first_line"
 
 SQL = {
     "findings": f"""
         select doc_id, 'FIND-' || lpad(cast(doc_id as string), 6, '0') as id,
-            trim(concat_ws(' ', {", ".join(f"split_part({FIRST_LINE}, ' ', {k})" for k in range(1, 9))})) as title,
+            trim(concat_ws(' ', {", ".join(f"split_part(first_line, ' ', {k})" for k in range(1, 9))})) as title,
             {pick("doc_id % 5", "critical", "high", "medium", "low", "info")} as severity,
             {pick("doc_id % 3", "high", "medium", "low")} as confidence,
             case when doc_id % 11 < 6 then 'open' when doc_id % 11 < 8 then 'confirmed' when doc_id % 11 = 8 then 'false_positive' when doc_id % 11 = 9 then 'fixed' else 'duplicate' end as status,
@@ -33,7 +34,7 @@ SQL = {
             case when doc_id % 6 = 5 then '' else 'agent-' || cast(doc_id % 6 as string) end as created_by,
             1704067200 + doc_id * 60 as created_at,
             text as description
-        from {{documents}} where doc_id is not null""",
+        from (select *, {FIRST_LINE} from {{documents}} where doc_id is not null) as d""",
     "findings_dup": """
         select * from {findings} union all
         select doc_id, id || '-D', 'Possible ' || title || ' (issue)', severity, confidence, status, exploitability, fix_priority, cwe, file,
