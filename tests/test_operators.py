@@ -8,10 +8,12 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from vetta.functions import needles
 from vetta.functions.columns import glob, glob_column, normal_title, percentage, redact, truncate_bytes
 from vetta.operators import findings, flow, records, scoring, suppress, text, vectors
 from vetta.schemas import CWE_PAIRS, TITLE_STOPWORDS
 from vetta.sources import readers, writers
+from vetta.streaming import jobs
 
 FINDING = "id string, title string, severity string, confidence string, status string, exploitability string, fix_priority string, cwe string, file string, line_start int, function string, tags array<string>, created_by string, created_at long"
 
@@ -293,3 +295,124 @@ def test_block_ends_equal_the_plain_search(spark):
     assert {tuple(r) for r in text.brace_block_end(rows, starts.union(starts)).collect()} == braces
     assert {tuple(r) for r in text.indent_block_end(rows, starts).collect()} == indents
     assert text.brace_block_end(rows.limit(0), starts).count() == 0
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for k, x in enumerate(a):
+        new = [k + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_terms_with_one_edit_share_a_key(spark):
+    rand = random.Random(3)
+    words = ["".join(rand.choice("abé") for _ in range(n)) for n in [1, 1, 2, 2, 3, 4, 5, 59, 60, 61, 63, 64, 65, 66, 200] for _ in range(2)]
+    near = lambda w: [w[:k] + rand.choice(["", "z", w[k : k + 1] + "q"]) + w[k + 1 :] for k in rand.sample(range(len(w)), min(len(w), 4))]
+    words = sorted({w for x in words for w in [x, *near(x)] if w})
+    keys = {r["w"]: set(r["k"]) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", text.near_keys(F.col("w")).alias("k")).collect()}
+    for a in words:
+        for b in words:
+            assert edits(a, b) > 1 or keys[a] & keys[b], (a, b)
+    assert all(len(k) < 70 for k in keys.values())
+
+
+def test_notes_are_found_by_all_fields_and_by_type(spark):
+    rows = [("deploy-plan", "context", "Deploying services", "how it runs", ["ops"]), ("b", "pattern", "the service", None, None), ("c", "stack", None, "", []), ("d", "pattern", "", "deploys", ["Ops"])]
+    notes = spark.createDataFrame(rows, "name string, type string, content string, description string, tags array<string>")
+    names = lambda *a, **b: [r["name"] for r in text.search_notes(notes, *a, **b).collect()]
+    assert names("deployed") == ["d", "deploy-plan"] or names("deployed") == ["deploy-plan", "d"]
+    assert names("deplxy") == ["d", "deploy-plan"] and names("deplxy", type="pattern") == ["d"] and names("deploy", 1) == ["d"]
+    assert names("ops") == ["d", "deploy-plan"][1:] + ["d"] or set(names("ops")) == {"deploy-plan", "d"}  # Ops is one edit away and counts half
+    assert names("stacks") == ["c"] and names("the of") == [] and names("") == []
+
+
+def test_contained_names(spark):
+    rand = random.Random(5)
+    bodies = [(k, "".join(rand.choice("abcé ") for _ in range(rand.randint(0, 60)))) for k in range(150)] + [(900, None), (901, "x" * 5000 + "needle")]
+    names = ["a", "é", "ab", "abc", "cab ", "aaaa", "abcab", "é é", "needle", "", None, "b" * 40]
+    found = {tuple(r) for r in needles.contained(spark.createDataFrame(bodies, "id int, body string"), "id", "body", spark.createDataFrame([(n,) for n in names], "word string"), "word").collect()}
+    assert found == {(k, n) for k, t in bodies if t for n in names if n and n in t}
+    one = spark.createDataFrame(bodies, "id int, body string").select("id", needles.words_in(F.col("body"), ["abc", "ab", "needle"]).alias("w")).collect()
+    assert {r["id"]: r["w"] for r in one} == {k: None if t is None else [w for w in ("ab", "abc", "needle") if w in t] for k, t in bodies}
+
+
+def test_audit_names_agents_and_links(spark):
+    notes = spark.createDataFrame([("API map", "see THE PLAN and api maps"), ("the plan", ""), ("lone", None)], "name string, content string")
+    needed = spark.createDataFrame([("b", "gone"), ("a", "gone"), ("a", "API map")], "agent string, name string")
+    assert {tuple(r) for r in records.context_audit(notes, needed).collect()} == {("missing", "gone", "a,b"), ("referenced", "the plan", "1"), ("orphan", "lone", "")}
+
+
+def test_candidates_are_the_checklist_s(spark):
+    notes = spark.createDataFrame([("n", "context", "Opens a Path with sqlite and sql"), ("m", "context", None)], "name string, type string, content string")
+    hints = spark.createDataFrame([("CWE-89", "sql"), ("CWE-89", "sqlite"), ("CWE-22", "open")], "cwe string, word string")
+    rated = lambda checklist: [tuple(r) for r in records.hypotheses("SQLite", notes, hints, checklist=checklist).collect()]
+    assert rated(None) == [("CWE-89", 5), ("CWE-22", 1)] == rated(spark.createDataFrame([], "cwe string"))
+    assert rated(spark.createDataFrame([("CWE-22",), ("CWE-1",)], "cwe string")) == [("CWE-22", 1)]
+
+
+def test_sensitive_directories(spark):
+    files = spark.createDataFrame([("p", "src/apiAuth/x.py"), ("p", "node_modules/token/a.js"), ("p", "Webhooks/in/y"), ("p", "auth.py")], "project string, path string")
+    assert {(r["path"], r["reason"]) for r in text.sensitive_areas(files).collect()} == {("src/apiAuth/", "Authentication logic"), ("Webhooks/", "Webhook handlers")}
+
+
+CHANGE = "path string, at timestamp, removed boolean, mtime long, size long, sha256 string"
+PARTS = "path string, mtime long, size long, sha256 string, part int"
+
+
+def parts_of(files):
+    return files.select("path", "mtime", "size", "sha256", F.explode(F.sequence(F.lit(0), F.col("size").cast("int"))).alias("part"))
+
+
+def test_an_index_by_batches_is_that_of_one_batch(spark, tmp_path):
+    """Removals, files that come back, equal hashes, a path that the listing has lost, and batches that come again."""
+    rand = random.Random(4)
+    rows = [(k // 12, (f"p{rand.randrange(9)}", k, rand.random() < 0.2, k, 2, rand.choice("xy"))) for k in range(36)]
+    frame = lambda wanted: spark.createDataFrame([r for b, r in rows if b in wanted], CHANGE.replace("timestamp", "long")).withColumn("at", F.timestamp_seconds("at"))
+    listing = spark.createDataFrame([(f"p{k}",) for k in range(8)], "path string")
+    stores = [f"file://{tmp_path}/{k}" for k in range(3)]
+    for k in (0, 1, 2):
+        jobs.merge_batch(frame({k}), k, stores[0], parts_of, PARTS, listing, buckets=4)
+    for k in (0, 1, 1, 2, 1, 2):
+        jobs.merge_batch(frame({k}), k, stores[1], parts_of, PARTS, listing, buckets=4)
+    jobs.merge_batch(frame({0, 1, 2}), 0, stores[2], parts_of, PARTS, listing, buckets=4)
+    last = {r[0]: r for _, r in sorted(rows, key=lambda x: x[1][1])}
+    wanted = sorted((p, r[3], 2, r[5], n) for p, r in last.items() if not r[2] and p != "p8" for n in range(3))
+    for store in stores:
+        assert sorted(map(tuple, jobs.current_index(spark, store, PARTS).collect())) == wanted
+    jobs.merge_batch(frame({2}).limit(0), 3, stores[0], parts_of, PARTS, listing.limit(0), buckets=4)
+    assert jobs.current_index(spark, stores[0], PARTS).count() == 0
+
+
+def test_history_keeps_what_came_first(spark, tmp_path):
+    history = f"file://{tmp_path}/history"
+    rows = lambda *r: spark.createDataFrame([(f, c, a) for f, c, a in r], "fingerprint string, created_by string, at int")
+    keys = ["fingerprint", "created_by"]
+    new = lambda batch, k, run="a": sorted((str(r[0]), r[1], r[2]) for r in jobs.new_against_history(batch, k, history, run, keys).collect())
+    first = rows(("f", "x", 3), ("f", "x", 2), (None, "x", 1), (None, "x", 4))
+    assert new(first, 0) == new(first, 0) == [("None", "x", 1), ("f", "x", 2)]
+    assert new(rows(("f", "x", 1), ("f", "y", 1), (None, "x", 9)), 1) == [("f", "y", 1)]
+    assert new(rows(("f", "y", 1), ("g", "y", 1)), 0, "b") == [("g", "y", 1)]
+
+
+def test_pairs_of_shuffled_batches(spark, tmp_path):
+    from vetta.plans.io_queries import drained, replay_in_parts, state_store
+
+    rand = random.Random(6)
+    events = [(rand.randrange(3), k, rand.choice(["start", "end"]), 1_700_000_000_000_000 + rand.randrange(3_600_000_000)) for k in range(60)]
+    wanted, opened = set(), {}
+    for agent, k, kind, at in sorted(events, key=lambda e: (e[3], e[1])):
+        if kind == "start":
+            opened[agent] = at
+        elif agent in opened:
+            began = opened.pop(agent)
+            if at - began <= 3_600_000_000:
+                wanted.add((agent, k, (at - began) // 1000))
+    schema = "agent int, event_id long, kind string, at_us long"
+    rand.shuffle(events)
+    frames = [spark.createDataFrame(events[k::3], schema) for k in range(3)] + [spark.createDataFrame([(9, 99, "tick", 1_800_000_000_000_000)], schema)]
+    with state_store(spark, "RocksDBStateStoreProvider"):
+        found = drained(jobs.pair_events(replay_in_parts(frames, "events", 1), "2 hours", hours=1), spark)
+    assert {tuple(r) for r in found.collect()} == wanted and wanted

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vetta import schemas
 from vetta.functions.columns import blank, severity_rank
+from vetta.functions.needles import contained, words_in
 from vetta.functions.sizes import small
 
 # --- rules ------------------------------------------------------------------
@@ -96,14 +97,21 @@ def verify_memories(required: DataFrame, memories: DataFrame) -> DataFrame:
     return required.distinct().join(have, "name", "left").groupBy("agent").agg(F.count(F.lit(1)).alias("required"), F.count("_have").alias("present"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_have").isNull(), F.col("name")))), ",").alias("missing"))
 
 
+def cross_references(memories: DataFrame) -> DataFrame:
+    """(source, target) where a note's text contains another note's name, without case, anywhere in it."""
+    names = memories.select("name", F.lower("name").alias("_low")).distinct()
+    hits = contained(memories.select(F.col("name").alias("source"), F.lower("content").alias("_text")), "source", "_text", names, "_low")
+    return hits.join(names, "_low").where("source <> name").select("source", F.col("name").alias("target")).distinct()
+
+
 def context_audit(memories: DataFrame, required: DataFrame) -> DataFrame:
-    """(kind, name): required notes that are missing, notes that name another (by its tokens), and notes that nobody needs or names."""
+    """(kind, name, detail): required notes that are missing, with their agents; notes that others name, with how many; and notes that nobody needs or names."""
     names = memories.select("name").distinct()
-    missing = required.select("name").distinct().join(names, "name", "left_anti").select(F.lit("missing").alias("kind"), "name")
-    words = memories.select(F.col("name").alias("by"), F.explode(F.array_distinct(F.split(F.lower("content"), r"[^\w-]+"))).alias("word"))
-    refs = words.join(names.select("name", F.lower("name").alias("word")), "word").where("by <> name").select("name").distinct()
+    agents = F.array_join(F.array_sort(F.collect_set("agent")), ",")
+    missing = required.join(names, "name", "left_anti").groupBy("name").agg(agents.alias("detail")).select(F.lit("missing").alias("kind"), "name", "detail")
+    refs = cross_references(memories).groupBy(F.col("target").alias("name")).agg(F.count(F.lit(1)).cast("string").alias("detail"))
     orphans = names.join(required, "name", "left_anti").join(refs, "name", "left_anti")
-    return missing.union(refs.select(F.lit("referenced"), "name")).union(orphans.select(F.lit("orphan"), "name"))
+    return missing.union(refs.select(F.lit("referenced"), "name", "detail")).union(orphans.select(F.lit("orphan"), "name", F.lit("")))
 
 
 def memory_by_name(memories: DataFrame) -> DataFrame:
@@ -149,12 +157,23 @@ def next_steps(findings: DataFrame, required: DataFrame, checklist: DataFrame, m
     return steps.where("n > 0")
 
 
-def hypotheses(tech: str, memories: DataFrame, hints: DataFrame, n: int = 10) -> DataFrame:
-    """CWEs by how much the tech text (2 a word) and the notes (1 a note) hint at them. hints: cwe, word."""
-    words = hints.groupBy("cwe").agg(F.collect_set("word").alias("words"))
-    rated = words.withColumn("t", 2 * F.size(F.filter("words", lambda w: F.contains(F.lit(tech.lower()), w))))
-    hits = memories.select("name", "type", F.lower("content").alias("content")).join(small(words), F.exists("words", lambda w: F.contains(F.col("content"), w))).groupBy("cwe").agg(F.count(F.lit(1)).alias("m"))
-    out = rated.join(hits, "cwe", "left").select("cwe", (F.col("t") + F.coalesce("m", F.lit(0))).alias("score")).where("score > 0")
+def hypotheses(tech: str, memories: DataFrame, hints: DataFrame, n: int = 10, checklist: DataFrame | None = None) -> DataFrame:
+    """CWEs by how much the tech text (2 a word) and the notes (1 a note) hint at them. hints: cwe, word, a list of fixed size.
+
+    checklist (cwe): those of the applicable agents; only they are candidates, but all are where it is empty.
+    """
+    if checklist is not None and not checklist.isEmpty():
+        hints = hints.join(checklist.select("cwe").distinct(), "cwe", "left_semi")
+    pairs = [(r["cwe"], r["word"].lower()) for r in hints.distinct().collect()]
+    kinds = {w: sorted(c for c, x in pairs if x == w) for w in {w for _, w in pairs}}
+    tech = tech.lower()
+    rated = {c: 2 * sum(w in tech for x, w in pairs if x == c) for c, _ in pairs}
+    spark = memories.sparkSession
+    rows = spark.createDataFrame(sorted(rated.items()), "cwe string, t int")
+    table = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in sorted(kinds.items()) for x in pair]) if kinds else F.create_map().cast("map<string,array<string>>")
+    found = F.array_distinct(F.flatten(F.transform(words_in(F.lower("content"), list(kinds)), lambda w: F.element_at(table, w))))
+    hits = memories.select(F.explode(found).alias("cwe")).groupBy("cwe").agg(F.count(F.lit(1)).alias("m"))
+    out = rows.join(hits, "cwe", "left").select("cwe", (F.col("t") + F.coalesce("m", F.lit(0))).alias("score")).where("score > 0")
     return out.orderBy(F.desc("score"), "cwe").limit(n)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vetta import schemas
 from vetta.functions.columns import any_of, base_name, blank, extension, glob, truncate_bytes
-from vetta.functions.sizes import small
+from vetta.functions.needles import words_in
 
 MOST_BYTES = 1 << 20  # of a file that is searched
 
@@ -300,20 +300,134 @@ def terms(column: Column) -> Column:
     return F.transform(words, lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, "(?:ing|ed|es|s)$", "")).otherwise(w))
 
 
-def search_notes(memories: DataFrame, query: str, k: int = 50) -> DataFrame:
-    """Notes ranked by the inverse frequency of the query's words in them; a word may differ by one letter."""
-    own = memories.select("name", "type", F.explode(F.array_distinct(terms(F.col("content")))).alias("term"))
-    asked = memories.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(terms(F.col("q")))).alias("asked"))
-    total = memories.agg(F.count(F.lit(1)).alias("total"))
-    near = own.join(F.broadcast(asked), F.levenshtein("term", "asked", 1) >= 0)  # a query has a few words
-    weight = near.groupBy("asked").agg(F.countDistinct("name", "type").alias("df")).crossJoin(F.broadcast(total)).select("asked", F.log(1 + F.col("total") / F.col("df")).alias("idf"))
-    hits = near.groupBy("name", "type", "asked").agg(F.max(F.when(F.col("term") == F.col("asked"), 1.0).otherwise(0.5)).alias("w"))
-    return hits.join(weight, "asked").groupBy("name", "type").agg(F.sum(F.col("w") * F.col("idf")).alias("score")).orderBy(F.desc("score"), "name", "type").limit(k if k > 0 else 20)
+LONG = 64
+
+
+def near_keys(term: Column) -> Column:
+    """Keys of which two terms with one edit between them (a letter more, less or other) share one.
+
+    The term and all that is left of it without one letter; a long term gives its two ends
+    instead, as one edit leaves either end whole. Terms of 60 to LONG letters give both.
+    """
+    n = F.length(term)
+    less = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.concat(F.substring(term, F.lit(1), k), F.substring(term, k + 2, n)))
+    ends = F.array(F.concat(F.lit("^"), F.substring(term, 1, 16)), F.concat(F.lit("$"), F.substring(term, -16, 16)))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.when((n > 0) & (n <= LONG), F.concat(F.array(term), less)).otherwise(none), F.when(n >= LONG - 4, ends).otherwise(none)))
+
+
+def index_notes(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables of the notes (name, type, content, description, tags): postings (name, type, term) and a vocabulary (term, key) for near terms.
+
+    Text and description give stems; name, type and each tag are terms as they stand.
+    """
+    from vetta.plans.tables import written
+
+    columns = dict(memories.dtypes)
+    text = F.concat_ws(" ", *[c for c in ("content", "description") if c in columns])
+    tags = F.coalesce("tags", F.array().cast("array<string>")) if "tags" in columns else F.array().cast("array<string>")
+    every = F.array_distinct(F.concat(terms(text), F.array("name", "type"), tags))
+    postings = written(memories.select("name", "type", F.explode(every).alias("term")).where("term <> ''").distinct(), "postings")
+    return postings, written(postings.select("term").distinct().select("term", F.explode(near_keys(F.col("term"))).alias("key")), "vocabulary")
+
+
+def search_note_table(index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int = 50) -> DataFrame:
+    """(query_id, name, type, score, place): the k best notes (20 where k isn't above 0) of each query (query_id, query, and optionally type, the only type then searched).
+
+    A note matches by any word; a word may differ by one edit and then counts half. A word's
+    worth is the inverse frequency of the notes that it matches. Words meet terms by
+    equality of near_keys, then the edit is checked.
+    """
+    from vetta.plans.tables import written
+
+    postings, vocabulary = index
+    total = postings.agg(F.countDistinct("name", "type").alias("total"))  # one row
+    only = F.col("type") if "type" in queries.columns else F.lit(None).cast("string")
+    asked = written(queries.select("query_id", only.alias("only"), F.explode(F.array_distinct(terms(F.col("query")))).alias("asked")), "asked")
+    near = asked.select("asked").distinct().select("asked", F.explode(near_keys(F.col("asked"))).alias("key")).join(vocabulary, "key").where(F.levenshtein("term", "asked", 1) >= 0).select("asked", "term").distinct()
+    matched = near.join(postings, "term").groupBy("asked", "name", "type").agg(F.max(F.when(F.col("term") == F.col("asked"), 1.0).otherwise(0.5)).alias("w"))
+    matched = written(matched, "matched")
+    worth = matched.groupBy("asked").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("asked", F.log(1 + F.col("total") / F.col("df")).alias("idf"))
+    hits = asked.join(worth, "asked").join(matched, "asked").where(F.col("only").isNull() | (F.col("only") == F.col("type")))
+    scores = hits.groupBy("query_id", "name", "type").agg(F.sum(F.col("w") * F.col("idf")).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "name", "type"))
+    return scores.withColumn("place", place).where(F.col("place") <= (k if k > 0 else 20))
+
+
+def search_notes(memories: DataFrame, query: str, k: int = 50, type: str | None = None) -> DataFrame:
+    """search_note_table() of one query: name, type and score, best first."""
+    asked = memories.sparkSession.createDataFrame([(0, query, type)], "query_id int, query string, type string")
+    return search_note_table(index_notes(memories), asked, k).orderBy("place").select("name", "type", "score")
 
 
 def detect_stack(files: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(project, kind, name) of the stack words (kind, name, word) that a project's files have."""
-    return files.join(small(keywords), F.col("content").contains(F.col("word"))).select("project", "kind", "name").distinct()
+    """(project, kind, name) of the stack words (kind, name, word) that a project's files have. keywords is a list of fixed size; a text is read once for all words."""
+    rows = sorted({(r["word"], r["kind"], r["name"]) for r in keywords.collect()})
+    return files.select("project", named_words(F.col("content"), rows)).select("project", "n.*").distinct()
+
+
+def named_words(text: Column, rows: list[tuple[str, str, str]]) -> Column:
+    """One row (n: struct of kind and name) for each (word, kind, name) whose word is in the text."""
+    table = {w: F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name")) for x, k, n in rows if x == w]) for w in {w for w, _, _ in rows}}
+    if not table:
+        return F.explode(F.array().cast("array<struct<kind:string,name:string>>")).alias("n")
+    names = F.create_map(*[x for w in sorted(table) for x in (F.lit(w), table[w])])
+    return F.explode(F.array_distinct(F.flatten(F.transform(words_in(text, list(table)), lambda w: F.element_at(names, w))))).alias("n")
+
+
+def directories(path: Column) -> Column:
+    """All directories above a file, outermost first."""
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    return F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
+
+
+def walked(path: Column, *skipped: str) -> Column:
+    """Not under a directory that walks leave out; skipped: more of these, such as a tool's own folder."""
+    return ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, (*schemas.SKIPPED_DIRECTORIES, *skipped))))
+
+
+def detect_project(files: DataFrame) -> DataFrame:
+    """(project, kind, name) for each language, framework, database, auth and infrastructure that a project's files (project, path, content) show.
+
+    Languages and infrastructure go by paths, frameworks by the language's manifest,
+    databases by manifests and settings, auth by all walked source and settings files.
+    """
+    path, low = F.col("path"), F.lower("content")
+    kind = lambda name, rows: rows.select("project", F.lit(name).alias("kind"), "name").where("name is not null")
+    one = lambda table: F.explode(F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in table]))).alias("name")
+    # The first of a language's manifests that a project has is the one that is read (java); node's are parsed.
+    manifest = files.where(path.isin(*schemas.MANIFESTS))
+    rank = F.col("path").isin("build.gradle").cast("int") + 2 * F.col("path").isin("build.gradle.kts").cast("int")
+    java = manifest.where(path.isin(*schemas.JAVA_MANIFESTS)).groupBy("project").agg(F.min_by("content", rank).alias("content"))
+    packages_of = lambda key: F.coalesce(F.map_keys(F.from_json(F.get_json_object("content", f"$.{key}"), "map<string,string>")), F.array().cast("array<string>"))
+    node = manifest.where((path == "package.json") & F.get_json_object("content", "$").isNotNull()).select("project", F.array_union(packages_of("dependencies"), packages_of("devDependencies")).alias("names"))
+    typed = node.where(F.array_contains("names", "typescript")).select("project").union(files.where(path == "tsconfig.json").select("project")).distinct().withColumn("_typed", F.lit(True))
+    languages = manifest.select("project", one([(path.isin(*paths), name) for name, paths in schemas.LANGUAGE_MANIFESTS.items()]))
+    scripts = node.select("project").distinct().join(typed, "project", "left").select("project", F.when(F.col("_typed"), "typescript").otherwise("javascript").alias("name"))
+    words = lambda rows, text, table: rows.select("project", named_words(text, [(w, "", n) for w, n in table.items()])).select("project", "n.name")
+    frameworks = words(manifest.where(path == "go.mod"), F.col("content"), schemas.FRAMEWORKS["go"])
+    for rows, text, name in ((manifest.where(path == "requirements.txt"), low, "python"), (manifest.where(path == "Cargo.toml"), F.col("content"), "rust"), (java, F.col("content"), "java"), (manifest.where(path == "Gemfile"), F.col("content"), "ruby")):
+        frameworks = frameworks.union(words(rows, text, schemas.FRAMEWORKS[name]))
+    packages = F.create_map(*[F.lit(x) for pair in schemas.FRAMEWORKS["node"].items() for x in pair])
+    frameworks = frameworks.union(node.select("project", F.explode(F.transform("names", lambda n: F.element_at(packages, n))).alias("name")))
+    listed = lambda table: {w: n for n, ws in table.items() for w in ws}
+    databases = words(files.where(path.isin(*schemas.DATABASE_FILES)), low, listed(schemas.DATABASES))
+    auth = words(files.where(walked(path) & path.rlike(schemas.AUTH_FILES)), low, listed(schemas.AUTH))
+    under = lambda p: (path == p) | path.startswith(p + "/")
+    infrastructure = files.select("project", one([(under(p) if not p.endswith("/") else path.startswith(p), n) for p, n in schemas.INFRASTRUCTURE] + [(path.rlike(r"^[^/]+\.tf$"), "terraform")]))
+    found = kind("language", languages.union(scripts))
+    for name, rows in (("framework", frameworks), ("database", databases), ("auth", auth), ("infrastructure", infrastructure)):
+        found = found.union(kind(name, rows))
+    return found.distinct()
+
+
+def sensitive_areas(files: DataFrame) -> DataFrame:
+    """(project, path, reason) of each directory whose name has a telling word; of several words the first in the list gives the reason."""
+    rows = files.where(walked(F.col("path"))).select("project", F.explode(directories(F.col("path"))).alias("directory")).distinct()
+    name = F.lower(F.element_at(F.split("directory", "/"), -1))
+    reason = F.coalesce(*[F.when(name.contains(w), F.lit(r)) for w, r in schemas.SENSITIVE.items()])
+    return rows.select("project", F.concat("directory", F.lit("/")).alias("path"), reason.alias("reason")).where("reason is not null")
 
 
 def classify_projects(stack: DataFrame, rules: DataFrame) -> DataFrame:

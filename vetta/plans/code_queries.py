@@ -430,10 +430,17 @@ def jn9_verify(spark, d):
     return records.verify_memories(needs(spark, d), view(spark, d, "memories"))
 
 
-@query(f"""with {NEED_SQL}, n as (select distinct name from fx_memories) select 'missing' as kind, name from fx_needs where name not in (select name from n) group by 2
-    union all select 'orphan', name from n where name not in (select name from fx_needs)""", "memories")
+LINKED = "content || case when conv_id % 3 = 0 then ' See ' || cast(conv_id + 1 as string) || '-0.' else '' end"
+
+
+@query(f"""with {NEED_SQL}, l as (select name, {LINKED} as content from fx_memories), n as (select distinct name from fx_memories),
+    x as (select distinct l.name as source, n.name as target from l join n on l.name <> n.name and contains(lower(l.content), lower(n.name)))
+    select 'missing' as kind, name, string_agg(distinct agent, ',' order by agent) as detail from fx_needs where name not in (select name from n) group by 2
+    union all select 'referenced', target, cast(count(*) as varchar) from x group by 2
+    union all select 'orphan', name, '' from n where name not in (select name from fx_needs) and name not in (select target from x)""", "memories")
 def jn10_audit(spark, d):
-    return records.context_audit(view(spark, d, "memories"), needs(spark, d))
+    notes = view(spark, d, "memories").withColumn("content", F.expr(LINKED))
+    return records.context_audit(notes, needs(spark, d))
 
 
 @query("select name, type, md5(content) as content from (select *, row_number() over (partition by name order by case type when 'context' then 0 when 'pattern' then 1 else 2 end) as k from (select name, type, content from fx_memories union all select name, 'context', 'again' from fx_memories where conv_id % 5 = 0 and type <> 'context') as u) as x where k = 1", "memories")
@@ -473,13 +480,22 @@ def agg12_next(spark, d):
 
 
 HINT_SQL = "hi(cwe, word) as (values " + ", ".join(f"('{c}', '{w}')" for c, ws in CWE_HINTS.items() for w in ws) + ")"
+TECH = "sqlite and lxml with open path"
+RATED = f"t as (select cwe, 2 * count(*) as t from hi where contains('{TECH}', word) group by 1), m as (select cwe, count(*) as m from (select distinct cwe, name, type from hi join fx_memories on contains(lower(content), word)) as x group by 1), rated as (select cwe, coalesce(t, 0) + coalesce(m, 0) as score from t full join m using (cwe))"
+
 
+def hints(spark):
+    return spark.createDataFrame([(c, w) for c, ws in CWE_HINTS.items() for w in ws], "cwe string, word string")
 
-@query(f"""with {HINT_SQL}, t as (select cwe, 2 * count(*) as t from hi where contains('sqlite and lxml with open path', word) group by 1), m as (select cwe, count(distinct name || type) as m from hi join fx_memories on contains(lower(content), word) group by 1)
-    select cwe, coalesce(t, 0) + coalesce(m, 0) as score from t full join m using (cwe) order by score desc, cwe limit 10""", "memories")
+
+@query(f"with {HINT_SQL}, {RATED} select cwe, score from rated order by score desc, cwe limit 10", "memories")
 def agg13_hypotheses(spark, d):
-    hints = spark.createDataFrame([(c, w) for c, ws in CWE_HINTS.items() for w in ws], "cwe string, word string")
-    return records.hypotheses("sqlite and lxml with open path", view(spark, d, "memories"), hints)
+    return records.hypotheses(TECH, view(spark, d, "memories"), hints(spark))
+
+
+@query(f"with {AGENT_SQL}, {HINT_SQL}, {RATED} select cwe, score from rated where cwe in (select cwe from ac) order by score desc, cwe limit 10", "memories")
+def agg13_of_agents(spark, d):
+    return records.hypotheses(TECH, view(spark, d, "memories"), hints(spark), checklist=agent_cwes(spark))
 
 
 @query("select agent, coalesce(f, 0) as findings, coalesce(n, 0) as notes, coalesce(ms, 0) as ms from (select created_by as agent, count(*) as f from fx_findings group by 1) as a full join (select 'agent-' || cast(conv_id % 4 as varchar) as agent, count(*) as n from fx_memories group by 1) as b using (agent) full join (select 'agent-' || cast(user_id % 8 as varchar) as agent, sum(event_id) as ms from events group by 1) as c using (agent) where agent not in ('', 'unknown')", "findings", "memories")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -142,6 +143,29 @@ def replay(frame, name: str, sink: str):
     return spark.readStream.schema(frame.schema).parquet(path)
 
 
+def replay_in_parts(frames: list, name: str, files: int = 4):
+    """A stream over tables that are written one after the other, each of them a batch."""
+    from vetta.plans.tables import folder
+
+    spark = frames[0].sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for frame in frames:
+        frame.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+@contextlib.contextmanager
+def state_store(spark, name: str):
+    """A session's state store, as long as a query runs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, f"org.apache.spark.sql.execution.streaming.state.{name}")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drained(stream, spark, mode: str = "append"):
     """What a stream gives until its source is used up, as a table."""
     from vetta.plans.tables import folder
@@ -167,10 +191,45 @@ def str1_index(spark, d):
     return spark.read.parquet(path).groupBy("path").agg(F.max(F.unix_micros("at")).alias("at_us"))
 
 
-@query("select agent, event_id, cast(floor((at_us - p) / 1000) as bigint) as ms from (select *, lag(kind) over w as k, lag(at_us) over w as p from fx_agent_events window w as (partition by agent order by at_us, event_id)) as x where kind = 'end' and k = 'start'", "agent_events")
+FILE_ROWS = "path string, mtime long, size long, sha256 string, part int"
+
+
+def file_parts(files):
+    """A made-up extractor: as many parts of a file as its hash says."""
+    return files.select("path", "mtime", "size", "sha256", F.explode(F.sequence(F.lit(0), F.substring("sha256", 2, 9).cast("int"))).alias("part"))
+
+
+def file_changes(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    path = F.concat(F.lit("f"), (F.col("event_id") * 37 % 6007).cast("string"))
+    return rows.select(path.alias("path"), "at", (F.col("event_type") == "purchase").alias("removed"), F.unix_micros("at").alias("mtime"), (F.col("event_id") % 100).alias("size"), F.concat(F.lit("h"), (F.col("event_id") % 5).cast("string")).alias("sha256"))
+
+
+@query("""with c as (select (event_id * 37) % 6007 as p, epoch_us(ts) as mtime, event_id % 100 as size, event_id % 5 as h, event_type = 'purchase' as removed from events),
+    l as (select *, row_number() over (partition by p order by mtime desc, removed desc, size desc, h desc) as k from c)
+    select 'f' || p as path, mtime, size, 'h' || h as sha256, unnest(range(0, h + 1))::int as part from l where k = 1 and not removed and p % 17 <> 0""")
+def str1_files(spark, d):
+    """An index of files' parts after three batches of changes, with a listing that has lost some paths; the last batch has come twice."""
+    from vetta.plans.tables import folder
+
+    changes = file_changes(spark, d)
+    days = [F.timestamp_seconds(F.lit(1704067200 + k * 86400)) for k in (10, 20)]
+    parts = [changes.where(F.col("at") < days[0]), changes.where((F.col("at") >= days[0]) & (F.col("at") < days[1])), changes.where(F.col("at") >= days[1])]
+    store = f"{folder(spark)}/index-{uuid.uuid4().hex}"
+    listing = lambda: changes.select("path").distinct().where("cast(substring(path, 2) as long) % 17 <> 0")
+    jobs.start_merge_stream(replay_in_parts(parts, "changes"), store, file_parts, FILE_ROWS, store + "-state", listing, once=True).awaitTermination()
+    jobs.merge_batch(parts[2], 2, store, file_parts, FILE_ROWS, listing())
+    return jobs.current_index(spark, store, FILE_ROWS)
+
+
+@query("select agent, event_id, cast(floor((at_us - p) / 1000) as bigint) as ms from (select *, lag(kind) over w as k, lag(at_us) over w as p from fx_agent_events window w as (partition by agent order by at_us, event_id)) as x where kind = 'end' and k = 'start' and at_us - p <= 86400000000", "agent_events")
 def str2_stream(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return drained(jobs.pair_events(replay(view(spark, d, "agent_events"), "events", "pairs")), spark)
+    """Events in three batches that are out of order; a last row of another kind lets the watermark pass them all."""
+    events = view(spark, d, "agent_events").select("agent", "event_id", "kind", "at_us")
+    parts = [events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k) for k in range(3)]
+    tick = events.agg(F.max("at_us").alias("at_us")).select(F.lit(-1).alias("agent"), F.lit(-1).cast("long").alias("event_id"), F.lit("tick").alias("kind"), (F.col("at_us") + 400 * 86_400_000_000).alias("at_us"))
+    with state_store(spark, "RocksDBStateStoreProvider"):
+        return drained(jobs.pair_events(replay_in_parts([*parts, tick], "events"), "365 days"), spark)
 
 
 @query("select distinct file as fingerprint, created_by from fx_findings", "findings")
@@ -179,10 +238,27 @@ def str3_dedup(spark, d):
     return drained(jobs.dedup_stream(replay(rows, "arrivals", "dedup")), spark).select("fingerprint", "created_by")
 
 
-@query(None)
+@query("select file as fingerprint, created_by, case when count(*) filter (doc_id % 3 = 0) > 0 then 1 else 2 end as run from fx_findings group by 1, 2", "findings")
+def str3_history(spark, d):
+    """A run over a third of the findings and a later one over all of them: each key with the run that brought it."""
+    from vetta.plans.tables import folder
+
+    rows = view(spark, d, "findings").select(F.col("file").alias("fingerprint"), "created_by", F.timestamp_seconds("created_at").alias("at"), "doc_id")
+    history = f"{folder(spark)}/history-{uuid.uuid4().hex}"
+    for k, part in ((1, rows.where("doc_id % 3 = 0")), (2, rows)):
+        jobs.start_dedup_stream(replay(part, "arrivals", "history"), history, f"{history}-state-{k}", once=True).awaitTermination()
+    kept = spark.read.schema("fingerprint string, created_by string, run string").parquet(history)
+    return kept.where("fingerprint is not null").select("fingerprint", "created_by", F.when(F.col("run") == jobs.run_name(f"{history}-state-1"), 1).otherwise(2).alias("run"))
+
+
+@query("""with n as (select *, case when at_us - lag(at_us) over (partition by agent order by at_us) <= 600000000 then 0 else 1 end as new from fx_agent_events), b as (select *, sum(new) over (partition by agent order by at_us range between unbounded preceding and current row) as b from n)
+    select agent, min(at_us) as first, max(at_us) + 600000000 as last, count(*) as n from b group by agent, b""", "agent_events")
 def str4_stream(spark, d):
+    """Bursts of a stream; a last row of another key lets the watermark pass them all."""
     rows = view(spark, d, "agent_events").select("agent", F.timestamp_micros("at_us").alias("at"))
-    return drained(jobs.debounce(replay(rows, "bursts", "sessions"), "agent", "10 minutes", "1 hour"), spark)
+    tick = rows.agg(F.max("at").alias("at")).select(F.lit(-1).alias("agent"), (F.col("at") + F.expr("interval 400 days")).alias("at"))
+    out = drained(jobs.debounce(replay_in_parts([rows, tick], "bursts"), "agent", "10 minutes", "365 days"), spark)
+    return out.where("agent >= 0").select("agent", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), "n")
 
 
 @query(f"with {TREE_SQL} select count(*) as files from fx_tree")

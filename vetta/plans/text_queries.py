@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vetta import schemas
 from vetta.catalog import query
 from vetta.functions.columns import language_of, redact, truncate_bytes
 from vetta.operators import text as op
@@ -219,9 +220,39 @@ def txt9_contains(spark, d):
     return op.contains_notes(view(spark, d, "memories"), "ERING").select("name", "type")
 
 
-@query(None)
+# Stems as the operator makes them; a note's terms are its stems and, as they stand, its name, type and tag.
+STEMS = """list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 1 and w not in ({1})), lambda w: case when length(w) > 4 then regexp_replace(w, '(ing|ed|es|s)$', '') else w end)"""
+STOPPED = ", ".join(f"'{w}'" for w in op.STOP)
+# At most one edit in code points (the function of SQL counts bytes).
+LESS = "len(list_filter(range(1, length({0}) + 1), lambda i: substr({0}, 1, i - 1) || substr({0}, i + 1) = {1})) > 0"
+EDIT = f"""case length(asked) - length(term) when 1 then {LESS.format("asked", "term")} when -1 then {LESS.format("term", "asked")}
+    else asked = term or len(list_filter(range(1, length(asked) + 1), lambda i: substr(asked, 1, i - 1) = substr(term, 1, i - 1) and substr(asked, i + 1) = substr(term, i + 1))) > 0 end"""
+SEARCH = f"""p as materialized (select distinct name, type, unnest(list_concat({STEMS.format("concat_ws(' ', content, tag || ' of ' || name)", STOPPED)}, [name, type, tag])) as term from fx_memories),
+    a as materialized (select distinct query_id, only_type, unnest({STEMS.format("query", STOPPED)}) as asked from asks),
+    near as materialized (select asked, term, asked <> term as far from (select distinct asked from a) join (select distinct term from p) on abs(length(asked) - length(term)) <= 1 and ({EDIT})),
+    h as materialized (select asked, name, type, max(case when far then 0.5::double else 1.0::double end) as w from near join p using (term) group by all),
+    i as (select asked, ln(1 + (select count(*) from (select distinct name, type from fx_memories))::double / count(*)) as idf from h group by 1),
+    s as (select query_id, name, type, sum(w * idf) as score from a join i using (asked) join h using (asked) where only_type is null or only_type = type group by all),
+    ranked as (select *, row_number() over (partition by query_id order by round(score, 9) desc, name, type) as place from s)"""
+
+
+def notes(spark, d):
+    return view(spark, d, "memories").withColumn("description", F.concat("tag", F.lit(" of "), "name")).withColumn("tags", F.array("tag"))
+
+
+@query(f"with asks as (select 0 as query_id, null::varchar as only_type, 'thering license nations' as query), {SEARCH} select name, type, round(score, 6) as score from ranked where place <= 50", "memories")
 def txt8_search_notes(spark, d):
-    return op.search_notes(view(spark, d, "memories"), "thering license nations").withColumn("score", F.round("score", 6))
+    return op.search_notes(notes(spark, d), "thering license nations").withColumn("score", F.round("score", 6))
+
+
+# The first words of a note in 20, some searched among patterns alone.
+ASKS = "select name as query_id, case when conv_id % 40 = 0 then 'pattern' end as only_type, concat_ws(' ', {part}(content, ' ', 1), {part}(content, ' ', 2), {part}(content, ' ', 3), case when conv_id % 40 = 0 then name end) as query from {memories} where conv_id % 20 = 0".replace("{part}", "split_part")
+
+
+@query(f"with asks as ({ASKS.format(memories='fx_memories')}), {SEARCH} select query_id, name, type, place from ranked where place <= 20", "memories")
+def txt8_note_queries(spark, d):
+    asked = spark.sql(ASKS.format(memories="{memories}"), memories=view(spark, d, "memories")).withColumnRenamed("only_type", "type")
+    return op.search_note_table(op.index_notes(notes(spark, d)), asked, 0).select("query_id", "name", "type", "place")
 
 
 WORDS = [("database", "postgres", "the"), ("framework", "rails", "nav"), ("auth", "oauth", "track"), ("infrastructure", "docker", "footer"), ("framework", "django", "lang=\"de\"")]
@@ -237,6 +268,55 @@ def txt10_stack(spark, d):
     return stack(spark, d)
 
 
+# Trees of files: a page is a file of its project, with words of its own put before its text.
+PROJECT_FILES = {
+    0: ("go.mod", "require github.com/go-chi/chi v5 // Redis"), 1: ("package.json", None), 2: ("requirements.txt", "Django==5 psycopg2"), 3: ("Cargo.toml", 'tokio = "1"'),
+    4: ("pom.xml", "spring-boot"), 5: ("build.gradle", "quarkus"), 6: ("Gemfile", "gem 'rails'"), 7: ("Dockerfile", "from x"), 8: ("k8s/app.yaml", "x-api-key oidc"),
+    9: ("src/AuthService/Token.py", "import jwt"), 10: ("vendor/admin/a.py", "saml"), 11: (".github/workflows/ci.yml", "ldap"), 12: ("main.tf", ""), 13: ("tsconfig.json", ""), 14: ("k8s", ""), 15: (".env", "ELASTIC=1"),
+}
+PACKAGE = '{"dependencies": {"next": "1", "mysql2": "2"}, "devDependencies": {"typescript": "5"}}'
+QUOTE = "' || chr(39) || '"
+TREES = (
+    "select 'p' || cast(cast(floor(page_id / 16) as int) as string) as project, case page_id % 16 " + " ".join(f"when {k} then '{p}'" for k, (p, _) in PROJECT_FILES.items()) + " end as path, "
+    "case page_id % 16 " + " ".join(f"when {k} then '{w.replace(chr(39), QUOTE)} ' || html" for k, (_, w) in PROJECT_FILES.items() if w is not None) + f" else case when page_id % 32 = 1 then '{PACKAGE}' else 'no json' end end as content from pages where html is not null and page_id % 7 <> 3"
+)
+
+
+def trees(spark, d):
+    return spark.sql(TREES.replace("{", "{{").replace("}", "}}").replace("from pages", "from {pages}"), pages=spark.read.parquet(f"{d}/pages.parquet"))
+
+
+def listed(table):
+    return ", ".join(f"('{w.replace(chr(39), chr(39) * 2)}', '{n}')" for w, n in table)
+
+
+FRAMES = [(f"{m}|{w}", n) for m, k in (("go.mod", "go"), ("requirements.txt", "python"), ("Cargo.toml", "rust"), ("Gemfile", "ruby")) for w, n in schemas.FRAMEWORKS[k].items()]
+TREE_SQL = f"""f as materialized ({TREES}), lang(path, name) as (values {listed((p, n) for n, ps in schemas.LANGUAGE_MANIFESTS.items() for p in ps)}), fw(word, name) as (values {listed(FRAMES)}), jw(word, name) as (values {listed(schemas.FRAMEWORKS["java"].items())}),
+    db(word, name) as (values {listed((w, n) for n, ws in schemas.DATABASES.items() for w in ws)}), au(word, name) as (values {listed((w, n) for n, ws in schemas.AUTH.items() for w in ws)}), inf(p, name) as (values {listed(schemas.INFRASTRUCTURE)}),
+    node as (select project, json_keys(content, '$.dependencies') || json_keys(content, '$.devDependencies') as names from f where path = 'package.json' and json_valid(content)),
+    java as (select project, path, content from f where path in ('pom.xml', 'build.gradle', 'build.gradle.kts')), j1 as (select project, min(case path when 'pom.xml' then 0 when 'build.gradle' then 1 else 2 end) as r from java group by 1)"""
+
+
+# A project's files that share a path are all read; of a build script and a project file, the latter alone.
+@query(f"""with {TREE_SQL} select distinct * from (
+    select project, 'language' as kind, name from f join lang using (path) union all
+    select project, 'language', case when list_contains(names, 'typescript') or project in (select project from f where path = 'tsconfig.json') then 'typescript' else 'javascript' end from node union all
+    select project, 'framework', name from f join fw on f.path = split_part(word, '|', 1) and contains(case when f.path = 'requirements.txt' then lower(content) else content end, split_part(word, '|', 2)) union all
+    select project, 'framework', case n when 'next' then 'nextjs' else n end from (select project, unnest(names) as n from node) as x where n in ('next', 'react', 'vue') union all
+    select project, 'framework', name from java join j1 using (project) join jw on contains(content, word) where r = case path when 'pom.xml' then 0 when 'build.gradle' then 1 else 2 end union all
+    select project, 'database', name from f join db on contains(lower(content), word) where path in ('go.mod', 'package.json', 'requirements.txt', 'Cargo.toml', 'docker-compose.yml', 'docker-compose.yaml', '.env', '.env.example') union all
+    select project, 'auth', name from f join au on contains(lower(content), word) where regexp_matches(path, '\\.(go|js|ts|py|java|rb|yaml|yml|json)$') and not starts_with(path, 'vendor/') union all
+    select project, 'infrastructure', name from f join inf on case when ends_with(p, '/') then starts_with(path, p) else path = p or starts_with(path, p || '/') end union all
+    select project, 'infrastructure', 'terraform' from f where path = 'main.tf') as x""")
+def txt10_project(spark, d):
+    return op.detect_project(trees(spark, d))
+
+
+@query(f"""with f as ({TREES}) select distinct project, 'src/AuthService/' as path, 'Authentication logic' as reason from f where starts_with(path, 'src/AuthService/')""")
+def txt10_sensitive(spark, d):
+    return op.sensitive_areas(trees(spark, d))
+
+
 @query(f"""with {WORD_SQL}, s as (select distinct project, kind, name from fx_manifests join w on contains(content, word)), r(name, type) as (values ('rails', 'web'), ('django', 'web'), ('docker', 'service'))
     select project, (select string_agg(distinct kind, ',' order by kind) from s as b where b.project = a.project) as traits, coalesce((select string_agg(distinct type, ',' order by type) from s as b join r using (name) where b.project = a.project), 'library') as types from (select distinct project from s) as a""", "manifests")
 def txt11_classify(spark, d):
