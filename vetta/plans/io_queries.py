@@ -11,7 +11,7 @@ from vetta.catalog import query
 from vetta.plans.fixtures import view
 from vetta.plans.tables import written
 from vetta.plans.text_queries import TREE_SQL, tree
-from vetta.sources import readers, writers
+from vetta.sources import documents, readers, writers
 from vetta.streaming import jobs
 
 
@@ -133,6 +133,101 @@ def snk5_bundle(spark, d):
     return bundle.select("project", told["findings"].alias("n"), told["open"].alias("open"))
 
 
+# --- documents in parts: written, and read back line by line ----------------------
+
+# Findings with all that reports can show, by turns; SQL makes the same columns.
+SHOWN = {
+    "flow_trace": "case when doc_id % 3 = 0 then named_struct('source', 'in ' || id, 'sink', 'out <b>', 'path', array('s1', 'step ' || severity), 'guards', case when doc_id % 2 = 0 then array('check') end, 'unguarded', doc_id % 4 = 0) end",
+    "evidence": "case when doc_id % 5 < 2 then array(named_struct('type', 'code', 'description', 'seen ' || id, 'trace', case when doc_id % 5 = 0 then array('a', 'b') end)) end",
+    "cvss": "case when doc_id % 4 = 1 then named_struct('score', cast(doc_id % 100 / 10.0 as double), 'vector', 'AV:N') end",
+    "line_end": "case when doc_id % 2 = 0 then line_start + 3 else 0 end",
+    "snippet": "case when doc_id % 7 = 0 then 'x = 1' || chr(10) when doc_id % 7 = 1 then 'y & z' else '' end",
+    "impact": "'of ' || severity",
+    "remediation": "case when doc_id % 5 = 0 then null else 'mend' end",
+    "references": "case when doc_id % 6 = 0 then array('https://a/' || cast(doc_id as string), 'b') end",
+}
+
+
+def shown(spark, d):
+    return with_project(spark, d).withColumns({k: F.expr(v) for k, v in SHOWN.items()})
+
+
+def documents_of(rows, name: str) -> str:
+    from vetta.plans.tables import folder
+
+    path = f"{folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    documents.write_documents(rows, path)
+    return path
+
+
+RESULT = """ruleId string, ruleIndex int, level string, message struct<text: string>, locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int, endLine: int, snippet: struct<text: string>>>>>,
+    codeFlows array<struct<threadFlows: array<struct<locations: array<struct<message: struct<text: string>>>>>>>, partialFingerprints map<string, string>, suppressions array<struct<justification: string>>, properties struct<id: string, cvss: struct<score: double>>"""
+
+
+@query(f"""with r as (select project, rule, row_number() over (partition by project order by first) - 1 as index from (select split_part(file, '/', 2) as project, {RULE} as rule, min(id) as first from fx_findings group by 1, 2) as r)
+    select split_part(file, '/', 2) as project, id, {RULE} as rule, index, {LEVEL} as level, title, file, line_start, case when doc_id % 2 = 0 then line_start + 3 end as line_end, case when doc_id % 7 = 0 then 'x = 1' || chr(10) when doc_id % 7 = 1 then 'y & z' end as snippet,
+        case when doc_id % 3 = 0 then 'Source: in ' || id || '|s1|step ' || severity || '|Sink: out <b>' end as flow, case when doc_id % 50 = 3 then 'accepted' end as reason, case when doc_id % 4 = 1 then doc_id % 100 / 10.0::double end as cvss, 'print ' || id as fingerprint
+    from fx_findings as f join r on r.project = split_part(file, '/', 2) and r.rule = {RULE}""", "findings")
+def snk1_document(spark, d):
+    """SARIF with regions, snippets, flows, suppressions, fingerprints and scores, a result a line."""
+    rows = shown(spark, d).withColumn("fingerprint", F.concat(F.lit("print "), "id"))
+    path = documents_of(documents.sarif_document(rows, "project", rows.where("doc_id % 50 = 3").select("id", F.lit("accepted").alias("reason"))), "sarif")
+    x = documents.read_items(spark, path, RESULT, '{"ruleId"')
+    at, flow = F.col("locations")[0]["physicalLocation"], F.col("codeFlows")[0]["threadFlows"][0]["locations"]
+    return x.select(
+        "project", F.col("properties.id").alias("id"), F.col("ruleId").alias("rule"), F.col("ruleIndex").alias("index"), "level", F.col("message.text").alias("title"), at["artifactLocation"]["uri"].alias("file"), at["region"]["startLine"].alias("line_start"), at["region"]["endLine"].alias("line_end"),
+        at["region"]["snippet"]["text"].alias("snippet"), F.when(flow.isNotNull(), F.array_join(F.transform(flow, lambda s: s["message"]["text"]), "|")).alias("flow"), F.col("suppressions")[0]["justification"].alias("reason"), F.col("properties.cvss.score").alias("cvss"), F.col("partialFingerprints")["finding/v1"].alias("fingerprint"),
+    )
+
+
+@query("select split_part(file, '/', 2) as project, 'finding' as kind, id as name, md5(description) as body from fx_findings union all select 'src' || cast(conv_id % 4 as varchar), 'note', name || ' ' || type, md5(content) from (select *, row_number() over (partition by name, type) as k from fx_memories) as m where k = 1 and 'src' || cast(conv_id % 4 as varchar) in (select split_part(file, '/', 2) from fx_findings)", "findings", "memories")
+def snk5_bodies(spark, d):
+    """Bundles with the bodies of notes and findings, read back."""
+    rows = with_project(spark, d)
+    notes = view(spark, d, "memories").select(F.concat(F.lit("src"), (F.col("conv_id") % 4).cast("string")).alias("project"), F.concat_ws(" ", "name", "type").alias("name"), "type", "content")
+    projects = rows.select("project", F.concat(F.lit("/repo/"), "project").alias("path")).distinct()
+    path = documents_of(documents.bundle_document(projects, notes, rows.select("project", "id", "title", "severity", "status", "description"), ["agent-1", "agent-2"]), "bundle")
+    back = documents.read_items(spark, path, "kind string, name string, id string, content string, description string", '{"kind"')
+    return back.select("project", "kind", F.coalesce("name", "id").alias("name"), F.md5(F.coalesce("content", "description")).alias("body"))
+
+
+@query("select run_id, id, title, severity, status, cwe, file, line_start, tags from fx_runs", "runs")
+def src10_parts(spark, d):
+    """Whole runs as documents in parts, read back."""
+    path = documents_of(documents.run_document(view(spark, d, "runs")), "runs")
+    back = documents.read_items(spark, path, "id string, title string, severity string, status string, cwe string, location struct<file: string, line_start: int>, tags array<string>", '{"id"')
+    return back.select(F.col("project").cast("int").alias("run_id"), "id", "title", "severity", "status", "cwe", "location.file", "location.line_start", F.array_join("tags", ";").alias("tags"))
+
+
+BLOCK = """'### ' || case severity when 'critical' then '🔴 **CRITICAL**' when 'high' then '🟠 **HIGH**' when 'medium' then '🟡 **MEDIUM**' when 'low' then '🟢 **LOW**' else '🔵 **INFO**' end || ' ' || title || e'\\n\\n| Property | Value |\\n|----------|-------|\\n'
+    || '| **ID** | `' || id || e'` |\\n| **Severity** | ' || severity || e' |\\n| **Confidence** | ' || confidence || e' |\\n| **Status** | ' || status || e' |\\n'
+    || case when cwe <> '' then '| **CWE** | [' || cwe || '](https://cwe.mitre.org/data/definitions/' || replace(upper(cwe), 'CWE-', '') || e'.html) |\\n' else '' end
+    || case when doc_id % 4 = 1 then '| **CVSS Score** | ' || format('{:.1f}', doc_id % 100 / 10.0) || e' |\\n| **CVSS Vector** | `AV:N` |\\n' else '' end
+    || e'\\n#### Location\\n\\n**File:** `' || file || '`' || case when doc_id % 2 = 0 then ' (lines ' || line_start || '-' || (line_start + 3) || ')' else ' (line ' || line_start || ')' end || e'\\n' || case when function <> '' then '**Function:** `' || function || e'`\\n' else '' end || e'\\n'
+    || case when doc_id % 7 = 0 then e'```\\nx = 1\\n```\\n\\n' when doc_id % 7 = 1 then e'```\\ny & z\\n```\\n\\n' else '' end || case when description <> '' then e'#### Description\\n\\n' || description || e'\\n\\n' else '' end
+    || e'#### Impact\\n\\nof ' || severity || e'\\n\\n' || case when doc_id % 5 = 0 then '' else e'#### Remediation\\n\\nmend\\n\\n' end
+    || case when doc_id % 5 < 2 then e'#### Evidence\\n\\n1. **code:** seen ' || id || e'\\n' || case when doc_id % 5 = 0 then e'   - Trace: a → b\\n' else '' end || e'\\n' else '' end
+    || case when doc_id % 3 = 0 then e'#### Data Flow Trace\\n\\n**Source:** in ' || id || e'\\n**Path:**\\n1. s1\\n2. step ' || severity || e'\\n' || case when doc_id % 2 = 0 then e'**Guards:**\\n- check\\n' else '' end || e'**Sink:** out <b>\\n**Verdict:** ' || case when doc_id % 4 = 0 then 'UNGUARDED' else 'GUARDED' end || e'\\n\\n' else '' end
+    || case when doc_id % 6 = 0 then e'#### References\\n\\n- https://a/' || doc_id || e'\\n- b\\n\\n' else '' end || '**Tags:** `' || replace(tags, ';', '`, `') || e'`\\n\\n'"""
+
+
+@query(f"select id, md5({BLOCK}) as block from fx_findings", "findings")
+def snk4_blocks(spark, d):
+    return documents.markdown_blocks(shown(spark, d)).select("id", F.md5("block").alias("block"))
+
+
+TABLE = lambda column, values: " || ".join(f"case when count(*) filter ({column} = '{v}') > 0 then '| {s} | ' || count(*) filter ({column} = '{v}') || e' |\\n' else '' end" for v, s in values)
+HEAD = f"""'# Security Findings Report: ' || project || e'\\n\\nGenerated by vetta v1\\n\\n## Summary\\n\\n**Total Findings:** ' || count(*) || e'\\n\\n### By Severity\\n\\n| Severity | Count |\\n|----------|-------|\\n' || {TABLE("severity", documents.BADGES.items())}
+    || e'\\n### By Status\\n\\n| Status | Count |\\n|--------|-------|\\n' || {TABLE("status", [(s, s) for s in ("open", "confirmed", "false_positive", "fixed", "duplicate")])} || e'\\n## Findings\\n'"""
+
+
+@query(f"select project, md5({HEAD}) as head, count(*) as blocks from (select *, split_part(file, '/', 2) as project from fx_findings) as f group by 1", "findings")
+def snk4_report(spark, d):
+    """Reports by project: the head with its tables, and how many blocks follow it."""
+    rows = documents.markdown_document(shown(spark, d), "project")
+    return rows.groupBy("project").agg(F.md5(F.max(F.when(F.col("section") == 0, F.col("text")))).alias("head"), F.count_if(F.col("section") == 1).alias("blocks"))
+
+
 # --- streams, replayed from written tables until they are used up -----------------
 
 

@@ -12,7 +12,7 @@ from vetta.schemas import SEVERITY, STATUS
 # Columns that reports show where findings have them.
 OPTIONAL = {
     "cvss": "struct<score: double, vector: string>", "line_end": "int", "function": "string", "snippet": "string", "description": "string", "impact": "string", "remediation": "string",
-    "references": "array<string>", "flow_trace": "struct<source: string, sink: string, path: array<string>>", "confidence": "string", "status": "string",
+    "references": "array<string>", "flow_trace": "struct<source: string, sink: string, path: array<string>>", "evidence": "array<struct<type: string, description: string, trace: array<string>>>", "confidence": "string", "status": "string",
 }
 
 
