@@ -12,7 +12,7 @@ from vetta.functions import needles
 from vetta.functions.columns import glob, glob_column, normal_title, percentage, redact, truncate_bytes
 from vetta.operators import findings, flow, records, scoring, suppress, text, vectors
 from vetta.schemas import CWE_PAIRS, TITLE_STOPWORDS
-from vetta.sources import readers, writers
+from vetta.sources import documents, readers, writers
 from vetta.streaming import jobs
 
 FINDING = "id string, title string, severity string, confidence string, status string, exploitability string, fix_priority string, cwe string, file string, line_start int, function string, tags array<string>, created_by string, created_at long"
@@ -416,3 +416,67 @@ def test_pairs_of_shuffled_batches(spark, tmp_path):
     with state_store(spark, "RocksDBStateStoreProvider"):
         found = drained(jobs.pair_events(replay_in_parts(frames, "events", 1), "2 hours", hours=1), spark)
     assert {tuple(r) for r in found.collect()} == wanted and wanted
+
+
+def whole(spark, rows, path):
+    """Each project's document: its part files one after the other."""
+    import pathlib
+
+    documents.write_documents(rows, f"file://{path}")
+    return {d.name.partition("=")[2]: "".join(p.read_text() for p in sorted(d.glob("part-*"))) for d in pathlib.Path(path).glob("project=*")}
+
+
+def reported(spark):
+    schema = FINDING + ", project string, description string, impact string, snippet string, evidence array<struct<type: string, description: string, trace: array<string>>>, flow_trace struct<source: string, sink: string, path: array<string>, guards: array<string>, unguarded: boolean>"
+    one = finding("F-1", title='a "quoted" <title>\n2') + ("p", "what & why", None, "x()", [("code", "seen", ["a", "b"])], ("in", "out", ["s"], ["g"], True))
+    two = finding("F-2", cwe="", line_start=0, function="", tags=[], severity="low") + ("p", "", "bad", "", None, None)
+    return spark.createDataFrame([one, two, finding("F-3") + ("q", None, None, None, [], None)], schema)
+
+
+def test_documents_are_whole_json(spark, tmp_path):
+    rows = reported(spark)
+    found = whole(spark, documents.sarif_document(rows, "project", spark.createDataFrame([("F-2", "later")], "id string, reason string"), 'v"t'), tmp_path / "sarif")
+    run = json.loads(found["p"])["runs"][0]
+    assert run["tool"]["driver"]["name"] == 'v"t' and [r["id"] for r in run["tool"]["driver"]["rules"]] == ["CWE-89", "F-2"]
+    assert [r["message"]["text"] for r in run["results"]] == ['a "quoted" <title>\n2', "SQL injection in getUser"] and [r["ruleIndex"] for r in run["results"]] == [0, 1]
+    assert run["results"][0]["codeFlows"][0]["threadFlows"][0]["locations"][2]["message"]["text"] == "Sink: out" and run["results"][1]["suppressions"][0]["justification"] == "later"
+    assert len(json.loads(found["q"])["runs"][0]["results"]) == 1
+    notes = spark.createDataFrame([("p", "n", "line\ntwo"), ("z", "lost", "")], "project string, name string, content string")
+    projects = spark.createDataFrame([("p", "/p"), ("empty", "/e")], "project string, path string")
+    found = {k: json.loads(v) for k, v in whole(spark, documents.bundle_document(projects, notes, rows, ["a"]), tmp_path / "bundle").items()}
+    assert found["p"]["memories"][0]["content"] == "line\ntwo" and [f["id"] for f in found["p"]["findings"]] == ["F-1", "F-2"] and found["p"]["finding_stats"]["by_severity"]["high"] == 1
+    assert found["empty"] == {"project": {"project": "empty", "path": "/e"}, "memories": [], "findings": [], "finding_stats": {"total": 0, "by_severity": dict.fromkeys(("critical", "high", "medium", "low", "info"), 0), "by_status": found["empty"]["finding_stats"]["by_status"]}, "available_agents": ["a"]}
+    assert documents.read_items(spark, f"file://{tmp_path}/sarif", "ruleId string", '{"ruleId"').count() == 3
+
+
+def test_reports_have_all_there_is(spark, tmp_path):
+    rows = reported(spark)
+    text = whole(spark, documents.markdown_document(rows, "project"), tmp_path / "md")["p"]
+    assert text.startswith("# Security Findings Report: p\n\nGenerated by vetta v1\n\n## Summary\n\n**Total Findings:** 2\n")
+    assert "| 🟠 **HIGH** | 1 |\n| 🟢 **LOW** | 1 |\n" in text and "| open | 2 |" in text and text.count("\n---\n") == 2
+    for part in ("#### Evidence\n\n1. **code:** seen\n   - Trace: a → b\n", "**Source:** in\n**Path:**\n1. s\n**Guards:**\n- g\n**Sink:** out\n**Verdict:** UNGUARDED\n", "```\nx()\n```\n", "#### Impact\n\nbad\n", "**File:** `a/b.py` (line 3)\n"):
+        assert part in text
+    html = {r["id"]: r["article"] for r in documents.html_articles(rows).collect()}
+    assert "a &#34;quoted&#34; &lt;title&gt;" in html["F-1"] and "<p>what &amp; why</p>" in html["F-1"] and "<li>code: seen: a → b</li>" in html["F-1"] and "UNGUARDED" in html["F-1"]
+    assert "<h3>Evidence" not in html["F-2"] + html["F-3"] and "<p>bad</p>" in html["F-2"]
+
+
+def tree(spark, language, code):
+    rows = text.lines(spark.createDataFrame([("f", code)], "path string, content string"))
+    return [(r["name"], r["kind"], r["parent"], r["end_line"]) for r in text.symbol_tree(rows, language).orderBy("line_no").collect()]
+
+
+def test_parents_of_symbols(spark):
+    assert tree(spark, "python", "class A:\n  def m(self):\n    def inner():\n      pass\n\nX = 1\ndef f():\n  class B:\n    def n(self):\n      pass\n  def g():\n    pass") == [
+        ("A", "class", None, 5), ("m", "method", "A", 5), ("inner", "method", "A", 5), ("f", "function", None, 12), ("B", "class", None, 10), ("n", "method", "B", 10), ("g", "function", None, 12)]
+    assert tree(spark, "go", "type T struct {\n}\nfunc (t *T) M() {\n}\nfunc F() {\n}") == [("T", "struct", None, 2), ("M", "method", "T", 4), ("F", "function", None, 6)]
+    assert tree(spark, "rust", "impl<'a> Show for Thing {\n  fn make() {\n  }\n}\nfn free() {\n}") == [("make", "method", "Thing", 3), ("free", "function", None, 6)]
+    assert tree(spark, "ruby", "module M\n  class C\n    def x\n    end\n  end\nend\ndef y\nend") == [("M", "class", None, 6), ("C", "class", "M", 5), ("x", "method", "C", 4), ("y", "function", None, 8)]
+
+
+def test_findings_against_their_files(spark):
+    code = "q = request.args\nvalidate(q)\nrun(q)\nescape(q)\nrun(q)"
+    rows = text.lines(spark.createDataFrame([("a", code), ("b", "run(1)"), ("c", "x = request.args"), ("d", "x = request.args\nrun(x)")], "path string, content string"))
+    own = spark.createDataFrame([("1", "a", 2), ("2", "b", 1), ("3", "c", 1), ("4", "d", 40), ("5", "none", 1)], "id string, file string, line_start int")
+    found = {r["id"]: (r["lines"], r["sources"], r["sinks"], r["guards"], r["verdict"], r["confidence"]) for r in flow.validate_against_code(own, rows, r"request\.", r"run\(").collect()}
+    assert found == {"1": (5, 1, 2, 1, "uncertain_guard_present", "medium"), "2": (1, 0, 1, 0, "sink_present_source_missing", "low"), "3": (1, 1, 0, 0, "sink_missing", "low"), "4": (0, 1, 1, 0, "likely_true_positive", "high"), "5": (0, 0, 0, 0, "sink_missing", "low")}

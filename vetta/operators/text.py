@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vetta import schemas
-from vetta.functions.columns import any_of, base_name, blank, extension, glob, truncate_bytes
+from vetta.functions.columns import any_of, base_name, blank, extension, glob, language_of, truncate_bytes
 from vetta.functions.needles import words_in
 
 MOST_BYTES = 1 << 20  # of a file that is searched
@@ -171,7 +171,7 @@ def cap_per_file(chunks: DataFrame, n: int = 500) -> DataFrame:
 
 # --- symbols and blocks --------------------------------------------------------
 
-# For each family of languages, kinds with the expression that finds the name, in the order in which they are tried.
+# For each family of languages, kinds with the expression that finds the name, in the order in which they are tried.
 SYMBOLS = {
     "python": (("class", r"^\s*class\s+(\w+)"), ("method", r"^\s+(?:async\s+)?def\s+(\w+)"), ("function", r"^(?:async\s+)?def\s+(\w+)"), ("constant", r"^([A-Z][A-Z0-9_]+)\s*=")),
     "go": (("method", r"^func\s+\([^)]*\)\s*(\w+)"), ("function", r"^func\s+(\w+)"), ("struct", r"^type\s+(\w+)\s+struct\b"), ("interface", r"^type\s+(\w+)\s+interface\b"), ("type", r"^type\s+(\w+)"), ("constant", r"^const\s+(\w+)"), ("variable", r"^var\s+(\w+)")),
@@ -270,14 +270,82 @@ def indent_block_end(rows: DataFrame, starts: DataFrame) -> DataFrame:
     return found.select("path", "line_no", F.coalesce(F.col("_end") - 1, "_last").alias("end_line"))
 
 
+BLOCK_END = {"python": indent_block_end, "ruby": keyword_block_end}
+#: Kinds that have members, and what opens a block of members without being a symbol itself.
+HOLDERS = ("class", "struct", "interface")
+MEMBERS = {"rust": r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(\w+)"}
+#: Where a member names its holder itself.
+RECEIVER = {"go": r"^func\s+\(\s*(?:\w+\s+)?\*?(\w+)"}
+
+
+def nested(spans: DataFrame) -> DataFrame:
+    """spans (path, line_no, end_line, name, holds) with parent, the name of the innermost span around each that holds members.
+
+    A file's spans are read once in order, with a stack of those that are open.
+    """
+    columns = ["path", "line_no", "end_line", "name", "holds"]
+    types = dict(spans.select(*columns).dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, stack = None, []
+        for batch in batches:
+            parents = []
+            for p, n, end, name, holds in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != path:
+                    path, stack = p, []
+                while stack and stack[-1][0] < n:
+                    stack.pop()
+                parents.append(stack[-1][1] if stack else None)
+                if holds:
+                    stack.append((end, name))
+            yield batch.append_column("parent", pa.array(parents, pa.string()))
+
+    ordered = spans.select(*columns).where("path is not null").repartition("path").sortWithinPartitions("path", "line_no", F.desc("end_line"))
+    return ordered.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in columns) + ", parent string")
+
+
+def symbol_tree(rows: DataFrame, language: str, patterns: dict = SYMBOLS) -> DataFrame:
+    """Symbols with end_line and parent: the class, struct or interface around them, or the type that a method is of.
+
+    A function with such a parent is a method, and a method without one is a function.
+    """
+    found = symbols(rows, language, patterns)
+    if language in MEMBERS:
+        opened = rows.where(F.col("text").rlike(MEMBERS[language])).select("path", "line_no", F.regexp_extract("text", MEMBERS[language], 1).alias("name"), F.lit("members").alias("kind"), F.trim("text").alias("signature"))
+        found = found.unionByName(opened)
+    spans = BLOCK_END.get(language, brace_block_end)(rows, found.select("path", "line_no"))
+    held = found.join(spans, ["path", "line_no"]).withColumn("holds", F.col("kind").isin(*HOLDERS, "members"))
+    tree = nested(held).select("path", "line_no", "name", "end_line", "parent")
+    out = found.where("kind <> 'members'").join(tree, ["path", "line_no", "name"])
+    if language in RECEIVER:
+        out = out.withColumn("parent", F.coalesce(F.when(F.col("kind") == "method", F.nullif(F.regexp_extract("signature", RECEIVER[language], 1), F.lit(""))), "parent"))
+    kind = F.when(F.col("kind").isin("function", "method"), F.when(F.col("parent").isNull(), "function").otherwise("method")).otherwise(F.col("kind"))
+    return out.withColumn("kind", kind).select("path", "line_no", "name", "kind", "signature", "end_line", "parent")
+
+
 def code_chunks(files: DataFrame, language: str, patterns: dict = SYMBOLS) -> DataFrame:
-    """Chunks of code: each function, method or class with its lines."""
-    rows = lines(files)
-    found = symbols(rows, language, patterns).where(F.col("kind").isin("function", "method", "class", "struct"))
-    end = indent_block_end if language == "python" else keyword_block_end if language == "ruby" else brace_block_end
-    spans = end(rows, found.select("path", "line_no")).join(found, ["path", "line_no"])
+    """Chunks of code: each function, method or class with its lines and its parent."""
+    found = symbol_tree(lines(files), language, patterns).where(F.col("kind").isin("function", "method", "class", "struct"))
     body = F.array_join(F.slice(F.split("content", "\n"), F.col("line_no"), F.col("end_line") - F.col("line_no") + 1), "\n")
-    return spans.join(files.select("path", "content"), "path").select(F.col("path").alias("file"), "name", F.col("kind").alias("type"), F.col("line_no").alias("start_line"), "end_line", "signature", body.alias("content"))
+    return found.join(files.select("path", "content"), "path").select(F.col("path").alias("file"), "name", F.col("kind").alias("type"), F.col("line_no").alias("start_line"), "end_line", "signature", "parent", body.alias("content"))
+
+
+def index_stats(chunks: DataFrame, languages: bool = True) -> DataFrame:
+    """(dimension, value, chunks, files) of an index of chunks (file, type): by type, by language (of the file's ending), and in all."""
+    rows = chunks.select("file", F.col("type").cast("string").alias("type"), language_of(F.col("file")).alias("language"))
+    kinds = ["type", "language"] if languages else ["type"]
+    values = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("").alias("value")), *[F.struct(F.lit(c).alias("dimension"), F.coalesce(c, F.lit("")).alias("value")) for c in kinds])
+    return rows.select("file", F.explode(values).alias("d")).groupBy("d.dimension", "d.value").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("file").alias("files"))
+
+
+def index_files(chunks: DataFrame) -> DataFrame:
+    """Each file of an index with its number of chunks."""
+    return chunks.groupBy("file").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def chunks_of(chunks: DataFrame, file: str) -> DataFrame:
+    """The chunks of a file in order of their lines."""
+    return chunks.where(F.col("file") == file).orderBy("start_line", "id" if "id" in chunks.columns else "end_line")
 
 
 # --- notes and manifests --------------------------------------------------------

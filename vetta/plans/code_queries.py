@@ -75,6 +75,18 @@ def flow3_arguments(spark, d):
     return flow.classify_sink_args(called(spark, d, SHAPES), flow.sink_pattern()[0]).select("path", "line_no", "args")
 
 
+# Every line is a sink, so a source's chain ends on the next line, whose shape of arguments judges it.
+@query(f"""with {LINES}, s as (select path, line_no as source_line, line_no + 1 as sink_line, row_number() over (partition by path order by line_no) as nth from fx_lines where contains(lower({WORDS.format(g=", 'g'")}), '{SOURCE}') and line_no < (select max(l.line_no) from fx_lines as l where l.path = fx_lines.path))
+    select path, source_line, sink_line, case when sink_line % 5 = 0 then 1 else 0 end as guards, case when sink_line % 5 = 0 then 'guarded' else 'unguarded' end as verdict, case when sink_line % 5 in (1, 2) then 'high' else 'medium' end as confidence from s where nth <= 8""")
+def flow4_arguments(spark, d):
+    """Verdicts by the sink's arguments first."""
+    rows, pattern = called(spark, d, SHAPES), flow.sink_pattern()[0]
+    chains = flow.chains(rows, SOURCE, pattern)
+    sinks = rows.join(chains.select("path", F.col("sink_line").alias("line_no")).distinct(), ["path", "line_no"], "left_semi").withColumnRenamed("line_no", "sink_line")
+    judged = flow.chain_verdict(chains, flow.chain_steps(chains, rows), flow.classify_sink_args(sinks, pattern))
+    return judged.select("path", "source_line", "sink_line", "guards", "verdict", "confidence")
+
+
 @query(f"with {LINES} select path, line_no, case line_no % 13 when 0 then 'sqli' when 1 then 'cmdi' when 2 then 'codeexec' when 3 then 'deserialization' when 4 then 'xxe' when 5 then 'xpath' when 6 then 'ldap' when 7 then 'redirect' when 8 then 'template' when 9 then 'xss' when 10 then 'xss' when 11 then 'pathtrav' end as class from fx_lines")
 def flow5_sinks(spark, d):
     return called(spark, d, CLASSES).select("path", "line_no", flow.sink_class(F.col("text")).alias("class"))
@@ -96,11 +108,21 @@ def set9_both(spark, d):
     return flow.files_with_both(text.lines(docs(spark, d)), SOURCE, SINK)
 
 
-@query(f"""with {LINES}, c as (select path, line_no, {CODED} as text from fx_lines), n as (select f.id, c.text from fx_findings as f join c on c.path = 'doc/' || cast(f.doc_id as varchar) and abs(c.line_no - f.line_start % 20) <= 10)
-    select f.id, count(n.text) as lines, count(*) filter (contains(n.text, '{SOURCE}')) as sources, count(*) filter (contains(n.text, '{SINK}')) as sinks from fx_findings as f left join n using (id) group by 1""", "findings")
+@query(f"with {CHAINS} select count(*) filter (src) as sources, count(*) filter (snk) as sinks, count(distinct path) filter (src or snk) as files from m")
+def agg15_lines(spark, d):
+    return flow.source_and_sink_lines(coded(spark, d), SOURCE, SINK)
+
+
+@query(f"""with {LINES}, c as (select path, line_no, {CODED} as text from fx_lines), m as (select path, line_no, contains(lower(text), '{SOURCE}') as src, contains(lower(text), '{SINK}') as snk, regexp_matches(text, '(?i)(\\b(validate|isdigit)\\s*\\(|\\bin\\s*[\\(\\[])') as grd from c),
+    w as (select a.path, a.line_no as lo, min(b.line_no) as hi from m as a join m as b on a.path = b.path and a.src and b.snk and b.line_no > a.line_no group by 1, 2),
+    g as (select path, count(*) as guards from m where grd and exists (select 1 from w where w.path = m.path and lo < m.line_no and hi > m.line_no) group by 1),
+    t as (select path, max(line_no) as n, count(*) filter (src) as sources, count(*) filter (snk) as sinks from m group by 1),
+    f as (select id, coalesce(greatest(0, least(n, line_start % 20 + 10) - greatest(1, line_start % 20 - 10) + 1), 0) as lines, coalesce(sources, 0) as sources, coalesce(sinks, 0) as sinks, coalesce(guards, 0) as guards from fx_findings left join t on t.path = 'doc/' || doc_id left join g on g.path = t.path)
+    select *, case when sinks = 0 then 'sink_missing' when sources = 0 then 'sink_present_source_missing' when guards = 0 then 'likely_true_positive' else 'uncertain_guard_present' end as verdict,
+        case when sinks = 0 or sources = 0 then 'low' when guards = 0 then 'high' else 'medium' end as confidence from f""", "findings")
 def jn11_validate(spark, d):
     rows = view(spark, d, "findings").withColumn("file", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))).withColumn("line_start", F.col("line_start") % 20)
-    return flow.validate_against_code(rows, coded(spark, d), SOURCE, SINK).select("id", "lines", "sources", "sinks")
+    return flow.validate_against_code(rows, coded(spark, d), SOURCE, SINK)
 
 
 # --- vectors ---------------------------------------------------------------

@@ -164,6 +164,34 @@ def agg4_index_files(spark, d):
     return chunks(spark, d).groupBy("file").agg(F.count(F.lit(1)).alias("chunks"))
 
 
+@query(f"with {CHUNKS} select 'type' as dimension, cast(type as varchar) as value, count(*) as chunks, count(distinct file) as files from fx_chunks group by 2 union all select 'all', '', count(*), count(distinct file) from fx_chunks having count(*) > 0")
+def agg3_dimensions(spark, d):
+    return op.index_stats(chunks(spark, d), languages=False)
+
+
+# Made files: each line of a document gives a line of code by its number; parents then follow from numbers.
+PYTHON = "case line_no % 8 when 0 then 'class C' || line_no || ':' when 1 then '    def a' || line_no || '(self):' when 2 then '        return 1' when 3 then '    class D' || line_no || ':' when 4 then '        async def b' || line_no || '(self):' when 5 then '' when 6 then 'def f' || line_no || '():' else '    def g' || line_no || '():' end"
+BRACES = "case line_no % 8 when 0 then 'class C' || line_no || ' {' when 1 then '  a' || line_no || '() {' when 2 then '  }' when 3 then '  class D' || line_no || ' {' when 4 then '    b' || line_no || '() {' when 5 then '    } }' when 6 then '}' else 'function f' || line_no || '() {}' end"
+PARENT = "case line_no % 8 when 1 then case when line_no > 8 then 'C' || (line_no - 1) end when 3 then case when line_no > 8 then 'C' || (line_no - 3) end when 4 then 'D' || (line_no - 1) end"
+
+
+def made(spark, d, code):
+    return op.lines(docs(spark, d)).withColumn("text", F.expr(code))
+
+
+@query(f"""with {LINES} select path, line_no, case line_no % 8 when 0 then 'C' when 1 then 'a' when 3 then 'D' when 4 then 'b' when 6 then 'f' else 'g' end || line_no as name, {PARENT} as parent,
+    case when line_no % 8 in (0, 3) then 'class' when {PARENT} is null then 'function' else 'method' end as kind from fx_lines where line_no % 8 not in (2, 5)""")
+def txt5_python_tree(spark, d):
+    return op.symbol_tree(made(spark, d, PYTHON), "python").select("path", "line_no", "name", "parent", "kind")
+
+
+# A block ends on a later line than it begins, so one in a single line goes on to where the next is closed.
+@query(f"""with {LINES}, n as (select path, max(line_no) as n from fx_lines group by 1) select path, line_no, case line_no % 8 when 0 then 'C' when 1 then 'a' when 3 then 'D' when 4 then 'b' else 'f' end || line_no as name, {PARENT} as parent,
+    case when line_no % 8 in (0, 3) then 'class' when {PARENT} is null then 'function' else 'method' end as kind, least(n, line_no + case line_no % 8 when 0 then 6 when 1 then 1 when 3 then 2 when 4 then 1 else 7 end) as end_line from fx_lines join n using (path) where line_no % 8 not in (2, 5, 6)""")
+def txt5_brace_tree(spark, d):
+    return op.symbol_tree(made(spark, d, BRACES), "javascript").select("path", "line_no", "name", "parent", "kind", "end_line")
+
+
 # Prose has no code: words of it stand for what opens and closes.
 @query(f"with {LINES} select path, line_no, regexp_extract(text, '^(\\w+) \\w+ing', 1) as name from fx_lines where regexp_matches(text, '^\\w+ \\w+ing')")
 def txt5_symbols(spark, d):

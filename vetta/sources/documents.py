@@ -8,6 +8,8 @@ them apart by lines.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +65,7 @@ def sarif_document(findings: DataFrame, project: str, suppressed: DataFrame | No
     projects = findings.select("project").distinct()
     rule = F.to_json(F.struct(F.col("rule").alias("id"), F.struct(F.col("title").alias("text")).alias("shortDescription"), F.struct(sarif_level(F.col("severity")).alias("level")).alias("defaultConfiguration")))
     rules = sarif_rules(findings, "project").withColumn("_key", F.lpad(F.col("index").cast("string"), 12, "0"))
-    head = F.concat(F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":'), F.to_json(F.array(F.lit(tool))).substr(2, len(tool) + 2), F.lit(f',"version":"{version}","rules":['))
+    head = '{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":' + json.dumps(tool) + ',"version":' + json.dumps(version) + ',"rules":['
     return stacked(fixed(projects, 0, head), items(rules, 1, "_key", rule), fixed(projects, 2, ']}},"results":['), items(sarif_results(findings, "project", suppressed), 3, "id", F.col("result")), fixed(projects, 4, "]}]}"))
 
 
