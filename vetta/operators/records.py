@@ -13,14 +13,22 @@ from vetta.functions.sizes import small
 # --- rules ------------------------------------------------------------------
 
 
-def validate_rules(df: DataFrame) -> DataFrame:
-    """rules (slug, id, message, pattern) with error: the first thing wrong, or null."""
+def validate_rules(df: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """rules (slug, id, message, pattern, and optionally patterns in its place) with error: the first thing wrong, or null.
+
+    files (slug): rule files; one without any rule gets a row of its own.
+    """
     twice = F.count(F.lit(1)).over(Window.partitionBy("slug", "id")) > 1
+    other = F.col("patterns").isNull() if "patterns" in df.columns else F.lit(True)
     error = F.coalesce(
         F.when(~F.col("slug").rlike("^[a-z0-9](?:[a-z0-9-]*[a-z0-9])?$"), "invalid slug"), F.when(blank(F.col("id")), "id is required"), F.when(twice, "id repeats"),
-        F.when(blank(F.col("message")), "message is required"), F.when(blank(F.col("pattern")), "pattern is required"),
+        F.when(blank(F.col("message")), "message is required"), F.when(blank(F.col("pattern")) & other, "pattern or patterns is required"),
     )
-    return df.withColumn("error", error)
+    out = df.withColumn("error", error)
+    if files is None:
+        return out
+    empty = files.select("slug").distinct().join(df.select("slug"), "slug", "left_anti").withColumn("error", F.lit("at least one rule is required"))
+    return out.unionByName(empty, allowMissingColumns=True)
 
 
 def attribute_rules(findings: DataFrame, rules: DataFrame, prefix: str = "opengrep-rule:") -> DataFrame:
@@ -62,6 +70,14 @@ def check_ownership(findings: DataFrame, agent_cwes: DataFrame) -> DataFrame:
     return named.withColumn("_cwe", F.upper(F.trim("cwe"))).join(own, ["created_by", "_cwe"], "left_anti").drop("_cwe")
 
 
+def scope_check(findings: DataFrame, agent_cwes: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Findings that are taken and those out of their creator's scope. Strict: the latter aren't taken; else they are, with a warning."""
+    outside = check_ownership(findings, agent_cwes)
+    told = outside.select("id", F.concat("cwe", F.lit(" is not owned by "), "created_by").alias("warning"))
+    taken = findings.join(told, "id", "left")
+    return taken.where("warning is null") if strict else taken, outside
+
+
 def adherence(findings: DataFrame, checklist: DataFrame) -> DataFrame:
     """For each creator, findings in and out of its checklist; creators without an agent are unknown.
 
@@ -97,6 +113,12 @@ def verify_memories(required: DataFrame, memories: DataFrame) -> DataFrame:
     return required.distinct().join(have, "name", "left").groupBy("agent").agg(F.count(F.lit(1)).alias("required"), F.count("_have").alias("present"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_have").isNull(), F.col("name")))), ",").alias("missing"))
 
 
+def verify_in_total(required: DataFrame, memories: DataFrame) -> DataFrame:
+    """One row over all agents: how many agents ask for notes and how many of these have them all, and what they ask for and what there is."""
+    rows = verify_memories(required, memories)
+    return rows.agg(F.count(F.lit(1)).alias("agents"), F.count_if(F.col("present") == F.col("required")).alias("complete"), F.coalesce(F.sum("required"), F.lit(0)).alias("required"), F.coalesce(F.sum("present"), F.lit(0)).alias("present"))
+
+
 def cross_references(memories: DataFrame) -> DataFrame:
     """(source, target) where a note's text contains another note's name, without case, anywhere in it."""
     names = memories.select("name", F.lower("name").alias("_low")).distinct()
@@ -137,11 +159,21 @@ def upsert_memories(stored: DataFrame, incoming: DataFrame, overwrite: bool = Tr
 
 
 def completeness(required: DataFrame, checklist: DataFrame, memories: DataFrame, findings: DataFrame) -> DataFrame:
-    """Percent done of each agent: 60 by required notes that are there, 40 by checklist CWEs with a finding; and what follows."""
+    """Percent done of each agent: 60 by required notes that are there, 40 by checklist CWEs with a finding of its own or a note that says there is none; and what follows.
+
+    The checklist is a list of fixed size; where notes have a content, each is read once for all of it.
+    """
     have = memories.select("name", F.lit(1).alias("_h")).distinct()
     notes = required.distinct().join(have, "name", "left").groupBy("agent").agg(F.avg(F.coalesce("_h", F.lit(0)).cast("double")).alias("notes"))
-    seen = findings.where(~blank(F.col("cwe"))).select(F.upper("cwe").alias("cwe"), F.lit(1).alias("_h")).distinct()
-    cwes = checklist.where("cwe is not null").distinct().join(seen, "cwe", "left").groupBy("agent").agg(F.avg(F.coalesce("_h", F.lit(0)).cast("double")).alias("cwes"))
+    listed = checklist.where("cwe is not null").distinct()
+    seen = findings.where(~blank(F.col("cwe"))).select(F.col("created_by").alias("agent"), F.upper("cwe").alias("_cwe"))
+    if "content" in memories.columns:
+        named = [r["cwe"] for r in listed.select("cwe").distinct().collect()]
+        phrases = {p.format(c): c for c in named for p in ("no findings for {}", "no {} findings", "No {}")}
+        none = memories.select(F.explode(words_in(F.col("content"), list(phrases))).alias("phrase")).distinct()
+        told = none.select(F.upper(F.regexp_extract("phrase", r"^(?:no findings for |[nN]o )(.*?)(?: findings)?$", 1)).alias("_cwe"))
+        seen = seen.union(told.join(listed.select("agent", F.upper("cwe").alias("_cwe")), "_cwe").select("agent", "_cwe"))
+    cwes = listed.withColumn("_cwe", F.upper("cwe")).join(seen.distinct().withColumn("_h", F.lit(1)), ["agent", "_cwe"], "left").groupBy("agent").agg(F.avg(F.coalesce("_h", F.lit(0)).cast("double")).alias("cwes"))
     both = notes.join(cwes, "agent", "full_outer")
     percent = F.floor(F.round(60 * F.coalesce("notes", F.lit(1.0)) + 40 * F.coalesce("cwes", F.lit(1.0)), 6)).cast("int")
     return both.select("agent", percent.alias("percent")).withColumn("next", F.when(F.col("percent") >= 90, "report").when(F.col("percent") >= 60, "gaps").otherwise("continue"))
@@ -177,12 +209,13 @@ def hypotheses(tech: str, memories: DataFrame, hints: DataFrame, n: int = 10, ch
     return out.orderBy(F.desc("score"), "cwe").limit(n)
 
 
-def run_manifest(findings: DataFrame, memories: DataFrame, timings: DataFrame) -> DataFrame:
-    """For each agent its findings, notes and milliseconds. memories and timings: agent, and ms."""
+def run_manifest(findings: DataFrame, memories: DataFrame, timings: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """For each agent its findings, notes and milliseconds, and with agents (agent, phase) its phase, empty for an unknown one. memories and timings: agent, and ms."""
     f = findings.groupBy(F.col("created_by").alias("agent")).agg(F.count(F.lit(1)).alias("findings"))
     m = memories.groupBy("agent").agg(F.count(F.lit(1)).alias("notes"))
     t = timings.groupBy("agent").agg(F.sum("ms").alias("ms"))
-    return f.join(m, "agent", "full_outer").join(t, "agent", "full_outer").where(~F.col("agent").isin("", "unknown")).na.fill(0, ["findings", "notes", "ms"])
+    out = f.join(m, "agent", "full_outer").join(t, "agent", "full_outer").where(~F.col("agent").isin("", "unknown")).na.fill(0, ["findings", "notes", "ms"])
+    return out if agents is None else out.join(agents.select("agent", "phase"), "agent", "left").na.fill("", ["phase"])
 
 
 def starter_memories(projects: DataFrame) -> DataFrame:
@@ -192,9 +225,11 @@ def starter_memories(projects: DataFrame) -> DataFrame:
     return projects.select("project", F.lit("overview").alias("name")).distinct().union(each)
 
 
-def agents_by(agents: DataFrame, phase: str | None = None, cwe: str | None = None) -> DataFrame:
+def agents_by(agents: DataFrame, phase: str | None = None, cwe: str | None = None, category: str | None = None) -> DataFrame:
+    """Agents of a phase, with a CWE among those they own, and with a category among those they review."""
     out = agents if phase is None else agents.where(F.col("phase") == phase)
-    return out if cwe is None else out.where(F.array_contains("owns", cwe))
+    out = out if cwe is None else out.where(F.array_contains("owns", cwe))
+    return out if category is None else out.where(F.array_contains("reviews", category))
 
 
 def examples_for(examples: DataFrame, cwes: DataFrame, language: str | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vetta.functions.columns import base_name, blank, glob_column, severity_rank
@@ -12,6 +12,14 @@ from vetta.operators.findings import at_least, first_error, scope_to_changed
 DAY = 86400
 
 
+def parse_expiry(column: Column) -> Column:
+    """Epoch seconds of an end given as text: a date alone lasts to its last second in UTC; other text is a time with its zone, UTC without one. Unreadable text is null."""
+    text = F.trim(column)
+    alone = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    zoned = F.when(text.rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
+    return F.unix_seconds(F.try_to_timestamp(F.when(alone, F.concat(text, F.lit("T23:59:59Z"))).otherwise(zoned)))
+
+
 def active_exceptions(df: DataFrame, as_of: int) -> DataFrame:
     """Exceptions with active and soon (ends within 14 days). No end counts as ended."""
     ends = F.coalesce("expires", F.lit(0))

@@ -122,8 +122,9 @@ def flag_injection(df: DataFrame, column: str) -> DataFrame:
 
 
 def classify_logs(runs: DataFrame) -> DataFrame:
-    """kind of each run: clean, silent failure, hard or recoverable, by its exit code and log."""
-    log, head = F.coalesce("log", F.lit("")), F.left(F.coalesce("log", F.lit("")), F.lit(16384))
+    """kind of each run: clean, silent failure, hard or recoverable, by its exit code and log; of a run that ended well the first 16 KiB."""
+    log = F.coalesce("log", F.lit(""))
+    head = truncate_bytes(log, 16384, "")
     kind = F.when((F.col("exit_code") == 0) & any_of(head, schemas.HARD_LOG), "silent failure").when(F.col("exit_code") == 0, "clean")
     return runs.withColumn("kind", kind.when(any_of(log, schemas.HARD_LOG), "hard").when(any_of(log, schemas.SOFT_LOG), "recoverable").otherwise("hard"))
 
@@ -499,10 +500,10 @@ def sensitive_areas(files: DataFrame) -> DataFrame:
 
 
 def classify_projects(stack: DataFrame, rules: DataFrame) -> DataFrame:
-    """Types by the names of the stack (rules: name, type), traits by the kinds that a project has any of; no type at all makes a library."""
+    """Types by the names of the stack (rules: name, type), traits by the kinds that a project has any of; a project with languages and no type at all is a library."""
     types = stack.join(rules, "name").groupBy("project").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
-    traits = stack.groupBy("project").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("traits"))
-    return traits.join(types, "project", "left").withColumn("types", F.coalesce("types", F.lit("library")))
+    traits = stack.groupBy("project").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("traits"), F.max(F.col("kind") == "language").alias("_spoken"))
+    return traits.join(types, "project", "left").withColumn("types", F.coalesce("types", F.when(F.col("_spoken"), "library").otherwise(""))).drop("_spoken")
 
 
 def cwe_order(column: Column) -> list[Column]:

@@ -149,6 +149,14 @@ def check_dimension(vectors: DataFrame, d: int) -> DataFrame:
     return vectors.withColumn("reject", F.when(F.col("embedding").isNull(), "missing").when(F.size("embedding") != d, F.concat(F.lit("length "), F.size("embedding").cast("string"))))
 
 
+def check_pairs(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(chunk_id, reject) for each chunk that doesn't have exactly one vector, and each vector without a chunk."""
+    a = chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("chunks"))
+    b = vectors.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("vectors"))
+    wrong = F.when(F.col("chunks").isNull(), "no chunk").when(F.col("vectors").isNull(), "no vector").when(F.col("vectors") != F.col("chunks"), "counts differ")
+    return a.join(b, "chunk_id", "full_outer").select("chunk_id", wrong.alias("reject")).where("reject is not null")
+
+
 def hashed_words(texts: list[str], size: int = 64) -> list[list[float]]:
     """The default embedding: words hashed to positions, at length 1."""
     import zlib

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vetta.catalog import query
@@ -92,6 +94,13 @@ def flow5_sinks(spark, d):
     return called(spark, d, CLASSES).select("path", "line_no", flow.sink_class(F.col("text")).alias("class"))
 
 
+# A user's own class of sinks, tried after those of the catalogue.
+@query(f"with {LINES} select path, line_no, 'mine' as class from fx_lines where regexp_matches({WORDS.format(g=", 'g'")}, 'ering')")
+def udf5_own_sinks(spark, d):
+    rows = called(spark, d, "{w}").where(F.col("text").rlike(flow.sink_pattern(["mine"], {"mine": ("ering",)})[0]))
+    return rows.select("path", "line_no", flow.sink_class(F.col("text"), {"mine": ("ering",)}).alias("class"))
+
+
 LABELS = """case doc_id % 4 when 0 then 'x' || chr(10) || '  SOURCE: line 3 request.args("q")' || chr(10) || 'SINK: cur.execute(x)' when 1 then 'SOURCE: input( ) by wrapped.get_form_parameter("a")' when 2 then 'uses a Wrapper' else description end"""
 CWE_CLASS = "case upper(cwe) when 'CWE-89' then 'sqli' when 'CWE-78' then 'cmdi' when 'CWE-94' then 'codeexec' when 'CWE-502' then 'deserialization' when 'CWE-611' then 'xxe' when 'CWE-601' then 'redirect' when 'CWE-79' then 'xss' when 'CWE-22' then 'pathtrav' else 'sqli,cmdi,codeexec,deserialization,xxe,xpath,ldap,redirect,template,xss' end"
 
@@ -193,6 +202,13 @@ def rec10_dimension(spark, d):
     return vectors.check_dimension(rows, 64).select("chunk_id", "reject")
 
 
+@query("select chunk_id, case when chunk_id % 9 = 0 then 'no vector' when chunk_id % 7 = 0 then 'counts differ' else 'no chunk' end as reject from fx_vectors where chunk_id % 9 = 0 or chunk_id % 7 = 0 or chunk_id % 11 = 0", "vectors")
+def rec10_pairs(spark, d):
+    rows = view(spark, d, "vectors").select("chunk_id")
+    one = rows.where("chunk_id % 9 <> 0")
+    return vectors.check_pairs(rows.where("chunk_id % 11 <> 0 or chunk_id % 9 = 0 or chunk_id % 7 = 0"), one.unionByName(one.where("chunk_id % 7 = 0")))
+
+
 # An embedding that SQL can make too; the default one is held against a plain version in the tests.
 def letters(texts):
     return [[float((t or "").count(c)) for c in "aeiou"] for t in texts]
@@ -330,11 +346,17 @@ def agg10_gate(spark, d):
     return scoring.gate(own, base).select("run_id", "failures")
 
 
-@query("""select source || '-' || lpad(cast(row_number() over (partition by source order by 't' || lpad(cast(doc_id as varchar), 8, '0')) as varchar), 3, '0') as vuln_id, 'Case of ' || source as title, case when source in ('src1', 'src2') then 'high' else 'low' end as severity, 'CWE-' || cast(doc_id % 100 as varchar) as cwe, 't' || lpad(cast(doc_id as varchar), 8, '0') || '.py' as file from documents where doc_id % 3 > 0 and doc_id is not null""")
+@query("""select 'CASE-' || case when k < 1000 then lpad(cast(k as varchar), 3, '0') else cast(k as varchar) end as vuln_id, title, severity, cwe, file from (select row_number() over (order by 't' || lpad(cast(doc_id as varchar), 8, '0')) as k, 'Case of ' || source as title, case when source in ('src1', 'src2') then 'high' else 'low' end as severity, 'CWE-' || cast(doc_id % 100 as varchar) as cwe, 't' || lpad(cast(doc_id as varchar), 8, '0') || '.py' as file from documents where doc_id % 3 > 0 and doc_id is not null) as x""")
 def src9_truth(spark, d):
+    """Truths of oracle files, written and read back; every file has a comment."""
+    from vetta.plans.tables import folder
+
     rows = docs(spark, d).select(F.concat(F.lit("t"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("test_name"), F.col("source").alias("category"), (F.col("doc_id") % 3 > 0).alias("real"), (F.col("doc_id") % 100).alias("cwe"))
     mapping = rows.select("category").distinct().select("category", F.concat(F.lit("Case of "), "category").alias("title"), F.when(F.col("category").isin("src1", "src2"), "high").otherwise("low").alias("severity"))
-    return scoring.ground_truth_from_csv(rows, mapping)[0].drop("tags")
+    path = f"{folder(spark)}/truth-{uuid.uuid4().hex}"
+    lines = rows.select(F.concat_ws(", ", "test_name", "category", F.col("real").cast("string"), F.col("cwe").cast("string")).alias("value"))
+    lines.union(spark.createDataFrame([("# test name, category, real vulnerability, cwe",)], "value string")).write.text(path)
+    return scoring.ground_truth_from_csv(scoring.read_truth_csv(spark, path), mapping)[0].drop("tags")
 
 
 # --- rules, agents, notes -----------------------------------------------------
@@ -351,6 +373,14 @@ def one_slug(spark, d):
     return rules(spark, d).groupBy("id").agg(F.min("slug").alias("slug"))
 
 
+@query(f"with {RULES} select slug, id, case when trim(message) = '' then 'message is required' when id = 'r7' then 'pattern or patterns is required' end as error from fx_rules union all select 'none-' || k, null, 'at least one rule is required' from (select distinct doc_id % 3 as k from fx_findings) as x", "findings")
+def fil16_patterns(spark, d):
+    """Rules by a list of patterns in place of one, and files without rules."""
+    rows = rules(spark, d).withColumn("patterns", F.when(~F.col("id").isin("r7", "r8"), F.array("pattern"))).withColumn("pattern", F.when(F.col("id") == "r8", "p"))
+    files = view(spark, d, "findings").select(F.concat(F.lit("none-"), (F.col("doc_id") % 3).cast("string")).alias("slug")).union(rows.select("slug"))
+    return records.validate_rules(rows, files).select("slug", "id", "error")
+
+
 @query(f"with {RULES} select slug, id, case when trim(message) = '' then 'message is required' end as error from fx_rules", "findings")
 def fil16_rules(spark, d):
     return records.validate_rules(rules(spark, d)).select("slug", "id", "error")
@@ -402,6 +432,14 @@ def jn2_ownership(spark, d):
     return records.check_ownership(view(spark, d, "findings"), agent_cwes(spark)).select("id", "created_by")
 
 
+@query(f"with {AGENT_SQL}, o as (select id from fx_findings where created_by in (select agent from ac) and cwe <> '' and (created_by, upper(cwe)) not in (select (agent, cwe) from ac)) select id, id not in (select id from o) as taken, case when id in (select id from o) then cwe || ' is not owned by ' || created_by end as warning from fx_findings", "findings")
+def jn2_scope(spark, d):
+    """What a strict check takes, beside the warnings of one that isn't."""
+    rows = view(spark, d, "findings")
+    strict = records.scope_check(rows, agent_cwes(spark), strict=True)[0].select("id", F.lit(True).alias("_taken"))
+    return records.scope_check(rows, agent_cwes(spark))[0].join(strict, "id", "left").select("id", F.coalesce("_taken", F.lit(False)).alias("taken"), "warning")
+
+
 @query(f"with {AGENT_SQL} select created_by, created_by not in (select agent from ac) as unknown, count(*) filter ((created_by, upper(cwe)) in (select (agent, cwe) from ac)) as inside, count(*) filter (created_by in (select agent from ac) and (created_by, upper(cwe)) not in (select (agent, cwe) from ac)) as outside from fx_findings where created_by <> '' group by 1", "findings")
 def jn3_adherence(spark, d):
     return records.adherence(view(spark, d, "findings"), agent_cwes(spark))
@@ -452,6 +490,11 @@ def jn9_verify(spark, d):
     return records.verify_memories(needs(spark, d), view(spark, d, "memories"))
 
 
+@query(f"with {NEED_SQL}, v as (select agent, count(*) as r, count(m.name) as p from fx_needs as n left join (select distinct name from fx_memories) as m using (name) group by 1) select count(*) as agents, count(*) filter (r = p) as complete, sum(r)::bigint as required, sum(p)::bigint as present from v", "memories")
+def jn9_total(spark, d):
+    return records.verify_in_total(needs(spark, d), view(spark, d, "memories"))
+
+
 LINKED = "content || case when conv_id % 3 = 0 then ' See ' || cast(conv_id + 1 as string) || '-0.' else '' end"
 
 
@@ -487,11 +530,16 @@ def set6_upsert(spark, d):
     return records.upsert_memories(stored, rows.where("conv_id % 2 = 0").select("name", F.lit("stack").alias("type"), F.lit("new").alias("content"), F.lit(200).alias("at"))).withColumn("content", F.md5("content"))
 
 
+# Some notes say of a CWE that there is nothing.
+NOTHING = "content || case conv_id % 7 when 0 then ' no findings for CWE-22' when 1 then ' No CWE-79 here' when 2 then ' no cwe-78 findings' else '' end"
+
+
 @query(f"""with {NEED_SQL}, {AGENT_SQL}, n as (select agent, avg(case when m.name is null then 0.0::double else 1 end) as a from fx_needs left join (select distinct name from fx_memories) as m using (name) group by 1),
-    c as (select agent, avg(case when s.cwe is null then 0.0::double else 1 end) as b from ac left join (select distinct upper(cwe) as cwe from fx_findings where doc_id % 3 = 0) as s using (cwe) group by 1), p as (select agent, cast(floor(round(60 * coalesce(a, 1) + 40 * coalesce(b, 1), 6)) as int) as percent from n full join c using (agent))
+    w as (select {NOTHING} as content from fx_memories), s as (select created_by as agent, upper(cwe) as cwe from fx_findings where doc_id % 3 = 0 union select agent, cwe from ac where exists (select 1 from w where contains(content, 'no findings for ' || cwe) or contains(content, 'no ' || cwe || ' findings') or contains(content, 'No ' || cwe))),
+    c as (select agent, avg(case when s.cwe is null then 0.0::double else 1 end) as b from ac left join s using (agent, cwe) group by 1), p as (select agent, cast(floor(round(60 * coalesce(a, 1) + 40 * coalesce(b, 1), 6)) as int) as percent from n full join c using (agent))
     select agent, percent, case when percent >= 90 then 'report' when percent >= 60 then 'gaps' else 'continue' end as next from p""", "memories", "findings")
 def agg11_completeness(spark, d):
-    return records.completeness(needs(spark, d), agent_cwes(spark), view(spark, d, "memories"), view(spark, d, "findings").where("doc_id % 3 = 0"))
+    return records.completeness(needs(spark, d), agent_cwes(spark), view(spark, d, "memories").withColumn("content", F.expr(NOTHING)), view(spark, d, "findings").where("doc_id % 3 = 0"))
 
 
 @query(f"""with {NEED_SQL}, {AGENT_SQL} select * from (select 1 as rank, 'triage open high and critical findings' as step, count(*) as n from fx_findings where status = 'open' and severity in ('high', 'critical')
@@ -520,11 +568,11 @@ def agg13_of_agents(spark, d):
     return records.hypotheses(TECH, view(spark, d, "memories"), hints(spark), checklist=agent_cwes(spark))
 
 
-@query("select agent, coalesce(f, 0) as findings, coalesce(n, 0) as notes, coalesce(ms, 0) as ms from (select created_by as agent, count(*) as f from fx_findings group by 1) as a full join (select 'agent-' || cast(conv_id % 4 as varchar) as agent, count(*) as n from fx_memories group by 1) as b using (agent) full join (select 'agent-' || cast(user_id % 8 as varchar) as agent, sum(event_id) as ms from events group by 1) as c using (agent) where agent not in ('', 'unknown')", "findings", "memories")
+@query("select agent, coalesce(f, 0) as findings, coalesce(n, 0) as notes, coalesce(ms, 0) as ms, case agent when 'agent-1' then 'recon' when 'agent-2' then 'analysis' else '' end as phase from (select created_by as agent, count(*) as f from fx_findings group by 1) as a full join (select 'agent-' || cast(conv_id % 4 as varchar) as agent, count(*) as n from fx_memories group by 1) as b using (agent) full join (select 'agent-' || cast(user_id % 8 as varchar) as agent, sum(event_id) as ms from events group by 1) as c using (agent) where agent not in ('', 'unknown')", "findings", "memories")
 def agg14_manifest(spark, d):
     notes = view(spark, d, "memories").select(F.concat(F.lit("agent-"), (F.col("conv_id") % 4).cast("string")).alias("agent"))
     ms = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("agent-"), (F.col("user_id") % 8).cast("string")).alias("agent"), F.col("event_id").alias("ms"))
-    return records.run_manifest(view(spark, d, "findings"), notes, ms)
+    return records.run_manifest(view(spark, d, "findings"), notes, ms, spark.createDataFrame([("agent-1", "recon"), ("agent-2", "analysis")], "agent string, phase string"))
 
 
 @query("select distinct 'p' || cast(doc_id % 9 as varchar) as project, 'overview' as name from documents where doc_id is not null union select distinct 'p' || cast(doc_id % 9 as varchar), lang || case when doc_id % 2 = 0 then '-' || source else '' end from documents where doc_id is not null and lang is not null")
@@ -539,6 +587,12 @@ def rec1_agents(spark, d):
     return records.agents_by(agents, "0", "CWE-89").select("agent")
 
 
+@query("select created_by as agent from fx_findings where created_by <> '' group by 1 having bool_or(function = 'fn_3')", "findings")
+def rec1_category(spark, d):
+    agents = view(spark, d, "findings").where("created_by <> ''").groupBy(F.col("created_by").alias("agent")).agg(F.collect_set("function").alias("reviews"))
+    return records.agents_by(agents, category="fn_3").select("agent")
+
+
 @query("select id, cwe from fx_findings where cwe in ('CWE-89', 'CWE-22') and string_split(tags, ';')[1] = 'en'", "findings")
 def rec2_examples(spark, d):
     rows = view(spark, d, "findings").withColumn("language", F.element_at("tags", 1))

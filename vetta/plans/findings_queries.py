@@ -197,6 +197,15 @@ def fil14_active(spark, d):
     return sup.active_exceptions(view(spark, d, "exceptions"), AS_OF).select("id", F.col("pos").cast("long"), "active", "soon")
 
 
+# Ends as people write them: a date, a time with its zone or without one, and no date at all.
+ENDS = "case pos % 4 when 0 then '2024-01-15' when 1 then ' 2024-01-14T08:00:00Z' when 2 then '2024-01-15T01:00:00+02:00' else 'soon' end"
+
+
+@query(f"select id, pos, case pos % 4 when 0 then {AS_OF + 86399} when 1 then {AS_OF - 57600} when 2 then {AS_OF - 3600} end as ends from fx_exceptions", "exceptions")
+def fil14_dates(spark, d):
+    return view(spark, d, "exceptions").select("id", F.col("pos").cast("long").alias("pos"), sup.parse_expiry(F.expr(ENDS)).alias("ends"))
+
+
 @query("select id, case when trim(approved_by) = '' then 'approved_by is required' end as error from fx_exceptions", "exceptions")
 def fil15_exceptions(spark, d):
     return sup.validate_exceptions(view(spark, d, "exceptions")).select("id", "error")

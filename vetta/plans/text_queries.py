@@ -116,10 +116,12 @@ def txt15_logs(spark, d):
     return op.classify_logs(view(spark, d, "logs")).select("doc_id", "kind")
 
 
-PAYLOAD = """case doc_id % 5 when 0 then '{"total": 3}' when 1 then '{"total": 0, "findings": ["a"]}' when 2 then '{"findings": ["a"]}' when 3 then 'no json' else '{"findings": []}' end"""
+# A document's lines as the findings of a payload, by turns with a total, without one, and as no JSON.
+PAYLOAD = """case doc_id % 5 when 0 then to_json(named_struct('total', n_chars, 'findings', split(text, '\\n'))) when 1 then to_json(named_struct('total', 0, 'findings', split(text, '\\n')))
+    when 2 then to_json(named_struct('findings', split(text, '\\n'))) when 3 then text else to_json(named_struct('findings', filter(split(text, '\\n'), x -> contains(x, 'ering')))) end"""
 
 
-@query("select doc_id, doc_id % 5 in (0, 2) as has from documents")
+@query("select doc_id, coalesce(case doc_id % 5 when 0 then n_chars > 0 when 2 then text is not null when 4 then contains(text, 'ering') end, false) as has from documents")
 def txt16_results(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", op.has_results(F.expr(PAYLOAD)).alias("has"))
 
@@ -326,7 +328,7 @@ TREE_SQL = f"""f as materialized ({TREES}), lang(path, name) as (values {listed(
 
 
 # A project's files that share a path are all read; of a build script and a project file, the latter alone.
-@query(f"""with {TREE_SQL} select distinct * from (
+DETECTED = f"""{TREE_SQL}, pr as (select distinct * from (
     select project, 'language' as kind, name from f join lang using (path) union all
     select project, 'language', case when list_contains(names, 'typescript') or project in (select project from f where path = 'tsconfig.json') then 'typescript' else 'javascript' end from node union all
     select project, 'framework', name from f join fw on f.path = split_part(word, '|', 1) and contains(case when f.path = 'requirements.txt' then lower(content) else content end, split_part(word, '|', 2)) union all
@@ -335,18 +337,30 @@ TREE_SQL = f"""f as materialized ({TREES}), lang(path, name) as (values {listed(
     select project, 'database', name from f join db on contains(lower(content), word) where path in ('go.mod', 'package.json', 'requirements.txt', 'Cargo.toml', 'docker-compose.yml', 'docker-compose.yaml', '.env', '.env.example') union all
     select project, 'auth', name from f join au on contains(lower(content), word) where regexp_matches(path, '\\.(go|js|ts|py|java|rb|yaml|yml|json)$') and not starts_with(path, 'vendor/') union all
     select project, 'infrastructure', name from f join inf on case when ends_with(p, '/') then starts_with(path, p) else path = p or starts_with(path, p || '/') end union all
-    select project, 'infrastructure', 'terraform' from f where path = 'main.tf') as x""")
+    select project, 'infrastructure', 'terraform' from f where path = 'main.tf') as x)"""
+
+
+@query(f"with {DETECTED} select * from pr")
 def txt10_project(spark, d):
     return op.detect_project(trees(spark, d))
 
 
+RULED = [("django", "web-app"), ("chi", "api"), ("spring-boot", "api"), ("nextjs", "web-app")]
+
+
+@query(f"""with {DETECTED}, ru(name, type) as (values {listed(RULED)}) select project, string_agg(distinct kind, ',' order by kind) as traits,
+    coalesce((select string_agg(distinct type, ',' order by type) from pr as b join ru using (name) where b.project = pr.project), case when bool_or(kind = 'language') then 'library' else '' end) as types from pr group by project""")
+def txt11_project(spark, d):
+    return op.classify_projects(op.detect_project(trees(spark, d)), spark.createDataFrame(RULED, "name string, type string"))
+
+
 @query(f"""with f as ({TREES}) select distinct project, 'src/AuthService/' as path, 'Authentication logic' as reason from f where starts_with(path, 'src/AuthService/')""")
 def txt10_sensitive(spark, d):
     return op.sensitive_areas(trees(spark, d))
 
 
 @query(f"""with {WORD_SQL}, s as (select distinct project, kind, name from fx_manifests join w on contains(content, word)), r(name, type) as (values ('rails', 'web'), ('django', 'web'), ('docker', 'service'))
-    select project, (select string_agg(distinct kind, ',' order by kind) from s as b where b.project = a.project) as traits, coalesce((select string_agg(distinct type, ',' order by type) from s as b join r using (name) where b.project = a.project), 'library') as types from (select distinct project from s) as a""", "manifests")
+    select project, (select string_agg(distinct kind, ',' order by kind) from s as b where b.project = a.project) as traits, coalesce((select string_agg(distinct type, ',' order by type) from s as b join r using (name) where b.project = a.project), '') as types from (select distinct project from s) as a""", "manifests")
 def txt11_classify(spark, d):
     rules = spark.createDataFrame([("rails", "web"), ("django", "web"), ("docker", "service")], "name string, type string")
     return op.classify_projects(stack(spark, d), rules)
