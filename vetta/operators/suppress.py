@@ -58,9 +58,10 @@ def suppressions(findings: DataFrame, exceptions: DataFrame, as_of: int) -> Data
     """
     live = active_exceptions(exceptions, as_of).where("active").select("fingerprint", "path_glob", F.upper(F.trim("cwe")).alias("_cwe"), "pos", F.struct("pos", F.col("id").alias("exception_id"), "reason", "expires", "approved_by").alias("exception"))
     by_print = findings.select("id", "fingerprint").join(live.where(~blank(F.col("fingerprint"))).select("fingerprint", "exception"), "fingerprint").select("id", "exception")
-    globs = live.where(blank(F.col("fingerprint")) & ~blank(F.col("path_glob"))).withColumn("_re", glob_column(F.col("path_glob"))).select("_cwe", "_re", "exception")
+    globs = small(live.where(blank(F.col("fingerprint")) & ~blank(F.col("path_glob"))).select("_cwe", "path_glob", "exception"))
+    globs = globs.withColumn("_re", glob_column(F.col("path_glob"))).drop("path_glob")  # after the count, so that it runs once
     keyed = findings.where(~blank(F.col("cwe"))).select("id", "file", F.upper(F.trim("cwe")).alias("_cwe"))
-    by_glob = keyed.join(small(globs), "_cwe").where(F.regexp_like("file", "_re") | F.regexp_like(base_name(F.col("file")), F.col("_re"))).select("id", "exception")
+    by_glob = keyed.join(globs, "_cwe").where(F.regexp_like("file", "_re") | F.regexp_like(base_name(F.col("file")), F.col("_re"))).select("id", "exception")
     return by_print.union(by_glob).groupBy("id").agg(F.min("exception").alias("exception"))
 
 

@@ -101,9 +101,9 @@ def fil12_injection(spark, d):
     return op.flag_injection(rows, "t").select("doc_id", "injection")
 
 
-@query("select doc_id, md5(replace(text, 'password=', '[REDACTED]')) as redacted, md5(text) as same from documents where doc_id is not null and text is not null")
+@query("select doc_id, md5(replace(text, 'password=', '[REDACTED]')) as redacted, md5(text) as same from documents")
 def fil13_redact(spark, d):
-    rows = spark.read.parquet(f"{d}/documents.parquet").where("doc_id is not null and text is not null")
+    rows = spark.read.parquet(f"{d}/documents.parquet")
     return rows.select("doc_id", F.md5(redact(F.col("text"), "password=")).alias("redacted"), F.md5(redact(F.col("text"), "the")).alias("same"))
 
 
