@@ -321,14 +321,14 @@ def listed(table):
 
 
 FRAMES = [(f"{m}|{w}", n) for m, k in (("go.mod", "go"), ("requirements.txt", "python"), ("Cargo.toml", "rust"), ("Gemfile", "ruby")) for w, n in schemas.FRAMEWORKS[k].items()]
-TREE_SQL = f"""f as materialized ({TREES}), lang(path, name) as (values {listed((p, n) for n, ps in schemas.LANGUAGE_MANIFESTS.items() for p in ps)}), fw(word, name) as (values {listed(FRAMES)}), jw(word, name) as (values {listed(schemas.FRAMEWORKS["java"].items())}),
+STACK_SQL = f"""f as materialized ({TREES}), lang(path, name) as (values {listed((p, n) for n, ps in schemas.LANGUAGE_MANIFESTS.items() for p in ps)}), fw(word, name) as (values {listed(FRAMES)}), jw(word, name) as (values {listed(schemas.FRAMEWORKS["java"].items())}),
     db(word, name) as (values {listed((w, n) for n, ws in schemas.DATABASES.items() for w in ws)}), au(word, name) as (values {listed((w, n) for n, ws in schemas.AUTH.items() for w in ws)}), inf(p, name) as (values {listed(schemas.INFRASTRUCTURE)}),
     node as (select project, json_keys(content, '$.dependencies') || json_keys(content, '$.devDependencies') as names from f where path = 'package.json' and json_valid(content)),
     java as (select project, path, content from f where path in ('pom.xml', 'build.gradle', 'build.gradle.kts')), j1 as (select project, min(case path when 'pom.xml' then 0 when 'build.gradle' then 1 else 2 end) as r from java group by 1)"""
 
 
 # A project's files that share a path are all read; of a build script and a project file, the latter alone.
-DETECTED = f"""{TREE_SQL}, pr as (select distinct * from (
+DETECTED = f"""{STACK_SQL}, pr as (select distinct * from (
     select project, 'language' as kind, name from f join lang using (path) union all
     select project, 'language', case when list_contains(names, 'typescript') or project in (select project from f where path = 'tsconfig.json') then 'typescript' else 'javascript' end from node union all
     select project, 'framework', name from f join fw on f.path = split_part(word, '|', 1) and contains(case when f.path = 'requirements.txt' then lower(content) else content end, split_part(word, '|', 2)) union all
