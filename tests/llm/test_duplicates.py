@@ -113,11 +113,15 @@ def test_one_of_each(spark):
         half = b[:100] + [rand.choice(words) for _ in range(100)]
         rows.append((300 + k, " ".join(half)))
     rows += [(0, rows[0][1]), (None, "alone"), (None, "alone"), (900, None), (901, "")]
+    # Near copies without a doc_id, and under one that other texts have.
+    for k in range(5):
+        rows += [(None, rows[4 * k][1].replace(" ", " new ", 1)), (300, rows[4 * k][1].replace(" ", " other ", 1))]
+    rows += [(None, " ".join(words[:80])), (None, " ".join(["first", *words[:80]]))]
     df = spark.createDataFrame(rows, DOC).selectExpr("*", "'x' as lang", "1 as node", "'y' as md5")
     kept = simhash.one_of_each(df)
     assert kept.columns == df.columns
     ids = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect())
-    assert ids == sorted([-1, 900, *(k for k in range(15)), *(300 + k for k in range(15))])
+    assert ids == sorted([-1, -1, 900, *(k for k in range(15)), *(300 + k for k in range(15))])
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
@@ -169,6 +173,19 @@ def test_copies_with_added_removed_and_scattered_words(spark):
     assert sorted(r["doc_id"] for r in kept) == [k for k, _ in rows if k not in gone]
 
 
+def test_copies_of_long_texts(spark):
+    rand = random.Random(14)
+    rows = []
+    for kind in ("added", "removed", "scattered"):
+        for k in range(6):
+            base = [f"w{rand.randrange(4000)}" for _ in range(2600 + 900 * k)]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(changed(rand, base, kind, k % 2)))]
+    gone = {b for (_, s), (b, t) in zip(rows[::2], rows[1::2]) if plain_alike(s, t)}
+    assert len(gone) > 15 and all(len(t.split()) > simhash.FINE for _, t in rows)
+    kept = simhash.one_of_each(spark.createDataFrame(rows, DOC)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [k for k, _ in rows if k not in gone]
+
+
 def plain_removal(rows):
     first = {}
     for doc, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
@@ -263,7 +280,7 @@ def test_blocks_are_ranges(spark):
     ids = sorted({rand.choice([rand.randrange(100), rand.randrange(10**15), -rand.randrange(10**6)]) for _ in range(400)})
     df = spark.createDataFrame([(k, "x" * rand.randrange(2000)) for k in ids] + [(None, "a"), (None, None)], DOC)
     for ranges in (20_000, 1, 3):
-        dealt, last, blocks, total = suffixes.blocks_by_id(df, ranges=ranges)
+        dealt, last, hot, blocks, total = suffixes.blocks_by_id(df, ranges=ranges)
         found = [(r["doc_id"], r["_block"]) for r in dealt(df).collect()]
         assert total == df.selectExpr("sum(octet_length(text))").first()[0]
         assert all(last <= b < blocks for k, b in found if k is None)
@@ -272,6 +289,26 @@ def test_blocks_are_ranges(spark):
     assert suffixes.blocks_by_id(df.where("doc_id is null"))[0](df.where("doc_id is null")).count() == 2
 
 
+@pytest.mark.parametrize("ranges", [20_000, 3])
+def test_a_hot_doc_id_has_several_equally_late_blocks(spark, monkeypatch, ranges):
+    rand = random.Random(13)
+    passages = ["".join(rand.choice("abcdefgh") for _ in range(rand.randint(50, 120))) for _ in range(30)]
+    text = lambda: "".join(rand.choice(passages) if rand.random() < 0.5 else "".join(rand.choice("klmno") for _ in range(60)) for _ in range(4))
+    rows = [(7 if k % 2 else rand.choice([rand.randrange(7), rand.randrange(8, 40)]), text()) for k in range(400)] + [(None, text()) for _ in range(9)]
+    df = spark.createDataFrame(rows, DOC)
+    by_id = suffixes.blocks_by_id
+    monkeypatch.setattr(suffixes, "blocks_by_id", lambda docs: by_id(docs, ranges=ranges))
+    dealt, last, hot, blocks, _ = suffixes.blocks_by_id(df)
+    found = [(r["doc_id"], r["_block"]) for r in dealt(df).collect()]
+    assert len({b for k, b in found if k == 7}) > 1 and {b for k, b in found if k == 7} == {b for k, b in found if last <= b < hot[-1][0]}
+    assert all(hot[-1][0] <= b < blocks for k, b in found if k is None)
+    late = suffixes.lateness(np.array([b for _, b in found]), last, hot).tolist()
+    order = sorted((k is None, k or 0, x) for (k, _), x in zip(found, late))
+    assert [x for *_, x in order] == sorted(late) and len({x for _, k, x in order if k == 7}) == 1
+    got = suffixes.remove_repeats(df).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == plain_removal(rows)
+
+
 def test_carried_columns(spark):
     passage = "".join(random.Random(1).choice("abcdefgh") for _ in range(80))
     df = spark.createDataFrame([(1, "é" + passage), (2, "ü" + passage + "z"), (3, None)], DOC).selectExpr("*", "7 as n_bytes", "'b' as _block", "cast(null as string) as kept")

@@ -1,5 +1,6 @@
 """The pipeline's stages, one after the other, against plain versions of all of them."""
 
+import hashlib
 import random
 import zlib
 
@@ -33,6 +34,8 @@ def made_rows():
     rows += [[400, f"{prose(30)} clear prose here. write to some.one@mail.example or 10.1.2.3, call +1 (234) 567-8901 or pay 4111 1111 1111 1111. {prose(30)}"]]
     rows += [[500, f"{prose(9000)} clear prose here."], [501, None], [502, ""], [503, texts[9]], [None, texts[10]], [None, f"{prose(80)} clear prose here."], [504, texts[3]]]
     rows += [list(rows[5]), list(rows[-2])]
+    # Near copies without a doc_id, and under one that another text has.
+    rows += [[None, f"Addendum {texts[11]}"], [12, f"{texts[13]} Addendum"], [13, f"{prose(70)} clear prose here."]]
     return [(i, t, None if k % 9 == 0 else "en", "s", None if t is None else len(t)) for k, (i, t) in enumerate(rows)]
 
 
@@ -43,13 +46,14 @@ def plain_good(text, weights):
 
 
 def plain_one_of_each(rows):
-    """Of exact copies the least doc_id stays (none only where no copy has one), of near copies the least of the component."""
+    """Of exact copies and of components of near ones the least doc_id stays, none only where none has one."""
     first = {}
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         first.setdefault(t or "", (i, t))
-    named = [(i, t) for i, t in first.values() if i is not None]
-    gone = plain_components([(a, b) for k, (a, s) in enumerate(named) for b, t in named[k + 1 :] if plain_alike(s or "", t or "") and (s or "").split()[4:] and (t or "").split()[4:]])
-    return [(i, t) for i, t in first.values() if i is None or i not in gone]
+    named = sorted(first.values(), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))
+    known = [(k, t) for k, (_, t) in enumerate(named) if (t or "").split()[4:]]
+    gone = plain_components([(a, b) for n, (a, s) in enumerate(known) for b, t in known[n + 1 :] if plain_alike(s, t)])
+    return [r for k, r in enumerate(named) if k not in gone]
 
 
 def plain_cut(rows):

@@ -174,6 +174,9 @@ def test_quality(spark, none):
     found = {r["doc_id"]: r for r in quality.held_out(df, labels).collect()}
     assert len(found) == len(rows) and all(0 <= r["score"] <= 1 for r in found.values())
     assert all(found[k]["predicted"] == 1 - k % 2 for k in range(200) if found[k]["held_out"])
+    # Rows that share a doc_id are learned from once, by the least text.
+    again = spark.createDataFrame([(k, f"z{n} !!") for k in (2, 3, 900) for n in range(40)], DOC)
+    assert np.array_equal(quality.fit(df, labels), quality.fit(df.union(again), labels))
     weights = quality.fit(df, labels.limit(0))
     assert {r["score"] for r in quality.score(df, weights).collect()} == {0.5}
     assert quality.score(none, weights).count() == 0

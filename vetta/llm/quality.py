@@ -10,7 +10,7 @@ however the table is partitioned. A task keeps its texts as sparse counts.
 
 Texts: null counts as empty; an empty text has the bias alone as its score. Any
 length: memory follows the longest document. Labels that repeat a doc_id count
-once, by their mean; null labels and ids are not learned from. A null doc_id
+once, by their mean, and of documents that share one the least text is learned from; null labels and ids are not. A null doc_id
 counts as the empty string in the fold. Without labels every score is 0.5.
 Repeated documents are scored each by itself. Other columns are not read.
 """
@@ -105,10 +105,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarra
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     # At most SAMPLE rows of three numbers.
     picked = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("h", "doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = max(SHARDS, -(-size // SHARD_BYTES))
-    dealt = rows.repartition(shards, F.pmod(F.col("h"), F.lit(shards))).sortWithinPartitions("h", "doc_id", "text").select(F.encode(F.coalesce("text", F.lit("")), "utf-8"), "y")
+    dealt = rows.repartition(shards, F.pmod(F.col("h"), F.lit(shards))).sortWithinPartitions("h", "doc_id").select(F.encode("text", "utf-8"), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, ys = [], []

@@ -368,6 +368,8 @@ def tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_copies(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v): each node that a chain of alike texts links to a smaller one, and the least of its component.
 
+    nodes: node (a number of its own for each different text), doc_id (one of the text's), md5, bands and sketch.
+
     Only links that the whole texts confirm join nodes. Nodes of a bucket whose
     links fail go on to their next likeliest ones, four times as many a round,
     until no bucket has an untested likely link between two components. From the
@@ -378,9 +380,9 @@ def near_copies(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = members.select("node").distinct()
     sketch = materialize(nodes.join(wanted, "node").select("node", "sketch"), "sketch")
     data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    named = nodes.join(wanted, "node").select(F.col("node").alias("doc_id"), "md5")
-    texts = docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).join(named, ["doc_id", "md5"]).dropDuplicates(["doc_id"])
-    texts = materialize(texts.select(F.col("doc_id").alias("node"), "data"), "texts")
+    named = nodes.join(wanted, "node").select("node", F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"))
+    texts = docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("md5") == F.col("_md5")))
+    texts = materialize(texts.select("node", "data").dropDuplicates(["node"]), "texts")
     known, roots, failed, most = None, None, None, 1
     while True:
         pairs = materialize(to_test(members, sketch, texts, roots, failed, most), "pairs")
@@ -401,17 +403,22 @@ def keys_of_nodes(nodes: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents less all but the first (least doc_id) of each group of exact copies and of near copies by word shingles.
 
-    Rows that repeat both doc_id and text are one document. A null doc_id is
-    never a near copy; of exact copies without any doc_id one stays.
+    Different texts are the nodes of the links, whatever doc_ids they have: rows
+    without a doc_id and texts that share one link like any other. Of a group the
+    least doc_id stays, none only where no row of it has one; then, and of
+    texts with the same doc_id, the least digest. Rows that repeat both doc_id and text are one document.
     """
     prints = materialize(sketches(docs), "sketches")
-    nodes = prints.groupBy("md5").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = materialize(nodes, "nodes")
-    # A doc_id with several texts can't name a node of the links.
-    single = nodes.where("node is not null").join(nodes.groupBy("node").count().where("count = 1").select("node"), "node")
-    gone = near_copies(single, docs).select(F.col("u").alias("node"))
-    stay = nodes.join(gone, "node", "left_anti").select(F.col("node").alias("_node"), F.col("md5").alias("_md5"))
+    nodes = prints.groupBy("md5").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # Numbers that stay as they are once written.
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    roots = near_copies(nodes, docs).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    named = nodes.select("node", "doc_id", "md5").join(roots, "node", "left")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"))
+    stay = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("first")).select("first.*").select("_id", "_md5")
     md5 = F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_node")) & (md5 == F.col("_md5")), "left_semi")
+    # Columns of docs may have any names, so its rows meet in a struct.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("at_id"), md5.alias("at_md5"))
+    kept = rows.join(stay, F.col("at_id").eqNullSafe(F.col("_id")) & (F.col("at_md5") == F.col("_md5")), "left_semi").select("row.*")
     again = prints.groupBy("doc_id", "md5").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept

@@ -33,8 +33,8 @@ equal; keys that collide otherwise cost time, never a wrong answer.
 
 Texts: null counts as empty; texts under WINDOW bytes stay as they are. Any
 length: documents are read in slabs. A null doc_id is larger than all others;
-such rows are dealt by their text. Rows with equal doc_id never repeat each
-other. Repeats within a document are left. An empty table gives no rows. Columns
+such rows are dealt by their text, and so are those of a doc_id that holds the
+bytes of several blocks. Rows with equal doc_id never repeat each other. Repeats within a document are left. An empty table gives no rows. Columns
 asked for are carried along; one that is named like a result is returned as
 carried_<name>.
 """
@@ -43,6 +43,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -411,10 +412,18 @@ def ask(n: int):
     return run
 
 
-def choose(last: int):
+def lateness(blocks: np.ndarray, last: int, hot: list[tuple[int, int]]) -> np.ndarray:
+    """The place of blocks in the order of doc_id: blocks of one doc_id, and those of rows without one, are equally late."""
+    starts, after = np.array([x for x, _ in hot] or [LAST], np.int64), np.array([x for _, x in hot] or [0], np.int64)
+    k = np.searchsorted(starts, blocks, side="right") - 1
+    return np.where(blocks < last, 2 * blocks, np.where(k < 0, 2 * last, np.minimum(2 * after[k] + 1, 2 * last)))
+
+
+def choose(last: int, hot: list[tuple[int, int]] = []):
     """Between the passes 1 and 2: a block's keys that an earlier one has with the same single piece, those whose pieces are wanted, and those of too many pieces.
 
-    last: blocks from this number on have rows without doc_id and are equally late.
+    last: blocks from this number on are for one hot doc_id (hot: the first such
+    block of each, and the block that they come after) or, after these, for rows without doc_id.
     """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -423,7 +432,7 @@ def choose(last: int):
         counts = [len(x.as_buffer()) // KEY for x in table.column("keys")]
         ends = np.concatenate(([0], np.cumsum(counts)))
         every, short = keys_of(table), keys_of(table, "marks")
-        late = np.repeat(np.minimum(blocks, last), counts)
+        late = np.repeat(lateness(blocks, last, hot), counts)
         shared = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n) for x, n in zip(table.column("shared"), counts)]).astype(bool)
         pieces = np.where(short == 0, 2, 0)
         for a, which, many in zip(ends.tolist(), table.column("which"), table.column("many")):
@@ -590,11 +599,13 @@ def cut_out(schema: pa.Schema):
     return run
 
 
-def blocks_by_id(docs: DataFrame, mb: int = BLOCK_MB, ranges: int = RANGES) -> tuple[Callable[[DataFrame], DataFrame], int, int, int]:
-    """A function that adds each row's block, the first block of rows without doc_id, how many blocks there are, and the bytes of all texts.
+def blocks_by_id(docs: DataFrame, mb: int = BLOCK_MB, ranges: int = RANGES) -> tuple[Callable[[DataFrame], DataFrame], int, list[tuple[int, int]], int, int]:
+    """A function that adds each row's block, the number of ranges, the hot ids' blocks (see choose), how many blocks there are, and the bytes of all texts.
 
     Blocks are ranges of doc_id with about mb MB of text each. Their ends are
     quantiles, at most `ranges` of them; between two of these, blocks are of equal width.
+    A doc_id that is several quantiles has as many blocks of its own, and its rows are dealt to
+    them by their text, as those without doc_id are to theirs.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     total, none = docs.agg(F.sum(size), F.sum(F.when(F.col("doc_id").isNull(), size))).first()
@@ -618,15 +629,24 @@ def blocks_by_id(docs: DataFrame, mb: int = BLOCK_MB, ranges: int = RANGES) -> t
         here, below = F.expr(f"element_at({table}, cast(_place + 1 as int))"), F.expr(f"element_at({lows}, cast(_place + 1 as int))")
         within = F.least(F.floor((F.col("doc_id") - below - 1) / (here - below) * parts), F.lit(parts - 1))
     last = len(ends) * parts
+    often = {v: n for v, n in Counter(found[0] or []).items() if n > 1}
+    shares = [n * parts for n in often.values()]
+    starts = [last + sum(shares[:k]) for k in range(len(shares) + 1)]
+    hot = [(x, ends.index(v) * parts + parts - 1) for x, v in zip(starts, often)]
     nulls = max(1, -(-none // (mb << 20)))
-    loose = F.pmod(F.xxhash64("text"), F.lit(nulls)) + last
+    loose = F.pmod(F.xxhash64("text"), F.lit(nulls)) + starts[-1]
+    if hot:
+        hot.append((starts[-1], last))
+        numbers = [F.expr(f"cast(split('{','.join(map(str, x))}', ',') as array<bigint>)") for x in (often, starts, shares)]
+        which = (F.array_position(numbers[0], F.col("doc_id")) - 1).cast("int")
+        own = F.when(which >= 0, F.get(numbers[1], which) + F.pmod(F.xxhash64("text"), F.get(numbers[2], which)))
 
     def block(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("_place", place)
         at = F.col("_place") * parts + within if parts > 1 else F.col("_place")
-        return rows.withColumn("_block", F.coalesce(at, loose).cast("long")).drop("_place")
+        return rows.withColumn("_block", F.coalesce(*([own] if hot else []), at, loose).cast("long")).drop("_place")
 
-    return block, last, last + nulls, total
+    return block, last, hot, starts[-1] + nulls, total
 
 
 def remove_repeats(docs: DataFrame, carry: list[str] | None = None, kept: str = "kept binary") -> DataFrame:
@@ -637,12 +657,12 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, kept: str =
     from pyspark.sql.pandas.types import to_arrow_schema
 
     carry = carry or []
-    dealt_to, last, blocks, total = blocks_by_id(docs)
+    dealt_to, last, hot, blocks, total = blocks_by_id(docs)
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (GROUP_MB << 20)))
     rows = dealt_to(docs.select("doc_id", "text", *(F.col(c).alias(f"_c{k}") for k, c in enumerate(carry))))
     dealt = rows.select(F.col("doc_id").alias("_id"), F.encode("text", "utf-8").alias("_data"), "_block", *(f"_c{k}" for k in range(len(carry)))).repartition(blocks, "_block")
     whole = dealt.groupBy("_block")
-    wanted = whole.applyInArrow(ask(n), ddl(KEYS)).groupBy("g").applyInArrow(choose(last), ddl(WANTED))
+    wanted = whole.applyInArrow(ask(n), ddl(KEYS)).groupBy("g").applyInArrow(choose(last, hot), ddl(WANTED))
     pieces = whole.cogroup(wanted.groupBy("block")).applyInArrow(send(n), ddl(PIECES))
     told = pieces.groupBy("g").applyInArrow(answer, ddl(TOLD)).unionByName(wanted.where("length(gone) + length(hot) > 0").select("block", "gone", "hot"), allowMissingColumns=True)
     fields = docs.sparkSession.createDataFrame([], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (kept and f", {kept}")).schema
