@@ -17,10 +17,11 @@ MOST_BYTES = 1 << 20  # of a file that is searched
 
 
 def lines(files: DataFrame, keep_last: bool = True) -> DataFrame:
-    """(path, line_no, text): lines from 1. keep_last: an ending newline makes an empty last line, and \\r stays; else neither."""
+    """(path, line_no, text): lines from 1, with the files' size where they have it. keep_last: an ending newline makes an empty last line, and \\r stays; else neither."""
     content = F.coalesce("content", F.lit(""))
     parts = F.split(content, "\n") if keep_last else F.split(F.regexp_replace(content, r"\r?\n\z", ""), r"\r?\n")
-    return files.select("path", F.posexplode(parts).alias("pos", "text")).select("path", (F.col("pos") + 1).alias("line_no"), "text")
+    size = ["size"] if "size" in files.columns else []
+    return files.select("path", *size, F.posexplode(parts).alias("pos", "text")).select("path", (F.col("pos") + 1).alias("line_no"), "text", *size)
 
 
 def read_lines(rows: DataFrame, path: str, first: int, last: int) -> DataFrame:

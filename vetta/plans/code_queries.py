@@ -148,6 +148,11 @@ def top4_topk(spark, d):
     return vectors.topk(asked(spark, d), view(spark, d, "vectors"), 10).withColumn("score", F.round("score", 6))
 
 
+@query(f"with {SCORED} select query_id, chunk_id, score, place from (select *, row_number() over (partition by query_id order by raw desc, chunk_id) as place from s where raw >= 0.25) as x where place <= 10", "vectors")
+def top4_min_score(spark, d):
+    return vectors.topk(asked(spark, d), view(spark, d, "vectors"), 10, min_score=0.25).withColumn("score", F.round("score", 6))
+
+
 @query("with q as (select embedding as e from fx_vectors where chunk_id = 7) select chunk_id, round(list_cosine_similarity(cast(embedding as double[]), cast(e as double[])), 6) as score from fx_vectors, q order by list_cosine_similarity(cast(embedding as double[]), cast(e as double[])) desc, chunk_id limit 10", "vectors")
 def top4_nearest(spark, d):
     rows = view(spark, d, "vectors")

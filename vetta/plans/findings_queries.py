@@ -70,6 +70,11 @@ def fil1_filter(spark, d):
     return op.filter_findings(view(spark, d, "findings"), tag="SAST", severity="high", status="open").select("id", "severity", "status")
 
 
+@query("select id, created_by from fx_findings where confidence = 'medium' and created_by = 'agent-1' order by id limit 50 offset 20", "findings")
+def fil1_page(spark, d):
+    return op.filter_findings(view(spark, d, "findings"), confidence="medium", created_by="agent-1", limit=50, offset=20).select("id", "created_by")
+
+
 def spoiled(spark, d):
     """Findings with faults planted by doc_id."""
     spoil = lambda c, n, v: F.when(F.col("doc_id") % n == 1, F.lit(v)).otherwise(F.col(c))

@@ -54,6 +54,15 @@ def fil10_grep_regex(spark, d):
     return op.grep(op.lines(docs(spark, d)), "th[aeiou]nt", regex=True).select("path", "line_no", "column")
 
 
+@query("""with f as (select 'doc/' || cast(doc_id as varchar) || case doc_id % 4 when 2 then '.py' else '' end as path, string_split(text, chr(10)) as l from documents where doc_id % 4 in (2, 3) and 500 * strlen(text) <= 1048576),
+    e as (select path, unnest(range(1, len(l) + 1)) as line_no, unnest(l) as text from f) select path, line_no, instr(text, 'the') as "column" from e where contains(text, 'the')""")
+def fil10_skipped(spark, d):
+    """Binary files and those over 1 MiB aren't searched; a file is said to hold its text 500 times."""
+    kind = F.expr("case doc_id % 4 when 0 then '.png' when 1 then '.LOCK' when 2 then '.py' else '' end")
+    files = docs(spark, d).select(F.concat("path", kind).alias("path"), "content", (500 * F.octet_length("content").cast("long")).alias("size"))
+    return op.grep(op.lines(files), "the").select("path", "line_no", "column")
+
+
 @query(f"with {LINES} select path, line_no from fx_lines where contains(text, 'license') order by path, line_no limit 100")
 def fil11_references(spark, d):
     return op.symbol_refs(op.lines(docs(spark, d)), "license").select("path", "line_no")
@@ -65,6 +74,17 @@ def fil7_find(spark, d):
     return op.find_paths(files, "t*.py").union(op.find_paths(files, "UTIL", ignore_case=True))
 
 
+@query(f"""with {TREE_SQL}, dirs as (select distinct array_to_string(string_split(path, '/')[1:n], '/') as path from fx_tree, range(1, 6) as r(n) where n < len(string_split(path, '/')))
+    select path, true as is_dir from dirs where contains({NAME}, 'e') and len(string_split(path, '/')) <= 3 union all select path, false from fx_tree where regexp_matches(lower({NAME}), '^[tu][^/]*\\.[a-z]+$')""")
+def fil7_kinds(spark, d):
+    files = tree(spark, d).withColumn("is_dir", F.lit(False))
+    parts = F.split("path", "/")
+    above = files.select(parts.alias("parts")).where("size(parts) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda n: F.array_join(F.slice("parts", 1, n), "/"))).alias("path"))
+    entries = files.union(above.distinct().withColumn("is_dir", F.lit(True)))
+    found = [op.find_paths(entries, "e", depth=2, kind="dir"), op.find_paths(entries, "T*.*", ignore_case=True, kind="file"), op.find_paths(entries, "U*.*", ignore_case=True, kind="file")]
+    return found[0].union(found[1]).union(found[2])
+
+
 IGNORED = ", ".join(f"'{x}'" for x in IGNORED_DIRS)
 
 
