@@ -17,17 +17,18 @@ def words_in(column: Column, words: list[str]) -> Column:
     listed = sorted({w for w in words if w})
     made = {}
 
-    @F.pandas_udf("array<string>")
-    def find(texts):
+    @F.arrow_udf("array<string>")
+    def find(texts: pa.Array) -> pa.Array:
         import ahocorasick
-        import pandas as pd
 
         if not made:
             made["automaton"] = ahocorasick.Automaton()
             for k, w in enumerate(listed):
                 made["automaton"].add_word(w, k)
             made["automaton"].make_automaton()
-        return pd.Series([None if t is None else [listed[k] for k in sorted({k for _, k in made["automaton"].iter(t)})] for t in texts], dtype=object)
+        # One text at a time: a batch of them as strings would be held beside the batch.
+        found = (None if not t.is_valid else [listed[k] for k in sorted({k for _, k in made["automaton"].iter(t.as_py())})] for t in texts)
+        return pa.array(found, pa.list_(pa.string()))
 
     return find(column) if listed else F.when(column.isNotNull(), F.array().cast("array<string>"))
 

@@ -502,6 +502,9 @@ def sensitive_areas(files: DataFrame) -> DataFrame:
 
 def classify_projects(stack: DataFrame, rules: DataFrame) -> DataFrame:
     """Types by the names of the stack (rules: name, type), traits by the kinds that a project has any of; a project with languages and no type at all is a library."""
+    from vetta.plans.tables import written
+
+    stack = written(stack, "stack")
     types = stack.join(rules, "name").groupBy("project").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
     traits = stack.groupBy("project").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("traits"), F.max(F.col("kind") == "language").alias("_spoken"))
     return traits.join(types, "project", "left").withColumn("types", F.coalesce("types", F.when(F.col("_spoken"), "library").otherwise(""))).drop("_spoken")
