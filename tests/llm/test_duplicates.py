@@ -186,6 +186,64 @@ def test_copies_of_long_texts(spark):
     assert sorted(r["doc_id"] for r in kept) == [k for k, _ in rows if k not in gone]
 
 
+def plain_margins(text):
+    """Ones less zeros at each bit of the fingerprints of a text's different shingles."""
+    h = simhash.mixed(simhash.hashes(simhash.shingles(text.encode(), 5)), 5).tolist()
+    out = np.zeros((simhash.PRINTS, 64), int)
+    for k, seed in enumerate(simhash.SEEDS.tolist()):
+        for x in h:
+            x = x * seed % (1 << 64)
+            x = (x ^ x >> 32) * 0x94D049BB133111EB % (1 << 64)
+            x ^= x >> 29
+            out[k] += [1 if x >> b & 1 else -1 for b in range(64)]
+    return out
+
+
+def test_near_copies_meet_by_fingerprints(spark):
+    rand = random.Random(15)
+    rows, alike = [], set()
+    for k in range(60):
+        base = [f"w{rand.randrange(3000)}" for _ in range(rand.choice([8, 20, 90, 280]))]
+        copy = changed(rand, base, "scattered", True) if len(base) > 20 else base[: len(base) - 1 - (len(base) > 8)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        if base != copy and plain_alike(rows[-2][1], rows[-1][1]):
+            alike.add((2 * k, 2 * k + 1))
+    rows += [(1000, "a b c"), (1001, " \n"), (1002, " ".join(f"w{k}" for k in range(700)))]
+    prints = {r["doc_id"]: r for r in simhash.sketches(spark.createDataFrame(rows, DOC)).collect()}
+    for doc, text in (*rows[:8], *rows[-3:]):
+        m = plain_margins(text)
+        fps = [sum(1 << b for b in range(64) if x[b] > 0) for x in m]
+        assert [prints[doc]["fp1"] % (1 << 64), prints[doc]["fp2"] % (1 << 64)] == fps[:2]
+        assert prints[doc]["sketch"] == b"".join(x.to_bytes(8, "little") for x in fps[: simhash.SKETCH])
+        best = [2 * int(np.abs(x).argmax()) + int(x[np.abs(x).argmax()] > 0) for x in m]
+        assert prints[doc]["keys"] == [128 * a + b for a, b in zip(best, best[1:] + best[:1])]
+    nodes = spark.createDataFrame([(doc, r["keys"], r["fp1"], r["fp2"]) for doc, r in prints.items()], "node long, keys array<smallint>, fp1 long, fp2 long")
+    met = {}
+    for r in simhash.meetings(simhash.keys_of_nodes(nodes)).collect():
+        met.setdefault(r["bucket"], set()).add(r["node"])
+    assert len(alike) > 30 and all(any(set(p) <= x for x in met.values()) for p in alike)
+    # Texts with nothing in common share keys by chance and differ in too many bits.
+    assert all(len({n // 2 for n in x}) == 1 for x in met.values())
+
+
+@pytest.mark.parametrize("short", [0, 1000])
+def test_rows_of_a_bucket_are_grouped_by_links(monkeypatch, short):
+    monkeypatch.setattr(simhash, "SHORT", short)
+    rand = random.Random(16)
+    bits = lambda n: sum(1 << b for b in rand.sample(range(128), n))
+    runs = []
+    for size in (1, 2, 70, 5):
+        base = [bits(64) for _ in range(4)]
+        runs.append([rand.choice(base) ^ bits(rand.randint(0, 24)) for _ in range(size)])
+    flat = [x for r in runs for x in r]
+    fp1, fp2 = (np.array([x >> s & (1 << 64) - 1 for x in flat], np.uint64).view(np.int64) for s in (0, 64))
+    ends = np.cumsum([len(r) for r in runs])
+    starts = np.append(0, ends[:-1])
+    links = [(a, b) for s, e in zip(starts.tolist(), ends.tolist()) for a in range(s, e) for b in range(a + 1, e) if (flat[a] ^ flat[b]).bit_count() <= simhash.WITHIN]
+    root = plain_components(links)
+    assert simhash.groups_within(fp1, fp2, starts, ends).tolist() == [root.get(k, k) for k in range(len(flat))] and len(links) > 50
+
+
 def plain_removal(rows):
     first = {}
     for doc, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):

@@ -19,7 +19,7 @@ Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,16 @@ from vetta.llm.common import materialize
 from vetta.llm.components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-# Near copies by shingles of five words: texts that agree in all ROWS least hashes of one of BANDS bands meet.
-# At a likeness of 0.8 a pair misses all bands with probability (1 - 0.8 ** 5) ** 32, 3 in a million.
-COPY_SHINGLE, ALIKE, BANDS, ROWS = 5, 0.8, 32, 5
-# A byte of each least hash is the sketch; of pairs of likeness 0.8 some 2 in a million agree in less than LIKELY of it.
-SLOT, LIKELY = "u1", 0.65
+# Near copies by PRINTS fingerprints of a text's different shingles of five words, each of the shingles' hashes mixed in a way of its own.
+# A table keeps of a fingerprint and the next one the strongest bit each (that with the clearest majority): its place and its value.
+# At a likeness of 0.8 a bit differs with probability acos(2 * 0.8 / 1.8) / pi = 0.15, and a strongest bit is the same
+# with 0.44 (simulated), so of such pairs some 4 in 100,000 share no table's key.
+COPY_SHINGLE, ALIKE, PRINTS = 5, 0.8, 64
+# Of the first two fingerprints' 128 bits texts that share a key may differ in WITHIN, other texts in some 64.
+# The first SKETCH fingerprints are compared next; in LIKELY of their bits a pair agrees, at a likeness of 0.8 in 0.85.
+WITHIN, SKETCH, LIKELY = 41, 20, 0.77
+# Buckets of at most so many texts are compared all with all.
+SHORT = 32
 # Texts with so many different shingles or fewer are compared by all of them (32 bits each), so that next to no link fails its test.
 FINE, NEARLY = 2048, 0.79
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -86,24 +91,27 @@ def distance(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def forest(bucket: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within radius among distinct fingerprints, as pairs of positions."""
-    out = []
-    left = np.arange(1, len(bucket))
-    queue = [0]
+def forest_of(n: int, near: Callable[[np.ndarray, int], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links among n positions, as pairs; near tells which of some positions one position has a link to."""
+    out, left, queue = [], np.arange(1, n), [0]
     while len(left):
         if not queue:
             queue, left = [int(left[0])], left[1:]
         at = queue.pop()
-        near = distance(bucket[left], bucket[at]) <= radius
-        if near.any():
-            got = left[near].tolist()
+        linked = near(left, at)
+        if linked.any():
+            got = left[linked].tolist()
             out += [(at, j) for j in got]
             queue += got
-            left = left[~near]
+            left = left[~linked]
     return out
 
 
+def forest(bucket: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links within radius among distinct fingerprints, as pairs of positions."""
+    return forest_of(len(bucket), lambda left, at: distance(bucket[left], bucket[at]) <= radius)
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, within: int = RADIUS) -> DataFrame:
     """Links (u, v) between nodes (node, prints: array of fingerprints) that meet in a table of the same fingerprint and differ in at most `within` bits.
 
@@ -170,35 +178,42 @@ def hashes(parts: list[bytes]) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts)))
 
 
-ORDERS = [np.array([xxhash.xxh64_intdigest(b"%d" % k, seed) | seed for k in range(BANDS * ROWS)], np.uint64)[:, None] for seed in (0, 1)]
+SEEDS = np.array([xxhash.xxh64_intdigest(b"%d" % k, SEED) | 1 for k in range(PRINTS)], np.uint64)
 
 
-def least_hashes(h: np.ndarray) -> np.ndarray:
-    """The least of a set of hashes in each of BANDS * ROWS orders; the largest number where the set is empty."""
-    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    with np.errstate(over="ignore"):
-        for k in range(0, len(h), 1024):
-            np.minimum(out, ((h[k : k + 1024] ^ ORDERS[0]) * ORDERS[1]).min(axis=1), out=out)
-    return out
+def margins(h: np.ndarray) -> np.ndarray:
+    """For each bit of PRINTS fingerprints, by how many of a set of hashes ones outnumber zeros."""
+    ones = np.zeros(64 * PRINTS, np.int64)
+    for k in range(0, len(h), 255):  # so that a count fits a byte
+        with np.errstate(over="ignore"):
+            x = h[k : k + 255, None] * SEEDS
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return (2 * ones - len(h)).reshape(PRINTS, 64)
 
 
-def bands_and_sketch(data: bytes) -> tuple[list[int], bytes]:
-    low = least_hashes(mixed(hashes(shingles(data, COPY_SHINGLE)), 5))
-    bands = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))]
-    return np.array(bands, np.uint64).view(np.int64).tolist(), (mixed(low, 9) >> np.uint64(56)).astype(np.uint8).tobytes()
+def keys_and_sketch(data: bytes) -> tuple[np.ndarray, bytes]:
+    """A key for each table and the first SKETCH fingerprints of a text."""
+    m = margins(mixed(hashes(shingles(data, COPY_SHINGLE)), 5))
+    place = np.abs(m).argmax(axis=1)
+    strongest = 2 * place + (m[np.arange(PRINTS), place] > 0)
+    return (strongest * 128 + np.roll(strongest, -1)).astype(np.int16), np.packbits(m[:SKETCH] > 0, axis=1, bitorder="little").tobytes()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, md5 of the text, the keys of its bands and a sketch of its shingles."""
+    """doc_id, md5 of the text, its key in each table, its first two fingerprints and the sketch that they begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bands_and_sketch(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column(2)]
-            bands = pa.array([x for x, _ in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands, pa.array([x for _, x in found], pa.binary())], ["doc_id", "md5", "bands", "sketch"])
+            found = [keys_and_sketch(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column(2)]
+            keys = pa.array([x for x, _ in found], pa.list_(pa.int16()))
+            two = np.frombuffer(b"".join(x[:16] for _, x in found), np.int64).reshape(-1, 2)
+            columns = [keys, pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array([x for _, x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "md5", "keys", "fp1", "fp2", "sketch"])
 
     data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    return docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).mapInArrow(run, "doc_id long, md5 string, bands array<long>, sketch binary")
+    return docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).mapInArrow(run, "doc_id long, md5 string, keys array<smallint>, fp1 long, fp2 long, sketch binary")
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -226,34 +241,64 @@ def in_runs(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(n, key).sortWithinPartitions(key, "node")
 
 
+def groups_within(fp1: np.ndarray, fp2: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each row of runs (tables' buckets) the first row of its component, by links between rows of a run that differ in at most WITHIN bits."""
+    size = np.repeat(ends - starts, ends - starts)
+    left = np.repeat(ends, ends - starts) - np.arange(len(fp1)) - 1
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # Rows of short runs meet those that stand k behind them; a longer run yields a forest.
+    at, k = np.flatnonzero((left > 0) & (size <= SHORT)), 1
+    while len(at):
+        near = distance(fp1[at], fp1[at + k]) + distance(fp2[at], fp2[at + k]) <= WITHIN
+        u.append(at[near])
+        v.append(at[near] + k)
+        k += 1
+        at = at[left[at] >= k]
+    for a, b in zip(starts[ends - starts > SHORT].tolist(), ends[ends - starts > SHORT].tolist()):
+        x, y = fp1[a:b], fp2[a:b]
+        if found := forest_of(b - a, lambda left, at: distance(x[left], x[at]) + distance(y[left], y[at]) <= WITHIN):
+            i, j = np.array(found).T
+            u.append(a + i)
+            v.append(a + j)
+    u, v = np.concatenate(u), np.concatenate(v)
+    first = np.arange(len(fp1))
+    while (first[u] != first[v]).any():
+        least = np.minimum(first[u], first[v])
+        np.minimum.at(first, u, least)
+        np.minimum.at(first, v, least)
+        first = first[first]
+    return first
+
+
 def meetings(rows: DataFrame) -> DataFrame:
-    """rows (key, node): the sets of two or more nodes with a key, as (bucket, node); equal sets once."""
+    """rows (key, node, and fp1 and fp2, if texts with a key must be within WITHIN bits): the sets of two or more nodes that meet, as (bucket, node); equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, ends in whole_runs(batches):
             node = table.column(1).to_numpy()
+            if table.num_columns > 2:
+                first = groups_within(table.column(2).to_numpy(), table.column(3).to_numpy(), starts, ends)
+                order = np.argsort(first, kind="stable")
+                node, first = node[order], first[order]
+                starts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+                ends = np.append(starts[1:], len(node))
             many = ends - starts > 1
             found = [node[a:b] for a, b in zip(starts[many].tolist(), ends[many].tolist())]
             sets = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64)
             bucket = np.repeat(sets, [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.concatenate([node[:0], *found]))], ["bucket", "node"])
 
-    return in_runs(rows.select("key", "node"), "key").mapInArrow(run, "bucket long, node long").distinct()
+    return in_runs(rows, "key").mapInArrow(run, "bucket long, node long").distinct()
+
+
+def agreement(slots: np.ndarray, at: int | slice, other: int | np.ndarray) -> np.ndarray:
+    """Of the bits of sketches (a row of 64-bit words each) the share that agrees."""
+    return 1 - np.bitwise_count(slots[at] ^ slots[other]).sum(axis=1) / (64 * slots.shape[1])
 
 
 def likely_forest(slots: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the likely links among a bucket's sketches (a row each), as pairs of positions."""
-    out, left, queue = [], np.arange(1, len(slots)), [0]
-    while len(left):
-        if not queue:
-            queue, left = [int(left[0])], left[1:]
-        at = queue.pop()
-        near = (slots[left] == slots[at]).mean(axis=1) >= LIKELY
-        got = left[near].tolist()
-        out += [(at, j) for j in got]
-        queue += got
-        left = left[~near]
-    return out
+    return forest_of(len(slots), lambda left, at: agreement(slots, left, at) >= LIKELY)
 
 
 def overlaps(fine: list[bytes | None]):
@@ -287,7 +332,7 @@ def untested(node: np.ndarray, root: np.ndarray, slots: np.ndarray, failed: list
     out, likeness = [], overlaps(fine)
     # Each link to test has an end outside the largest component.
     for i in np.flatnonzero(of != np.bincount(of).argmax()).tolist():
-        share = (slots == slots[i]).mean(axis=1)
+        share = agreement(slots, slice(None), i)
         exact = likeness(i)
         share = np.where(exact < 0, share, np.where(exact >= NEARLY, exact, 0))
         share[of == of[i]] = 0
@@ -325,13 +370,12 @@ def to_test(members: DataFrame, sketch: DataFrame, texts: DataFrame, roots: Data
         rows = rows.select("bucket", "node", "sketch", "root", "failed", "fine")
     else:
         rows = members.join(sketch, "node").select("bucket", "node", "sketch")
-    kind = np.dtype(SLOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, ends in whole_runs(batches):
             u, v = [], []
             node = table.column(1).to_numpy()
-            slots = np.frombuffer(b"".join(table.column(2).to_pylist()), kind).reshape(len(node), -1)
+            slots = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint64).reshape(len(node), -1)
             root = table.column(3).to_numpy() if table.num_columns > 3 else None
             for a, b in zip(starts.tolist(), ends.tolist()):
                 if root is None:
@@ -368,7 +412,7 @@ def tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_copies(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v): each node that a chain of alike texts links to a smaller one, and the least of its component.
 
-    nodes: node (a number of its own for each different text), doc_id (one of the text's), md5, bands and sketch.
+    nodes: node (a number of its own for each different text), doc_id (one of the text's), md5, keys, fp1, fp2 and sketch.
 
     Only links that the whole texts confirm join nodes. Nodes of a bucket whose
     links fail go on to their next likeliest ones, four times as many a round,
@@ -396,12 +440,13 @@ def near_copies(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def keys_of_nodes(nodes: DataFrame) -> DataFrame:
-    """(key, node): nodes with a key, the hash of a band, meet."""
-    return nodes.select(F.explode("bands").alias("key"), "node")
+    """(key, node, fp1, fp2): nodes with a key, the strongest bits that a table keeps, meet."""
+    key = (F.col("table") * (1 << 14) + F.col("bits")).alias("key")
+    return nodes.select(F.posexplode("keys").alias("table", "bits"), "node", "fp1", "fp2").select(key, "node", "fp1", "fp2")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents less all but the first (least doc_id) of each group of exact copies and of near copies by word shingles.
+    """The documents less all but the first (least doc_id) of each group of exact copies and of near copies by SimHash fingerprints, confirmed by word shingles.
 
     Different texts are the nodes of the links, whatever doc_ids they have: rows
     without a doc_id and texts that share one link like any other. Of a group the
@@ -409,7 +454,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     texts with the same doc_id, the least digest. Rows that repeat both doc_id and text are one document.
     """
     prints = materialize(sketches(docs), "sketches")
-    nodes = prints.groupBy("md5").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = prints.groupBy("md5").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("keys", "fp1", "fp2", "sketch")])
     # Numbers that stay as they are once written.
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     roots = near_copies(nodes, docs).select(F.col("u").alias("node"), F.col("v").alias("root"))
