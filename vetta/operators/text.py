@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -401,27 +402,143 @@ def index_notes(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings, written(postings.select("term").distinct().select("term", F.explode(near_keys(F.col("term"))).alias("key")), "vocabulary")
 
 
+# So many notes, in order of name and type, are searched as one block of arrays, and so many queries meet the first block in a task.
+NOTE_BLOCK, QUERY_PART = 1 << 14, 1 << 11
+LISTS = "block long, asked long, type string, whole binary, half binary"
+
+
+def runs_of(*codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where equal rows of sorted columns begin and end."""
+    new = np.zeros(max(0, len(codes[0]) - 1), bool)
+    for c in codes:
+        new |= c[1:] != c[:-1]
+    starts = np.flatnonzero(np.append(len(codes[0]) > 0, new)) if len(codes[0]) else np.zeros(0, np.int64)
+    return starts, np.append(starts[1:], len(codes[0]))
+
+
+def coded(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, list]:
+    """Strings as numbers (null: -1) and the strings."""
+    found = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode()
+    return found.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), [*found.dictionary.to_pylist(), None]
+
+
+def term_lists(key: tuple, notes: pa.Table) -> pa.Table:
+    """A block's notes (at, type, terms) as the places of each term and type."""
+    terms = notes.column("terms").combine_chunks()
+    n = np.asarray(terms.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+    term, words = coded(terms.flatten())
+    kind, kinds = coded(notes.column("type"))
+    kind, at = np.repeat(kind, n), np.repeat(notes.column("at").to_numpy(), n)
+    order = np.lexsort((at, kind, term))
+    term, kind, at = term[order], kind[order], at[order].astype(np.int32)
+    starts, ends = runs_of(term, kind)
+    places = [at[x:y].tobytes() for x, y in zip(starts.tolist(), ends.tolist())]
+    return pa.table({"block": pa.array([key[0].as_py()] * len(starts), pa.int64()), "term": pa.array([words[x] for x in term[starts]], pa.string()), "type": pa.array([kinds[x] for x in kind[starts]], pa.string()), "places": pa.array(places, pa.binary())})
+
+
+def asked_lists(key: tuple, found: pa.Table) -> pa.Table:
+    """A block's places of terms near to asked words (asked, type, exact, places): for each asked word and type those of the word itself, and those of other terms alone."""
+    places = [np.frombuffer(x, np.int32) for x in found.column("places").to_pylist()]
+    n = np.array([len(x) for x in places], np.int64)
+    kind, kinds = coded(found.column("type"))
+    asked, kind, other = (np.repeat(x, n) for x in (found.column("asked").to_numpy(), kind, ~found.column("exact").to_numpy(zero_copy_only=False)))
+    at = np.concatenate([np.zeros(0, np.int32), *places])
+    order = np.lexsort((other, at, kind, asked))
+    asked, kind, other, at = asked[order], kind[order], other[order], at[order]
+    first, _ = runs_of(asked, kind, at)
+    asked, kind, other, at = asked[first], kind[first], other[first], at[first]
+    starts, ends = runs_of(asked, kind)
+    parts = [(at[x:y], other[x:y]) for x, y in zip(starts.tolist(), ends.tolist())]
+    return pa.table({"block": pa.array([key[0].as_py()] * len(starts), pa.int64()), "asked": pa.array(asked[starts], pa.int64()), "type": pa.array([kinds[x] for x in kind[starts]], pa.string()),
+                     "whole": pa.array([x[~o].tobytes() for x, o in parts], pa.binary()), "half": pa.array([x[o].tobytes() for x, o in parts], pa.binary())})
+
+
+def best_of_block(k: int):
+    """The k best notes of a block for each of some queries (query, words, least) whose score is above the least."""
+
+    def run(lists: pa.Table, queries: pa.Table) -> pa.Table:
+        words: dict = {}
+        for asked, kind, whole, half in zip(*(lists.column(c).to_pylist() for c in ("asked", "type", "whole", "half"))):
+            words.setdefault(asked, []).append((kind, np.frombuffer(whole, np.int32), np.frombuffer(half, np.int32)))
+        block = lists.column("block")[0].as_py() if lists.num_rows else 0
+        score = np.zeros(1 + max((int(x.max()) for ls in words.values() for _, *two in ls for x in two if len(x)), default=0))
+        query, note, scores = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for number, asked, least in zip(*(queries.column(c).to_pylist() for c in ("query", "words", "least"))):
+            score[:] = 0
+            for w in asked:
+                for kind, whole, half in words.get(w["asked"], ()):
+                    if w["only"] is None or w["only"] == kind:
+                        score[whole] += w["idf"]
+                        score[half] += w["idf"] / 2
+            at = np.flatnonzero(score > max(0, least - 1e-8))
+            # Scores are compared at nine digits, as places are given.
+            told = np.round(score[at], 9)
+            keep = told > least if least > 0 else told >= 0
+            if keep.sum() > k:
+                keep &= told >= -np.partition(-told[keep], k - 1)[k - 1]
+            at, told = at[keep], told[keep]
+            at = at[np.lexsort((at, -told))[:k]]
+            query += [number] * len(at)
+            note.append(at.astype(np.int64) + (block << 33))
+            scores.append(score[at])
+        return pa.table({"query": pa.array(query, pa.int64()), "note": pa.array(np.concatenate(note)), "score": pa.array(np.concatenate(scores))})
+
+    return run
+
+
+def open_blocks(asked: DataFrame, lists: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """(query, words, least, later): the later blocks in which a note can be better than a query's k best of the first one.
+
+    Words that together can't lift a note above the k-th score need not be looked for: a better
+    note has one of the others. Equal scores go to the earlier block.
+    """
+    least = found.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min(F.round("score", 9)).alias("least")).where(F.col("n") >= k).select("query", "least")
+    asked = asked.drop("least").join(least, "query", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    needed = F.expr("filter(transform(words, (w, i) -> if(round(aggregate(slice(words, 1, i + 1), 0D, (t, x) -> t + x.most), 9) > least, w.asked, null)), w -> w is not null)")
+    pairs = asked.select("query", F.explode(needed).alias("asked")).join(lists.where("block > 0").select("asked", F.col("block").alias("later")).distinct(), "asked").select("query", "later").distinct()
+    return asked.join(pairs, "query")
+
+
 def search_note_table(index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int = 50) -> DataFrame:
     """(query_id, name, type, score, place): the k best notes (20 where k isn't above 0) of each query (query_id, query, and optionally type, the only type then searched).
 
     A note matches by any word; a word may differ by one edit and then counts half. A word's
     worth is the inverse frequency of the notes that it matches. Words meet terms by
-    equality of near_keys, then the edit is checked.
+    equality of near_keys, then the edit is checked. Notes are blocks in order of name and
+    type; all queries meet the first block, and a later one where it can hold a better note.
     """
     from vetta.plans.tables import written
 
     postings, vocabulary = index
-    total = postings.agg(F.countDistinct("name", "type").alias("total"))  # one row
+    k = k if k > 0 else 20
     only = F.col("type") if "type" in queries.columns else F.lit(None).cast("string")
-    asked = written(queries.select("query_id", only.alias("only"), F.explode(F.array_distinct(terms(F.col("query")))).alias("asked")), "asked")
-    near = asked.select("asked").distinct().select("asked", F.explode(near_keys(F.col("asked"))).alias("key")).join(vocabulary, "key").where(F.levenshtein("term", "asked", 1) >= 0).select("asked", "term").distinct()
-    matched = near.join(postings, "term").groupBy("asked", "name", "type").agg(F.max(F.when(F.col("term") == F.col("asked"), 1.0).otherwise(0.5)).alias("w"))
-    matched = written(matched, "matched")
-    worth = matched.groupBy("asked").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("asked", F.log(1 + F.col("total") / F.col("df")).alias("idf"))
-    hits = asked.join(worth, "asked").join(matched, "asked").where(F.col("only").isNull() | (F.col("only") == F.col("type")))
-    scores = hits.groupBy("query_id", "name", "type").agg(F.sum(F.col("w") * F.col("idf")).alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "name", "type"))
-    return scores.withColumn("place", place).where(F.col("place") <= (k if k > 0 else 20))
+    asked = written(queries.select("query_id", only.alias("only"), F.explode(F.array_distinct(terms(F.col("query")))).alias("word")).distinct(), "asked")
+    words = written(asked.select("word").distinct().withColumn("asked", F.monotonically_increasing_id()), "words")
+    near = words.select("asked", "word", F.explode(near_keys(F.col("word"))).alias("key")).join(vocabulary, "key").where(F.levenshtein("term", "word", 1) >= 0)
+    near = near.select("asked", "term", (F.col("term") == F.col("word")).alias("exact")).distinct()
+    notes = postings.groupBy("name", "type").agg(F.collect_list("term").alias("terms"))
+    total = postings.select("name", "type").distinct().count()
+    notes = notes.repartitionByRange(-(-total // NOTE_BLOCK) or 1, "name", "type").sortWithinPartitions("name", "type").withColumn("note", F.monotonically_increasing_id())
+    notes = written(notes, "notes")
+    placed = notes.select(F.shiftright("note", 33).alias("block"), F.col("note").bitwiseAND((1 << 33) - 1).alias("at"), "type", "terms")
+    held = placed.groupBy("block").applyInArrow(term_lists, "block long, term string, type string, places binary")
+    lists = held.join(near, "term").select("block", "asked", "type", "exact", "places").groupBy("block").applyInArrow(asked_lists, LISTS)
+    lists = written(lists, "lists")
+    # A word's worth, and the most that it can add to a score.
+    worth = lists.groupBy("asked").agg((F.sum(F.octet_length("whole") + F.octet_length("half")) / 4).alias("df"), F.max(F.octet_length("whole")).alias("whole"))
+    worth = worth.withColumn("idf", F.log(1 + F.lit(total) / F.col("df"))).join(words, "asked").select("word", "asked", "idf", (F.col("idf") * F.when(F.col("whole") > 0, 1.0).otherwise(0.5)).alias("most"))
+    named = asked.join(worth, "word").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("most", "asked", "only", "idf"))).alias("words"))
+    named = written(named.withColumn("query", F.monotonically_increasing_id()).withColumn("least", F.lit(0.0)), "queries")
+    some = named.select("query", "words", "least")
+    run, parts = best_of_block(k), -(-named.count() // QUERY_PART) or 1
+    first = lists.where("block = 0").crossJoin(lists.sparkSession.range(parts).withColumnRenamed("id", "part"))
+    dealt = some.withColumn("part", F.pmod(F.hash("query"), F.lit(parts)).cast("long"))
+    result = "query long, note long, score double"
+    found = written(first.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(run, result), "first")
+    later = lists.groupBy("block").cogroup(open_blocks(some, lists, found, k).groupBy("later")).applyInArrow(run, result)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "note"))
+    best = found.union(later).withColumn("place", place).where(F.col("place") <= k)
+    return best.join(notes.select("note", "name", "type"), "note").join(named.select("query", "query_id"), "query").select("query_id", "name", "type", "score", "place")
 
 
 def search_notes(memories: DataFrame, query: str, k: int = 50, type: str | None = None) -> DataFrame:
