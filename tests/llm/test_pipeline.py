@@ -2,16 +2,19 @@
 
 import hashlib
 import random
+import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from test_duplicates import plain_alike, plain_components
 from test_text_operators import plain_features, plain_spans
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from vetta.llm import bpe, pii, quality
+from vetta.llm import bpe, common, packing, pii, quality, suffixes
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -145,3 +148,65 @@ def test_columns_of_the_stages_own_names(spark):
     df = spark.createDataFrame([r for r in made_rows() if r[0] is not None][:12], DOC).selectExpr("*", "1 as node", "'x' as key", "2 as start", "'y' as _vetta", "3 as score")
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         assert set(DOC.replace(" long", "").replace(" string", "").split(", ")) <= set(stage(spark, df, "").columns), name
+
+
+def test_tasks_give_back_what_they_took(spark, tmp_path, monkeypatch):
+    """Each mapInArrow task of the stages ends with give_back()."""
+    runs, calls, cls = [], [], type(spark.range(1))
+    plain = cls.mapInArrow
+    monkeypatch.setattr(cls, "mapInArrow", lambda df, run, schema, *more: runs.append(run) or plain(df, run, schema, *more))
+    docs = spark.createDataFrame(made_rows(), DOC)
+    spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path))
+    assert len(runs) >= 8
+    for module in (common, suffixes):
+        monkeypatch.setattr(module, "give_back", lambda: calls.append(1))
+    for k, run in enumerate(runs, 1):
+        list(run(iter([])))
+        assert len(calls) == k
+
+
+def test_give_back_comes_after_a_task_s_variables(monkeypatch):
+    held, gone = [], []
+
+    def run(batches):
+        big = np.zeros(9)
+        held.append(weakref.ref(big))
+        yield from batches
+
+    monkeypatch.setattr(common, "give_back", lambda: gone.append(held[0]() is None))
+    assert list(common.giving_back(run)(iter([1, 2]))) == [1, 2] and gone == [True]
+
+
+def test_blocks_are_gone_when_suffix_tasks_give_back(monkeypatch):
+    blocks, gone = [], []
+
+    class Watched(suffixes.Block):
+        def __init__(self, table):
+            super().__init__(table)
+            blocks.append(weakref.ref(self))
+
+    monkeypatch.setattr(suffixes, "Block", Watched)
+    monkeypatch.setattr(suffixes, "give_back", lambda: gone.append(all(x() is None for x in blocks)))
+    passage = " ".join(f"word{k}" for k in range(40))
+    tables = [pa.table({"_id": [k], "_data": [f"{passage} {k} {passage[k + 3:]}".encode()], "_block": [k]}) for k in range(2)]
+    key = lambda k: (pa.scalar(k),)
+    asked = pa.concat_tables([suffixes.ask(1)(key(k), t) for k, t in enumerate(tables)])
+    assert gone == [True, True]
+    wanted = suffixes.choose(2)(key(0), asked)
+    assert wanted.num_rows and gone == [True] * 3
+    for k, t in enumerate(tables):
+        suffixes.send(1)(key(k), t, wanted.filter(pc.equal(wanted.column("block"), k)))
+    assert gone[3:] and all(gone)
+
+
+def test_tokens_leave_no_tables_in_a_worker(spark, monkeypatch):
+    runs, cls = [], type(spark.range(1))
+    plain = cls.mapInArrow
+    monkeypatch.setattr(cls, "mapInArrow", lambda df, run, schema: runs.append(run) or plain(df, run, schema))
+    packing.pieces(spark.createDataFrame(made_rows(), DOC))
+    words = weakref.ref(bpe.word_bpe(bpe.tokenizer_path()))
+    rows = list(runs[0](iter([pa.record_batch({"doc_id": [1], "text": ["some words"]})])))
+    assert rows[0].num_rows == 1 and words() is None
+    assert list(runs[0](iter([pa.record_batch({"doc_id": [1], "text": ["some words"]})]))) == rows

@@ -16,6 +16,7 @@ columns other than the text are passed through or ignored.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import re
 from array import array
@@ -261,6 +262,13 @@ def text_encoder(path: str) -> Encoder:
     return Encoder(path, lambda ids: (len(ids), " ".join(map(str, ids)), bpe.decode(ids)))
 
 
+def let_go() -> None:
+    """Drop the vocabularies' tables, some 40 MB and what the pairs add: a worker goes on to other stages, and a task reads them again in less than a second."""
+    for kept in (word_bpe, bytes_encoder, text_encoder):
+        kept.cache_clear()
+    gc.collect()  # an encoder and the words it keeps hold each other
+
+
 def encode_column(df, text: str = "text", path: str | None = None, out: str = "ids"):
     """df with the ids of a text column as array<int>, in a new last column."""
     from pyspark.sql import functions as F

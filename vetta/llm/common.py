@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,18 @@ def give_back() -> None:
         pass
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], also: Callable[[], None] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives back what its task took, once its last batch and all its own variables are gone. also: called before that."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        if also:
+            also()
+        give_back()
+
+    return whole
+
+
 def parts(df: DataFrame, column: str, mb: int = 16) -> int:
     """How many partitions hold about mb MB of a text column each, and at least the session's shuffle partitions."""
     spark = df.sparkSession

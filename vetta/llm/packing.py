@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vetta.llm.bpe import bytes_encoder, tokenizer_path
-from vetta.llm.common import give_back, materialize
+from vetta.llm.bpe import bytes_encoder, let_go, tokenizer_path
+from vetta.llm.common import giving_back, materialize
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
@@ -50,10 +50,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
             cols = list(zip(*rows)) if rows else [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        enc.forget()
-        give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run, let_go), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:

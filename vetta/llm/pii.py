@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetta.llm.common import materialize
+from vetta.llm.common import giving_back, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 5  # distinct seeds of a pattern
@@ -162,7 +162,7 @@ def scan(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(c, t) for c, t in zip(cols, [*[pa.int64()] * 4, pa.string(), kind])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "text_md5", "n_email", "n_ip", "n_card", "n_phone", "base", "candidates"])
 
-    return docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "text").mapInArrow(run, FOUND)
+    return docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "text").mapInArrow(giving_back(run), FOUND)
 
 
 def plausible(instance: str, kind: str):

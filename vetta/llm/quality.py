@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetta.llm.common import crc_fold, give_back
+from vetta.llm.common import crc_fold, giving_back
 
 BITS = 18
 SAMPLE = 24_000  # labelled rows at most
@@ -119,12 +119,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarra
             w = train(found, ys)
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at]), pa.array(np.full(len(at), len(found), np.int64))], ["at", "w", "n"])
-        del found
-        give_back()
 
     out, total = np.zeros((1 << BITS) + 1), 0
     # At most 2^BITS rows a shard; a shard weighs as many rows as it had.
-    summed = dealt.mapInArrow(run, "at long, w double, n long").groupBy("at").agg(F.sum(F.col("w") * F.col("n")).alias("w"), F.sum("n").alias("n"))
+    summed = dealt.mapInArrow(giving_back(run), "at long, w double, n long").groupBy("at").agg(F.sum(F.col("w") * F.col("n")).alias("w"), F.sum("n").alias("n"))
     for r in summed.collect():
         out[r["at"]] = r["w"]
         total = max(total, r["n"])
@@ -158,9 +156,8 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(bytes_of(batch.column(1)), weights))], ["doc_id", "score"])
-        give_back()
 
-    return docs.select("doc_id", F.encode("text", "utf-8")).mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", F.encode("text", "utf-8")).mapInArrow(giving_back(run), "doc_id long, score double")
 
 
 def good(docs: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -171,9 +168,8 @@ def good(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(scores(bytes_of(batch.column(at)), weights) >= 0.5))
-        give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetta.llm.common import materialize
+from vetta.llm.common import giving_back, materialize
 from vetta.llm.components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
             found = [simhash(x.as_buffer().to_pybytes(), words) if x.is_valid else 0 for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", F.encode("text", "utf-8").alias("data")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.encode("text", "utf-8").alias("data")).mapInArrow(giving_back(run), "doc_id long, fp long")
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -149,7 +149,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, within: int = RADIUS) -> DataF
         yield from batches
         yield None
 
-    return rows.repartition(n, "table", "key").sortWithinPartitions("table", "key", "node").mapInArrow(run, "u long, v long")
+    return rows.repartition(n, "table", "key").sortWithinPartitions("table", "key", "node").mapInArrow(giving_back(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
@@ -213,7 +213,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "md5", "keys", "fp1", "fp2", "sketch"])
 
     data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    return docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).mapInArrow(run, "doc_id long, md5 string, keys array<smallint>, fp1 long, fp2 long, sketch binary")
+    return docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).mapInArrow(giving_back(run), "doc_id long, md5 string, keys array<smallint>, fp1 long, fp2 long, sketch binary")
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -288,7 +288,7 @@ def meetings(rows: DataFrame) -> DataFrame:
             bucket = np.repeat(sets, [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.concatenate([node[:0], *found]))], ["bucket", "node"])
 
-    return in_runs(rows, "key").mapInArrow(run, "bucket long, node long").distinct()
+    return in_runs(rows, "key").mapInArrow(giving_back(run), "bucket long, node long").distinct()
 
 
 def agreement(slots: np.ndarray, at: int | slice, other: int | np.ndarray) -> np.ndarray:
@@ -354,7 +354,7 @@ def fine_sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
                 found.append(h.tobytes() if len(h) <= FINE else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "fine"])
 
-    return texts.join(nodes, "node", "left_semi").mapInArrow(run, "node long, fine binary")
+    return texts.join(nodes, "node", "left_semi").mapInArrow(giving_back(run), "node long, fine binary")
 
 
 def to_test(members: DataFrame, sketch: DataFrame, texts: DataFrame, roots: DataFrame | None, failed: DataFrame | None, most: int) -> DataFrame:
@@ -389,7 +389,7 @@ def to_test(members: DataFrame, sketch: DataFrame, texts: DataFrame, roots: Data
                     v.append(node[a + j])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[:0], *x])) for x in (u, v)], ["u", "v"])
 
-    found = in_runs(rows, "bucket").mapInArrow(run, "u long, v long")
+    found = in_runs(rows, "bucket").mapInArrow(giving_back(run), "u long, v long")
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -406,7 +406,7 @@ def tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(alike, pa.bool_())], ["u", "v", "alike"])
 
     two = pairs.join(texts.withColumnsRenamed({"node": "u", "data": "a"}), "u").join(texts.withColumnsRenamed({"node": "v", "data": "b"}), "v")
-    return two.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, alike boolean")
+    return two.select("u", "v", "a", "b").mapInArrow(giving_back(run), "u long, v long, alike boolean")
 
 
 def near_copies(nodes: DataFrame, docs: DataFrame) -> DataFrame:

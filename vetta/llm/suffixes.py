@@ -407,7 +407,10 @@ def ask(n: int):
         for g, p in groups_of(found, n):
             own = np.flatnonzero(count[p] >= COUNTED)
             out.append((g, key[0].as_py(), packed_keys(found[p]), packed_keys(short[p]), np.packbits(shared[p]).tobytes(), packed(own, np.uint32), packed(count[p][own], np.uint32)))
-        return batch(out, KEYS)
+        rows = batch(out, KEYS)
+        del block, order, which, mark, ids, here, several, number, out
+        give_back()
+        return rows
 
     return run
 
@@ -457,7 +460,10 @@ def choose(last: int, hot: list[tuple[int, int]] = []):
             parts = [packed_keys(every[lo:hi][kind[lo:hi] == x]) for x in (1, 2, 3)]
             if any(parts):
                 out.append((b, *parts))
-        return batch(out, WANTED)
+        rows = batch(out, WANTED)
+        del every, short, late, shared, pieces, order, k, s, kind, least, out
+        give_back()
+        return rows
 
     return run
 
@@ -484,7 +490,10 @@ def send(n: int):
             for g, p in groups_of(which, n):
                 data = block.data[spread(first[p], sizes[p])].tobytes()
                 out.append((g, key[0].as_py(), packed_keys(which[p]), packed(mark[p], np.uint64), packed(sizes[p], np.uint8), packed(ids[p], np.int64), data))
-        return batch(out, PIECES)
+        rows = batch(out, PIECES)
+        del block, pieces, begin, single, mark, first, which, sizes, ids, out
+        give_back()
+        return rows
 
     return run
 
