@@ -149,6 +149,31 @@ def test_edited_copies_whose_original_comes_last(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept) == sorted(k for k, _ in rows if k not in gone)
 
 
+def test_later_rounds_hold_each_text_of_a_large_group_once(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARE", 50)
+    written, rounds = simhash.materialize, []
+
+    def counted(df, name):
+        out = written(df, name)
+        rounds.extend([out.select("node").collect()] if name == "several" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    rand = random.Random(17)
+    base = [f"w{rand.randrange(3000)}" for _ in range(300)]
+    rows = []
+    for k in range(200):
+        copy = list(base)
+        for at in rand.sample(range(300), rand.randint(4, 7)):
+            copy[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    rows.append((1000, " ".join(base)))
+    gone = plain_components([(a, b) for i, (a, s) in enumerate(rows) for b, t in rows[i + 1 :] if plain_alike(s, t)])
+    kept = simhash.one_of_each(spark.createDataFrame(rows, DOC)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(k for k, _ in rows if k not in gone) and 1 < len(kept) < 150
+    assert rounds and all(len(x) == len(set(x)) <= len(rows) for x in rounds)
+
+
 def changed(rand, words, kind, fresh):
     n, word = len(words), lambda: f"new{rand.randrange(10**9)}" if fresh else f"w{rand.randrange(2000)}"
     at = rand.randrange(n)

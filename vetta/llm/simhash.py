@@ -38,7 +38,11 @@ RADIUS, SHINGLE, SEED = 4, 4, 42
 COPY_SHINGLE, ALIKE, PRINTS = 5, 0.8, 64
 # Of the first two fingerprints' 128 bits texts that share a key may differ in WITHIN, other texts in some 64.
 # The first SKETCH fingerprints are compared next; in LIKELY of their bits a pair agrees, at a likeness of 0.8 in 0.85.
-WITHIN, SKETCH, LIKELY = 41, 20, 0.77
+# The first round links texts from LINKED on, since these links also say which texts later rounds compare: shingles that are 4 and 5
+# in number, 4 of them the same, agree in 0.81, and of such pairs some 5 in 100,000 don't reach LIKELY.
+WITHIN, SKETCH, LIKELY, LINKED = 41, 20, 0.77, 0.75
+# A later round's bucket is dealt over a task for each so many texts, at most SHARES: each task sees all of them and looks for the links of its share.
+SHARE, SHARES = 1024, 64
 # Buckets of at most so many texts are compared all with all.
 SHORT = 32
 # Texts with so many different shingles or fewer are compared by all of them (32 bits each), so that next to no link fails its test.
@@ -298,7 +302,7 @@ def agreement(slots: np.ndarray, at: int | slice, other: int | np.ndarray) -> np
 
 def likely_forest(slots: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the likely links among a bucket's sketches (a row each), as pairs of positions."""
-    return forest_of(len(slots), lambda left, at: agreement(slots, left, at) >= LIKELY)
+    return forest_of(len(slots), lambda left, at: agreement(slots, left, at) >= LINKED)
 
 
 def overlaps(fine: list[bytes | None]):
@@ -324,14 +328,14 @@ def overlaps(fine: list[bytes | None]):
     return likeness
 
 
-def untested(node: np.ndarray, root: np.ndarray, slots: np.ndarray, failed: list, most: int, fine: list[bytes | None]) -> list[tuple[int, int]]:
-    """For each node, up to `most` of its likeliest links to other components of a bucket that have not been tested, as pairs of positions."""
+def untested(node: np.ndarray, root: np.ndarray, slots: np.ndarray, failed: list, most: int, fine: list[bytes | None], mine: np.ndarray) -> list[tuple[int, int]]:
+    """For each node that is mine, up to `most` of its likeliest links to other components of a bucket that have not been tested, as pairs of positions."""
     names, of = np.unique(root, return_inverse=True)
     if len(names) == 1:
         return []
     out, likeness = [], overlaps(fine)
     # Each link to test has an end outside the largest component.
-    for i in np.flatnonzero(of != np.bincount(of).argmax()).tolist():
+    for i in np.flatnonzero(mine & (of != np.bincount(of).argmax())).tolist():
         share = agreement(slots, slice(None), i)
         exact = likeness(i)
         share = np.where(exact < 0, share, np.where(exact >= NEARLY, exact, 0))
@@ -357,17 +361,26 @@ def fine_sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(nodes, "node", "left_semi").mapInArrow(giving_back(run), "node long, fine binary")
 
 
+def clusters(links: DataFrame) -> DataFrame:
+    """(bucket, node): the components of links (u, v) as buckets of two or more nodes, each node once."""
+    stars = components(links.select("u", "v"))
+    return stars.select(F.col("v").alias("bucket"), F.col("u").alias("node")).union(stars.select("v", F.col("v").alias("node")).distinct())
+
+
 def to_test(members: DataFrame, sketch: DataFrame, texts: DataFrame, roots: DataFrame | None, failed: DataFrame | None, most: int) -> DataFrame:
     """Links (u, v) that a round tests: at first a forest of the likely ones in each bucket, then likely ones between components."""
     if roots is not None:
         both = failed.union(failed.select("v", "u")).groupBy("u").agg(F.collect_list("v").alias("failed"))
         rows = members.join(roots.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").withColumn("root", F.coalesce("root", "node"))
         # Only buckets that hold several components are looked at again.
-        several = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-        rows = materialize(rows.join(several, "bucket", "left_semi"), "several")
-        fine = fine_sets(rows.select("node").distinct(), texts)
+        several = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
+        shares = F.least(F.lit(SHARES), F.ceil(F.col("n") / SHARE)).cast("int").alias("shares")
+        rows = materialize(rows.join(several.select("bucket", shares), "bucket"), "several")
+        fine = fine_sets(rows.select("node"), texts)
         rows = rows.join(sketch, "node").join(both.withColumnRenamed("u", "node"), "node", "left").join(fine, "node", "left")
-        rows = rows.select("bucket", "node", "sketch", "root", "failed", "fine")
+        rows = rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        mine = (F.pmod(F.xxhash64("node"), "shares") == F.col("share")).alias("mine")
+        rows = rows.select(F.xxhash64("bucket", "share").alias("bucket"), "node", "sketch", "root", "failed", "fine", mine)
     else:
         rows = members.join(sketch, "node").select("bucket", "node", "sketch")
 
@@ -382,7 +395,7 @@ def to_test(members: DataFrame, sketch: DataFrame, texts: DataFrame, roots: Data
                     found = likely_forest(slots[a:b])
                 else:
                     part = table.slice(a, b - a)
-                    found = untested(node[a:b], root[a:b], slots[a:b], part.column(4).to_pylist(), most, part.column(5).to_pylist())
+                    found = untested(node[a:b], root[a:b], slots[a:b], part.column(4).to_pylist(), most, part.column(5).to_pylist(), np.array(part.column(6).to_pylist(), bool))
                 if found:
                     i, j = np.array(found).T
                     u.append(node[a + i])
@@ -416,9 +429,12 @@ def near_copies(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     Only links that the whole texts confirm join nodes. Nodes of a bucket whose
     links fail go on to their next likeliest ones, four times as many a round,
-    until no bucket has an untested likely link between two components. From the
-    second round on, texts of FINE shingles or fewer are compared in the bucket by
-    all of them, so a large group of texts that are nearly alike lists no pairs.
+    until no bucket has an untested likely link between two components. A text
+    is in as many buckets as there are tables, so from the second round on the
+    buckets are the components of the first round's links, whether these passed
+    or failed: they hold every likely link, and each node once. Texts of FINE
+    shingles or fewer are compared there by all of them, so a large group of
+    texts that are nearly alike lists no pairs.
     """
     members = materialize(meetings(keys_of_nodes(nodes)), "meetings")
     wanted = members.select("node").distinct()
@@ -432,6 +448,8 @@ def near_copies(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         pairs = materialize(to_test(members, sketch, texts, roots, failed, most), "pairs")
         if pairs.isEmpty():
             return roots if roots is not None else pairs
+        if roots is None:
+            members = materialize(clusters(pairs), "clusters")
         now = materialize(tested(pairs, texts), "tested")
         known = now if known is None else known.union(now)
         roots = components(known.where("alike").select("u", "v"))
