@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -53,6 +54,28 @@ def test_encoding_of_random_texts(library):
             assert np.frombuffer(b"".join(enc.words(t)), np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_packing_encodes_by_the_library_s_model(spark, library, monkeypatch):
+    rand = random.Random(3)
+    enc = bpe.library_encoder(bpe.tokenizer_path())
+    texts = ["<|endoftext|>x <|", "ünïcode 日本語 \U0001f600\x1c\u2003e\u0301", "a" * 130]
+    for alphabet in ("aeinrst'!", "abcdé ß'<|>%.12\n", "".join(map(chr, range(32, 1000)))):
+        texts += ["".join(rand.choice(alphabet) for _ in range(rand.randint(0, 80))) for _ in range(100)]
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for long in (bpe.LONG_WORD, 3):
+        monkeypatch.setattr(bpe, "LONG_WORD", long)
+        enc.forget()
+        assert [np.frombuffer(b"".join(enc.words(t)), np.uint32).tolist() for t in texts] == wanted
+    monkeypatch.undo()
+    # A task doesn't build the tables of the encoder that walks.
+    runs, cls = [], type(spark.range(1))
+    monkeypatch.setattr(cls, "mapInArrow", lambda df, run, schema: runs.append(run))
+    packing.pieces(spark.createDataFrame([(1, "a")], DOC))
+    bpe.let_go()
+    monkeypatch.setattr(bpe, "WordBpe", None)
+    (rows,) = runs[0](iter([pa.record_batch({"doc_id": [1], "text": ["some words"]})]))
+    assert rows.column("length").to_pylist() == [len(library.encode("some words").ids) + 1]
+
+
 def test_columns_round_trip(spark, library):
     df = spark.createDataFrame([(1, "hello world"), (2, None)], DOC)
     rows = bpe.decode_column(bpe.encode_column(df)).orderBy("doc_id").collect()

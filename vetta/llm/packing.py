@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vetta.llm.bpe import bytes_encoder, let_go, tokenizer_path
+from vetta.llm.bpe import let_go, library_encoder, tokenizer_path
 from vetta.llm.common import giving_back, materialize
 
 CAPACITY = 2048
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bytes_encoder(path)
+        enc = library_encoder(path)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
