@@ -211,6 +211,29 @@ def test_copies_of_long_texts(spark):
     assert sorted(r["doc_id"] for r in kept) == [k for k, _ in rows if k not in gone]
 
 
+@pytest.mark.parametrize("common", [0, 1 << 15])
+def test_links_that_no_fingerprint_finds(spark, monkeypatch, common):
+    """No texts meet by fingerprints; those that are alike are linked all the same, short, long and among texts with a passage in common."""
+    monkeypatch.setattr(simhash, "keys_of_nodes", lambda nodes: nodes.where("node < 0").selectExpr("0L as key", "node", "fp1", "fp2"))
+    monkeypatch.setattr(simhash, "COMMON", common)
+    rand = random.Random(19)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for n in (1, 6, 12, 90, 300, 2600):
+        for kind in ("added", "removed", "scattered"):
+            for k in range(4):
+                base = passage[: 60 * (k % 2)] + [f"w{rand.randrange(2000)}" for _ in range(n)]
+                copy = changed(rand, base, kind, k > 1) if n > 20 else base[:-1] if kind == "removed" else [*base, "new"]
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    rows += [(len(rows), ""), (None, rows[100][1].upper())]
+    sets = [set(simhash.shingles(t.encode(), 5)) for _, t in rows]
+    links = [(a, b) for b, y in enumerate(sets) for a, x in enumerate(sets[:b]) if 5 * len(x & y) >= 4 * len(x | y)]
+    gone = plain_components(links)
+    assert len(gone) > 50
+    kept = simhash.one_of_each(spark.createDataFrame(rows, DOC)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in kept) == sorted((d is None, d or 0, t) for k, (d, t) in enumerate(rows) if k not in gone)
+
+
 def plain_margins(text):
     """Ones less zeros at each bit of the fingerprints of a text's different shingles."""
     h = simhash.mixed(simhash.hashes(simhash.shingles(text.encode(), 5)), 5).tolist()

@@ -47,6 +47,11 @@ SHARE, SHARES = 1024, 64
 SHORT = 32
 # Texts with so many different shingles or fewer are compared by all of them (32 bits each), so that next to no link fails its test.
 FINE, NEARLY = 2048, 0.79
+# The links that fingerprints miss are looked for by shared shingles: commonest ones last, at most COMMON, as some COUNTED texts have them.
+# Bits of a text's marks bound what two texts can share.
+COMMON, COUNTED, MARKS = 1 << 15, 1 << 12, 1024
+# Candidates that leave a task at once.
+PAIRS = 1 << 17
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -197,27 +202,73 @@ def margins(h: np.ndarray) -> np.ndarray:
     return (2 * ones - len(h)).reshape(PRINTS, 64)
 
 
-def keys_and_sketch(data: bytes) -> tuple[np.ndarray, bytes]:
-    """A key for each table and the first SKETCH fingerprints of a text."""
-    m = margins(mixed(hashes(shingles(data, COPY_SHINGLE)), 5))
+def keys_and_sketch(h: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A key for each table and the first SKETCH fingerprints of a text, from the hashes of its shingles."""
+    m = margins(mixed(h, 5))
     place = np.abs(m).argmax(axis=1)
     strongest = 2 * place + (m[np.arange(PRINTS), place] > 0)
     return (strongest * 128 + np.roll(strongest, -1)).astype(np.int16), np.packbits(m[:SKETCH] > 0, axis=1, bitorder="little").tobytes()
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, md5 of the text, its key in each table, its first two fingerprints and the sketch that they begin."""
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Hashes of shingles that many texts have, commonest last: at most COMMON, counted in some COUNTED texts.
+
+    They say nothing but the order in which heads() takes a text's shingles. Any
+    order finds the same links; with common shingles last fewer texts meet that are not alike.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [keys_and_sketch(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column(2)]
+            found = [hashes(shingles(x.as_buffer().to_pybytes(), COPY_SHINGLE)) for x in batch.column(0)]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    one_in = max(1, docs.count() // COUNTED)
+    some = docs.where((F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0) & F.col("text").isNotNull()).select(F.encode("text", "utf-8").alias("data"))
+    counts = some.mapInArrow(giving_back(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
+    return counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow().column("h").to_numpy()[::-1].astype(np.int64).view(np.uint64)
+
+
+def heads(common: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that gives of a text's hashes, in one order for all texts, so many first ones that two texts with ALIKE of their union in common share one."""
+    place = np.argsort(common, kind="stable")
+    ordered = common[place]
+
+    def head(h: np.ndarray) -> np.ndarray:
+        most = len(h) - (4 * len(h) + 4) // 5 + 1 if len(h) else 0
+        if not len(common):
+            return h[:most]
+        at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
+        known = ordered[at] == h
+        rare = h[~known][:most]
+        return rare if len(rare) == most else np.concatenate([rare, common[np.sort(place[at[known]])]])[:most]
+
+    return head
+
+
+def marks(h: np.ndarray) -> bytes:
+    """MARKS bits, with a one at each hash's place."""
+    out = np.zeros(MARKS, np.uint8)
+    out[(h % np.uint64(MARKS)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
+
+
+def sketches(docs: DataFrame, common: np.ndarray = np.zeros(0, np.uint64)) -> DataFrame:
+    """doc_id, md5 of the text, its key in each table, its first two fingerprints and the sketch that they begin; how many shingles it has, the first of them in the order that heads() gives, and their marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = heads(common)
+        for batch in batches:
+            sets = [hashes(shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", COPY_SHINGLE)) for x in batch.column(2)]
+            found = [keys_and_sketch(h) for h in sets]
             keys = pa.array([x for x, _ in found], pa.list_(pa.int16()))
             two = np.frombuffer(b"".join(x[:16] for _, x in found), np.int64).reshape(-1, 2)
             columns = [keys, pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array([x for _, x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "md5", "keys", "fp1", "fp2", "sketch"])
+            more = [pa.array([len(h) for h in sets], pa.int32()), pa.array([head(h).view(np.int64) for h in sets], pa.list_(pa.int64())), pa.array([marks(h) for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *more], ["doc_id", "md5", "keys", "fp1", "fp2", "sketch", "size", "head", "marks"])
 
     data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    return docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).mapInArrow(giving_back(run), "doc_id long, md5 string, keys array<smallint>, fp1 long, fp2 long, sketch binary")
+    return docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).mapInArrow(giving_back(run), "doc_id long, md5 string, keys array<smallint>, fp1 long, fp2 long, sketch binary, size int, head array<long>, marks binary")
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -422,13 +473,21 @@ def tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.select("u", "v", "a", "b").mapInArrow(giving_back(run), "u long, v long, alike boolean")
 
 
-def near_copies(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v): each node that a chain of alike texts links to a smaller one, and the least of its component.
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, data): the texts of nodes, as bytes."""
+    data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    named = nodes.select("node", F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"))
+    texts = docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("md5") == F.col("_md5")))
+    return materialize(texts.select("node", "data").dropDuplicates(["node"]), "texts")
+
+
+def near_copies(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v): each node that a chain of alike texts links to a smaller one, and the least of its component; and (bucket, node): the groups of which all links were looked for.
 
     nodes: node (a number of its own for each different text), doc_id (one of the text's), md5, keys, fp1, fp2 and sketch.
 
     Only links that the whole texts confirm join nodes. Nodes of a bucket whose
-    links fail go on to their next likeliest ones, four times as many a round,
+    links fail go on to their next likeliest ones, sixteen times as many a round,
     until no bucket has an untested likely link between two components. A text
     is in as many buckets as there are tables, so from the second round on the
     buckets are the components of the first round's links, whether these passed
@@ -439,22 +498,75 @@ def near_copies(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     members = materialize(meetings(keys_of_nodes(nodes)), "meetings")
     wanted = members.select("node").distinct()
     sketch = materialize(nodes.join(wanted, "node").select("node", "sketch"), "sketch")
-    data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    named = nodes.join(wanted, "node").select("node", F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"))
-    texts = docs.select("doc_id", F.md5(data).alias("md5"), data.alias("data")).join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("md5") == F.col("_md5")))
-    texts = materialize(texts.select("node", "data").dropDuplicates(["node"]), "texts")
+    texts = texts_of(docs, nodes.join(wanted, "node"))
     known, roots, failed, most = None, None, None, 1
     while True:
         pairs = materialize(to_test(members, sketch, texts, roots, failed, most), "pairs")
         if pairs.isEmpty():
-            return roots if roots is not None else pairs
+            return (roots, members) if roots is not None else (pairs, pairs.select(F.col("u").alias("bucket"), F.col("v").alias("node")))
         if roots is None:
             members = materialize(clusters(pairs), "clusters")
         now = materialize(tested(pairs, texts), "tested")
         known = now if known is None else known.union(now)
-        roots = components(known.where("alike").select("u", "v"))
+        if roots is None or not now.where("alike").isEmpty():
+            roots = components(known.where("alike").select("u", "v"))
         failed = known.where("not alike").select("u", "v")
-        most *= 4
+        most *= 16
+
+
+def missed(prints: DataFrame, named: DataFrame) -> DataFrame:
+    """Candidates (u, v) for alike texts of different components that no bucket has compared.
+
+    prints: sketches(); named: node, doc_id, md5, root, and bucket, if its
+    component's links were looked for. Two sets of a and b shingles are alike if they share
+    4 (a + b) / 9 or more, and then one of each one's first a - 4 a / 5 + 1 in
+    any order that both follow. At the first that they share, as many are left at most as
+    stand behind it. Texts of FINE shingles or fewer of a bucket were compared by all of them.
+    """
+    at = F.posexplode("head").alias("pos", "key")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("md5") == F.col("_md5"))
+    rows = prints.join(named.withColumnsRenamed({"doc_id": "_id", "md5": "_md5"}), same).select("node", "root", F.when(F.col("size") <= FINE, F.col("bucket")).alias("bucket"), "size", at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, ends in whole_runs(batches):
+            # A run's rows in order of what they needn't be compared in: a bucket or a component.
+            bucket = table.column(3).fill_null(-1).to_numpy()
+            group = np.where(bucket < 0, -1 - table.column(2).to_numpy(), bucket)
+            of = np.repeat(np.arange(len(starts)), ends - starts)
+            order = np.lexsort((group, of))
+            node, root, size, pos = (table.column(k).to_numpy()[order].astype(np.int64) for k in (1, 2, 4, 5))
+            group, rest = group[order], size - pos
+            new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (group[1:] != group[:-1])))
+            to = np.repeat(np.append(new[1:], len(node)), np.diff(np.append(new, len(node))))
+            end = np.repeat(ends, ends - starts)
+            at, held, n = np.flatnonzero(to < end), [], 0
+            # Each row meets those of its run's later groups, one after the other.
+            while len(at):
+                i, j = at, to[at]
+                total = size[i] + size[j]
+                good = (root[i] != root[j]) & (9 * np.minimum(size[i], size[j]) >= 4 * total) & (9 * np.minimum(rest[i], rest[j]) >= 4 * total)
+                held.append((node[i[good]], node[j[good]]))
+                n += int(good.sum())
+                to[at] += 1
+                at = at[to[at] < end[at]]
+                if n >= PAIRS or not len(at):
+                    u, v = map(np.concatenate, zip(*held))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+                    held, n = [], 0
+
+    pairs = in_runs(rows.select("key", "node", "root", "bucket", "size", "pos"), "key").mapInArrow(giving_back(run), "u long, v long").distinct()
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, MARKS // 8) for k in (4, 5))
+            a, b = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            # Each mark of one that the other hasn't is a shingle that they don't share.
+            most = np.minimum(a - np.bitwise_count(x & ~y).sum(axis=1), b - np.bitwise_count(y & ~x).sum(axis=1))
+            yield batch.filter(pa.array(9 * most >= 4 * (a + b))).select(["u", "v"])
+
+    known = prints.join(named.withColumnsRenamed({"doc_id": "_id", "md5": "_md5"}), same).select("node", "size", "marks").dropDuplicates(["node"])
+    sides = [known.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("marks").alias(f"{c}_marks")) for c in "uv"]
+    return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "u_size", "v_size", "u_marks", "v_marks").mapInArrow(giving_back(likely), "u long, v long")
 
 
 def keys_of_nodes(nodes: DataFrame) -> DataFrame:
@@ -466,17 +578,28 @@ def keys_of_nodes(nodes: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents less all but the first (least doc_id) of each group of exact copies and of near copies by SimHash fingerprints, confirmed by word shingles.
 
+    Fingerprints find nearly all links; those that they miss are found by shared
+    shingles, so texts that share ALIKE of their shingles are linked without exception.
     Different texts are the nodes of the links, whatever doc_ids they have: rows
     without a doc_id and texts that share one link like any other. Of a group the
     least doc_id stays, none only where no row of it has one; then, and of
     texts with the same doc_id, the least digest. Rows that repeat both doc_id and text are one document.
     """
-    prints = materialize(sketches(docs), "sketches")
+    prints = materialize(sketches(docs, common_shingles(docs)), "sketches")
     nodes = prints.groupBy("md5").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("keys", "fp1", "fp2", "sketch")])
     # Numbers that stay as they are once written.
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = near_copies(nodes, docs).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    named = nodes.select("node", "doc_id", "md5").join(roots, "node", "left")
+    links, groups = near_copies(nodes, docs)
+    least = lambda links: links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    named = nodes.select("node", "doc_id", "md5").join(least(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Fingerprints miss a few links; those are found by shared shingles.
+    pairs = materialize(missed(prints, named.join(groups, "node", "left")), "missed")
+    if not pairs.isEmpty():
+        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        more = materialize(tested(pairs, texts_of(docs, nodes.join(ends, "node"))), "tested").where("alike").select("u", "v")
+        if not more.isEmpty():
+            links = components(links.union(more))
+    named = nodes.select("node", "doc_id", "md5").join(least(links), "node", "left")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"))
     stay = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("first")).select("first.*").select("_id", "_md5")
     md5 = F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
